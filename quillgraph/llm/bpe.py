@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import json
 import os
-import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -33,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import partitions, raw, read, stored
+from quillgraph.llm.common import partitions, raw, read
 
 #: Word occurrences in a block.
 BLOCK_WORDS = 2_000_000
@@ -80,7 +79,7 @@ def decodes_by_space(path: str) -> None:
 def _pack(a: np.ndarray) -> bytes:
     """Non-negative integers as byte planes under zstd."""
     a = a.astype("<u4")
-    return zstandard.compress(a.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return zstandard.compress(a.view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
 
 
 def _unpack(b: bytes) -> np.ndarray:
@@ -91,25 +90,28 @@ def _unpack(b: bytes) -> np.ndarray:
 LISTS = "block string, bucket int, body binary, docs binary"
 
 
-def _blocks(buckets: int, block_words: int):
-    """mapInArrow function: rows of word lists (bucket >= 0) and of positions (bucket -1)."""
+def _blocks(buckets: int, block_words: int, lists: bool):
+    """mapInArrow function: rows of word lists by bucket, or else of positions (bucket -1).
+
+    A block is named by its content, so both kinds agree although each is made on its own.
+    """
 
     def flush(ids: list, parts: list[np.ndarray], order: list[bytes]) -> pa.RecordBatch:
         seen = np.concatenate(parts)
         bucket = (np.fromiter(map(xxhash.xxh3_64_intdigest, order), np.uint64, len(order)) % np.uint64(buckets)).astype(np.int64)
-        # Words stand by bucket, in a bucket by frequency: small positions compress well.
+        # Words stand by bucket, in a bucket by frequency. A word's position is its rank in the
+        # bucket times the buckets plus the bucket: small for frequent words, so it compresses well.
         rank = np.lexsort((-np.bincount(seen, minlength=len(order)), bucket))
+        cuts = np.searchsorted(bucket[rank], np.arange(buckets + 1))
         place = np.empty(len(order), np.int64)
-        place[rank] = np.arange(len(order))
-        body = _pack(place[seen])
+        place[rank] = (np.arange(len(order)) - cuts[bucket[rank]]) * buckets + bucket[rank]
         docs = np.array([[0 if i is None else i, i is None, len(p)] for i, p in zip(ids, parts, strict=True)], np.int64).tobytes()
-        name = uuid.uuid4().hex  # written once and reread, so it needn't be reproducible
-        rows = [(name, -1, body, docs)]
-        cuts = np.searchsorted(bucket[rank], np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(cuts)).tolist():
+        name = xxhash.xxh3_128_hexdigest(seen.tobytes() + docs + b"\n".join(order))
+        rows = [] if lists else [(name, -1, _pack(place[seen]), docs)]
+        for b in np.flatnonzero(np.diff(cuts)).tolist() if lists else ():
             rows.append((name, b, zstandard.compress(b"\n".join([order[k] for k in rank[cuts[b] : cuts[b + 1]].tolist()]), 3), None))
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)],
+            [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.binary(), pa.binary()))],
             ["block", "bucket", "body", "docs"],
         )
 
@@ -161,21 +163,31 @@ def _encoded(path: str):
     return run
 
 
-def _placed(pieces: list[str]):
+def _placed(pieces: list[str], buckets: int):
     """applyInArrow function on one block: ids placed by position, then decoded."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table["bucket"].to_pylist(), table["body"].to_pylist(), table["docs"].to_pylist(), strict=True), key=lambda r: r[0])
-        counts, ids = [], []
-        for _, body, _ in rows[1:]:
+        found = list(zip(table["bucket"].to_pylist(), table["body"].to_pylist(), table["docs"].to_pylist(), strict=True))
+        twins = sum(b < 0 for b, _, _ in found)  # equal blocks of different partitions share name and lists
+        rows = sorted({r[0]: r for r in found}.values(), key=lambda r: r[0])
+        if not twins:
+            raise RuntimeError("the input's row order changed between two reads: store it before encoding")
+        counts, ids, first = [], [], np.zeros(buckets, np.int64)
+        total = 0
+        for b, body, _ in rows[1:]:
             k, both = int.from_bytes(body[:8], "little"), _unpack(body[8:])
             counts.append(both[:k])
             ids.append(both[k:])
+            first[b] = total
+            total += k
         n = np.concatenate(counts).astype(np.int64) if counts else np.zeros(0, np.int64)
         flat = np.concatenate(ids) if ids else np.zeros(0, "<u4")
         start = np.concatenate([[0], np.cumsum(n)])
         text = [" ".join([pieces[i] for i in flat[a:b].tolist()]) for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
         place = _unpack(rows[0][1]).astype(np.int64)
+        place = first[place % buckets] + place // buckets
+        if len(place) and (place.max() >= len(n) or len(np.unique(place)) != len(n)):
+            raise RuntimeError("the input's row order changed between two reads: store it before encoding")
         docs = np.frombuffer(rows[0][2], np.int64).reshape(-1, 3)
         out_ids, out_text, at = [], [], 0
         for words in docs[:, 2].tolist():
@@ -186,24 +198,29 @@ def _placed(pieces: list[str]):
             where = np.repeat(start[:-1][p] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum()) if words else np.zeros(0, np.int64)
             out_ids.append(flat[where].astype("<u4").tobytes())
             out_text.append(" ".join([x for x in map(text.__getitem__, p.tolist()) if x]))
-        doc_ids = [None if null else i for i, null, _ in docs.tolist()]
+        doc_ids = [None if null else i for i, null, _ in docs.tolist()] * twins
+        out_ids, out_text = out_ids * twins, out_text * twins
         return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array([len(x) // 4 for x in out_ids], pa.int64()), "ids": pa.array(out_ids, pa.binary()), "decoded": pa.array(out_text, pa.string())})
 
     return run
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_tokens, ids (little-endian unsigned 32-bit), decoded text."""
+    """Per row of ``docs``: doc_id, n_tokens, ids (little-endian unsigned 32-bit), decoded text.
+
+    ``docs`` is read twice and has to give its rows in one order, as tables do; a difference
+    is noticed and stops the run.
+    """
     path = path or tokenizer_path()
     decodes_by_space(path)
     t = tokenizer(path)
     pieces = [t.id_to_token(i) or "" for i in range(max(t.get_vocab(with_added_tokens=True).values()) + 1)]
     buckets = min(4096, 4 * partitions(docs.sparkSession))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lists = stored(slim.mapInArrow(_blocks(buckets, block_words), LISTS), "bpe")
-    ids = lists.where("bucket >= 0").repartition(partitions(docs.sparkSession), "bucket").mapInArrow(_encoded(path), LISTS)
-    both = lists.where("bucket < 0").unionByName(ids)
-    return both.groupBy("block").applyInArrow(_placed(pieces), "doc_id long, n_tokens long, ids binary, decoded string")
+    lists = slim.mapInArrow(_blocks(buckets, block_words, True), LISTS)
+    ids = lists.repartition(partitions(docs.sparkSession), "bucket").mapInArrow(_encoded(path), LISTS)
+    both = slim.mapInArrow(_blocks(buckets, block_words, False), LISTS).unionByName(ids)
+    return both.groupBy("block").applyInArrow(_placed(pieces, buckets), "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def op3_bpe(spark, sf_dir):
