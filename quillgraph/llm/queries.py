@@ -2,10 +2,14 @@
 
 from quillgraph.llm.bpe import op3_bpe
 from quillgraph.llm.html_extract import op1_html_extract
+from quillgraph.llm.quality_model import op2_quality_model
+from quillgraph.llm.quality_rules import op6_quality_rules
 
 QUERIES = {
     "op1_html_extract": op1_html_extract,
+    "op2_quality_model": op2_quality_model,
     "op3_bpe": op3_bpe,
+    "op6_quality_rules": op6_quality_rules,
 }
 
 ORACLES: dict[str, str] = {}
