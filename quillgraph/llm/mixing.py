@@ -3,9 +3,8 @@
 Everything is DataFrame functions. A source's target is its weighted share of all words,
 at most MAX_COPIES times its own words, the excess reshared by weight. Its documents are
 dealt to blocks by hash; the target is whole copies of all blocks, then blocks of one more
-copy in permuted order, then documents of one boundary block in permuted order (a document
-is in if its middle lies below the target, so a source misses its target by at most half
-a document). The number of block items of each source is its exact quota. A binary tree
+copy in permuted order, then documents of one boundary block in permuted order, each in if
+it still fits (so a source stays below its target by less than any document left out). The number of block items of each source is its exact quota. A binary tree
 splits the quotas among output shards: at each node one half of the items goes left, its
 counts by source being one multivariate-hypergeometric draw (sequential hypergeometric
 inversion, seeded by the node). A shard takes its share of each source's permuted items,
@@ -143,8 +142,8 @@ def _same(a: DataFrame, b: DataFrame, *names: str):
 def plan(sizes: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
     """From rows of doc_id, source, size: the sources' targets, and the items of every block.
 
-    Items: source, block, and an array of (copy, shard, cut) where cut is null for a whole
-    block and else the last document in permuted order as (order, doc_id) that is in.
+    Items: source, block, and an array of (copy, shard, part) where part is null for a whole
+    block and else the (order, doc_id) of the documents that are in.
     """
     src = stored(targets(sizes), "targets")
     s = src.select(F.col("source").alias("_source"), "n_docs", "target", "source_size")
@@ -164,6 +163,7 @@ def plan(sizes: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
     # Quotas by source in one row, split among the shards.
     by = items.groupBy("source").agg(F.count(F.lit(1)).alias("q"))
     listed = by.agg(F.sort_array(F.collect_list(F.struct(F.col("source").isNull().alias("no_source"), "source", "q"))).alias("l"))
+    listed = listed.where(F.size("l") > 0)
     leaves = split_quotas(listed.select(F.col("l.q").alias("quota")), depth)
     names = listed.select(F.posexplode("l").alias("i", "x")).select("i", F.col("x.source").alias("source"))
     per = leaves.select("shard", F.posexplode("quota").alias("i", "q"))
@@ -172,17 +172,22 @@ def plan(sizes: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
     ends = stored(names.join(ends, "i").select(F.col("source").alias("_source"), "ends"), "shards")
     items = items.join(ends, items["source"].eqNullSafe(ends["_source"])).drop("_source")
     items = items.withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("number"))).cast("long"))
-    # The boundary block of a source: the last document that is in.
+    # The boundary block of a source: its documents in permuted order, each in if it still fits.
     edge = stored(items.where("cut_at is not null").select("source", "block", "cut_at"), "edges")
     e = edge.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "cut_at")
     own = dealt.join(e, dealt["source"].eqNullSafe(e["_s"]) & (dealt["block"] == e["_b"]))
-    line = Window.partitionBy("source").orderBy(_order(), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    own = own.withColumn("through", F.sum("size").over(line)).where(F.col("through") - F.col("size") / 2 <= F.col("cut_at"))
-    cuts = own.groupBy("source").agg(F.max(F.struct(_order().alias("at"), F.col("doc_id").alias("id"))).alias("cut")).select(F.col("source").alias("_s"), "cut")
+    own = own.where("size > 0").groupBy("source").agg(F.sort_array(F.collect_list(F.struct(_order().alias("at"), F.col("doc_id").alias("id"), "size"))).alias("l"), F.first("cut_at").alias("cut_at"))
+    key = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("id"))
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.filter(F.array(key), lambda x: F.lit(False)).alias("out"))
+
+    def fit(a: Column, x: Column) -> Column:
+        more = F.struct((a["sum"] + x["size"]).alias("sum"), F.concat(a["out"], F.array(F.struct(x["at"].alias("at"), x["id"].alias("id")))).alias("out"))
+        return F.when(a["sum"] + x["size"] <= F.col("cut_at"), more).otherwise(a)
+
+    cuts = own.select(F.col("source").alias("_s"), F.aggregate("l", start, fit)["out"].alias("part"))
     items = items.join(cuts, items["source"].eqNullSafe(cuts["_s"]), "left")
-    # A boundary block of which no document is in gives nothing.
-    items = items.where("cut_at is null or cut is not null").withColumn("cut", F.when(F.col("cut_at").isNotNull(), F.col("cut")))
-    return src, stored(items.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard", "cut"))).alias("items")), "plan")
+    items = items.withColumn("part", F.when(F.col("cut_at").isNotNull(), F.coalesce("part", F.filter(F.array(key), lambda x: F.lit(False)))))
+    return src, stored(items.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard", "part"))).alias("items")), "plan")
 
 
 def placed(rows: DataFrame, src: DataFrame, items: DataFrame) -> DataFrame:
@@ -194,7 +199,7 @@ def placed(rows: DataFrame, src: DataFrame, items: DataFrame) -> DataFrame:
     i = items.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "items")
     out = out.join(i, out["source"].eqNullSafe(i["_s"]) & (out["_block"] == i["_b"]), "left")
     here = F.struct(_order().alias("at"), F.col("doc_id").alias("id"))
-    taken = F.filter(F.coalesce("items", F.array()), lambda x: (F.col("size") > 0) & (x["cut"].isNull() | (here <= x["cut"])))
+    taken = F.filter(F.coalesce("items", F.array()), lambda x: (F.col("size") > 0) & (x["part"].isNull() | F.array_contains(x["part"], here)))
     places = F.transform(taken, lambda x: F.struct(x["copy"].alias("copy"), x["shard"].alias("shard"), F.xxhash64(F.lit(SEED + 4), x["copy"], F.col("doc_id"), F.col("size")).alias("key")))
     return out.withColumn("placements", places).select(*kept, "source_size", "target", "placements")
 

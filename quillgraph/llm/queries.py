@@ -2,14 +2,20 @@
 
 from quillgraph.llm.bpe import op3_bpe
 from quillgraph.llm.html_extract import op1_html_extract
+from quillgraph.llm.mixing import op8_mixing
+from quillgraph.llm.near_dedup import op10_near_dedup
 from quillgraph.llm.quality_model import op2_quality_model
 from quillgraph.llm.quality_rules import op6_quality_rules
+from quillgraph.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_quality_model": op2_quality_model,
     "op3_bpe": op3_bpe,
     "op6_quality_rules": op6_quality_rules,
+    "op8_mixing": op8_mixing,
+    "op9_toxicity": op9_toxicity,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLES: dict[str, str] = {}
