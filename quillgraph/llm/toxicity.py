@@ -62,21 +62,24 @@ def _class_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def train(sample: DataFrame) -> tuple[np.ndarray, float]:
     """Weight of every bucket (mostly 0) and the intercept from rows of text and label."""
-    by = sample.mapInPandas(_class_counts, "label int, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((2, BUCKETS + 1))
-    counts[by["label"].to_numpy(), by["gram"].to_numpy()] = by["n"].to_numpy()  # gram -1: the rows
-    rows, counts = counts[:, -1], counts[:, :-1]
+    counted = sample.mapInPandas(_class_counts, "label int, gram long, n long")
+    one = lambda k: F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0))
+    by = stored(counted.groupBy("gram").agg(one(0).alias("n0"), one(1).alias("n1")), "grams")
+    whole = by.where("gram = -1").first()  # gram -1: the rows
+    rows = (whole["n0"], whole["n1"]) if whole else (0, 0)
     weights = np.zeros(BUCKETS)
-    if rows.min() == 0:
-        p = float(np.clip(rows[1] / rows.sum(), 1e-3, 1 - 1e-3)) if rows.sum() else 1e-3
+    if min(rows) == 0:
+        p = float(np.clip(rows[1] / sum(rows), 1e-3, 1 - 1e-3)) if sum(rows) else 1e-3
         return weights, float(np.log(p / (1 - p)))
-    ratio = np.log((counts[1] + SMOOTH) / (rows[1] + 2 * SMOOTH)) - np.log((counts[0] + SMOOTH) / (rows[0] + 2 * SMOOTH))
-    # How many standard errors a class difference is away from none.
-    pooled = (counts.sum(0) + 1) / (rows.sum() + 2)
-    clear = (counts[1] / rows[1] - counts[0] / rows[0]) / np.sqrt(pooled * (1 - pooled) * (1 / rows[0] + 1 / rows[1]))
-    kept = np.sort(np.argsort(-np.abs(clear) - 1e-12 * np.arange(BUCKETS)[::-1], kind="stable")[:KEPT])
-    kept = kept[np.abs(clear[kept]) > 3]
-    place = np.full(BUCKETS, -1)
+    # How many standard errors a class difference is away from none; the clearest come to the driver.
+    pooled = (F.col("n0") + F.col("n1") + 1) / (sum(rows) + 2)
+    clear = F.abs(F.col("n1") / rows[1] - F.col("n0") / rows[0]) / F.sqrt(pooled * (1 - pooled) * (1 / rows[0] + 1 / rows[1]))
+    top = by.where("gram >= 0").withColumn("clear", clear).where("clear > 3").orderBy(F.desc("clear"), "gram").limit(KEPT)
+    top = sorted((r["gram"], r["n0"], r["n1"]) for r in top.collect())
+    kept = np.array([r[0] for r in top], np.int64)
+    n0, n1 = np.array([r[1] for r in top], float), np.array([r[2] for r in top], float)
+    ratio = np.log((n1 + SMOOTH) / (rows[1] + 2 * SMOOTH)) - np.log((n0 + SMOOTH) / (rows[0] + 2 * SMOOTH))
+    place = np.full(BUCKETS, -1, np.int16)
     place[kept] = np.arange(len(kept))
 
     def present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,7 +93,7 @@ def train(sample: DataFrame) -> tuple[np.ndarray, float]:
     own = [np.frombuffer(x, "<u2").astype(np.int64) for x in pdf["own"]]
     at = np.concatenate(own) if own else np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(own)), [len(x) for x in own])
-    value = ratio[kept][at]
+    value = ratio[at]
     w, b = np.zeros(len(kept)), float(np.log(y.mean() / (1 - y.mean())))
     # Power iteration for the step.
     v = np.ones(len(kept))
@@ -107,7 +110,7 @@ def train(sample: DataFrame) -> tuple[np.ndarray, float]:
         b -= step * r.mean()
         t, t0 = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         z, last = w + (t0 - 1) / t * (w - last), w
-    weights[kept] = w * ratio[kept]
+    weights[kept] = w * ratio
     return weights, b
 
 
