@@ -5,9 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillgraph.catalog import ForeignKey
+from quillgraph.evaluation import execution_accuracy, rollup
+from quillgraph.functions.expressions import Compiler
+from quillgraph.operators.relational import (
+    cardinality_violations, constraint_violations, degrees, distinct_on, missing_ends, similarity_top_k, top_k, unique_violations,
+)
+from quillgraph.plans import ir
 from quillgraph.plans.engine import Engine
+from quillgraph.plans.rel2graph import Edge, Join, Table, join_frames, pattern
 from quillgraph.sources.fixtures import star_graph
+from quillgraph.sources.ingest import fk_edges, jt_edges
+from quillgraph.streaming.events import sessions, windowed_counts
 
 #: name -> (graph text, dialect, match mode, SQL)
 TEXTS: dict[str, tuple[str, str, str, str]] = {}
@@ -127,3 +138,143 @@ def text_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_query("flagship")(spark, sf_dir)
+
+
+# Queries through the DataFrame interfaces
+def _tables(spark: SparkSession, sf_dir: str):
+    return lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+class _Columns:
+    """Names of a relational scope: a column is its alias and name."""
+
+    @staticmethod
+    def prop(var: str, name: str):
+        return F.col(f"{var}.{name}"), None
+
+    @staticmethod
+    def var(name: str):
+        return F.col(name)
+
+    value_kind = staticmethod(lambda name: None)
+
+
+def _joined(side: str, on, a: str, b: str, *cols: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = _tables(spark, sf_dir)
+        out = join_frames(t(a).alias("a"), t(b).alias("b"), on, side, Compiler(_Columns()))
+        return out.selectExpr(*cols)
+
+    return run
+
+
+def _p(x: str) -> ir.Prop:
+    return ir.Prop(*x.split("."))
+
+
+def _eq(x: str, y: str) -> ir.Bin:
+    return ir.Bin("=", _p(x), _p(y))
+
+
+FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
+
+
+def _frame(name: str, run, sql: str) -> None:
+    FRAMES[name] = (run, sql)
+
+
+_C, _N, _S, _O = "customer", "nation", "supplier", "orders"
+_frame("join_inner", _joined("inner", _eq("a.c_nationkey", "b.n_nationkey"), _C, _N, "c_custkey AS c", "n_name AS n"), "SELECT c_custkey AS c, n_name AS n FROM customer JOIN nation ON c_nationkey=n_nationkey")
+_frame("join_left", _joined("left", ir.Bin("and", _eq("a.n_nationkey", "b.s_nationkey"), ir.Bin("<", _p("b.s_acctbal"), ir.Lit(0))), _N, _S, "n_name AS n", "s_suppkey AS s"), "SELECT n_name AS n, s_suppkey AS s FROM nation LEFT JOIN supplier ON n_nationkey=s_nationkey AND s_acctbal<0")
+_frame("join_right", _joined("right", ir.Bin("and", _eq("a.s_nationkey", "b.n_nationkey"), ir.Bin("<", _p("a.s_acctbal"), ir.Lit(0))), _S, _N, "n_name AS n", "s_suppkey AS s"), "SELECT n_name AS n, s_suppkey AS s FROM supplier RIGHT JOIN nation ON n_nationkey=s_nationkey AND s_acctbal<0")
+_frame("join_full", _joined("full", ir.Bin("and", _eq("a.s_nationkey", "b.n_nationkey"), ir.Bin("<", _p("a.s_acctbal"), ir.Lit(0))), _S, _N, "n_name AS n", "s_suppkey AS s"), "SELECT n_name AS n, s_suppkey AS s FROM supplier FULL JOIN nation ON n_nationkey=s_nationkey AND s_acctbal<0")
+_frame("join_semi", _joined("semi", ir.Bin("and", _eq("a.c_custkey", "b.o_custkey"), ir.Bin(">", _p("b.o_totalprice"), ir.Lit(400000))), _C, _O, "c_custkey AS c"), "SELECT c_custkey AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey=c_custkey AND o_totalprice>400000)")
+_frame("join_anti", _joined("anti", ir.Bin("and", _eq("a.c_custkey", "b.o_custkey"), ir.Bin(">", _p("b.o_totalprice"), ir.Lit(400000))), _C, _O, "c_custkey AS c"), "SELECT c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey=c_custkey AND o_totalprice>400000)")
+_frame("join_cross", _joined("cross", None, "region", _N, "r_name AS r", "n_name AS n"), "SELECT r_name AS r, n_name AS n FROM region, nation")
+_frame("join_lower", _joined("inner", ir.Bin("=", ir.Call("lower", (_p("a.n_name"),)), ir.Call("lower", (_p("b.n_name"),))), _N, _N, "a.n_nationkey AS x", "b.n_nationkey AS y"), "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON lower(a.n_name)=lower(b.n_name)")
+_frame("join_neq", _joined("inner", ir.Bin("<>", _p("a.n_regionkey"), _p("b.r_regionkey")), _N, "region", "n_name AS n", "r_name AS r"), "SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey<>r_regionkey")
+_frame("join_theta", _joined("inner", ir.Bin("<", _p("a.n_nationkey"), _p("b.r_regionkey")), _N, "region", "n_name AS n", "r_name AS r"), "SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_nationkey<r_regionkey")
+_frame("join_or", _joined("inner", ir.Bin("or", _eq("a.c_nationkey", "b.s_nationkey"), _eq("a.c_custkey", "b.s_suppkey")), _C, _S, "c_custkey AS c", "s_suppkey AS s"), "SELECT c_custkey AS c, s_suppkey AS s FROM customer JOIN supplier ON c_nationkey=s_nationkey OR c_custkey=s_suppkey")
+_frame("join_composite", _joined("inner", ir.Bin("and", _eq("a.l_partkey", "b.p_partkey"), _eq("a.l_linenumber", "b.p_size")), "lineitem", "part", "l_orderkey AS o", "p_partkey AS p"), "SELECT l_orderkey AS o, p_partkey AS p FROM lineitem JOIN part ON l_partkey=p_partkey AND l_linenumber=p_size")
+_frame("join_bare_column", _joined("inner", _p("b.r_regionkey"), _N, "region", "n_name AS n", "r_name AS r"), "SELECT n_name AS n, r_name AS r FROM nation JOIN region ON r_regionkey<>0")
+_frame("join_never", _joined("left", ir.Bin("=", _eq("a.n_regionkey", "b.r_regionkey"), _p("a.n_nationkey")), _N, "region", "n_name AS n", "r_name AS r"), "SELECT n_name AS n, CAST(NULL AS VARCHAR) AS r FROM nation")
+
+
+def _pattern_of_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer JOIN orders LEFT JOIN big suppliers' nation, rewritten to MATCH clauses."""
+    edges = [Edge("PLACED", "Customer", "Orders", ("c_custkey",), ("o_custkey",)), Edge("CUSTOMER_IN", "Customer", "Nation", ("c_nationkey",), ("n_nationkey",))]
+    on = _eq("c.c_custkey", "o.o_custkey")
+    far = ir.Bin("and", _eq("c.c_nationkey", "n.n_nationkey"), ir.Bin("=", _p("n.n_regionkey"), ir.Lit(1)))
+    clauses = pattern(Table("Customer", "c"), [Join(Table("Orders", "o"), on), Join(Table("Nation", "n"), far, "left")], edges)
+    back = ir.Return((ir.Item(_p("o.o_orderkey"), "o"), ir.Item(_p("n.n_name"), "n")))
+    return Engine(spark, star_graph(spark, sf_dir)).run(ir.Single((*clauses, back)))
+
+
+_frame("join_to_pattern", _pattern_of_joins, "SELECT o_orderkey AS o, n_name AS n FROM customer JOIN orders ON o_custkey=c_custkey LEFT JOIN nation ON n_nationkey=c_nationkey AND n_regionkey=1")
+
+
+def _fk(policy: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = _tables(spark, sf_dir)
+        return fk_edges(t("orders"), t("customer"), ForeignKey("orders", "customer", ("o_custkey",), ("c_custkey",)), "o_orderkey", "c_custkey", policy).select(F.col("_src").alias("src"), F.col("_dst").alias("dst"))
+
+    return run
+
+
+_frame("fk_edges_all_pairs", _fk("all_pairs"), "SELECT o_orderkey AS src, c_custkey AS dst FROM orders JOIN customer ON o_custkey=c_custkey")
+_frame("fk_edges_first_match", _fk("first_match"), "SELECT min(o_orderkey) AS src, o_custkey AS dst FROM orders JOIN customer ON o_custkey=c_custkey GROUP BY 2")
+
+
+def _jt(properties: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = _tables(spark, sf_dir)
+        line = t("lineitem").select("l_partkey", "l_suppkey", "l_linenumber")
+        a = (t("part"), ForeignKey("lineitem", "part", ("l_partkey",), ("p_partkey",)), "p_partkey")
+        b = (t("supplier"), ForeignKey("lineitem", "supplier", ("l_suppkey",), ("s_suppkey",)), "s_suppkey")
+        return jt_edges(line, a, b, properties).withColumnRenamed("_src", "src").withColumnRenamed("_dst", "dst")
+
+    return run
+
+
+_frame("jt_edges_all", _jt("all"), "SELECT DISTINCT l_partkey AS src, l_suppkey AS dst, l_partkey, l_suppkey, l_linenumber FROM lineitem")
+_frame("jt_edges_non_key", _jt("non_key"), "SELECT l_partkey AS src, l_suppkey AS dst, l_linenumber FROM (SELECT DISTINCT l_partkey, l_suppkey, l_linenumber FROM lineitem)")
+_frame("topk_per_key", lambda spark, d: top_k(_tables(spark, d)("orders"), ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 10).select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("o"), "rank"), "SELECT o_custkey AS c, o_orderkey AS o, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS rank FROM orders QUALIFY rank<=10")
+
+
+def _similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _tables(spark, sf_dir)("embeddings")
+    return similarity_top_k(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 10).select("from_id", "to_id", "rank", F.round("score", 6).alias("score"))
+
+
+_frame("cosine_topk", _similar, "WITH q AS (SELECT * FROM embeddings WHERE vec_id%50=0), s AS (SELECT q.vec_id AS from_id, e.vec_id AS to_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS x FROM q JOIN embeddings e ON e.vec_id<>q.vec_id) SELECT from_id, to_id, CAST(row_number() OVER (PARTITION BY from_id ORDER BY x DESC, to_id) AS INTEGER) AS rank, round(x,6) AS score FROM s QUALIFY rank<=10")
+_frame("degrees", lambda spark, d: degrees(_tables(spark, d)("orders"), "o_custkey", "o_orderkey")[0].select(F.col("o_custkey").alias("c"), "degree"), "SELECT o_custkey AS c, count(*) AS degree FROM orders GROUP BY 1")
+_frame("degree_cap_violations", lambda spark, d: cardinality_violations(_tables(spark, d)("orders"), "o_custkey", "o_orderkey", 15, 1), "SELECT 'source' AS side, CAST(o_custkey AS VARCHAR) AS id, count(*) AS degree FROM orders GROUP BY o_custkey HAVING count(*)>15")
+_frame("unique_violations", lambda spark, d: unique_violations(_tables(spark, d)("part"), "p_name"), "SELECT p_name, count(*) AS n FROM part GROUP BY 1 HAVING count(*)>1")
+_frame("referential_check", lambda spark, d: missing_ends(_tables(spark, d)("documents"), "doc_id", _tables(spark, d)("labels"), "doc_id").select("doc_id", "lang"), "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+_frame("constraint_violations", lambda spark, d: constraint_violations(_tables(spark, d)("customer"), "c_custkey", "solvent", "c_acctbal >= 0"), "SELECT 'solvent' AS constraint, CAST(c_custkey AS VARCHAR) AS id FROM customer WHERE c_acctbal<0")
+_frame("distinct_on", lambda spark, d: distinct_on(_tables(spark, d)("orders"), ["o_custkey"], [F.desc("o_orderdate"), F.asc("o_orderkey")]).select("o_custkey", "o_orderkey"), "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_orderdate DESC, o_orderkey")
+_frame("cube", lambda spark, d: _tables(spark, d)("orders").cube("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("k")), "SELECT o_orderstatus, o_orderpriority, count(*) AS k FROM orders GROUP BY CUBE(o_orderstatus, o_orderpriority)")
+_frame("rollup", lambda spark, d: _tables(spark, d)("orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("k")), "SELECT o_orderstatus, o_orderpriority, count(*) AS k FROM orders GROUP BY ROLLUP(o_orderstatus, o_orderpriority)")
+_frame("grouping_sets", lambda spark, d: _tables(spark, d)("orders").groupingSets([["o_orderstatus"], ["o_orderpriority"], []], "o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("k")), "SELECT o_orderstatus, o_orderpriority, count(*) AS k FROM orders GROUP BY GROUPING SETS ((o_orderstatus),(o_orderpriority),())")
+_frame("event_windows", lambda spark, d: windowed_counts(_tables(spark, d)("events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total"), "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value),4) AS total FROM events GROUP BY 1,2")
+_frame("event_sessions", lambda spark, d: sessions(_tables(spark, d)("events")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n"), "WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events), s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM a) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, g")
+
+
+def _verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of query texts and whether their results are the same."""
+    e = Engine(spark, star_graph(spark, sf_dir))
+    pairs = [
+        ("swapped columns", "MATCH (n:Nation) RETURN n.n_name AS a, n.n_regionkey AS b", "MATCH (n:Nation) RETURN n.n_regionkey AS x, n.n_name AS y"),
+        ("other rows", "MATCH (n:Nation) RETURN n.n_name AS a", "MATCH (n:Nation) WHERE n.n_nationkey > 0 RETURN n.n_name AS a"),
+        ("other order", "MATCH (r:Region) RETURN r.r_name AS a ORDER BY a DESC", "MATCH (r:Region) RETURN r.r_name AS a ORDER BY a"),
+        ("bag", "MATCH (n:Nation) RETURN n.n_regionkey AS a", "MATCH (r:Region)<-[:IN_REGION]-(n) RETURN r.r_regionkey AS b"),
+    ]
+    rows = [(name, execution_accuracy(e, a, b).score) for name, a, b in pairs]
+    return spark.createDataFrame(rows, "pair string, score double")
+
+
+_frame("res_eq_pairs", _verdict, "SELECT * FROM (VALUES ('swapped columns', 1.0::DOUBLE), ('other rows', 0.0), ('other order', 0.0), ('bag', 1.0)) t(pair, score)")
+_frame("stats_rollup", lambda spark, d: rollup(_tables(spark, d)("labels").withColumn("is_success", F.col("quality")), ["toxic"]), "SELECT toxic, count(*) AS total, CAST(sum(quality) AS BIGINT) AS passed, round(avg(quality),6) AS rate FROM labels GROUP BY 1")
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: text_query(n) for n in TEXTS} | {n: run for n, (run, _) in FRAMES.items()}
+ORACLES: dict[str, str] = {n: sql for n, (_, _, _, sql) in TEXTS.items()} | {n: sql for n, (_, sql) in FRAMES.items()}
