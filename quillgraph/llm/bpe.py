@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import partitions, raw, read
+from quillgraph.llm.common import bounded_batches, partitions, raw, read
 
 #: Word occurrences in a block.
 BLOCK_WORDS = 2_000_000
@@ -213,6 +213,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     """
     path = path or tokenizer_path()
     decodes_by_space(path)
+    bounded_batches(docs.sparkSession)
     t = tokenizer(path)
     pieces = [t.id_to_token(i) or "" for i in range(max(t.get_vocab(with_added_tokens=True).values()) + 1)]
     buckets = min(4096, 4 * partitions(docs.sparkSession))

@@ -37,6 +37,17 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Arrow batches of at most ``rows`` rows from now on in this session.
+
+    Texts are long: at Spark's 10,000 rows a batch, buffers of both sides and what Python
+    makes of them take hundreds of MB a task. A smaller setting stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.llm.common import bounded_batches, read
+
 #: Lines in a window.
 WINDOW = 3
 #: Window sum that starts a region, on a page with and without an article element.
@@ -160,6 +162,8 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """``pages`` with ``text`` and ``n_chars`` instead of the html."""
 
+    bounded_batches(pages.sparkSession)
+
     @F.pandas_udf("string")
     def text_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
@@ -170,6 +174,4 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def op1_html_extract(spark, sf_dir):
-    from quillgraph.llm.common import read
-
     return extract(read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")

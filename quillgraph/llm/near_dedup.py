@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import partitions, raw, read, stored
+from quillgraph.llm.common import bounded_batches, partitions, raw, read, stored
 from quillgraph.llm.components import components
 
 TREES, DEPTH = 24, 4
@@ -214,6 +214,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     ``is_first`` marks one row of each component: the least doc_id, then the least rid.
     """
+    bounded_batches(docs.sparkSession)
     rid = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), rid.alias("rid"), F.col("text").cast("string").alias("text"))
     rows = stored(slim.mapInArrow(_signed(size), "doc_id long, rid long, cid binary, n long, sig binary"), "signatures")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import span_model
-from quillgraph.llm.common import read
+from quillgraph.llm.common import bounded_batches, read
 from quillgraph.llm.span_model import KINDS, WINDOW, Model, classes
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -256,6 +256,7 @@ def _search(texts: list[str], model: Model) -> list[tuple[list[Span], list[Span]
 def find(docs: DataFrame) -> DataFrame:
     """``docs`` with ``pii``: counts of base spans by kind, base_spans and spans as text, and the text with every span masked."""
     model = trained()
+    bounded_batches(docs.sparkSession, 1000)
     schema = ", ".join(f"n_{k} long" for k in KINDS) + ", base string, spans string, masked string"
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

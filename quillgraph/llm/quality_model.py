@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import crc_mod, read, stored
+from quillgraph.llm.common import bounded_batches, crc_mod, read, stored
 from quillgraph.llm.textstats import COUNTS, RATIOS, stats
 
 FEATURES = ["n_words", *RATIOS]
@@ -117,6 +117,7 @@ def sampled_labels(labels: DataFrame, label: str, rows: int) -> DataFrame:
 
 
 def op2_quality_model(spark, sf_dir):
+    bounded_batches(spark)
     docs = read(spark, sf_dir, "documents").select("doc_id", stats(F.col("text")).alias("s")).select("doc_id", "s.*")
     rows = stored(docs, "stats").withColumn("held_out", crc_mod("doc_id", 5) == 0)
     labels = sampled_labels(read(spark, sf_dir, "labels"), "quality", TRAIN_ROWS)

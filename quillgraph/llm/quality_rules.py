@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import read, stored
+from quillgraph.llm.common import bounded_batches, read, stored
 from quillgraph.llm.textstats import COUNTS, stats
 
 #: Statistic -> least value at which it may reject.
@@ -84,6 +84,7 @@ def judged(rows: DataFrame) -> DataFrame:
 
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and all statistics of every text."""
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "lang", "source", stats(F.col("text")).alias("s")).select("doc_id", "lang", "source", "s.*")
 
 

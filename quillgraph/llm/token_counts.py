@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import read, scratch
+from quillgraph.llm.common import bounded_batches, read, scratch
 
 #: Ids in a block.
 BLOCK = 1 << 20
@@ -60,6 +60,8 @@ def write(docs: DataFrame, to: str, path: str, eod: int = EOD) -> None:
     retries and stores are Spark's.
     """
 
+    bounded_batches(docs.sparkSession)
+
     @F.pandas_udf("binary")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         e = encoding(path)

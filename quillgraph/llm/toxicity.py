@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import crc_mod, raw, read, stored
+from quillgraph.llm.common import bounded_batches, crc_mod, raw, read, stored
 from quillgraph.llm.quality_model import sampled_labels
 
 NGRAMS = (5, 7)
@@ -62,6 +62,7 @@ def _class_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def train(sample: DataFrame) -> tuple[np.ndarray, float]:
     """Weight of every bucket (mostly 0) and the intercept from rows of text and label."""
+    bounded_batches(sample.sparkSession)
     counted = sample.mapInPandas(_class_counts, "label int, gram long, n long")
     one = lambda k: F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0))
     by = stored(counted.groupBy("gram").agg(one(0).alias("n0"), one(1).alias("n1")), "grams")
