@@ -134,13 +134,13 @@ class Compiler:
         if isinstance(x, ir.Case):
             return next((k for k in (self.kind(v) for _, v in x.whens) if k), None)
         if isinstance(x, ir.Call):
-            if x.name in ("count", "length", "size", "char_length", "len", "tointeger", "apoc.text.indexof", "instr", "datediff", "count_sub"):
+            if x.name in ("count", "length", "size", "char_length", "len", "apoc.text.indexof", "instr", "datediff", "count_sub"):
                 return "int"
-            if x.name in ("avg", "tofloat", "sqrt"):
+            if x.name in ("avg", "sqrt"):
                 return "float"
             if x.name in ("sum", "abs", "min", "max", "round", "coalesce", "greatest", "least"):
                 return self.kind(x.args[0]) if x.args else None
-            if x.name in ("tostring", "upper", "lower", "toupper", "tolower", "trim", "replace", "substring", "left", "right", "lcase", "ucase"):
+            if x.name in ("upper", "lower", "toupper", "tolower", "trim", "replace", "substring", "left", "right", "lcase", "ucase"):
                 return "string"
             if x.name.startswith(("localdatetime", "local_datetime")):
                 return "datetime"
@@ -368,9 +368,6 @@ def _text(k: Compiler, x) -> Column:
 
 
 FUNCTIONS: dict[str, Callable[[Compiler, tuple], Column]] = {
-    "tofloat": lambda k, a: k(ir.Cast(a[0], "float")),
-    "tostring": lambda k, a: k(ir.Cast(a[0], "string")),
-    "tointeger": lambda k, a: k(ir.Cast(a[0], "int")),
     "toboolean": lambda k, a: k(a[0]).try_cast("boolean"),
     "abs": lambda k, a: F.abs(k(a[0])),
     "sqrt": lambda k, a: F.sqrt(k(a[0])),

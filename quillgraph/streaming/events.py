@@ -12,23 +12,28 @@ def read_events(spark: SparkSession, folder: str, pattern: str = "events.parquet
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
-def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour", slide: str | None = None) -> DataFrame:
+def _timed(events: DataFrame, late: str | None) -> DataFrame:
+    """``ts`` as a timestamp with a watermark; without ``late`` an earlier watermark stays."""
+    if dict(events.dtypes)["ts"] != "timestamp":
+        events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return events if late is None else events.withWatermark("ts", late)
+
+
+def windowed_counts(events: DataFrame, late: str | None = "10 minutes", size: str = "1 hour", slide: str | None = None) -> DataFrame:
     """Events and values by window and type; works on streams and tables."""
-    w = F.window(F.col("ts").cast("timestamp"), size, slide)
-    out = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(w.alias("w"), "event_type")
+    out = _timed(events, late).groupBy(F.window("ts", size, slide).alias("w"), "event_type")
     return out.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n", "total")
 
 
-def sessions(events: DataFrame, late: str = "10 minutes", gap: str = "30 minutes") -> DataFrame:
+def sessions(events: DataFrame, late: str | None = "10 minutes", gap: str = "30 minutes") -> DataFrame:
     """Sessions of each user: events no more than ``gap`` apart."""
-    e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    out = e.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    out = _timed(events, late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return out.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def deduplicated(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Each event id once within the watermark."""
-    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    return _timed(events, late).dropDuplicatesWithinWatermark(["event_id"])
 
 
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
