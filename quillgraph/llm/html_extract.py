@@ -49,7 +49,7 @@ MARKS = re.compile(
 MARKED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 TOKEN = re.compile(
-    r"""(<!--(?:>|->|.*?(?:-->|$)|.*)|<[!?][^>]*(?:>|$))|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(>|$)|([^<]+|<)""",
+    r"""(<!--(?:>|->|.*?(?:-->|$)|.*)|<(?:[!?]|/(?![A-Za-z]))[^>]*(?:>|$))|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(>|$)|([^<]+|<(?![A-Za-z/!?]))""",
     re.S,
 )
 #: The same groups for a tag with an unbalanced quote.
