@@ -35,6 +35,7 @@ class Step:
 class Branch:
     labels: tuple[tuple[str, str], ...]  # variable, label
     paths: tuple[tuple[str, tuple[Step, ...]], ...]  # first variable, steps
+    also: tuple[tuple[str, str], ...] = ()  # variable, a further label it has to have
 
 
 def named(paths: tuple[ir.Path, ...], fresh: Iterator[int]) -> tuple[ir.Path, ...]:
@@ -56,7 +57,7 @@ def branches(graph: PropertyGraph, paths: tuple[ir.Path, ...], known: dict[str,
                 want.setdefault(n.var, set()).add(graph.label(label))
 
     def fits(labels: dict[str, str], var: str, label: str) -> bool:
-        return labels.get(var, label) == label and want.get(var, {label}) <= {label}
+        return labels.get(var, label) == label and label in want.get(var, {label})
 
     found = [(dict(known), ())]
     for p in paths:
@@ -77,13 +78,12 @@ def branches(graph: PropertyGraph, paths: tuple[ir.Path, ...], known: dict[str,
                 partial = after
             if not p.rels:
                 v = p.nodes[0].var
-                options = [labels[v]] if v in labels else sorted(want.get(v, graph.nodes))
-                if len(want.get(v, ())) > 1:
-                    options = []
+                # Of several labels one gives the scan; the others are joined to it.
+                options = [labels[v]] if v in labels else sorted(want[v])[:1] if v in want else sorted(graph.nodes)
                 partial = [(labels | {v: x}, ()) for x in options if fits(labels, v, x)]
             grown += [(own, (*done, (p.nodes[0].var, steps))) for own, steps in partial]
         found = grown
-    return [Branch(tuple(sorted(labels.items())), done) for labels, done in found]
+    return [Branch(tuple(sorted(labels.items())), done, tuple((v, x) for v, all_ in sorted(want.items()) for x in sorted(all_ - {labels[v]}))) for labels, done in found]
 
 
 class Matcher:
@@ -195,6 +195,11 @@ class Matcher:
                 if s.both and not s.forward and s.edge.source_label == s.edge.target_label:
                     df = df.where(F.col(f"{s.rel.var}___src") != F.col(f"{s.rel.var}___dst"))  # a loop is met once
                 steps.append(s)
+        for var, label in b.also:
+            other = self.node("_also", label)
+            own = {c: f"{var}{c[5:]}" for c in other.columns if c.startswith("_also__") and not c.startswith("_also___")}
+            new = other.select("_also___id", *[F.col(c).alias(n) for c, n in own.items() if n not in df.columns])
+            df = df.join(new, F.col(f"{var}___id") == F.col("_also___id")).drop("_also___id")
         if self.trail:
             for i, a in enumerate(steps):
                 for c in steps[:i]:

@@ -56,6 +56,8 @@ _add("walks", "MATCH (a:Part)<-[r1:CONTAINS]-(o)-[r2:CONTAINS]->(b:Part) RETURN
 _add("two_matches", "MATCH (c:Customer)-[:CUSTOMER_IN]->(n:Nation) WHERE n.n_name STARTS WITH 'A' OR n.n_regionkey = 1 MATCH (c)-[:PLACED]->(o:Orders) RETURN n.n_nationkey AS n, count(o) AS k", "SELECT n_nationkey AS n, count(*) AS k FROM customer JOIN nation ON n_nationkey=c_nationkey JOIN orders ON o_custkey=c_custkey WHERE n_name LIKE 'A%' OR n_regionkey=1 GROUP BY 1")
 _add("gql_match", "MATCH (c@`Customer`)-[p@`PLACED`]->(o@`Orders`) WHERE o.o_totalprice > 400000 RETURN c.c_mktsegment AS seg, COUNT(*) AS k GROUP BY c.c_mktsegment NEXT FILTER WHERE k > 1 RETURN seg, k", "SELECT c_mktsegment AS seg, count(*) AS k FROM customer JOIN orders ON o_custkey=c_custkey WHERE o_totalprice>400000 GROUP BY 1 HAVING count(*)>1", dialect="gql")
 
+_add("several_labels", "MATCH (x:Customer:Supplier) RETURN x.c_custkey AS c, x.s_name AS s", "SELECT c_custkey AS c, s_name AS s FROM customer JOIN supplier ON c_custkey=s_suppkey")
+
 # Predicates
 _add("like_ci", "MATCH (p:Part) WHERE like(p.p_name, '%PART_1%') RETURN p.p_partkey AS p", "SELECT p_partkey AS p FROM part WHERE p_name ILIKE '%PART_1%'")
 _add("like_cs", "MATCH (p:Part) WHERE like(p.p_type, '%A%') RETURN p.p_partkey AS p", "SELECT p_partkey AS p FROM part WHERE p_type LIKE '%A%'", dialect="gql")

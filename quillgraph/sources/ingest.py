@@ -186,3 +186,32 @@ def row_ids(df: DataFrame, key: str | None = None) -> DataFrame:
     h = F.sha2(F.to_json(F.struct(*df.columns)), 256)
     n = F.row_number().over(Window.partitionBy("_h").orderBy(F.lit(1)))
     return df.withColumn("_h", h).withColumn("_id", F.concat("_h", F.lit("-"), n)).drop("_h")
+
+
+def edit_distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def aligned(name: str, names: list[str]) -> str:
+    """The name meant: as written, else without regard to case, else the nearest by edits."""
+    if name in names:
+        return name
+    low = [x for x in names if x.lower() == name.lower()]
+    return low[0] if low else min(names, key=lambda x: (edit_distance(name.lower(), x.lower()), x))
+
+
+def canonical_edges(edges: Iterable[tuple], synonyms: dict[str, str]) -> list[tuple]:
+    """Edge entries (label, source, target, ...) under their canonical labels, repeated ones once."""
+    return list(dict.fromkeys((synonyms.get(e[0], e[0]), *e[1:]) for e in edges))
+
+
+def read_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """Benchmark pairs of questions and queries; a missing dialect is cypher."""
+    schema = "nl_query string, gql_statement string, db_id string, gql_dialect string, source string, evidence string"
+    df = spark.read.schema(schema).option("multiLine", True).json(path)
+    return df.withColumn("gql_dialect", F.coalesce("gql_dialect", F.lit("cypher")))

@@ -148,3 +148,18 @@ def test_row_ids_are_unique(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "i long, s string")
     assert ingest.row_ids(df).select("_id").distinct().count() == 3
     assert numbered_labels(["a", "b", "a"]) == ["a_1", "b", "a_2"]
+
+
+def test_several_labels_meet_by_id(spark, graph):
+    staff = spark.createDataFrame([(2, "clerk"), (3, "cook"), (9, "none")], "id long, job string")
+    g = PropertyGraph(dict(graph.nodes), dict(graph.edges)).add(NodeTable("Staff", staff, "id"))
+    e = Engine(spark, g)
+    assert sorted(tuple(r) for r in e.query("MATCH (a:Person:Staff) RETURN a.id AS i, a.job AS j, a.age AS g").collect()) == [(2, "clerk", None), (3, "cook", 7)]
+    assert sorted(tuple(r) for r in e.query("MATCH (a@Person@Staff)-[:KNOWS]->(b) RETURN a.job AS j, b.id AS b", "gql").collect()) == [("clerk", 3), ("cook", 1)]
+
+
+def test_names_and_edges_are_aligned(spark, tmp_path):
+    assert [ingest.aligned(x, ["Customer", "orders"]) for x in ("orders", "CUSTOMER", "custmer")] == ["orders", "Customer", "Customer"]
+    assert ingest.canonical_edges([("buys", "a", "b"), ("purchases", "a", "b"), ("x", "a", "c")], {"purchases": "buys"}) == [("buys", "a", "b"), ("x", "a", "c")]
+    (tmp_path / "p.json").write_text('[{"nl_query": "q", "gql_statement": "MATCH (n) RETURN n", "db_id": "d"}]')
+    assert ingest.read_pairs(spark, f"file://{tmp_path}/p.json").first()["gql_dialect"] == "cypher"
