@@ -32,8 +32,8 @@ SEED = 20240
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
 BLOCK_DOCS, MAX_BLOCKS = 256, 65_536
-#: 2 ** DEPTH output shards.
-DEPTH = 6
+#: Words in an output shard, about; the tree is as deep as that asks, within these bounds.
+SHARD_WORDS, MIN_DEPTH, MAX_DEPTH = 2_000_000, 4, 20
 
 
 def n_words(text: Column) -> Column:
@@ -99,10 +99,12 @@ def _uniform(*parts: Column) -> Column:
     return (F.pmod(F.xxhash64(F.lit(SEED), *parts), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
 
-def split_quotas(quotas: DataFrame, depth: int = DEPTH) -> DataFrame:
+def split_quotas(quotas: DataFrame, depth: int) -> DataFrame:
     """The splitting tree. ``quotas``: one row with array<long> ``quota``; out: node (shard number), quota."""
     nodes = quotas.select(F.lit(1).cast("long").alias("node"), "quota")
-    for _ in range(depth):
+    for level in range(depth):
+        if level == 8:  # from here on the nodes of a deep tree are split by many tasks
+            nodes = nodes.repartition("node")
         total = F.aggregate("quota", F.lit(0).cast("long"), lambda a, x: a + x)
         start = F.struct(total.alias("rest"), F.floor(total / 2).cast("long").alias("drawn"), F.array().cast("array<long>").alias("out"))
 
@@ -139,13 +141,16 @@ def _same(a: DataFrame, b: DataFrame, *names: str):
     return on
 
 
-def plan(sizes: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+def plan(sizes: DataFrame, depth: int | None = None) -> tuple[DataFrame, DataFrame]:
     """From rows of doc_id, source, size: the sources' targets, and the items of every block.
 
     Items: source, block, and an array of (copy, shard, part) where part is null for a whole
     block and else the (order, doc_id) of the documents that are in.
     """
     src = stored(targets(sizes), "targets")
+    if depth is None:
+        words = src.agg(F.sum("source_size")).first()[0] or 0
+        depth = min(MAX_DEPTH, max(MIN_DEPTH, math.ceil(math.log2(max(1, words / SHARD_WORDS)))))
     s = src.select(F.col("source").alias("_source"), "n_docs", "target", "source_size")
     dealt = sizes.join(s, sizes["source"].eqNullSafe(s["_source"])).withColumn("block", _block(F.col("n_docs")))
     blocks = dealt.groupBy("source", "block").agg(F.sum("size").alias("words"), F.first("target").alias("target"), F.first("source_size").alias("source_size"))
@@ -166,12 +171,13 @@ def plan(sizes: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
     listed = listed.where(F.size("l") > 0)
     leaves = split_quotas(listed.select(F.col("l.q").alias("quota")), depth)
     names = listed.select(F.posexplode("l").alias("i", "x")).select("i", F.col("x.source").alias("source"))
-    per = leaves.select("shard", F.posexplode("quota").alias("i", "q"))
-    ends = per.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("shard", "q"))).alias("l"))
-    ends = ends.select("i", F.aggregate("l", F.array().cast("array<long>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + x["q"]))).alias("ends"))
-    ends = stored(names.join(ends, "i").select(F.col("source").alias("_source"), "ends"), "shards")
-    items = items.join(ends, items["source"].eqNullSafe(ends["_source"])).drop("_source")
-    items = items.withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("number"))).cast("long"))
+    per = leaves.select("shard", F.posexplode("quota").alias("i", "q")).where("q > 0")
+    # A shard takes the next items of each source: the window is over the shards of a source.
+    line = Window.partitionBy("i").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    per = per.withColumn("stop", F.sum("q").over(line))
+    per = per.select("i", "shard", F.explode(F.sequence(F.col("stop") - F.col("q"), F.col("stop") - 1)).alias("_number"))
+    dealt_to = stored(names.join(per, "i").select(F.col("source").alias("_source"), "_number", "shard"), "shards")
+    items = items.join(dealt_to, items["source"].eqNullSafe(dealt_to["_source"]) & (items["number"] == dealt_to["_number"])).drop("_source", "_number")
     # The boundary block of a source: its documents in permuted order, each in if it still fits.
     edge = stored(items.where("cut_at is not null").select("source", "block", "cut_at"), "edges")
     e = edge.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "cut_at")
@@ -204,7 +210,7 @@ def placed(rows: DataFrame, src: DataFrame, items: DataFrame) -> DataFrame:
     return out.withColumn("placements", places).select(*kept, "source_size", "target", "placements")
 
 
-def apply(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+def apply(docs: DataFrame, depth: int | None = None) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as taken, shard by shard, shuffled in each."""
     own = docs.columns
     sizes = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
