@@ -4,10 +4,12 @@ Everything is DataFrame functions. A source's target is its weighted share of al
 at most MAX_COPIES times its own words, the excess reshared by weight. Its documents are
 dealt to blocks by hash; the target is whole copies of all blocks, then blocks of one more
 copy in permuted order, then documents of one boundary block in permuted order, each in if
-it still fits (so a source stays below its target by less than any document left out). The number of block items of each source is its exact quota. A binary tree
-splits the quotas among output shards: at each node one half of the items goes left, its
-counts by source being one multivariate-hypergeometric draw (sequential hypergeometric
-inversion, seeded by the node). A shard takes its share of each source's permuted items,
+it still fits (so a source stays below its target by less than any document left out).
+
+The number of block items of each source is its exact quota. A binary tree splits the
+quotas among output shards: at each node one half of the items goes left, its counts by
+source being one multivariate-hypergeometric draw (sequential hypergeometric inversion,
+seeded by the node). A shard takes its share of each source's permuted items,
 disjoint from the others', and orders its documents by a seeded hash.
 
 All draws are hashes of SEED, so reruns agree. No window is over the documents of a

@@ -89,12 +89,13 @@ def test_hypergeometric_is_exact(spark):
         assert abs(got.get(x, 0) - n * p) <= 1.01
 
 
-def test_tree_splits_quotas_exactly(spark):
+@pytest.mark.parametrize("depth", [3, 9])
+def test_tree_splits_quotas_exactly(depth, spark):
     quota = [7, 0, 1000, 13]
-    rows = mixing.split_quotas(spark.createDataFrame([(quota,)], "quota array<long>"), 3).collect()
+    rows = mixing.split_quotas(spark.createDataFrame([(quota,)], "quota array<long>"), depth).collect()
     assert [sum(r.quota[i] for r in rows) for i in range(4)] == quota
     sizes = [sum(r.quota) for r in rows]
-    assert len(rows) == 8 and max(sizes) - min(sizes) <= 1 and min(min(r.quota) for r in rows) >= 0
+    assert sorted(r.shard for r in rows) == list(range(1 << depth)) and max(sizes) - min(sizes) <= 1 and min(min(r.quota) for r in rows) >= 0
 
 
 def brute_targets(sizes):
