@@ -3,9 +3,10 @@
 Each (language, source) has a sketch of every rule's statistic: counts of logarithmic
 bins whose width bounds the relative error of a quantile (ACCURACY). Sketches of parts
 add up exactly, so the aggregation is partial everywhere, no group's rows meet in a task,
-and reruns agree. Upper fences are q75 + SPREAD * (q75 - q25), never below the rule's
-floor; a group of fewer than LEAST rows takes the fences of the whole corpus. A text that
-the base rules pass is rejected where a statistic is above its group's fence.
+and reruns agree. Upper fences are q75 + SPREAD * (q75 - q25), and at least the rule's
+margin above q75, for statistics that hardly vary in a group; a group of fewer than LEAST
+rows takes the fences of the whole corpus. A text that the base rules pass is rejected
+where a statistic is above its group's fence.
 
 Defined results: null and empty texts have zero counts and fail the base rules; null
 languages and sources form groups of their own; repeated rows are each judged; extra
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import bounded_batches, read, stored
 from quillgraph.llm.textstats import COUNTS, stats
 
-#: Statistic -> least value at which it may reject.
-FLOORS = {"symbols_per_word": 0.25, "bangs_per_word": 0.5, "upper_share": 0.4, "chars_per_word": 12.0, "dup_line_share": 0.5, "top_word_share": 0.3}
+#: Statistic -> least distance of a fence from its group's upper quartile. Where all but a
+#: few texts have the same value the margin decides; one repeated line of three stays below it.
+FLOORS = {"symbols_per_word": 0.1, "bangs_per_word": 0.1, "upper_share": 0.01, "chars_per_word": 0.25, "dup_line_share": 0.34, "top_word_share": 0.01}
 ACCURACY = 0.01
 SPREAD = 3.0
 LEAST = 50
@@ -54,9 +56,10 @@ def fences(binned: DataFrame, keys: list[str]) -> DataFrame:
         )["bin"]
         return F.when(walk == -(10**6), F.lit(0.0)).otherwise(2 * F.pow(F.lit(_GAMMA), walk) / (_GAMMA + 1))
 
-    floor = F.create_map(*[x for c, v in FLOORS.items() for x in (F.lit(c), F.lit(v))])[F.col("rule")]
+    margin = F.create_map(*[x for c, v in FLOORS.items() for x in (F.lit(c), F.lit(v))])[F.col("rule")]
     q1, q3 = at(0.25), at(0.75)
-    per = per.withColumn("fence", F.greatest(floor, q3 + SPREAD * (q3 - q1)))
+    # A quantile's own error never puts a fence below the quantile.
+    per = per.withColumn("fence", q3 + F.greatest(SPREAD * (q3 - q1), margin, 2 * ACCURACY * q3))
     return per.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rule", "fence"))).alias("fences"), F.max("n_rows").alias("n_rows"))
 
 

@@ -54,6 +54,15 @@ def test_quality_rules(spark, sf, odd):
     assert quality_rules.apply(odd.limit(0)).count() == 0
 
 
+def test_fences_of_groups_decide(spark):
+    rng = random.Random(2)
+    text = lambda low, high: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(low, high))) for _ in range(80))
+    rows = [(i, text(3, 7), "short", "s") for i in range(60)] + [(100 + i, text(7, 11), "long", "s") for i in range(60)]
+    rows += [(200, text(7, 11), "short", "s"), (201, text(7, 11), "long", "s")]
+    kept = {r.doc_id for r in quality_rules.apply(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert 200 not in kept and 201 in kept and len(kept) > 110  # the same kind of text: usual in one group only
+
+
 def test_sketch_quantiles_have_bounded_error(spark):
     rng = random.Random(1)
     values = [rng.expovariate(1.0) for _ in range(4000)]
