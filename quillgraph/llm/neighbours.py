@@ -11,7 +11,7 @@ Buckets are met block by block: at most BLOCK rows of a bucket stand in a block
 query that probes the bucket visits all of its blocks, so a bucket of any size is searched
 whole and no pair becomes a row. A task keeps each query's best few. Equal vectors stand
 for each other: of each, the K + 1 smallest ids are indexed, and no more can be among the
-K nearest of a query.
+K nearest of a query. An id of several vectors takes one place.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take
 no part, nor do null ids; only vectors of equal length meet; rows of the query's own id
@@ -121,12 +121,13 @@ def _met(k: int):
             x = np.frombuffer(b"".join(vecs), np.float64).reshape(len(vecs), -1)
             norm = np.sqrt(np.einsum("ij,ij->i", x, x))
             own = np.array(ids)
+            # Rows of one id are one result: so many rows hold ``keep`` ids.
+            n = min(keep * int(np.unique(own, return_counts=True)[1].max()), len(ids))
             for at in range(0, len(asked), 256):
                 part = asked[at : at + 256]
                 q = np.frombuffer(b"".join(v for _, v in part), np.float64).reshape(len(part), -1)
                 near = (q @ x.T) / norm
                 near[np.array([i for i, _ in part])[:, None] == own[None, :]] = -np.inf
-                n = min(keep, len(ids))
                 some = np.argpartition(-near, n - 1, axis=1)[:, :n]
                 for r, (i, v) in enumerate(part):
                     c = some[r][np.isfinite(near[r, some[r]])]
@@ -164,7 +165,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and embedding (doubles) of the rows that take part, repeated rows once."""
     x = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     fine = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
-    return x.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(fine)
+    return x.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(fine).distinct()
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
@@ -173,7 +174,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     same = Window.partitionBy("embedding").orderBy("vec_id")
     index = usable(vectors).withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k + 1).select("vec_id", "embedding")
     rows = stored(index.mapInArrow(_placed(False), "key long, id long, vec binary"), "index")
-    asked = usable(queries).distinct().mapInArrow(_placed(True), "key long, id long, vec binary")
+    asked = usable(queries).mapInArrow(_placed(True), "key long, id long, vec binary")
     large = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "large")
     parts = F.coalesce("parts", F.lit(1))
     rows = rows.join(large, "key", "left").select("key", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.lit(0).alias("kind"), "id", "vec")

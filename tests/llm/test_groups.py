@@ -170,6 +170,17 @@ def test_neighbours_of_odd_rows(spark, monkeypatch):
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_neighbours_of_repeated_rows(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(10)] * 2 + [(0, [1.0, 0.0])] * 6
+    rows += [(20, [0.6, 0.8 + k / 1e6]) for k in range(30)] + [(20 + i, [0.6, 0.9]) for i in range(1, 4)] + [(90, [0.6, 0.8])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in neighbours.nearest(df, df.where("vec_id in (0, 9, 90)")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert got[0] == [1, 2, 3, 4, 5] and got[9] == [0, 1, 2, 3, 4]
+    assert got[90] == [20, 21, 22, 23, 0]
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
