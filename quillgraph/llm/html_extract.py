@@ -35,6 +35,8 @@ BLOCKS = frozenset(
 )
 FURNITURE = frozenset("nav header footer aside form button select dialog menu head title figcaption template".split())
 OPAQUE = frozenset("script style noscript template iframe object svg math canvas textarea".split())
+#: Of these, only elements of other vocabularies can be closed by their own tag.
+FOREIGN = frozenset("svg math".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 MAIN = frozenset("article main".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th tr option".split())
@@ -108,7 +110,7 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
                     if n == name:
                         break
             continue
-        if name in OPAQUE:
+        if name in OPAQUE and not (name in FOREIGN and m[4].endswith("/")):
             close = re.compile(rf"</{name}\s*[^>]*(?:>|$)", re.I).search(page, at)
             at = close.end() if close else end
             continue

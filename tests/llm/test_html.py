@@ -27,6 +27,11 @@ def test_main_text(page, text):
     assert main_text(page) == text
 
 
+def test_self_closed_icons_end_at_their_tag():
+    page = "<article><p>a<svg class='i'/>b<math/></p><p>c</p><svg><path/></svg><p>d<svg>x</svg></p><script src='x'/>y</script><p>e</p></article>"
+    assert main_text(page) == "ab\n\nc\n\nd\n\ne"
+
+
 def test_long_pages_take_linear_time():
     n = 200_000
     assert len(main_text("<article><p>" + "word " * n + "</p></article>")) == 5 * n - 1
