@@ -9,13 +9,15 @@ signatures agree enough (SLACK below the threshold); every one is confirmed on f
 
 Round one takes each row's next neighbour. Components of the confirmed links then stand
 for their members, and round two takes, at distances up to REACH, the neighbours in other
-components: a large group of copies is one component by then, so no round makes more than
-a bounded number of pairs a row. Sorting is by range over whole rotated signatures and the
-class id, which splits any group; neighbours across partition bounds are stitched.
+components. Sorting is by range over whole rotated signatures and the class id, which
+splits any group; neighbours across partition bounds are stitched.
 
-At similarity 0.85 a pair shares no DEPTH-prefix in any tree with probability 5e-8 (at 0.8:
-3e-6). Inside a crowd of loosely similar texts a link may also be missed where 2 * REACH
-closer neighbours of other components stand between in all trees; the README has figures.
+A row that shares its DEPTH-prefix with rows beyond REACH is crowded, and both ends of a
+link that the window cuts off are. Crowded rows meet once more by prefix filtering of their
+full sets (``crowds``), which misses no link: shingles are ordered from those within one
+component over rare to frequent ones, and linked sets of different components share one
+among the first few of each. So a link is missed only where a pair shares no DEPTH-prefix
+in any tree: at similarity 0.85 with probability 5e-8, at 0.8 3e-6.
 
 Defined results: documents without words (or null) have no shingle and are linked with
 nothing; with fewer words than a shingle the word sequence is the one shingle; repeated
@@ -45,6 +47,7 @@ SLACK = 0.2
 #: Word hashes a task remembers.
 MEMORY = 400_000
 ROWS = 20_000  # rows a sorted partition has at least, on average
+BLOCK = 4096  # rows of a shingle that a part of its block has, on average
 
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _RNG = np.random.default_rng(20_11)
@@ -112,9 +115,12 @@ def _forest(rows: DataFrame) -> DataFrame:
     return tree.withColumn("key", turned).drop("sig")
 
 
-def _neighbours(reach: int, least: float):
+def _neighbours(reach: int, least: float, mark: bool):
     """mapInArrow over sorted rows: pairs within ``reach`` of LCP >= DEPTH in different
-    components, and the first and last rows of the partition for the bounds (kind 1)."""
+    components, with ``mark`` crowded rows as pairs with themselves (both ends of an LCP >=
+    DEPTH beyond ``reach``), and the first and last rows of the partition for the bounds
+    (kind 1, 2)."""
+    far = reach + mark
 
     def pairs(rows: list[tuple], lo: int) -> list[tuple]:
         """Pairs whose later row is at ``lo`` or after."""
@@ -125,13 +131,16 @@ def _neighbours(reach: int, least: float):
         names: dict[bytes, int] = {}
         comp = np.array([names.setdefault(r[3], len(names)) for r in rows])
         out = []
-        for w in range(1, min(reach, len(rows) - 1) + 1):
+        for w in range(1, min(far, len(rows) - 1) + 1):
             j = np.arange(max(w, lo), len(rows))
             i = j - w
-            ok = (tree[i] == tree[j]) & (comp[i] != comp[j])
+            ok = tree[i] == tree[j] if w > reach else (tree[i] == tree[j]) & (comp[i] != comp[j])
             i, j = i[ok], j[ok]
             ok = (key[i, :DEPTH] == key[j, :DEPTH]).all(1)
             i, j = i[ok], j[ok]
+            if w > reach:
+                out += [(x, x) for x in {rows[k][2] for k in np.union1d(i, j).tolist()}]
+                continue
             ok = (key[i] == key[j]).mean(1) >= least
             for a, b in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
                 x, y = rows[a][2], rows[b][2]
@@ -150,12 +159,12 @@ def _neighbours(reach: int, least: float):
         tail: list[tuple] = []
         for b in batches:
             new = list(zip(*[b.column(c).to_pylist() for c in ("tree", "key", "cid", "comp")], strict=True))
-            head += new[: reach - len(head)] if len(head) < reach else []
+            head += new[: far - len(head)] if len(head) < far else []
             rows = tail + new
             found = pairs(rows, len(tail))
             if found:
                 yield batch([(0, None, None, None, x, y) for x, y in set(found)])
-            tail = rows[-reach:]
+            tail = rows[-far:]
         # Rows of the next partition meet the last rows of this one.
         yield batch([(1, at, *r) for r in head] + [(2, at + 1, *r) for r in tail])
 
@@ -167,9 +176,9 @@ def _neighbours(reach: int, least: float):
     return run, stitch
 
 
-def candidates(nodes: DataFrame, reach: int, least: float) -> DataFrame:
-    """Distinct candidate pairs a, b of ``nodes`` (cid, sig, comp)."""
-    run, stitch = _neighbours(reach, least)
+def candidates(nodes: DataFrame, reach: int, least: float, mark: bool = False) -> DataFrame:
+    """Distinct candidate pairs a, b of ``nodes`` (cid, sig, comp); with ``mark``, a = b is a crowded row."""
+    run, stitch = _neighbours(reach, least, mark)
     rows = _forest(nodes)
     parts = int(min(4 * partitions(nodes.sparkSession), max(1, nodes.count() * TREES // ROWS)))
     line = rows.repartitionByRange(parts, "tree", "key", "cid").sortWithinPartitions("tree", "key", "cid")
@@ -202,6 +211,42 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return pairs.join(b, "b").join(a, "a").select("a", "b", "za", "zb").mapInArrow(run, "a binary, b binary")
 
 
+def crowds(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Candidate pairs a, b of ``nodes`` (cid, comp) that hold every link between components.
+
+    Sets of n and m >= n shingles with a similarity of ``percent`` share at least
+    percent * (n + m) / (100 + percent). Counted in any one order of all shingles, their
+    first common one stands before so many places of either end, so the smaller set's first
+    shingles are met with somewhat more of the larger one's. Blocks of a frequent shingle
+    are dealt to parts, so no task holds one whole.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Hashes()
+        for b in batches:
+            for cid, comp, z in zip(b.column(0), b.column(1), b.column(2), strict=True):
+                s = shingles(zstandard.decompress(z.as_py()), size, seen).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.repeat(cid, len(s)), pa.repeat(comp, len(s)), pa.repeat(pa.scalar(len(s), pa.int64()), len(s)), pa.array(s)], ["cid", "comp", "n", "s"])
+
+    joined = nodes.select("cid", "comp").join(texts, "cid").select("cid", "comp", "z")
+    sets = stored(joined.mapInArrow(run, "cid binary, comp binary, n long, s long"), "sets")
+    # Shingles within one component link nothing; they come first in the order and are only counted.
+    met = sets.groupBy("s").agg(F.count(F.lit(1)).alias("f"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("s", "f")
+    line = Window.partitionBy("cid").orderBy("f", "s")
+    rows = sets.join(met, "s").withColumn("at", F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("cid")) + F.row_number().over(line) - 1)
+    # ``at`` counts from 0; whole numbers keep the bounds exact.
+    rows = stored(rows.where(100 * (F.col("n") - F.col("at")) >= percent * F.col("n")), "prefixes")
+    parts = F.ceil(F.col("f") / BLOCK).cast("int")
+    a = rows.where((100 + percent) * (F.col("n") - F.col("at")) >= 2 * percent * F.col("n")).withColumn("part", F.pmod(F.xxhash64("cid"), parts).cast("int"))
+    b = rows.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    a = a.select("s", "part", *[F.col(c).alias(f"{c}_a") for c in ("cid", "comp", "n", "at")])
+    b = b.select("s", "part", *[F.col(c).alias(f"{c}_b") for c in ("cid", "comp", "n", "at")])
+    larger = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("cid_a") < F.col("cid_b")))
+    room = (100 + percent) * F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= percent * (F.col("n_a") + F.col("n_b"))
+    found = a.join(b, ["s", "part"]).where((F.col("comp_a") != F.col("comp_b")) & larger & (100 * F.col("n_a") >= percent * F.col("n_b")) & room)
+    return found.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
+
+
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow: cid and packed text."""
     for b in batches:
@@ -231,8 +276,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     links = stored(confirmed(candidates(nodes.select("cid", "sig", F.col("cid").alias("comp")), 1, agree), texts, size, percent), "links")
     comp = components(links)
     named = nodes.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "sig", F.coalesce("root", "cid").alias("comp"))
-    more = stored(confirmed(candidates(stored(named, "named"), REACH, agree), texts, size, percent), "links")
-    comp = components(links.unionByName(more))
+    found = stored(candidates(stored(named, "named"), REACH, agree, True), "candidates")
+    links = links.unionByName(stored(confirmed(found.where("a <> b"), texts, size, percent), "links"))
+    comp = components(links)
+    crowded = stored(found.where("a = b").select(F.col("a").alias("cid")).join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("root", "cid").alias("comp")), "crowded")
+    if not crowded.isEmpty():
+        more = stored(confirmed(crowds(crowded, texts, size, percent), texts, size, percent), "links")
+        if not more.isEmpty():
+            comp = components(links.unionByName(more))
     # Every class's component, and the first row of each.
     root = stored(classes.select("cid", "first").join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "first", F.coalesce("root", "cid").alias("root")), "roots")
     firsts = root.groupBy("root").agg(F.min("first").alias("first"))

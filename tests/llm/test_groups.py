@@ -73,6 +73,21 @@ def test_near_duplicates(spark, sf):
     assert near_dedup.apply(df.withColumn("_rid", F.lit(1))).columns == ["doc_id", "text", "_rid"]
 
 
+def test_links_inside_a_crowd(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "REACH", 2)
+    common = [f"c{k}" for k in range(170)]
+    docs = []
+    for k in range(200):  # all are about 0.82 alike, every fifth and the one after it more
+        own = [f"p{k // 5}x{j}" if k % 5 < 2 and j < 8 else f"o{k}x{j}" for j in range(19 + k % 3)]
+        docs.append((k, " ".join(common + own)))
+    docs += [(1000 + k, " ".join(common[:80] + ["same", f"z{k}"])) for k in range(60)]  # copies that fill windows
+    sets, want = brute_groups(docs, 1, 85)
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)  # blocks of several parts
+    got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 1, 85).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert len(set(want.values())) == 161
+
+
 def test_near_duplicates_of_odd_rows(spark):
     df = spark.createDataFrame([(1, None), (None, "a b"), (3, ""), (3, "a b"), (3, "a b"), (4, "A b"), (5, "x")], "doc_id long, text string")
     kept = near_dedup.apply(df).collect()
