@@ -141,24 +141,19 @@ def main_text(page: str | None) -> str:
     size = [n if main or not marked else 0 for _, n, main in found]
     sums = [sum(size[i : i + WINDOW]) for i in range(len(size))]
     surge = SURGE_MARKED if marked else SURGE_PLAIN
-    regions: list[tuple[int, int, int]] = []
+    regions: list[tuple[int, int]] = []
     i = 0
     while i < len(size):
         if size[i] and sums[i] >= surge:
             j = i
             while j < len(size) and sums[j]:
                 j += 1
-            regions.append((sum(size[i:j]), i, j))
+            regions.append((i, j))
             i = j
         i += 1
     if not regions and any(size):  # a short page that never surges: all it has is its text
-        regions = [(sum(size), 0, len(size))]
-    if not regions:
-        return ""
-    # Regions as dense as a tenth of the largest belong to the article; smaller ones are stray lines.
-    most = max(regions)[0]
-    keep = [r for r in regions if marked or 10 * r[0] >= most]
-    return "\n\n".join(found[k][0] for _, i, j in keep for k in range(i, j) if size[k])
+        regions = [(0, len(size))]
+    return "\n\n".join(found[k][0] for i, j in regions for k in range(i, j) if size[k])
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

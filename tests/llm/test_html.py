@@ -32,6 +32,12 @@ def test_self_closed_icons_end_at_their_tag():
     assert main_text(page) == "ab\n\nc\n\nd\n\ne"
 
 
+def test_tail_after_an_interruption_is_kept():
+    links = "".join(f"<li><a href='/{k}'>link {k}</a></li>" for k in range(4))
+    page = f"<div><p>{LONG * 100}</p><ul>{links}</ul><p>{LONG}</p></div>"
+    assert main_text(page) == f"{(LONG * 100).strip()}\n\n{LONG.strip()}"
+
+
 def test_long_pages_take_linear_time():
     n = 200_000
     assert len(main_text("<article><p>" + "word " * n + "</p></article>")) == 5 * n - 1
