@@ -11,6 +11,8 @@ from quillgraph.operators.relational import cardinality_violations, constraint_v
 
 #: Candidates kept for a node by similarity, and the probability of the geometric draw.
 CANDIDATES, P = 10, 0.5
+#: Blocks that targets are dealt to when compared.
+BLOCKS = 16
 
 
 def uniform(seed: int, *parts) -> Column:
@@ -66,18 +68,16 @@ def similar_edges(source: DataFrame, target: DataFrame, r: RelationshipType, sch
     """Edges by likeness of the numbers both ends have: of each source's most similar
     targets, the i-th is taken with probability (1 - P)^i * P, within the caps.
 
-    Targets are compared in buckets of their first number, near ones only.
+    Every source meets every target, dealt to blocks; each block keeps its best before
+    blocks are merged. Without a shared number all are 0.5 alike.
     """
     shared = [(p, q) for p in schema.node(r.source).properties for q in schema.node(r.target).properties if p.name == q.name and p.type in ("int", "float") and q.type == p.type]
-    if not shared:
-        return None
-    p = shared[0][0]
-    width = max(1e-9, ((p.max_value or 1000.0) - (p.min_value or 0.0)) / 20)
-    a = source.select(F.col("_id").alias("_src"), *[F.col(x.name).alias(f"a_{x.name}") for x, _ in shared]).withColumn("_b", F.explode(F.sequence(F.floor(F.col(f"a_{p.name}") / width) - 1, F.floor(F.col(f"a_{p.name}") / width) + 1)))
-    b = target.select(F.col("_id").alias("_dst"), *[F.col(x.name).alias(f"b_{x.name}") for _, x in shared]).withColumn("_b", F.floor(F.col(f"b_{p.name}") / width))
+    a = source.select(F.col("_id").alias("_src"), *[F.col(x.name).alias(f"a_{x.name}") for x, _ in shared]).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    b = target.select(F.col("_id").alias("_dst"), *[F.col(x.name).alias(f"b_{x.name}") for _, x in shared]).withColumn("_b", F.pmod(F.xxhash64("_dst"), F.lit(BLOCKS)).cast("int"))
     score = numeric_similarity([(F.col(f"a_{x.name}"), F.col(f"b_{x.name}"), (x.max_value or 1000.0) - (x.min_value or 0.0)) for x, _ in shared])
     pairs = a.join(b, "_b").where("_src <> _dst").withColumn("score", score)
-    near = top_k(pairs, ["_src"], [F.desc("score"), F.asc("_dst")], CANDIDATES)
+    best = top_k(pairs, ["_src", "_b"], [F.desc("score"), F.asc("_dst")], CANDIDATES).drop("rank")
+    near = top_k(best, ["_src"], [F.desc("score"), F.asc("_dst")], CANDIDATES)
     chance = F.pow(F.lit(1 - P), F.col("rank") - 1) * P
     return capped(near.where(uniform(seed, r.name, F.col("_src"), F.col("_dst")) < chance).select("_src", "_dst"), r, seed)
 
@@ -92,7 +92,7 @@ def generate(spark: SparkSession, schema: GraphSchema, n_nodes: int = 200, n_edg
     for r in schema.relationships:
         found = similar_edges(frames[r.source], frames[r.target], r, schema, seed)
         more = random_edges(spark, r, each, each, n_edges, seed)
-        edges = more if found is None else capped(found.unionByName(more).distinct(), r, seed)
+        edges = capped(found.unionByName(more).distinct(), r, seed)
         planted = [c for c in schema.cycles if r.name in c.path]
         for c in planted:
             hops = len(c.path) // 2

@@ -1,8 +1,13 @@
+from types import SimpleNamespace
+
 import pytest
+from pyspark.sql import functions as F
 
+from quillgraph.catalog import Property, RelationshipType
 from quillgraph.evaluation import validate
 from quillgraph.plans.engine import Engine
 from quillgraph.streaming.events import deduplicated, read_events, run_once, windowed_counts
+from quillgraph.synth import data
 from quillgraph.synth.data import cycle_text, generate, path_problems, violations
 from quillgraph.synth.schemas import SCHEMAS
 from quillgraph.synth.templates import Templates
@@ -21,6 +26,17 @@ def test_data_keeps_the_schema_and_holds_cycles(name, spark):
         assert n.df.exceptAll(again.nodes[t].df).isEmpty()
 
 
+def test_every_target_is_compared(spark, monkeypatch):
+    monkeypatch.setattr(data, "uniform", lambda *_: F.lit(0.0))  # every candidate is taken
+    number = lambda n: Property(n, "float", min_value=0.0, max_value=100.0)
+    r = RelationshipType("r", "A", "B")
+    a = spark.createDataFrame([("a", 0.0, 5.0)], "_id string, x float, y float")
+    b = spark.createDataFrame([("far", 40.0, 5.0)] + [(f"b{k:02}", 1.0, 95.0) for k in range(20)], "_id string, x float, y float")
+    for props, want in (([number("x"), number("y")], {"far"} | {f"b{k:02}" for k in range(9)}), ([], {f"b{k:02}" for k in range(10)})):
+        schema = SimpleNamespace(node=lambda _, props=props: SimpleNamespace(properties=props))
+        assert {e._dst for e in data.similar_edges(a, b, r, schema, 1).collect()} == want
+
+
 def test_templates_run(spark):
     e = Engine(spark, generate(spark, SCHEMAS["social"], 30, 30, seed=1))
     results = [validate(e, t.text()) for t in Templates(SCHEMAS["social"], 2).generate(14)]
