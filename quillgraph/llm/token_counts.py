@@ -110,6 +110,18 @@ def scan(spark, files: str, eod: int = EOD, block: int = BLOCK) -> DataFrame:
     )
 
 
+def placed(docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """doc_id and n_tokens by partition and place in it; stops where ``docs`` is not read as it was written."""
+    # The same scan of the table gives rows the same partition and place as when they were written.
+    at = F.monotonically_increasing_id()
+    rows = docs.select("doc_id", F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("ordinal"), F.lit(True).alias("_row"))
+    # Places are dense on both sides, so partitions of other sizes leave a row or a count alone.
+    both = rows.join(counts.select("part", "ordinal", "n_tokens"), ["part", "ordinal"], "full")
+    alone = F.col("_row").isNull() | F.col("n_tokens").isNull()
+    stop = F.raise_error(F.lit("the table was read in other partitions than its tokens were written in")).cast("long")
+    return both.select("doc_id", F.when(alone, stop).otherwise(F.col("n_tokens")).alias("n_tokens"))
+
+
 def op5_token_counts(spark, sf_dir):
     import public_tokenizers
 
@@ -117,7 +129,4 @@ def op5_token_counts(spark, sf_dir):
     to = scratch(spark, "tokens")
     write(docs, to, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     counts = scan(spark, to).where("ended").withColumn("part", F.regexp_extract("file", r"part-(\d+)-", 1).cast("long"))
-    # The same scan of the table gives rows the same partition and place as when they were written.
-    at = F.monotonically_increasing_id()
-    rows = docs.select("doc_id", F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("ordinal"))
-    return rows.join(counts, ["part", "ordinal"]).select("doc_id", "n_tokens")
+    return placed(docs, counts)

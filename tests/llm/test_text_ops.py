@@ -173,6 +173,14 @@ def test_scan_is_the_same_for_every_block_size(spark, tmp_path):
         assert sorted((r.file[-5:], r.ordinal, r.n_tokens, r.ended) for r in got.collect()) == want
 
 
+def test_other_partitions_are_noticed(spark):
+    docs = spark.range(0, 10, 1, 2).withColumnRenamed("id", "doc_id")
+    counts = spark.createDataFrame([(p, k, 10 * p + k) for p in range(2) for k in range(5)], "part long, ordinal long, n_tokens long")
+    assert sorted(map(tuple, token_counts.placed(docs, counts).collect())) == [(5 * p + k, 10 * p + k) for p in range(2) for k in range(5)]
+    with pytest.raises(Exception, match="other partitions"):
+        token_counts.placed(spark.range(0, 10, 1, 3).withColumnRenamed("id", "doc_id"), counts).collect()
+
+
 def test_written_tokens_are_counted(spark, sf):
     import public_tokenizers
 
