@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import uuid
 import zlib
+from collections.abc import Callable, Iterator
+from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space of every word rule here: space and code points 9 to 13.
@@ -20,10 +25,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder of the session.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a folder below /tmp is used. What is written there goes when the JVM ends.
+    The folder is ``spark.checkpoint.dir``; only where that is unset in local mode (tests
+    on one machine) a folder below /tmp is used, and on a cluster it has to be set. What is
+    written there goes when the JVM ends.
     """
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/quillgraph-scratch"
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = "file:///tmp/quillgraph-scratch"
     path = f"{top.rstrip('/')}/quillgraph-{tag}-{uuid.uuid4().hex}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
@@ -33,19 +44,53 @@ def scratch(spark: SparkSession, tag: str) -> str:
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends in durable files."""
     path = scratch(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    # A writer keeps a row group in memory; texts make it large.
+    df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of at most ``rows`` rows from now on in this session.
+def bounded_batches(spark: SparkSession, rows: int = 500, size: int = 4 << 20) -> None:
+    """Arrow batches of at most ``rows`` rows and about ``size`` bytes from now on in this session.
 
     Texts are long: at Spark's 10,000 rows a batch, buffers of both sides and what Python
-    makes of them take hundreds of MB a task. A smaller setting stays.
+    makes of them take hundreds of MB a task. Smaller settings stay. The setting has to
+    outlive this call, as frames are planned when their caller runs them.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = int(re.match(r"-?\d+", spark.conf.get(key))[0])
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
+def trim() -> None:
+    """Give freed memory back to the system.
+
+    Python workers live on between tasks, and what their allocators hold back counts for
+    every worker of an executor.
+    """
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library has its own ways
+        pass
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, a worker's function from batches to batches, with a trim at the end of its task."""
+
+    @wraps(run)
+    def trimmed(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return trimmed
+
+
+def whole(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, so that no name of an operator's own meets them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def partitions(spark: SparkSession) -> int:
