@@ -1,31 +1,41 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines (block elements), each line has a length (zero for
-navigation, adverts, forms, scripts and other furniture, and for lines that are mostly
-links), lengths are summed over a sliding window of lines, and the text between a surge
-of those sums and the dive that follows is kept.
+Markup is stripped into lines (block elements) and gives each line a length: none for
+navigation, adverts, forms, scripts and other furniture, nor, where a page has an article
+element with text, for what stands outside it; a line that is mostly links counts for its
+other text inside an article and for nothing elsewhere; a heading of an article counts
+HEADING more, as it announces what follows. Lengths are summed over sliding windows of
+WINDOW lines. Text begins at a surge, where a window reaches SURGE, and ends at the dive
+that follows, where a window is empty; the lines between that are no furniture are kept.
+A page whose windows never surge is short, and keeps every line with a length.
+
+So scraps that stand alone among furniture (less than SURGE characters, WINDOW or more
+empty lines away from other text) are left out, on any page.
 
 Defined results: a null or empty page has the empty text and length 0; repeated rows are
 each extracted; unclosed tags, comments and cut-off pages end at the end of the page;
-extra columns pass through unless they are named ``text`` or ``n_chars``.
+extra columns pass through unless they are named ``text`` or ``n_chars``, or as the html
+is, which goes.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import bounded_batches, read
+from quillgraph.llm.common import bounded_batches, lean, read
 
 #: Lines in a window.
 WINDOW = 3
-#: Window sum that starts a region, on a page with and without an article element.
-SURGE_MARKED, SURGE_PLAIN = 1, 86
+#: Window sum that starts a region, and what a heading inside an article adds to its line.
+SURGE = HEADING = 86
 
 # Element names by their role in HTML.
 BLOCKS = frozenset(
@@ -33,12 +43,13 @@ BLOCKS = frozenset(
     "figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup "
     "option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
-FURNITURE = frozenset("nav header footer aside form button select dialog menu head title figcaption template".split())
+FURNITURE = frozenset("nav header footer aside form button select dialog menu head title template".split())
 OPAQUE = frozenset("script style noscript template iframe object svg math canvas textarea".split())
 #: Of these, only elements of other vocabularies can be closed by their own tag.
 FOREIGN = frozenset("svg math".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 MAIN = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th tr option".split())
 #: A class, id or role with one of these words marks furniture.
 MARKS = re.compile(
@@ -58,16 +69,25 @@ TOKEN = re.compile(
 LOOSE = re.compile(r"()<(/?)([A-Za-z][^\s/>]*)([^>]*)(>|$)(?:(?!)())?", re.S)
 
 
-def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """Lines of a page as (text, length, in article), and whether it has an article element.
+@dataclass(frozen=True, slots=True)
+class Line:
+    """A line of text, how many of its characters are links, and where it stands."""
 
-    A line's length is 0 inside furniture and where links make up over half of it.
-    """
-    out: list[tuple[str, int, bool]] = []
+    text: str
+    linked: int
+    furniture: bool
+    inside: bool  # of an article
+    heading: bool
+
+
+def lines(page: str) -> list[Line]:
+    """The lines of a page that hold text, in order."""
+    out: list[Line] = []
     stack: list[tuple[str, bool]] = []  # open elements other than paragraphs: name, is furniture
+    open_: Counter[str] = Counter()  # their names
     parts: list[str] = []
     linked = bad = inside = anchors = 0
-    marked = False
+    heading = False
 
     def flush() -> None:
         nonlocal linked
@@ -75,7 +95,7 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             text = " ".join(entities.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append((text, 0 if bad or 2 * linked > len(text) else len(text), inside > 0))
+                out.append(Line(text, linked, bad > 0, inside > 0, heading))
         linked = 0
 
     at, end = 0, len(page)
@@ -87,7 +107,7 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         if m[6] is not None:
             parts.append(m[6])
             if anchors:
-                linked += len(m[6].strip())
+                linked += len(entities.unescape(m[6]).strip())
             continue
         if not m[3]:
             continue
@@ -101,10 +121,11 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         if m[2]:
             if name in BLOCKS:
                 flush()
-                anchors = 0
-            if name not in PARAGRAPHS and any(n == name for n, _ in stack):
+                anchors, heading = 0, False
+            if name not in PARAGRAPHS and open_[name]:
                 while stack:
                     n, furniture = stack.pop()
+                    open_[n] -= 1
                     bad -= furniture
                     inside -= n in MAIN
                     if n == name:
@@ -116,7 +137,7 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             continue
         if name in BLOCKS:
             flush()
-            anchors = 0
+            anchors, heading = 0, name in HEADINGS
         if name in VOID or name in PARAGRAPHS or m[4].endswith("/"):
             continue
         own = " ".join(x.strip("\"'") for x in MARKED.findall(m[4])) if m[4] else ""
@@ -125,35 +146,51 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         if furniture and name not in BLOCKS:
             flush()
         stack.append((name, furniture))
+        open_[name] += 1
         bad += furniture
-        if name in MAIN:
-            inside += 1
-            marked = True
+        inside += name in MAIN
     flush()
-    return out, marked
-
-
-def main_text(page: str | None) -> str:
-    """Text between surge and dive points of ``page``, lines joined by a blank line."""
-    if not page:
-        return ""
-    found, marked = lines(page)
-    size = [n if main or not marked else 0 for _, n, main in found]
-    sums = [sum(size[i : i + WINDOW]) for i in range(len(size))]
-    surge = SURGE_MARKED if marked else SURGE_PLAIN
-    regions: list[tuple[int, int]] = []
+    return out
+
+
+def lengths(found: list[Line]) -> list[int]:
+    """What each line counts in the distribution, and -1 for lines that never are text."""
+    marked = any(x.inside and not x.furniture for x in found)
+    out = []
+    for x in found:
+        if x.furniture or (marked and not x.inside):
+            out.append(-1)
+        elif 2 * x.linked <= len(x.text):
+            out.append(len(x.text) + (HEADING if x.heading and marked else 0))
+        else:
+            out.append(max(0, len(x.text) - x.linked) if marked else -1)
+    return out
+
+
+def regions(size: list[int]) -> list[tuple[int, int]]:
+    """From each surge of the window sums to the dive after it: first line, and the one after the last."""
+    sums = [sum(max(0, x) for x in size[i : i + WINDOW]) for i in range(len(size))]
+    out: list[tuple[int, int]] = []
     i = 0
     while i < len(size):
-        if size[i] and sums[i] >= surge:
+        if size[i] > 0 and sums[i] >= SURGE:
             j = i
             while j < len(size) and sums[j]:
                 j += 1
-            regions.append((i, j))
+            out.append((i, j))
             i = j
         i += 1
-    if not regions and any(size):  # a short page that never surges: all it has is its text
-        regions = [(0, len(size))]
-    return "\n\n".join(found[k][0] for i, j in regions for k in range(i, j) if size[k])
+    # A short page that never surges: all it has is its text.
+    return out or [(0, len(size))]
+
+
+def main_text(page: str | None) -> str:
+    """Text between surge and dive points of ``page``, lines joined by a blank line."""
+    if not page:
+        return ""
+    found = lines(page)
+    size = lengths(found)
+    return "\n\n".join(found[k].text for i, j in regions(size) for k in range(i, j) if size[k] >= 0)
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -161,12 +198,11 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
 
     bounded_batches(pages.sparkSession)
 
-    @F.pandas_udf("string")
     def text_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield s.map(lambda x: main_text(x if isinstance(x, str) else None))
 
-    out = pages.withColumn("text", text_of(F.col(html)))
+    out = pages.withColumn("text", F.pandas_udf(lean(text_of), "string")(F.col(html)))
     return out.withColumn("n_chars", F.length("text").cast("long")).drop(html)
 
 

@@ -1,6 +1,11 @@
+import random
+import re
+from html.parser import HTMLParser
+
 import pytest
 
-from quillgraph.llm.html_extract import extract, main_text
+from quillgraph.llm.common import read
+from quillgraph.llm.html_extract import extract, main_text, op1_html_extract
 
 LONG = "This paragraph says quite a lot of things about nothing at all, and goes on for more than one hundred characters. "
 
@@ -49,3 +54,119 @@ def test_rows(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>é</p></article>", 7), (1, "u", "<article><p>é</p></article>", 7), (2, None, None, None)], "page_id long, url string, html string, extra int")
     assert sorted((r.page_id, r.text, r.n_chars) for r in extract(df).collect()) == [(1, "é", 1), (1, "é", 1), (2, "", 0)]
     assert extract(df.limit(0)).count() == 0
+
+
+class Plain(HTMLParser):
+    """Lines of a well-formed page by the standard parser: (text, linked, furniture, inside, heading)."""
+
+    BLOCK = set("html head title body nav ul li div article h1 h2 p footer aside figcaption section".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.parts, self.out = [], [], []
+
+    def line(self):
+        text = re.sub(r"\s+", " ", "".join(t for t, _ in self.parts)).strip()
+        if text:
+            names = [n for n, _ in self.stack]
+            bad = any(n in ("nav", "footer", "aside", "head", "title") or c == "ad" for n, c in self.stack)
+            self.out.append((text, sum(len(t.strip()) for t, link in self.parts if link), bad, "article" in names, names[-1:] in (["h1"], ["h2"])))
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BLOCK:
+            self.line()
+        if tag == "br":
+            self.parts.append((" ", False))
+        elif tag != "meta":
+            self.stack.append((tag, dict(attrs).get("class")))
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCK:
+            self.line()
+        if any(n == tag for n, _ in self.stack):
+            while self.stack.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if not any(n in ("script", "style") for n, _ in self.stack):
+            self.parts.append((data, any(n == "a" for n, _ in self.stack)))
+
+    def close(self):
+        super().close()
+        self.line()
+
+
+def slow(page):
+    """The text by the method, and the text of the article's elements alone, both the long way."""
+    p = Plain()
+    p.feed(page)
+    p.close()
+    found = p.out
+    marked = any(inside and not bad for _, _, bad, inside, _ in found)
+    size = []
+    for text, linked, bad, inside, heading in found:
+        n = -1 if bad or (marked and not inside) else len(text) + 86 * (heading and marked) if 2 * linked <= len(text) else max(0, len(text) - linked) if marked else -1
+        size.append(n)
+    window = [sum(n for n in size[i : i + 3] if n > 0) for i in range(len(size))]
+    on, keep = False, []
+    for i, n in enumerate(size):
+        on = window[i] > 0 if on else n > 0 and window[i] >= 86
+        keep.append(on)
+    if not any(keep):
+        keep = [True] * len(size)
+    text = lambda ok: "\n\n".join(x[0] for x, y in zip(found, ok, strict=True) if y)
+    return text([k and n >= 0 for k, n in zip(keep, size, strict=True)]), text([not x[2] and (x[3] or not marked) for x in found])
+
+
+def random_page(rng):
+    words = "some words of a page that go on, and then &amp; stop é".split()
+    some = lambda k: " ".join(rng.choice(words) for _ in range(k))
+    link = lambda: f"<a href='/{rng.randint(0, 9)}'>{some(rng.randint(1, 4))}</a>"
+
+    def block():
+        kind = rng.randrange(9)
+        if kind < 3:
+            return f"<p>{some(rng.choice((1, 3, 30)))}<b>{some(2)}</b><br>{some(2)}</p>"
+        if kind == 3:
+            return f"<p>{some(2)} {link()}</p>"
+        if kind == 4:
+            return "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(rng.randint(1, 5))) + "</ul>"
+        if kind == 5:
+            return f'<div class="ad">{some(8)}</div>' * rng.randint(1, 4)
+        if kind == 6:
+            return f"<div>{''.join(block() for _ in range(rng.randint(0, 2)))}</div>"
+        if kind == 7:
+            return f"<h2>{some(2)}</h2>"
+        return f"<aside>{some(20)}</aside><script>var x = '<p>';</script>"
+
+    body = "".join(block() for _ in range(rng.randint(0, 9)))
+    if rng.random() < 0.6:
+        body = f"<article><h1>{some(3)}</h1>{body}</article>{block()}"
+    return f"<html><head><title>{some(3)}</title></head><body><nav><ul><li>{link()}</li></ul></nav>{body}<footer>{some(9)}</footer></body></html>"
+
+
+def test_windows_decide_as_in_a_slow_version():
+    rng = random.Random(11)
+    differ = {True: 0, False: 0}
+    for _ in range(600):
+        page = random_page(rng)
+        want, elements = slow(page)
+        assert main_text(page) == want, page
+        differ["<article>" in page] += want != elements
+    assert min(differ.values()) > 30  # surge and dive decide, with an article element and without
+
+
+def test_query_on_all_pages(spark, sf):
+    got = {r.page_id: r for r in op1_html_extract(spark, sf).collect()}
+    pages = read(spark, sf, "pages").collect()
+    assert len(got) == len(pages)
+    for r in pages:
+        x = got[r.page_id]
+        assert x.n_chars == len(x.text) and x.url == r.url and x.text == slow(r.html)[0] == slow(r.html)[1]
+
+
+def test_nested_and_unopened_elements_take_linear_time():
+    n = 30_000
+    assert main_text("<div>" * n + "</section>" * n + "x" + "</div>" * n) == "x"
+    assert main_text("<article><p>one</p>" + "</aside>" * n + "<figure><figcaption>two</figcaption></figure></article>") == "one\n\ntwo"
