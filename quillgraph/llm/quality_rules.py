@@ -3,29 +3,34 @@
 Each (language, source) has a sketch of every rule's statistic: counts of logarithmic
 bins whose width bounds the relative error of a quantile (ACCURACY). Sketches of parts
 add up exactly, so the aggregation is partial everywhere, no group's rows meet in a task,
-and reruns agree. Upper fences are q75 + SPREAD * (q75 - q25), and at least the rule's
-margin above q75, for statistics that hardly vary in a group; a group of fewer than LEAST
-rows takes the fences of the whole corpus. A text that the base rules pass is rejected
-where a statistic is above its group's fence.
+and reruns agree; copies of a text count once. Fences stand SPREAD times the quartiles' distance above the upper and,
+for statistics that may be too small as well (RULES), below the lower quartile. Where a
+group hardly varies, as one full of copies does, the distance is at least SHARE of its
+language's, and never less than the rule's resolution. A group of fewer than LEAST rows
+takes the fences of its language, a language as small those of the corpus. A text that the base rules pass is rejected where a
+statistic is beyond its group's fences.
 
 Defined results: null and empty texts have zero counts and fail the base rules; null
-languages and sources form groups of their own; repeated rows are each judged; extra
-columns pass through ``apply``.
+languages and sources form groups of their own; repeated rows are each judged; an empty
+table gives an empty result; ``apply`` returns all columns of its input unchanged,
+whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import bounded_batches, read, stored
+from quillgraph.llm.common import bounded_batches, read, stored, whole
 from quillgraph.llm.textstats import COUNTS, stats
 
-#: Statistic -> least distance of a fence from its group's upper quartile. Where all but a
-#: few texts have the same value the margin decides; one repeated line of three stays below it.
-FLOORS = {"symbols_per_word": 0.1, "bangs_per_word": 0.1, "upper_share": 0.01, "chars_per_word": 0.25, "dup_line_share": 0.34, "top_word_share": 0.01}
+#: Statistic -> its resolution (a smaller distance is no difference), and whether it has a lower fence too.
+RULES = {
+    "marks_per_word": (0.1, False), "upper_share": (0.02, False), "chars_per_word": (0.8, True),
+    "top_word_share": (0.05, False), "distinct_share": (0.1, True), "ends_per_word": (0.05, True),
+}
 ACCURACY = 0.01
-SPREAD = 3.0
+SPREAD, SHARE = 5.0, 0.5
 LEAST = 50
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 _GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
@@ -34,13 +39,13 @@ _LEAST_VALUE = 1e-6
 
 def sketches(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Bin counts of every rule's statistic by group: the keys, rule, bin, n. Add n to merge."""
-    melted = rows.select(*keys, F.explode(F.create_map(*[x for c in FLOORS for x in (F.lit(c), F.col(c))])).alias("rule", "value"))
+    melted = rows.select(*keys, F.explode(F.create_map(*[x for c in RULES for x in (F.lit(c), F.col(c))])).alias("rule", "value"))
     index = F.when(F.col("value") <= _LEAST_VALUE, F.lit(-(10**6))).otherwise(F.ceil(F.log(F.col("value")) / F.log(F.lit(_GAMMA)))).cast("int")
     return melted.groupBy(*keys, "rule", index.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def fences(binned: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group a map from rule to fence, and the group's rows as ``n_rows``."""
+def quartiles(binned: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group and rule: lower and upper quartile (q1, q3), and the group's rows as ``n_rows``."""
     # A group has at most a few thousand bins a rule, whatever its rows.
     one = F.sort_array(F.collect_list(F.struct("bin", "n")))
     per = binned.groupBy(*keys, "rule").agg(one.alias("bins"), F.sum("n").alias("n_rows"))
@@ -56,52 +61,81 @@ def fences(binned: DataFrame, keys: list[str]) -> DataFrame:
         )["bin"]
         return F.when(walk == -(10**6), F.lit(0.0)).otherwise(2 * F.pow(F.lit(_GAMMA), walk) / (_GAMMA + 1))
 
-    margin = F.create_map(*[x for c, v in FLOORS.items() for x in (F.lit(c), F.lit(v))])[F.col("rule")]
-    q1, q3 = at(0.25), at(0.75)
-    # A quantile's own error never puts a fence below the quantile.
-    per = per.withColumn("fence", q3 + F.greatest(SPREAD * (q3 - q1), margin, 2 * ACCURACY * q3))
-    return per.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rule", "fence"))).alias("fences"), F.max("n_rows").alias("n_rows"))
+    return per.select(*keys, "rule", "n_rows", at(0.25).alias("q1"), at(0.75).alias("q3"))
+
+
+def fences(binned: DataFrame) -> DataFrame:
+    """Per (lang, source) and rule of the sketches: low, high, n_rows, and whether the group's own spread set them."""
+    resolution = F.create_map(*[x for c, (v, _) in RULES.items() for x in (F.lit(c), F.lit(v))])[F.col("rule")]
+
+    def level(keys: list[str], tag: str) -> DataFrame:
+        """Quartiles and distance of the merged sketches of ``keys``."""
+        merged = quartiles(binned.groupBy(*keys, "rule", "bin").agg(F.sum("n").alias("n")), keys)
+        names = [F.col(k).alias(f"{tag}_{k}") for k in (*keys, "rule", "n_rows", "q1", "q3")]
+        return merged.withColumn("w", F.greatest(SPREAD * (F.col("q3") - F.col("q1")), resolution)).select(*names, F.col("w").alias(f"{tag}_w"))
+
+    # One row a rule; the languages are a table that Spark broadcasts while it is small.
+    per = quartiles(binned, ["lang", "source"]).join(F.broadcast(level([], "all")), F.col("rule") == F.col("all_rule"))
+    per = per.join(level(["lang"], "its"), F.col("lang").eqNullSafe(F.col("its_lang")) & (F.col("rule") == F.col("its_rule")))
+    rare, small = F.col("its_n_rows") < LEAST, F.col("n_rows") < LEAST
+    wider = {c: F.when(rare, F.col(f"all_{c}")).otherwise(F.col(f"its_{c}")) for c in ("q1", "q3", "w")}
+    q1, q3 = F.when(small, wider["q1"]).otherwise(F.col("q1")), F.when(small, wider["q3"]).otherwise(F.col("q3"))
+    own = SPREAD * (F.col("q3") - F.col("q1"))
+    # A quantile's own error never puts a fence inside the quantile.
+    wide = F.when(small, wider["w"]).otherwise(F.greatest(own, SHARE * wider["w"], resolution, 2 * ACCURACY * q3))
+    return per.select("lang", "source", "rule", "n_rows", (q1 - wide).alias("low"), (q3 + wide).alias("high"), (~small & (own >= wide)).alias("own"))
 
 
 def thresholds(rows: DataFrame) -> DataFrame:
-    """lang, source, fences: one row per group, small groups with the fences of the corpus."""
-    binned = stored(sketches(rows, ["lang", "source"]), "sketches")
-    whole = fences(binned.groupBy("rule", "bin").agg(F.sum("n").alias("n")), []).select(F.col("fences").alias("all_fences"))
-    own = fences(binned, ["lang", "source"])
-    # One row holds the corpus's fences.
-    out = own.join(F.broadcast(whole)).select("lang", "source", F.when(F.col("n_rows") >= LEAST, F.col("fences")).otherwise(F.col("all_fences")).alias("fences"))
-    return stored(out, "fences")
+    """One row per group: lang, source, and maps from rule to its lowest and highest value.
+
+    Copies of a text count once: a group's fences are those of its texts, however often one
+    of them is repeated.
+    """
+    keys = ["lang", "source"]
+    per = fences(stored(sketches(rows.select(*keys, "copy", *RULES).distinct(), keys), "sketches"))
+    pairs = lambda c: F.map_from_entries(F.collect_list(F.struct("rule", c)))
+    return stored(per.groupBy("lang", "source").agg(pairs("low").alias("lows"), pairs("high").alias("highs")), "fences")
+
+
+def _keyed(t: DataFrame) -> DataFrame:
+    return t.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "lows", "highs")
+
+
+def _verdict(stat) -> tuple[Column, Column]:
+    """Whether the base rules fail, and whether a fence is crossed; ``stat`` gives a statistic by name."""
+    base = (stat("n_words") < MIN_WORDS) | (100 * stat("n_repeat_words") > MAX_REPEAT_PERCENT * stat("n_words"))
+    out = F.lit(False)
+    for c, (_, two_sided) in RULES.items():
+        out = out | F.coalesce(stat(c) > F.col("highs")[c], F.lit(False))
+        if two_sided:
+            out = out | F.coalesce(stat(c) < F.col("lows")[c], F.lit(False))
+    return base, out
 
 
 def judged(rows: DataFrame) -> DataFrame:
-    """``rows`` (with statistics) with base_failed and kept."""
+    """``rows`` of ``measure`` with base_failed and kept."""
     # The stored fences have a known size: Spark broadcasts them below its threshold and else shuffles.
-    t = thresholds(rows).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("fences").alias("_fences"))
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    over = F.lit(False)
-    for c in FLOORS:
-        over = over | F.coalesce(F.col(c) > F.col("_fences")[c], F.lit(False))
-    out = rows.join(t, rows["lang"].eqNullSafe(t["_lang"]) & rows["source"].eqNullSafe(t["_source"]), "left")
-    return out.withColumn("base_failed", base).withColumn("kept", ~base & ~over).drop("_lang", "_source", "_fences")
+    t = _keyed(thresholds(rows))
+    base, out = _verdict(F.col)
+    both = rows.join(t, rows["lang"].eqNullSafe(t["_lang"]) & rows["source"].eqNullSafe(t["_source"]), "left")
+    return both.withColumn("base_failed", base).withColumn("kept", ~base & ~out).select(*rows.columns, "base_failed", "kept")
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and all statistics of every text."""
+    """doc_id, lang, source, a number that copies of a text share, and all statistics of every text."""
     bounded_batches(docs.sparkSession)
-    return docs.select("doc_id", "lang", "source", stats(F.col("text")).alias("s")).select("doc_id", "lang", "source", "s.*")
+    own = docs.select("doc_id", "lang", "source", F.xxhash64(F.col("text").cast("string")).alias("copy"), stats(F.col("text")).alias("s"))
+    return own.select("doc_id", "lang", "source", "copy", "s.*")
 
 
 def apply(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns; no text is shuffled."""
-    own = docs.columns
-    t = thresholds(stored(measure(docs), "stats"))
-    rows = docs.withColumn("_s", stats(F.col("text")))
-    t = t.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("fences").alias("_fences"))
-    s = F.col("_s")
-    bad = (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > MAX_REPEAT_PERCENT * s["n_words"])
-    for c in FLOORS:
-        bad = bad | F.coalesce(s[c] > F.col("_fences")[c], F.lit(False))
-    return rows.join(t, rows["lang"].eqNullSafe(t["_lang"]) & rows["source"].eqNullSafe(t["_source"]), "left").where(~bad).select(*own)
+    t = _keyed(thresholds(stored(measure(docs), "stats")))
+    rows = docs.select(whole(docs).alias("row"), stats(F.col("text")).alias("s"))
+    rows = rows.join(t, F.col("row.lang").eqNullSafe(t["_lang"]) & F.col("row.source").eqNullSafe(t["_source"]), "left")
+    base, out = _verdict(lambda c: F.col("s")[c])
+    return rows.where(~(base | out)).select("row.*")
 
 
 def op6_quality_rules(spark, sf_dir):

@@ -15,17 +15,19 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import raw
+from quillgraph.llm.common import lean, raw
 
 SPACE, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 UPPER, LOWER, DIGITS, ENDS = bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789", b".!?"
 HIGH = bytes(range(128, 256))
+#: All ASCII signs that are neither letters nor digits.
+MARKS = bytes(b for b in range(33, 127) if b not in UPPER + LOWER + DIGITS)
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 RATIOS = [
     "symbols_per_word", "pipes_per_word", "bangs_per_word", "chars_per_word", "upper_share", "digit_share",
     "non_ascii_share", "dup_line_share", "repeat_share", "distinct_share", "words_per_line", "ends_per_word",
-    "longest_word", "top_word_share",
+    "longest_word", "top_word_share", "marks_per_word",
 ]
 SCHEMA = ", ".join([f"{c} long" for c in COUNTS] + [f"{c} double" for c in RATIOS])
 
@@ -70,7 +72,7 @@ def one(text: str | None) -> tuple:
         n, chars, symbols, dup, repeat,
         symbols / n, b.count(b"|") / n, b.count(b"!") / n, chars / n, upper / max(1, upper + lower), of(DIGITS) / chars,
         of(HIGH) / len(b), dup / len(lines), repeat / n, kinds / n, n / len(lines), of(ENDS) / n,
-        float(max(map(len, words))), int(np.bincount(ids).max()) / n,
+        float(max(map(len, words))), int(np.bincount(ids).max()) / n, of(MARKS) / n,
     )
 
 
@@ -82,4 +84,4 @@ def _stats(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def stats(text: Column) -> Column:
     """Struct of COUNTS and RATIOS of a text column."""
-    return F.pandas_udf(_stats, SCHEMA)(text.cast("string"))
+    return F.pandas_udf(lean(_stats), SCHEMA)(text.cast("string"))
