@@ -1,17 +1,22 @@
 """Personal data: base patterns and a character-level BiLSTM-CRF that adds to them.
 
-Base spans are exact patterns. The model is trained in numpy on spans that are labelled
-when they are made (``labelled``): the four kinds in the usual ways of writing them, among
-look-alikes such as versions, dates, prices and keys. A text is cut into windows of WINDOW
-characters that overlap by half; spans of all windows are reconciled over the whole text:
-a span seen whole and farther from its window's ends wins over what it overlaps. A model
-span is added if it passes its kind's check (ADDED) and overlaps no base span.
-
-Every check asks for a digit or an at sign (also spelled out in brackets), so windows
-without one cannot add a span and are not decoded; this changes no result.
+Base spans are exact patterns of four kinds. The model is trained in numpy on spans that
+are labelled when they are made (``labelled``): the four kinds in the usual ways of writing
+them, and secrets (keys, tokens and passwords that are assigned to a name), among
+look-alikes such as versions, dates, prices and checksums. A text is cut into windows of
+WINDOW characters that overlap by half and are decoded each; over the whole text every
+character takes its tag from the window it is most central in, so spans run on from window
+to window, whatever their length. A span then grows to the ends of the words or numbers it
+stands in, and is added if it can be an item of its kind (``can_be``: so many digits, a
+right check digit) and overlaps no base span.
+
+An item holds a digit or an at sign (also spelled out in brackets), so windows without one
+in them or in the window before or after are not decoded: no span there can be added.
 
 Defined results: null and empty texts have no spans and the hash of the empty list;
-repeated rows are each searched; a text of any length is searched whole, in linear time.
+repeated rows are each searched; a text of any length is searched whole, in linear time;
+an empty table gives an empty result; ``apply`` returns all other columns of its input
+unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,11 +28,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import span_model
-from quillgraph.llm.common import bounded_batches, read
+from quillgraph.llm.common import bounded_batches, lean, read, whole
 from quillgraph.llm.span_model import KINDS, WINDOW, Model, classes
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -37,18 +42,15 @@ HOST = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-AT_SIGN = r"(?:@|\s?[\[(]\s?at\s?[\])]\s?)"
-DOT_SIGN = r"(?:\.|\s?[\[(]\s?dot\s?[\])]\s?)"
-#: What a span of the model has to look like.
-ADDED = {
-    "email": re.compile(rf"[\w.%+-]{{1,40}}{AT_SIGN}[\w-]{{2,40}}(?:{DOT_SIGN}[\w-]{{2,24}}){{1,5}}", re.I),
-    "ip": re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"),
-    "card": re.compile(r"[0-9](?:[\x20./-]?[0-9])+"),
-    "phone": re.compile(r"(?:\(?[0-9]{2,4}\)[\x20]?|[0-9]{2,4}[\x20./-])(?:[0-9]{2,4}[\x20./-]){1,3}[0-9]{2,4}"),
-}
+AT_SIGN = re.compile(r"@|[\[(]\s?at\s?[\])]", re.I)
+DOT_SIGN = re.compile(r"\w\s?(?:\.|[\[(]\s?dot\s?[\])])\s?\w", re.I)
 TRIGGER = re.compile(r"[0-9@]|[\[(]\s?at\s?[\])]", re.I)
-TRAIN_WINDOWS, STEPS = 5000, 500
+TRAIN_WINDOWS, STEPS = 5000, 450
+#: Characters that a span grows by at most on either side.
+GROW = 64
 
+#: The kinds of base spans.
+BASE = KINDS[:4]
 Span = tuple[str, int, int]
 
 
@@ -128,14 +130,25 @@ def labelled(n: int, seed: int = 4) -> tuple[np.ndarray, np.ndarray]:
     def ip() -> str:
         return ".".join(str(int(k)) for k in rng.integers(0, 256, 4))
 
+    def mixed(k: int, letters: str = "abcdefghijklmnopqrstuvwxyz") -> str:
+        return "".join(pick(*letters, *"0123456789") for _ in range(k))
+
+    def secret() -> tuple[str, str, str]:
+        """What stands before a secret, the secret, and what stands after."""
+        name = pick("token", "token", "secret", "api_key", "apikey", "password", "access key", "auth_token", "key")
+        name = pick(name, name, name.upper())
+        quote = pick('"', '"', "'", "")
+        value = pick(mixed(40, "abcdef"), mixed(32, "abcdef"), mixed(64, "abcdef"), mixed(24), mixed(36), "sk_" + mixed(24), "gh" + mixed(30))
+        return name + pick(" = ", " = ", "=", ": ") + quote, pick(value, value, value.upper()), quote
+
     make = {"email": email, "ip": ip, "card": card, "phone": phone}
 
     def other() -> str:
-        hexa = "".join("0123456789abcdef"[int(k)] for k in rng.integers(0, 16, int(pick(8, 20, 40))))
         return pick(
             num(int(rng.integers(1, 7))), f"{num(1)}.{num(1)}", f"version {num(1)}.{num(1)}.{num(2)}", f"20{num(2)}-{num(2)}-{num(2)}",
-            f"${num(3)}.{num(2)}", f'token = "{hexa}"', f"#{num(5)}", f"{num(2)}:{num(2)}", f"@{word()}", f"{num(3)},{num(3)}", f"{word()}{num(2)}",
-            f"{num(2)}%", f"{num(24)}", f"+ {word()}", f"({word()})", f"{num(1)}. {word()}", f"CC BY-NC {num(1)}.0",
+            f"${num(3)}.{num(2)}", f"sha1 {mixed(40, 'abcdef')}", f"commit {mixed(int(pick(8, 20, 40)), 'abcdef')}", f"#{num(5)}", f"{num(2)}:{num(2)}", f"@{word()}", f"{num(3)},{num(3)}", f"{word()}{num(2)}",
+            f"{num(2)}%", f"{num(24)}", f"+ {word()}", f"({word()})", f"{num(1)}. {word()}", f"CC BY-NC {num(1)}.0", f'{pick("name", "title", "key", "token")} = "{word()}"',
+            f"20{num(2)}-{num(2)}-{num(2)} {num(2)}:{num(2)}:{num(2)}", f"{num(4)} {num(4)}", f"{num(8)}-{num(4)}",
         )
 
     xs, ys = [], []
@@ -148,17 +161,20 @@ def labelled(n: int, seed: int = 4) -> tuple[np.ndarray, np.ndarray]:
             tags.extend([0] * len(s) if kind is None else [1 + 2 * kind] + [2 + 2 * kind] * (len(s) - 1))
 
         junk = pick("", "", "", "###", "***", "!!", "%%%")
-        while len(text) < WINDOW + 40:
+        while len(text) < WINDOW + 80:
             r = rng.random()
             if r < 0.22:
                 k = int(rng.integers(len(KINDS)))
-                add(make[KINDS[k]](), k)
+                before, item, after = secret() if KINDS[k] == "secret" else ("", make[KINDS[k]](), "")
+                add(before)
+                add(item, k)
+                add(after)
             elif r < 0.36:
                 add(other())
             else:
                 add(word())
             add(junk + pick(" ", " ", " ", ", ", ". ", "\n", " | "))
-        start = int(rng.integers(0, 40))
+        start = int(rng.integers(0, 80))
         c, y = classes(text)[start : start + WINDOW].copy(), np.array(tags[start : start + WINDOW])
         if rng.random() < 0.2:  # the end of a text
             stop = int(rng.integers(20, WINDOW))
@@ -176,67 +192,89 @@ def trained() -> Model:
     return model
 
 
+def _last(length: int) -> int:
+    """Number of a text's last window."""
+    return max(0, (length - WINDOW // 2 - 1) // (WINDOW // 2))
+
+
 def _windows(text: str) -> list[int]:
-    """Starts of the windows that hold a trigger."""
-    step = WINDOW // 2
-    last = max(0, (len(text) - step - 1) // step)
+    """Numbers of the windows that hold a trigger, and of their neighbours."""
+    step, last = WINDOW // 2, _last(len(text))
     found: set[int] = set()
     for m in TRIGGER.finditer(text):
         k = m.start() // step
-        found.update(x for x in (k - 1, k) if 0 <= x <= last)
-    return [k * step for k in sorted(found)]
+        if k + 1 not in found or k - 2 not in found:
+            found.update(range(k - 2, k + 2))
+    return sorted(x for x in found if 0 <= x <= last)
 
 
-def _fits(kind: str, text: str, a: int, b: int) -> bool:
-    """Whether text[a:b] is a whole item (no part of a longer word or number) of its kind."""
-    s = text[a:b]
-    if not ADDED[kind].fullmatch(s) or text[a - 1 : a].isalnum() or text[b : b + 1].isalnum():
+def can_be(kind: str, s: str) -> bool:
+    """Whether ``s`` can be an item of its kind."""
+    d, plain = _digits(s), not any(c.isalpha() for c in s)
+    if "\n" in s:
         return False
-    d = _digits(s)
+    if kind == "email":
+        ends = AT_SIGN.split(s)
+        return len(ends) == 2 and ends[0].strip() != "" and " " not in ends[0].strip() and bool(DOT_SIGN.search(ends[1]))
+    if kind == "ip":
+        parts = [x for x in re.split("[^0-9]+", s) if x]
+        return plain and len(parts) == 4 and all(map(_small, parts))
     if kind == "card":
-        return 13 <= len(d) <= 19 and luhn(d)
+        return plain and 13 <= len(d) <= 19 and luhn(d)
     if kind == "phone":
-        return 9 <= len(d) <= 15
-    return kind != "ip" or all(map(_small, s.split(".")))
+        return plain and 9 <= len(d) <= 15 and len(d) < len(s)
+    return " " not in s and sum(c.isalnum() for c in s) >= 16 and d != "" and not plain
+
+
+def _grown(text: str, a: int, b: int) -> tuple[int, int] | None:
+    """The span without blanks at its ends, grown to the ends of the words or numbers it cuts; None beyond GROW."""
+    while a < b and text[a].isspace():
+        a += 1
+    while a < b and text[b - 1].isspace():
+        b -= 1
+    low, high = a - GROW, b + GROW
+    while 0 < a and text[a - 1].isalnum() and text[a].isalnum():
+        a -= 1
+        if a < low:
+            return None
+    while b < len(text) and text[b].isalnum() and text[b - 1].isalnum():
+        b += 1
+        if b > high:
+            return None
+    return (a, b) if a < b else None
 
 
 def model_spans(texts: list[str], model: Model) -> list[list[Span]]:
     """The model's spans of whole texts, before they are held against base spans."""
-    place, codes = [], []
+    tags, codes, place = [], [], []
+    step, quarter = WINDOW // 2, WINDOW // 4
     for k, text in enumerate(texts):
-        starts = _windows(text)
-        if starts:
+        numbers = _windows(text)
+        tags.append(np.zeros(len(text) + WINDOW if numbers else 0, np.uint8))
+        if numbers:
             c = np.concatenate([classes(text), np.zeros(WINDOW, np.uint8)])
-            codes += [c[s : s + WINDOW] for s in starts]
-            place += [(k, s) for s in starts]
-    found: dict[int, list[tuple[int, int, int, int, int]]] = {}
-    for at in range(0, len(codes), 2048):
-        tags = model.decode(np.stack(codes[at : at + 2048]))
-        for row in np.flatnonzero(tags.any(1)).tolist():
-            k, start = place[at + row]
-            t, length = tags[row], len(texts[k])
-            begins = np.flatnonzero((t > 0) & ((t % 2 == 1) | (np.append(0, t[:-1]) == 0)))
-            for b in begins.tolist():
-                kind = (int(t[b]) - 1) // 2
-                e = b + 1
-                while e < WINDOW and t[e] == 2 + 2 * kind:
-                    e += 1
-                # How far the window reaches beyond the span; text ends are no window ends.
-                left = b if start else WINDOW
-                right = WINDOW - e if start + WINDOW < length else WINDOW
-                if min(left, right) > 0:
-                    found.setdefault(k, []).append((-min(left, right), start + b, start + e, kind, k))
-    out: list[list[Span]] = [[] for _ in texts]
-    for k, spans in found.items():
-        taken: list[tuple[int, int]] = []
-        for _, a, b, kind, _ in sorted(spans):
-            s = texts[k][a:b]
-            b -= len(s) - len(s.rstrip())
-            a += len(s) - len(s.lstrip())
-            if all(b <= x or a >= y for x, y in taken):
-                taken.append((a, b))
-                if _fits(KINDS[kind], texts[k], a, b):
-                    out[k].append((KINDS[kind], a, b))
+            codes += [c[x * step : x * step + WINDOW] for x in numbers]
+            place += [(k, x) for x in numbers]
+    for at in range(0, len(codes), 1024):
+        for (k, x), t in zip(place[at : at + 1024], model.decode(np.stack(codes[at : at + 1024])), strict=False):
+            # A window's own part: where it is the most central one.
+            a, b = 0 if x == 0 else quarter, WINDOW if x == _last(len(texts[k])) else WINDOW - quarter
+            tags[k][x * step + a : x * step + b] = t[a:b]
+    out: list[list[Span]] = []
+    for text, t in zip(texts, tags, strict=True):
+        spans: list[Span] = []
+        if t.any():
+            kind = np.where(t > 0, (t + 1) // 2, 0)[: len(text)]
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], kind, [0]])) != 0)
+            cut = np.flatnonzero((t[: len(text)] % 2 == 1) & (kind > 0))  # an item that begins
+            edge = np.unique(np.concatenate([edge, cut]))
+            done = 0
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                whole = _grown(text, a, b) if kind[a] else None
+                if whole and whole[0] >= done and can_be(KINDS[kind[a] - 1], text[whole[0] : whole[1]]):
+                    spans.append((KINDS[kind[a] - 1], *whole))
+                    done = whole[1]
+        out.append(spans)
     return out
 
 
@@ -253,11 +291,10 @@ def _search(texts: list[str], model: Model) -> list[tuple[list[Span], list[Span]
     return out
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``pii``: counts of base spans by kind, base_spans and spans as text, and the text with every span masked."""
-    model = trained()
-    bounded_batches(docs.sparkSession, 1000)
-    schema = ", ".join(f"n_{k} long" for k in KINDS) + ", base string, spans string, masked string"
+def found(text: Column, model: Model) -> Column:
+    """Struct of a text's counts of base spans by kind and of all spans, both as lists in text, and the text with every span masked."""
+    schema = ", ".join(f"n_{k} long" for k in BASE) + ", n_secret long, n_spans long, base string, spans string, masked string"
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
@@ -270,25 +307,28 @@ def find(docs: DataFrame) -> DataFrame:
                     if b > at:
                         parts += [text[at : max(at, a)], f"[{kind}]" if a >= at else ""]
                         at = b
-                rows.append((*[sum(k == x[0] for x in base) for k in KINDS], listed(base), listed(every), "".join(parts) + text[at:]))
-            yield pd.DataFrame(rows, columns=[*[f"n_{k}" for k in KINDS], "base", "spans", "masked"]).astype({f"n_{k}": "int64" for k in KINDS})
+                rows.append((*[sum(k == x[0] for x in base) for k in BASE], sum(x[0] == "secret" for x in more), len(every), listed(base), listed(every), "".join(parts) + text[at:]))
+            yield pd.DataFrame(rows, columns=names).astype({n: "int64" for n in names if n.startswith("n_")})
+
+    return F.pandas_udf(lean(run), schema)(text.cast("string"))
 
-    return docs.withColumn("pii", F.pandas_udf(run, schema)(F.col("text").cast("string")))
+
+def find(docs: DataFrame) -> DataFrame:
+    """For every row of ``docs``: ``row``, all its columns, and ``pii``, what is found in its ``text``."""
+    bounded_batches(docs.sparkSession)
+    return docs.select(whole(docs).alias("row"), found(F.col("text"), trained()).alias("pii"))
 
 
 def apply(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``text`` masked by its kind in brackets; null stays null."""
-    own = docs.columns
-    masked = F.when(F.col("text").isNotNull(), F.col("pii.masked"))
-    out = find(docs).withColumn("text", masked)
-    if "n_chars" in own:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast("long"))
-    return out.select(*own)
+    row, given = F.col("row"), F.col("row.text").isNotNull()
+    new = {"text": F.when(given, F.col("pii.masked")), "n_chars": F.when(given, F.length("pii.masked")).otherwise(row["n_chars"]).cast("long") if "n_chars" in docs.columns else None}
+    return find(docs).select(*[(new[c] if new.get(c) is not None else row[c]).alias(c) for c in docs.columns])
 
 
 def op4_pii(spark, sf_dir):
     out = find(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", *[f"pii.n_{k}" for k in KINDS], F.sha2(F.col("pii.base").cast("binary"), 256).alias("base_sha256"), "pii.spans")
+    return out.select("row.doc_id", *[f"pii.n_{k}" for k in BASE], F.sha2(F.col("pii.base").cast("binary"), 256).alias("base_sha256"), "pii.spans", "pii.n_secret", "pii.n_spans")
 
 
 def digest(spans: list[Span]) -> str:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
 #: O, then begin and inside of each kind.
 TAGS = 1 + 2 * len(KINDS)
 WINDOW, HIDDEN = 96, 16
