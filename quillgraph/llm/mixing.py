@@ -13,12 +13,18 @@ seeded by the node). A shard takes its share of each source's permuted items,
 disjoint from the others', and orders its documents by a seeded hash.
 
 All draws are hashes of SEED, so reruns agree. No window is over the documents of a
-source: block sums are aggregated, windows run over blocks (at most MAX_BLOCKS a source)
-and over one block's documents.
+source: block sums are aggregated, windows run over blocks (at most MAX_BLOCKS a source),
+and of a boundary block's documents those of equal id and size are one entry with a number.
+Where only some rows of such an entry still fit, they are numbered in two steps (within a
+partition, then over partitions), so no number of equal rows meets in a task.
+
+Sources are listed in one row and one task (their targets depend on one another): they may
+be thousands, not one for each document.
 
 Defined results: null and empty texts have size 0 and take nothing; a null source is the
-last source; a source of no words has target 0; rows of equal id and size are taken alike;
-an empty table gives an empty result.
+last source; a source of no words has target 0; repeated rows are documents of their own,
+which of them a copy takes is as their order is; an empty table gives an empty result;
+``apply`` returns all columns of its input unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import WORD, read, stored
+from quillgraph.llm.common import WORD, read, stored, whole
 
 SEED = 20240
 WEIGHTS = (1, 2, 3)
@@ -143,11 +149,12 @@ def _same(a: DataFrame, b: DataFrame, *names: str):
     return on
 
 
-def plan(sizes: DataFrame, depth: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """From rows of doc_id, source, size: the sources' targets, and the items of every block.
+def plan(sizes: DataFrame, depth: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From rows of doc_id, source, size: the sources' targets, the items of every block, and the split entries.
 
     Items: source, block, and an array of (copy, shard, part) where part is null for a whole
-    block and else the (order, doc_id) of the documents that are in.
+    block and else lists the documents that are in: their (at, id), how many rows have that
+    (n), and how many of these are in (k). Split entries are the (source, at, id) with k < n.
     """
     src = stored(targets(sizes), "targets")
     if depth is None:
@@ -184,47 +191,78 @@ def plan(sizes: DataFrame, depth: int | None = None) -> tuple[DataFrame, DataFra
     edge = stored(items.where("cut_at is not null").select("source", "block", "cut_at"), "edges")
     e = edge.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "cut_at")
     own = dealt.join(e, dealt["source"].eqNullSafe(e["_s"]) & (dealt["block"] == e["_b"]))
-    own = own.where("size > 0").groupBy("source").agg(F.sort_array(F.collect_list(F.struct(_order().alias("at"), F.col("doc_id").alias("id"), "size"))).alias("l"), F.first("cut_at").alias("cut_at"))
-    key = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("id"))
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.filter(F.array(key), lambda x: F.lit(False)).alias("out"))
+    own = own.where("size > 0").groupBy("source", "doc_id", "size").agg(F.count(F.lit(1)).alias("n"), F.first("cut_at").alias("cut_at"))
+    own = own.groupBy("source").agg(F.sort_array(F.collect_list(F.struct(_order().alias("at"), F.col("doc_id").alias("id"), "size", "n"))).alias("l"), F.first("cut_at").alias("cut_at"))
+    entry = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("at", "id", "n", "k")])
+    none = F.filter(F.array(entry), lambda x: F.lit(False))
+    start = F.struct(F.lit(0).cast("long").alias("sum"), none.alias("out"))
 
     def fit(a: Column, x: Column) -> Column:
-        more = F.struct((a["sum"] + x["size"]).alias("sum"), F.concat(a["out"], F.array(F.struct(x["at"].alias("at"), x["id"].alias("id")))).alias("out"))
-        return F.when(a["sum"] + x["size"] <= F.col("cut_at"), more).otherwise(a)
+        k = F.least(x["n"], F.floor((F.col("cut_at") - a["sum"]) / x["size"]).cast("long"))
+        more = F.struct((a["sum"] + k * x["size"]).alias("sum"), F.concat(a["out"], F.array(F.struct(x["at"].alias("at"), x["id"].alias("id"), x["n"].alias("n"), k.alias("k")))).alias("out"))
+        return F.when(k > 0, more).otherwise(a)
 
-    cuts = own.select(F.col("source").alias("_s"), F.aggregate("l", start, fit)["out"].alias("part"))
+    cuts = stored(own.select(F.col("source").alias("_s"), F.aggregate("l", start, fit)["out"].alias("part")), "cuts")
+    split = cuts.select("_s", F.explode("part").alias("x")).where("x.k < x.n").select(F.col("_s").alias("_source"), F.col("x.at").alias("_at"), F.col("x.id").alias("_id"))
     items = items.join(cuts, items["source"].eqNullSafe(cuts["_s"]), "left")
-    items = items.withColumn("part", F.when(F.col("cut_at").isNotNull(), F.coalesce("part", F.filter(F.array(key), lambda x: F.lit(False)))))
-    return src, stored(items.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard", "part"))).alias("items")), "plan")
+    items = items.withColumn("part", F.when(F.col("cut_at").isNotNull(), F.coalesce("part", none)))
+    return src, stored(items.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard", "part"))).alias("items")), "plan"), split.distinct()
+
+
+def numbered(rows: DataFrame, split: DataFrame) -> DataFrame:
+    """``rows`` (with doc_id, source, size, and ``tie`` to order equal ones) with ``rank``: a
+    row's number among its equals where it is of a split entry, else 0."""
+    if split.isEmpty():
+        return rows.withColumn("rank", F.lit(0).cast("long"))
+    on = rows["source"].eqNullSafe(split["_source"]) & rows["doc_id"].eqNullSafe(split["_id"]) & (_order() == split["_at"])
+    calm = rows.join(split, on, "left_anti").withColumn("rank", F.lit(0).cast("long"))
+    rest = stored(rows.join(split, on, "left_semi").withColumn("_part", F.spark_partition_id()), "split")
+    keys = ["source", "doc_id", "size"]
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rest.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    parts = parts.select(*[F.col(c).alias(f"_{c}") for c in keys], F.col("_part").alias("_p"), "_before")
+    here = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("tie")) - 1
+    rest = rest.withColumn("_here", here)
+    met = rest["_part"] == parts["_p"]
+    for c in keys:
+        met = met & rest[c].eqNullSafe(parts[f"_{c}"])
+    rest = rest.join(parts, met).withColumn("rank", (F.col("_here") + F.col("_before")).cast("long"))
+    return calm.unionByName(rest.select(*calm.columns))
 
 
 def placed(rows: DataFrame, src: DataFrame, items: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, source, size and others) with source_size, target and ``placements``:
-    an array of (copy, shard, position key), one entry for each time the mix takes the row."""
+    """``rows`` (of ``numbered``) with source_size, target and ``placements``: an array of
+    (copy, shard, key), one entry for each time the mix takes the row."""
     kept = rows.columns
     s = src.select(F.col("source").alias("_source"), "n_docs", "source_size", "target")
     out = rows.join(s, rows["source"].eqNullSafe(s["_source"])).withColumn("_block", _block(F.col("n_docs")))
     i = items.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "items")
-    out = out.join(i, out["source"].eqNullSafe(i["_s"]) & (out["_block"] == i["_b"]), "left")
-    here = F.struct(_order().alias("at"), F.col("doc_id").alias("id"))
-    taken = F.filter(F.coalesce("items", F.array()), lambda x: (F.col("size") > 0) & (x["part"].isNull() | F.array_contains(x["part"], here)))
+    out = out.join(i, out["source"].eqNullSafe(i["_s"]) & (out["_block"] == i["_b"]), "left").withColumn("_at", _order())
+    mine = lambda x: (x["at"] == F.col("_at")) & x["id"].eqNullSafe(F.col("doc_id")) & (F.col("rank") < x["k"])
+    taken = F.filter(F.coalesce("items", F.array()), lambda x: (F.col("size") > 0) & (x["part"].isNull() | F.exists(x["part"], mine)))
     places = F.transform(taken, lambda x: F.struct(x["copy"].alias("copy"), x["shard"].alias("shard"), F.xxhash64(F.lit(SEED + 4), x["copy"], F.col("doc_id"), F.col("size")).alias("key")))
     return out.withColumn("placements", places).select(*kept, "source_size", "target", "placements")
 
 
 def apply(docs: DataFrame, depth: int | None = None) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as taken, shard by shard, shuffled in each."""
-    own = docs.columns
-    sizes = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
-    src, items = plan(sizes, depth)
-    rows = docs.select(F.struct(*own).alias("_row"), "doc_id", "source", n_words(F.col("text")).alias("size"))
-    out = placed(rows, src, items).select("_row", F.explode("placements").alias("p"))
-    return out.repartition(F.col("p.shard")).sortWithinPartitions("p.shard", "p.key").select("_row.*")
+    size = n_words(F.col("text")).alias("size")
+    src, items, split = plan(stored(docs.select("doc_id", "source", size), "sizes"), depth)
+    rows = docs.select(whole(docs).alias("row"), "doc_id", "source", size, F.xxhash64(F.col("text").cast("string")).alias("tie"))
+    out = placed(numbered(rows, split), src, items).select("row", "doc_id", "tie", F.explode("placements").alias("p"))
+    return out.repartition(F.col("p.shard")).sortWithinPartitions("p.shard", "p.key", "p.copy", "doc_id", "tie").select("row.*")
 
 
 def op8_mixing(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    sizes = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
-    src, items = plan(sizes)
-    out = placed(sizes, src, items)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("placements")).alias("taken"))
+    # A number for each row that stays as it is stored.
+    sizes = stored(docs.select(F.monotonically_increasing_id().alias("tie"), "doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
+    src, items, split = plan(sizes)
+    out = stored(placed(numbered(sizes, split), src, items), "placed")
+    # A shard's documents are about SHARD_WORDS words, one window for each.
+    line = Window.partitionBy("p.shard").orderBy("p.key", "p.copy", "doc_id", "tie")
+    at = out.select("tie", "doc_id", F.explode("placements").alias("p")).select("tie", "p.copy", "p.shard", (F.row_number().over(line) - 1).cast("long").alias("position"))
+    by = at.groupBy("tie").agg(F.sort_array(F.collect_list(F.struct("copy", "shard", "position"))).alias("places"))
+    places = F.coalesce("places", F.filter(F.array(F.struct(F.lit(0).alias("copy"), F.lit(0).cast("long").alias("shard"), F.lit(0).cast("long").alias("position"))), lambda x: F.lit(False)))
+    out = out.join(by, "tie", "left").withColumn("places", places)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("places")).alias("taken"), "places")
