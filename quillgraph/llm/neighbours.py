@@ -1,131 +1,200 @@
 """Approximate nearest neighbours by cosine: multiprobe p-stable hashing.
 
-A vector, scaled to length 1, has HASHES values floor((a.x + b) / WIDTH) in each of TABLES
-tables; together they are its bucket. A query visits PROBES buckets a table in the order
+A vector, scaled to length 1, has a number of values floor((a.x + b) / WIDTH) in each of
+TABLES tables; together they are its bucket. A query visits a table's buckets in the order
 of their estimated success: the probability, under the Gaussian (2-stable) projections,
-that a vector of cosine RHO to the query falls into the bucket, which is highest near the
-query's own bucket and falls as values are perturbed towards farther borders. Candidates
-of all tables are merged and ranked by the exact cosine of the original vectors.
+that a vector of cosine rho to the query falls into the bucket, which is highest near the
+query's own bucket and falls as values are perturbed towards farther borders. It goes on
+until the visited buckets of all tables together would hold such a vector with probability
+SUCCESS. Candidates of all tables are merged and ranked by the exact cosine of the
+original vectors.
+
+How finely tables cut (``hashes``) grows with the logarithm of the rows, so that buckets
+keep their size and a query meets an ever smaller share of a growing table; rho, the
+cosine of a K-th neighbour, is estimated on a sample of at most SAMPLE rows (``fitted``),
+so close neighbours need few buckets.
 
 Buckets are met block by block: at most BLOCK rows of a bucket stand in a block and every
 query that probes the bucket visits all of its blocks, so a bucket of any size is searched
-whole and no pair becomes a row. A task keeps each query's best few. Equal vectors stand
-for each other: of each, the K + 1 smallest ids are indexed, and no more can be among the
-K nearest of a query. An id of several vectors takes one place.
+whole and no pair becomes a row. A task keeps the best few of at most HELD queries. Equal
+vectors stand for each other: of each, the K + 1 smallest ids are indexed, and no more can
+be among the K nearest of a query. An id of several vectors takes one place.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take
 no part, nor do null ids; only vectors of equal length meet; rows of the query's own id
-are its own; repeated rows count once; a query without candidates returns no row.
+are its own; repeated rows count once; a query without candidates returns no row; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import partitions, read, stored
+from quillgraph.llm.common import bounded_batches, lean, partitions, read, stored
 
 K = 5
-HASHES, TABLES, PROBES, WIDTH, RHO = 6, 4, 32, 2.0, 0.45
-BLOCK = 4096
+TABLES, WIDTH, SUCCESS = 8, 3.0, 0.9
+#: Buckets that are ranked for a query and table at most.
+PROBES = 256
+#: Rows that rho is estimated on, and queries among them.
+SAMPLE, ASKED = 20_000, 256
+BLOCK, HELD = 4096, 50_000
+#: A table of at most so many rows is one bucket.
+ONE = 4096
 #: Values run from -RANGE to RANGE; those beyond count as the last.
-RANGE = 4
+RANGE = 2
 SEED = 77
 
 _erf = np.vectorize(math.erf, otypes=[float])
+_P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+@dataclass(frozen=True)
+class Tables:
+    """How vectors are hashed: values a table, the cosine to look for, and the type vectors are carried in."""
+
+    hashes: int
+    rho: float
+    kind: str = "<f8"
+
+
+    @property
+    def tables(self) -> int:
+        return TABLES if self.hashes else 1
 
 
-def projections(dim: int, table: int) -> tuple[np.ndarray, np.ndarray]:
+def hashes(n: int) -> int:
+    """Values of a table for ``n`` rows."""
+    return min(24, round(math.log2(n)) - 4) if n > ONE else 0
+
+
+@lru_cache(maxsize=256)
+def projections(dim: int, table: int, m: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng((SEED, dim, table))
-    return rng.normal(size=(dim, HASHES)), rng.uniform(0, WIDTH, HASHES)
+    return rng.normal(size=(m, dim)).T, rng.uniform(0, WIDTH, m)
 
 
 def _bucket(values: np.ndarray, dim: int, table: int) -> np.ndarray:
-    """One number from the values (..., HASHES)."""
-    side = 2 * RANGE + 1
-    key = np.zeros(values.shape[:-1], np.int64)
-    for j in range(HASHES):
-        key = key * side + (np.clip(values[..., j], -RANGE, RANGE) + RANGE)
-    return (key * TABLES + table) * 65_536 + dim
-
-
-def hashed(x: np.ndarray, table: int) -> np.ndarray:
-    a, b = projections(x.shape[1], table)
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    return _bucket(np.floor((u @ a + b) / WIDTH).astype(np.int64), x.shape[1], table)
-
-
-def probes(x: np.ndarray, table: int, n: int = PROBES) -> np.ndarray:
-    """Buckets of each query in order of estimated success, (queries, up to n)."""
-    a, b = projections(x.shape[1], table)
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    at = RHO * (u @ a) + b  # where a neighbour's projection is expected
-    sd = math.sqrt(1 - RHO * RHO)
+    """One number from the values (..., hashes)."""
+    key = np.full(values.shape[:-1], dim * TABLES + table, np.uint64)
+    for j in range(values.shape[-1]):
+        key = key * _P + (np.clip(values[..., j], -RANGE, RANGE) + RANGE + 1).astype(np.uint64)
+    return ((key ^ (key >> np.uint64(32))) * _Q).view(np.int64)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def hashed(x: np.ndarray, table: int, t: Tables) -> np.ndarray:
+    a, b = projections(x.shape[1], table, t.hashes)
+    return _bucket(np.floor((_unit(x) @ a + b) / WIDTH).astype(np.int64), x.shape[1], table)
+
+
+def probes(x: np.ndarray, table: int, t: Tables) -> list[np.ndarray]:
+    """Buckets of each query in order of estimated success, as many as its share of SUCCESS takes."""
+    a, b = projections(x.shape[1], table, t.hashes)
+    at = t.rho * (_unit(x) @ a) + b  # where a neighbour's projection is expected
+    sd = math.sqrt(1 - t.rho * t.rho)
     edges = np.arange(-RANGE, RANGE + 2) * WIDTH
     below = 0.5 * (1 + _erf((edges - at[:, :, None]) / (sd * math.sqrt(2))))
     below[:, :, 0], below[:, :, -1] = 0.0, 1.0
-    logs = np.log(np.maximum(np.diff(below, axis=2), 1e-300))
-    score, path = np.zeros((len(x), 1)), np.zeros((len(x), 1, 0), np.int64)
-    side = logs.shape[2]
-    for j in range(HASHES):  # the best n of all combinations begin with one of the best n
-        total = (score[:, :, None] + logs[:, j][:, None, :]).reshape(len(x), -1)
-        best = np.argsort(-total, axis=1, kind="stable")[:, :n]
+    chance = np.diff(below, axis=2)
+    score, path = np.ones((len(x), 1)), np.zeros((len(x), 1, 0), np.int64)
+    side = chance.shape[2]
+    for j in range(t.hashes):  # the best of all combinations begin with one of the best
+        total = (score[:, :, None] * chance[:, j][:, None, :]).reshape(len(x), -1)
+        best = np.argpartition(-total, PROBES - 1, axis=1)[:, :PROBES] if total.shape[1] > PROBES else np.broadcast_to(np.arange(total.shape[1]), total.shape)
         score = np.take_along_axis(total, best, 1)
-        before = np.take_along_axis(path, (best // side)[:, :, None], 1)
-        path = np.concatenate([before, (best % side - RANGE)[:, :, None]], axis=2)
-    return _bucket(path, x.shape[1], table)
-
-
-def _placed(query: bool):
+        path = np.concatenate([np.take_along_axis(path, (best // side)[:, :, None], 1), (best % side - RANGE)[:, :, None]], axis=2)
+    order = np.argsort(-score, axis=1, kind="stable")
+    score, path = np.take_along_axis(score, order, 1), np.take_along_axis(path, order[:, :, None], 1)
+    need = 1 - (1 - SUCCESS) ** (1 / t.tables)
+    n = 1 + (np.cumsum(score, axis=1) < need).sum(1)
+    keys = _bucket(path, x.shape[1], table)
+    return [np.unique(k[:m]) for k, m in zip(keys, n.tolist(), strict=True)]
+
+
+def fitted(vectors: DataFrame, n: int, k: int, kind: str = "<f8") -> Tables:
+    """The tables for the ``n`` rows of ``vectors``: rho is the median cosine of
+    sampled queries to their ``k``-th neighbour, or to the nearest one in a thinner sample."""
+    share = F.lit(int(min(1.0, SAMPLE / max(1, n)) * (1 << 30)))
+    pdf = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < share).select("vec_id", "embedding").toPandas()
+    by: dict[int, list] = {}
+    for i, v in sorted(zip(pdf["vec_id"], pdf["embedding"], strict=True), key=lambda r: r[0]):
+        by.setdefault(len(v), []).append(v)
+    x = _unit(np.array(max(by.values(), key=len), np.float64)) if by else np.zeros((0, 1))
+    rho = 0.45
+    if len(x) > 1:
+        asked = x[np.random.default_rng(SEED).permutation(len(x))[:ASKED]]
+        # A query meets itself first.
+        place = min(len(x) - 1, max(1, round(k * len(x) / max(1, n))))
+        near = np.array([-np.partition(-(x @ q), place)[place] for q in asked])
+        rho = float(np.clip(np.median(near), 0.1, 0.98))
+    return Tables(hashes(n), rho, kind)
+
+
+def _placed(query: bool, t: Tables):
     """mapInArrow: a row of (key, id, vector) for each table, or each table and probe."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, lists = batch.column(0).to_pylist(), [np.array(v, np.float64) for v in batch.column(1).to_pylist()]
-            by: dict[int, list[int]] = {}
-            for k, v in enumerate(lists):
-                by.setdefault(len(v), []).append(k)
-            keys, rows = [], []
-            for own in by.values():
-                x = np.stack([lists[k] for k in own])
-                for table in range(TABLES):
-                    found = probes(x, table) if query else hashed(x, table)[:, None]
-                    keys.append(found.ravel())
-                    rows.append(np.repeat(np.array(own), found.shape[1]))
-            at = np.concatenate(rows).tolist() if rows else []
-            packed = [v.tobytes() for v in lists]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys) if keys else [], pa.int64()), pa.array([ids[k] for k in at], pa.int64()), pa.array([packed[k] for k in at], pa.binary())],
-                ["key", "id", "vec"],
-            )
-
-    return run
-
-
-def _met(k: int):
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                ids, lists = part.column(0).to_pylist(), [np.array(v, np.float64) for v in part.column(1).to_pylist()]
+                by: dict[int, list[int]] = {}
+                for k, v in enumerate(lists):
+                    by.setdefault(len(v), []).append(k)
+                packed = [v.astype(t.kind).tobytes() for v in lists]
+                for own in by.values():
+                    x = np.stack([lists[k] for k in own])
+                    for table in range(t.tables):
+                        found = probes(x, table, t) if query else hashed(x, table, t)[:, None]
+                        at = np.repeat(np.array(own), [len(f) for f in found]).tolist()
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.concatenate(list(found)), pa.int64()), pa.array([ids[k] for k in at], pa.int64()), pa.array([packed[k] for k in at], pa.binary())],
+                            ["key", "id", "vec"],
+                        )
+
+    return lean(run)
+
+
+def _met(k: int, t: Tables):
     """mapInArrow over rows sorted by key, block, kind (0: indexed, 1: query): best of each query."""
     keep = k + 3
 
+    def listed(best: dict) -> Iterator[pa.RecordBatch]:
+        rows = [(i, v, j, s) for (i, v), mine in best.items() for j, s in sorted(mine.items(), key=lambda y: (-y[1], y[0]))[:keep]]
+        for at in range(0, len(rows), 10_000):
+            some = rows[at : at + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in some], kind) for c, kind in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.float64()))], ["query_id", "vec", "vec_id", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[tuple[int, bytes], dict[int, float]] = {}
         now, ids, vecs, asked = None, [], [], []  # asked too stays within BLOCK
 
+        def plain(some: list[bytes]) -> np.ndarray:
+            return np.frombuffer(b"".join(some), t.kind).astype(np.float64).reshape(len(some), -1)
+
         def meet() -> None:
             if not ids or not asked:
                 return
-            x = np.frombuffer(b"".join(vecs), np.float64).reshape(len(vecs), -1)
+            x = plain(vecs)
             norm = np.sqrt(np.einsum("ij,ij->i", x, x))
             own = np.array(ids)
             # Rows of one id are one result: so many rows hold ``keep`` ids.
             n = min(keep * int(np.unique(own, return_counts=True)[1].max()), len(ids))
             for at in range(0, len(asked), 256):
                 part = asked[at : at + 256]
-                q = np.frombuffer(b"".join(v for _, v in part), np.float64).reshape(len(part), -1)
+                q = plain([v for _, v in part])
                 near = (q @ x.T) / norm
                 near[np.array([i for i, _ in part])[:, None] == own[None, :]] = -np.inf
                 some = np.argpartition(-near, n - 1, axis=1)[:, :n]
@@ -144,6 +213,9 @@ def _met(k: int):
                 if (key, part) != now:
                     meet()
                     now, ids, vecs, asked = (key, part), [], [], []
+                    if len(best) > HELD:
+                        yield from listed(best)
+                        best = {}
                 if kind == 0:
                     ids.append(i)
                     vecs.append(v)
@@ -153,12 +225,9 @@ def _met(k: int):
                         meet()
                         asked = []
         meet()
-        rows = [(i, v, j, s) for (i, v), mine in best.items() for j, s in sorted(mine.items(), key=lambda y: (-y[1], y[0]))[:keep]]
-        for at in range(0, len(rows), 10_000):
-            some = rows[at : at + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in some], t) for c, t in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.float64()))], ["query_id", "vec", "vec_id", "score"])
+        yield from listed(best)
 
-    return run
+    return lean(run)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -171,16 +240,21 @@ def usable(vectors: DataFrame) -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """For each of ``queries`` its ``k`` nearest of ``vectors`` found: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
+    bounded_batches(spark)
     same = Window.partitionBy("embedding").orderBy("vec_id")
     index = usable(vectors).withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k + 1).select("vec_id", "embedding")
-    rows = stored(index.mapInArrow(_placed(False), "key long, id long, vec binary"), "index")
-    asked = usable(queries).mapInArrow(_placed(True), "key long, id long, vec binary")
+    index = stored(index, "vectors")
+    # Vectors of single precision are carried as such; all arithmetic is double.
+    kind = "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" and dict(queries.dtypes)["embedding"] == "array<float>" else "<f8"
+    t = fitted(index, index.count(), k, kind)
+    rows = stored(index.mapInArrow(_placed(False, t), "key long, id long, vec binary"), "index")
+    asked = usable(queries).mapInArrow(_placed(True, t), "key long, id long, vec binary")
     large = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "large")
     parts = F.coalesce("parts", F.lit(1))
     rows = rows.join(large, "key", "left").select("key", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.lit(0).alias("kind"), "id", "vec")
     asked = asked.join(large, "key", "left").select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(1).alias("kind"), "id", "vec")
     line = rows.unionByName(asked).repartition(partitions(spark), "key", "part").sortWithinPartitions("key", "part", "kind", "id")
-    found = line.mapInArrow(_met(k), "query_id long, vec binary, vec_id long, score double")
+    found = line.mapInArrow(_met(k, t), "query_id long, vec binary, vec_id long, score double")
     best = found.groupBy("query_id", "vec", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id", "vec").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
