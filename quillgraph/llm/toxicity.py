@@ -1,7 +1,7 @@
 """Toxicity: a character n-gram linear classifier with naive Bayes features.
 
-Character n-grams of the lower-cased text (NGRAMS bytes long, padded by white space) are
-hashed into BUCKETS. On a bounded labelled sample every n-gram gets the log ratio of its
+Character n-grams of the lower-cased text (NGRAMS code points long, white space as single
+blanks, padded by one) are hashed into BUCKETS. On a bounded labelled sample every n-gram gets the log ratio of its
 document frequencies in the two classes; the clearest KEPT n-grams stay, and a document's
 features are their presences times those ratios. A logistic regression with a quadratic
 penalty on these scaled features is trained on the driver, and every whole text is scored.
@@ -10,7 +10,8 @@ The sample is at most about ``TRAIN_ROWS`` labelled rows, chosen by a hash of th
 no labels of both kinds all scores are the share of label 1 (0 without labels).
 
 Defined results: null and empty texts get the score of no feature; repeated rows get equal
-scores; null labels are not learned from.
+scores; null labels are not learned from; an empty table gives an empty result; ``scored``
+returns the columns of its input, a ``score`` among them replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import bounded_batches, crc_mod, raw, read, stored
+from quillgraph.llm.common import bounded_batches, crc_mod, lean, raw, read, stored
 from quillgraph.llm.quality_model import sampled_labels
 
 NGRAMS = (5, 7)
@@ -31,20 +32,20 @@ KEPT = 4096
 TRAIN_ROWS = 16_000
 SMOOTH, PENALTY, STEPS = 1.0, 1e-3, 300
 THRESHOLD = 0.3
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def grams(text: str | None) -> np.ndarray:
     """Hash bucket of every n-gram at every position (with repeats)."""
-    b = b" " + b" ".join(raw(text.lower() if text else None).split()) + b" "
-    a = np.frombuffer(b, np.uint8).astype(np.uint64)
+    flat = b" " + b" ".join(raw(text.lower() if text else None).split()) + b" "
+    a = np.frombuffer(flat.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     out = []
     for n in NGRAMS:
         if len(a) >= n:
-            h = np.zeros(len(a) - n + 1, np.uint64)
-            for k in range(n):  # n <= 8: the bytes themselves, then one multiplication
-                h |= a[k : len(a) - n + 1 + k] << np.uint64(8 * k)
-            out.append(((h + np.uint64(n)) * _MIX) >> np.uint64(44))
+            h = np.full(len(a) - n + 1, n, np.uint64)
+            for k in range(n):
+                h = h * _BASE + a[k : len(a) - n + 1 + k]
+            out.append((h * _MIX) >> np.uint64(44))
     return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
 
 
@@ -63,7 +64,7 @@ def _class_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def train(sample: DataFrame) -> tuple[np.ndarray, float]:
     """Weight of every bucket (mostly 0) and the intercept from rows of text and label."""
     bounded_batches(sample.sparkSession)
-    counted = sample.mapInPandas(_class_counts, "label int, gram long, n long")
+    counted = sample.mapInPandas(lean(_class_counts), "label int, gram long, n long")
     one = lambda k: F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0))
     by = stored(counted.groupBy("gram").agg(one(0).alias("n0"), one(1).alias("n1")), "grams")
     whole = by.where("gram = -1").first()  # gram -1: the rows
@@ -89,7 +90,7 @@ def train(sample: DataFrame) -> tuple[np.ndarray, float]:
             own = [np.unique(p[p >= 0]).astype("<u2").tobytes() for p in found]
             yield pd.DataFrame({"label": pdf["label"], "own": own})
 
-    pdf = sample.mapInPandas(present, "label int, own binary").toPandas().sort_values(["own", "label"])
+    pdf = sample.mapInPandas(lean(present), "label int, own binary").toPandas().sort_values(["own", "label"])
     y = pdf["label"].to_numpy(np.float64)
     own = [np.frombuffer(x, "<u2").astype(np.int64) for x in pdf["own"]]
     at = np.concatenate(own) if own else np.zeros(0, np.int64)
@@ -120,7 +121,6 @@ def scored(docs: DataFrame, weights: np.ndarray, intercept: float) -> DataFrame:
     some = np.flatnonzero(weights)  # at most KEPT numbers travel to the tasks
     values = weights[some]
 
-    @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         place = np.zeros(BUCKETS, np.uint16)
         place[some] = np.arange(1, len(some) + 1)
@@ -133,7 +133,7 @@ def scored(docs: DataFrame, weights: np.ndarray, intercept: float) -> DataFrame:
                 out.append(1 / (1 + np.exp(-np.clip(total, -500, 500))))
             yield pd.Series(out, dtype="float64")
 
-    return docs.withColumn("score", score(F.col("text").cast("string")))
+    return docs.withColumn("score", F.pandas_udf(lean(score), "double")(F.col("text").cast("string")))
 
 
 def op9_toxicity(spark, sf_dir):
