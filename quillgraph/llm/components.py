@@ -14,7 +14,9 @@ def components(links: DataFrame) -> DataFrame:
     Each level points every node at the neighbour (or itself) of least random priority,
     follows the pointer once more, and contracts the links along it, so levels grow with
     the logarithm of a component. Minima are aggregated before the shuffle, so a node's
-    links never meet in a task, and every level is stored: a lost executor costs one level.
+    links never meet in a task; in joins a hub's links stand on one side and one row of the
+    hub on the other, which adaptive execution splits; every level is stored: a lost
+    executor costs one level.
     """
     links = links.select("a", "b").where("a <> b")
     labels = None

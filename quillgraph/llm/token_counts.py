@@ -11,8 +11,13 @@ that has no end; it is counted with ``ended`` false.
 A file is read whole by one task (Spark's binary reader allows 2 GB); writers bound their
 files, and ``write`` gives one file for each partition of its input.
 
+Counts go back to documents by the partition and place that their rows had when they were
+written. ``write`` sums up what stood where, and ``placed`` stops unless a second scan sums
+up to the same, so a table that is read in another order is noticed.
+
 Defined results: a null or empty text is a document of 0 tokens; an empty file has no
-document; repeated rows are documents of their own.
+document; repeated rows are documents of their own; an empty table gives an empty result;
+columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -23,10 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import bounded_batches, read, scratch
+from quillgraph.llm.common import bounded_batches, lean, read, scratch
 
 #: Ids in a block.
 BLOCK = 1 << 20
@@ -53,8 +58,17 @@ def _separator(eod: int) -> str:
     return eod.to_bytes(WIDTH, "little").decode("latin-1")
 
 
-def write(docs: DataFrame, to: str, path: str, eod: int = EOD) -> None:
-    """Flat token files of the texts of ``docs``, one for each partition, rows in order.
+def order_key() -> Column:
+    """One number for which rows stand at which places."""
+    return F.bit_xor(F.xxhash64("at", "doc_id")).alias("key")
+
+
+def order_of(docs: DataFrame) -> int | None:
+    return docs.select("doc_id", F.monotonically_increasing_id().alias("at")).agg(order_key()).first()["key"]
+
+
+def write(docs: DataFrame, to: str, path: str, eod: int = EOD) -> int | None:
+    """Flat token files of the texts of ``docs``, one for each partition, rows in order; the order's key.
 
     Spark's text writer puts the id bytes of a row and then the separator, so commits,
     retries and stores are Spark's.
@@ -62,14 +76,16 @@ def write(docs: DataFrame, to: str, path: str, eod: int = EOD) -> None:
 
     bounded_batches(docs.sparkSession)
 
-    @F.pandas_udf("binary")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         e = encoding(path)
         for s in batches:
             yield pd.Series([np.array(e.encode_ordinary(x), "<u2").tobytes() if isinstance(x, str) else b"" for x in s], dtype=object)
 
-    flat = docs.select(ids(F.col("text").cast("string")).cast("string").alias("value"))
+    seen = Observation()
+    tokens = F.pandas_udf(lean(ids), "binary")(F.col("text").cast("string")).cast("string").alias("value")
+    flat = docs.select(tokens, "doc_id", F.monotonically_increasing_id().alias("at")).observe(seen, order_key()).select("value")
     flat.write.option("encoding", "ISO-8859-1").option("lineSep", _separator(eod)).text(to)
+    return seen.get["key"]
 
 
 def scan(spark, files: str, eod: int = EOD, block: int = BLOCK) -> DataFrame:
@@ -89,7 +105,7 @@ def scan(spark, files: str, eod: int = EOD, block: int = BLOCK) -> DataFrame:
                     )
 
     found = spark.read.format("binaryFile").load(files).select("path", "content")
-    found = found.mapInArrow(blocks, "file string, block long, stop long, ends array<long>")
+    found = found.mapInArrow(lean(blocks), "file string, block long, stop long, ends array<long>")
     # The prefix scan: windows are over the blocks of one file.
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy("file").orderBy("block").rowsBetween(1, Window.unboundedFollowing)
@@ -110,10 +126,12 @@ def scan(spark, files: str, eod: int = EOD, block: int = BLOCK) -> DataFrame:
     )
 
 
-def placed(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """doc_id and n_tokens by partition and place in it; stops where ``docs`` is not read as it was written."""
+def placed(docs: DataFrame, counts: DataFrame, key: int | None) -> DataFrame:
+    """doc_id and n_tokens by partition and place in it; stops where ``docs`` is not read as it was written (``key``)."""
     # The same scan of the table gives rows the same partition and place as when they were written.
     at = F.monotonically_increasing_id()
+    if order_of(docs) != key:
+        raise RuntimeError("the table was read in another order than its tokens were written in")
     rows = docs.select("doc_id", F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("ordinal"), F.lit(True).alias("_row"))
     # Places are dense on both sides, so partitions of other sizes leave a row or a count alone.
     both = rows.join(counts.select("part", "ordinal", "n_tokens"), ["part", "ordinal"], "full")
@@ -126,7 +144,10 @@ def op5_token_counts(spark, sf_dir):
     import public_tokenizers
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    to = scratch(spark, "tokens")
-    write(docs, to, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    for _ in range(3):  # how a table is split can change while executors are still starting
+        to = scratch(spark, "tokens")
+        key = write(docs, to, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+        if key == order_of(docs):
+            break
     counts = scan(spark, to).where("ended").withColumn("part", F.regexp_extract("file", r"part-(\d+)-", 1).cast("long"))
-    return placed(docs, counts)
+    return placed(docs, counts, key)
