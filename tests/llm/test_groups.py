@@ -1,5 +1,6 @@
 """Near duplicates, components, mixing, neighbours and the pipeline against brute force."""
 
+import hashlib
 import random
 from collections import Counter, defaultdict
 from math import comb
@@ -70,7 +71,12 @@ def test_near_duplicates(spark, sf):
         rows = near_dedup.near_duplicates(df, size, percent).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == {i: (len(sets[i]), want[i]) for i in sets}
         assert sum(r.is_first for r in rows) == len(set(want.values()))
-    assert near_dedup.apply(df.withColumn("_rid", F.lit(1))).columns == ["doc_id", "text", "_rid"]
+    # All columns come back as they were, whatever their names.
+    more = df.selectExpr("*", "doc_id + 1 as rid", "doc_id + 2 as h", "doc_id + 3 as row", "'k' as _keep", "map('a', doc_id) as m")
+    kept = near_dedup.apply(more)
+    assert kept.columns == more.columns
+    for r in kept.collect():
+        assert (r.rid, r.h, r["row"], r["_keep"], r.m) == (r.doc_id + 1, r.doc_id + 2, r.doc_id + 3, "k", {"a": r.doc_id})
 
 
 def test_links_inside_a_crowd(spark, monkeypatch):
@@ -93,6 +99,16 @@ def test_near_duplicates_of_odd_rows(spark):
     kept = near_dedup.apply(df).collect()
     assert Counter((r.doc_id, r.text) for r in kept) == Counter([(1, None), (3, ""), (3, "a b"), (5, "x")])
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
+    many = spark.createDataFrame([(1, "the same words again", k) for k in range(300)] + [(2, "x " * 60_000, 0)], "doc_id long, text string, extra int").repartition(6)
+    again = [sorted(map(tuple, near_dedup.apply(x).collect())) for x in (many, many.repartition(3))]
+    assert again[0] == again[1] and [r[0] for r in again[0]] == [1, 2]
+
+
+def test_query_of_near_duplicates(spark, sf):
+    docs = [(r.doc_id, r.text) for r in read(spark, sf, "documents").collect()]
+    sets, want = brute_groups(docs, 3, 85)
+    got = near_dedup.op10_near_dedup(spark, sf).collect()
+    assert sorted(map(tuple, got)) == sorted((i, len(sets[i]), want[i], want[i] == i) for i in sets)
 
 
 def test_hypergeometric_is_exact(spark):
@@ -137,20 +153,59 @@ def test_mixing(spark, sf):
         by[s] += r["size"]
         took[s] += r.taken
         most[s] = max(most[s], r["size"])
-        assert r.taken % max(1, r["size"]) == 0 and r.taken <= 3 * r["size"]
+        assert r.taken == r["size"] * len(r.places) <= 3 * r["size"]
+        assert [p.copy for p in r.places] == list(range(1, len(r.places) + 1))
     want = brute_targets(by)
     for r in rows:
         assert r.source_size == by[source[r.doc_id]] and abs(r.target - want[source[r.doc_id]]) < 1e-6
     assert all(0 <= want[s] - took[s] <= most[s] for s in by)
-    assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.op8_mixing(spark, sf).collect()))
+    # Positions of a shard are 0, 1, 2, ...; no two documents share one.
+    shards = defaultdict(list)
+    for r in rows:
+        for p in r.places:
+            shards[p.shard].append(p.position)
+    assert all(sorted(x) == list(range(len(x))) for x in shards.values()) and len(shards) > 8
+    again = mixing.op8_mixing(spark, sf).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
+
+
+def test_shards_get_the_quotas_of_the_tree(spark, sf):
+    docs = read(spark, sf.replace("0.001", "0.01"), "documents")
+    sizes = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
+    depth = 5
+    _, items, _ = mixing.plan(sizes, depth)
+    got = Counter((r.source, i.shard) for r in items.collect() for i in r["items"])
+    sources = sorted({s for s, _ in got})
+    quota = [sum(n for (x, _), n in got.items() if x == s) for s in sources]
+    leaves = mixing.split_quotas(spark.createDataFrame([(quota,)], "quota array<long>"), depth).collect()
+    assert {(s, r.shard): n for r in leaves for s, n in zip(sources, r.quota, strict=True) if n} == got
+
+
+def test_repeated_rows_never_overshoot(spark):
+    rows = [(7, "s", "x y z")] * 2 + [(8, "s", "p q")] + [(1, "a", "w " * 3)] + [(k, "hot", "a b c d e") for k in (20, 20, 20, 20, 21)] * 40 + [(None, "n", "q r")] * 30 + [(9, None, "t")] * 5
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    got = mixing.apply(df).collect()
+    took, by, most = Counter(), Counter(), {}
+    for i, s, t in rows:
+        by[s] += len(t.split())
+        most[s] = max(most.get(s, 0), len(t.split()))
+    for r in got:
+        took[r.source] += len(r.text.split())
+    want = brute_targets(by)
+    assert all(0 <= want[s] - took[s] < most[s] + 1e-9 for s in by), (want, took)
+    copies, there = Counter(map(tuple, got)), Counter(rows)
+    assert all(n <= 3 * there[r] for r, n in copies.items())
 
 
 def test_mix_of_odd_rows(spark):
-    df = spark.createDataFrame([(1, None, None, 9), (None, "a", "x y z", 9), (3, "a", "", 9), (3, "a", "q w e r t y", 9), (4, "b", "one", 9)], "doc_id long, source string, text string, size int")
+    names = "doc_id long, source string, text string, size int, rank int, tie string, row int, _source int"
+    rows = [(1, None, None), (None, "a", "x y z"), (3, "a", ""), (3, "a", "q w e r t y"), (4, "b", "one")]
+    df = spark.createDataFrame([(*r, 9, 8, "t", 7, 6) for r in rows], names)
     out = mixing.apply(df)
     assert out.columns == df.columns
-    n = Counter(r.doc_id for r in out.collect())
-    assert max(n.values()) <= 3 and 1 not in n
+    got = out.collect()
+    n = Counter(r.doc_id for r in got)
+    assert max(n.values()) <= 3 and 1 not in n and {tuple(r) for r in got} <= {(*r, 9, 8, "t", 7, 6) for r in rows}
     assert mixing.apply(df.limit(0)).count() == 0
 
 
@@ -175,11 +230,57 @@ def test_neighbours(spark, sf):
     assert hit / total >= 0.9
 
 
+def share_met(x, asked, k=5):
+    """How much of the rows queries meet, and their recall, by the operator's own hashing."""
+    u = neighbours._unit(x)
+    s = u[asked] @ u.T
+    s[np.arange(len(asked)), asked] = -9
+    near = np.argsort(-s, axis=1)[:, :k]
+    t = neighbours.Tables(neighbours.hashes(len(x)), float(np.median(np.take_along_axis(s, near, 1)[:, k - 1])))
+    met = np.zeros(s.shape, bool)
+    for table in range(neighbours.TABLES):
+        at = neighbours.hashed(x, table, t)
+        for r, found in enumerate(neighbours.probes(x[asked], table, t)):
+            met[r] |= np.isin(at, found)
+    return met.mean(), np.take_along_axis(met, near, 1).mean()
+
+
+@pytest.mark.parametrize("noise, most", [(0.5, 0.3), (50.0, 0.75)])
+def test_a_larger_table_is_met_in_a_smaller_share(noise, most):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(800, 32))[rng.integers(0, 800, 60_000)] + noise * rng.normal(size=(60_000, 32))
+    shares = []
+    for n in (5000, 17_000, 60_000):
+        met, recall = share_met(x[:n], np.arange(100))
+        shares.append(met)
+        assert recall >= 0.88, (n, recall)
+    assert shares[0] > shares[1] > shares[2] and shares[2] < most, shares
+
+
+def test_recall_on_a_larger_table(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(15_000, 48)).astype(np.float32)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>").repartition(4)
+    df.write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    got = defaultdict(dict)
+    for r in neighbours.op7_neighbours(spark, f"file://{tmp_path}").collect():
+        got[r.query_id][r["rank"]] = (r.vec_id, r.score)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, len(x), 50):
+        s = u @ u[q]
+        s[q] = -9
+        hit += len({v for v, _ in got[q].values()} & set(np.argsort(-s)[:5].tolist()))
+        assert sorted(got[q]) == [1, 2, 3, 4, 5] and all(abs(s[v] - y) < 1e-12 for v, y in got[q].values())
+    assert hit >= 0.9 * 5 * 300
+
+
 def test_neighbours_of_odd_rows(spark, monkeypatch):
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (50, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [0.0, 1.0]), (7, [1.0, 1.0, 1.0]), (None, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     for block in (4096, 2):  # buckets of any number of blocks
         monkeypatch.setattr(neighbours, "BLOCK", block)
+        monkeypatch.setattr(neighbours, "HELD", 0 if block == 2 else 50_000)
         got = [tuple(r) for r in neighbours.nearest(df, df.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()]
         assert got == [(0, 1, 1, 1.0), (0, 2, 50, 1.0), (0, 3, 6, 0.0), (50, 1, 0, 1.0), (50, 2, 1, 1.0), (50, 3, 6, 0.0)]
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
@@ -197,18 +298,46 @@ def test_neighbours_of_repeated_rows(spark):
 
 
 def test_pipeline(spark, sf):
+    """Every stage against a brute-force version on the rows that the stage before gave."""
     import corpus_pipeline
+    from quillgraph.llm import bpe, pii, quality_rules
+    from quillgraph.llm.common import stored
 
     docs = read(spark, sf, "documents")
-    columns = docs.columns
-    seen = {"start": docs.count()}
+    columns, rows = docs.columns, {"start": docs.collect()}
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        docs = stage(spark, docs, sf)
+        docs = stored(stage(spark, docs, sf), name)
         if k < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == columns
-        from quillgraph.llm.common import stored
-
-        docs = stored(docs, name)
-        seen[name] = docs.count()
-    assert seen["quality"] < seen["start"] and seen["near_dedup"] <= seen["quality"] and seen["pii"] == seen["near_dedup"]
-    assert seen["bpe"] == seen["mixing"] > 0
+        rows[name] = docs.collect()
+    start, quality, dedup, masked, mix, tokens = rows.values()
+    verdict = {r.doc_id: r.kept for r in quality_rules.op6_quality_rules(spark, sf).collect()}
+    assert sorted(quality) == sorted(r for r in start if verdict[r.doc_id])
+    sets, group = brute_groups([(r.doc_id, r.text) for r in quality], 5, 80)
+    assert sorted(dedup) == sorted(r for r in quality if group[r.doc_id] == r.doc_id)
+    text = {r.doc_id: r.text for r in masked}
+    spans = pii._search([r.text for r in dedup], pii.trained())
+    for r, (base, more) in zip(dedup, spans, strict=True):
+        want, last = "", 0
+        for kind, a, b in sorted(base + more, key=lambda x: x[1]):
+            if b > last:
+                want += r.text[last : max(last, a)] + (f"[{kind}]" if a >= last else "")
+                last = b
+        assert text[r.doc_id] == want + r.text[last:]
+    assert [r.n_chars for r in masked] == [len(r.text) for r in masked]
+    assert any(text[r.doc_id] != r.text for r in dedup)
+    by, took, most = Counter(), Counter(), Counter()
+    for r in masked:
+        by[r.source] += len(r.text.split())
+        most[r.source] = max(most[r.source], len(r.text.split()))
+    for r in mix:
+        took[r.source] += len(r.text.split())
+    want = brute_targets(by)
+    assert all(0 <= want[s] - took[s] <= most[s] for s in by)
+    assert set(mix) <= set(masked) and max(Counter(r.doc_id for r in mix).values()) <= 3
+    t = bpe.tokenizer(bpe.tokenizer_path())
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    ids = {r.doc_id: t.encode(r.text, add_special_tokens=False).ids for r in masked}
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in tokens) == Counter(
+        (r.doc_id, len(ids[r.doc_id]), sha(np.array(ids[r.doc_id], "<u4").tobytes()), sha(t.decode(ids[r.doc_id], skip_special_tokens=False).encode())) for r in mix
+    )
