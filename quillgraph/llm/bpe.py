@@ -32,16 +32,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import bounded_batches, partitions, raw, read
+from quillgraph.llm.common import bounded_batches, lean, partitions, raw, read
 
 #: Word occurrences in a block.
-BLOCK_WORDS = 2_000_000
-#: Words whose ids a task keeps; beyond it the table starts anew.
-TABLE_WORDS = 4_000_000
+BLOCK_WORDS = 1_000_000
+#: Words of one bucket whose ids a task keeps; beyond it the table starts anew.
+TABLE_WORDS = 500_000
 #: Bound on the vocabulary that decoding sends to every task.
 MAX_VOCAB = 1_000_000
 #: Words encoded in one call.
-BATCH = 20_000
+BATCH = 4_000
+#: Ids and texts in a batch that goes out, about.
+OUT_BYTES = 4 << 20
 
 _open: dict[str, object] = {}
 
@@ -103,7 +105,7 @@ def _blocks(buckets: int, block_words: int, lists: bool):
         # bucket times the buckets plus the bucket: small for frequent words, so it compresses well.
         rank = np.lexsort((-np.bincount(seen, minlength=len(order)), bucket))
         cuts = np.searchsorted(bucket[rank], np.arange(buckets + 1))
-        place = np.empty(len(order), np.int64)
+        place = np.empty(len(order), np.uint32)
         place[rank] = (np.arange(len(order)) - cuts[bucket[rank]]) * buckets + bucket[rank]
         docs = np.array([[0 if i is None else i, i is None, len(p)] for i, p in zip(ids, parts, strict=True)], np.int64).tobytes()
         name = xxhash.xxh3_128_hexdigest(seen.tobytes() + docs + b"\n".join(order))
@@ -134,18 +136,21 @@ def _blocks(buckets: int, block_words: int, lists: bool):
         if ids:
             yield flush(ids, parts, list(at))
 
-    return run
+    return lean(run)
 
 
 def _encoded(path: str):
-    """mapInArrow function: each word list becomes the list's id counts and ids."""
+    """mapInArrow function over word lists in order of buckets: each becomes its id counts and ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, table = tokenizer(path), {}
+        t, table, now = tokenizer(path), {}, None
         for batch in batches:
             out = []
-            for body in batch.column(2).to_pylist():
-                words = zstandard.decompress(body).split(b"\n")
+            for bucket, body in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if bucket != now:  # words of another bucket are other words
+                    now = bucket
+                    table.clear()
+                words = zstandard.decompress(body.as_buffer()).split(b"\n")
                 fresh = [w for w in words if w not in table]
                 if len(table) + len(fresh) > TABLE_WORDS:
                     table.clear()
@@ -160,49 +165,68 @@ def _encoded(path: str):
                 out.append(len(got).to_bytes(8, "little") + _pack(np.concatenate([n, np.frombuffer(b"".join(got), "<u4")])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary()), batch.column(3)], ["block", "bucket", "body", "docs"])
 
-    return run
-
-
-def _placed(pieces: list[str], buckets: int):
-    """applyInArrow function on one block: ids placed by position, then decoded."""
-
-    def run(table: pa.Table) -> pa.Table:
-        found = list(zip(table["bucket"].to_pylist(), table["body"].to_pylist(), table["docs"].to_pylist(), strict=True))
-        twins = sum(b < 0 for b, _, _ in found)  # equal blocks of different partitions share name and lists
-        rows = sorted({r[0]: r for r in found}.values(), key=lambda r: r[0])
-        if not twins:
-            raise RuntimeError("the input's row order changed between two reads: store it before encoding")
-        counts, ids, first = [], [], np.zeros(buckets, np.int64)
-        total = 0
-        for b, body, _ in rows[1:]:
-            k, both = int.from_bytes(body[:8], "little"), _unpack(body[8:])
-            counts.append(both[:k])
-            ids.append(both[k:])
-            first[b] = total
-            total += k
-        n = np.concatenate(counts).astype(np.int64) if counts else np.zeros(0, np.int64)
-        flat = np.concatenate(ids) if ids else np.zeros(0, "<u4")
-        start = np.concatenate([[0], np.cumsum(n)])
-        text = [" ".join([pieces[i] for i in flat[a:b].tolist()]) for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
-        place = _unpack(rows[0][1]).astype(np.int64)
-        place = first[place % buckets] + place // buckets
-        if len(place) and (place.max() >= len(n) or len(np.unique(place)) != len(n)):
-            raise RuntimeError("the input's row order changed between two reads: store it before encoding")
-        docs = np.frombuffer(rows[0][2], np.int64).reshape(-1, 3)
-        out_ids, out_text, at = [], [], 0
-        for words in docs[:, 2].tolist():
+    return lean(run)
+
+
+def _block(found: list[tuple], pieces: list[str], buckets: int) -> Iterator[pa.RecordBatch]:
+    """One block's rows (bucket, body, docs): ids placed by position, then decoded."""
+    twins = sum(b < 0 for b, _, _ in found)  # equal blocks of different partitions share name and lists
+    rows = sorted({r[0]: r for r in found}.values(), key=lambda r: r[0])
+    if not twins:
+        raise RuntimeError("the input's row order changed between two reads: store it before encoding")
+    counts, ids, first = [], [], np.zeros(buckets, np.int64)
+    total = 0
+    for b, body, _ in rows[1:]:
+        k, both = int.from_bytes(body[:8], "little"), _unpack(body[8:])
+        counts.append(both[:k])
+        ids.append(both[k:])
+        first[b] = total
+        total += k
+    n = np.concatenate(counts).astype(np.int64) if counts else np.zeros(0, np.int64)
+    flat = np.concatenate(ids) if ids else np.zeros(0, "<u4")
+    start = np.concatenate([[0], np.cumsum(n)])
+    text = [" ".join([pieces[i] for i in flat[a:b].tolist()]) for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
+    place = _unpack(rows[0][1]).astype(np.int64)
+    place = first[place % buckets] + place // buckets
+    if len(place) and (place.max() >= len(n) or len(np.unique(place)) != len(n)):
+        raise RuntimeError("the input's row order changed between two reads: store it before encoding")
+    docs = np.frombuffer(rows[0][2], np.int64).reshape(-1, 3).tolist()
+    for _ in range(twins):
+        own, out_ids, out_text, size, at = [], [], [], 0, 0
+        for k, (i, null, words) in enumerate(docs):
             p = place[at : at + words]
             at += words
             m = n[p]
             # Ragged gather: the ids of every word, word after word.
             where = np.repeat(start[:-1][p] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum()) if words else np.zeros(0, np.int64)
+            own.append(None if null else i)
             out_ids.append(flat[where].astype("<u4").tobytes())
             out_text.append(" ".join([x for x in map(text.__getitem__, p.tolist()) if x]))
-        doc_ids = [None if null else i for i, null, _ in docs.tolist()] * twins
-        out_ids, out_text = out_ids * twins, out_text * twins
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array([len(x) // 4 for x in out_ids], pa.int64()), "ids": pa.array(out_ids, pa.binary()), "decoded": pa.array(out_text, pa.string())})
+            size += len(out_ids[-1]) + len(out_text[-1])
+            if size >= OUT_BYTES or k + 1 == len(docs):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own, pa.int64()), pa.array([len(x) // 4 for x in out_ids], pa.int64()), pa.array(out_ids, pa.binary()), pa.array(out_text, pa.string())],
+                    ["doc_id", "n_tokens", "ids", "decoded"],
+                )
+                own, out_ids, out_text, size = [], [], [], 0
+
+
+def _placed(pieces: list[str], buckets: int):
+    """mapInArrow function over rows in order of blocks: the documents of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, found = None, []
+        for batch in batches:
+            for name, *row in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
+                if name != now:
+                    if found:
+                        yield from _block(found, pieces, buckets)
+                    now, found = name, []
+                found.append(tuple(row))
+        if found:
+            yield from _block(found, pieces, buckets)
 
-    return run
+    return lean(run)
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -219,9 +243,11 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     buckets = min(4096, 4 * partitions(docs.sparkSession))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     lists = slim.mapInArrow(_blocks(buckets, block_words, True), LISTS)
-    ids = lists.repartition(partitions(docs.sparkSession), "bucket").mapInArrow(_encoded(path), LISTS)
+    dealt = lists.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
+    ids = dealt.mapInArrow(_encoded(path), LISTS)
     both = slim.mapInArrow(_blocks(buckets, block_words, False), LISTS).unionByName(ids)
-    return both.groupBy("block").applyInArrow(_placed(pieces, buckets), "doc_id long, n_tokens long, ids binary, decoded string")
+    line = both.repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block")
+    return line.mapInArrow(_placed(pieces, buckets), "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def op3_bpe(spark, sf_dir):
