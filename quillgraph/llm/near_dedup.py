@@ -21,8 +21,9 @@ in any tree: at similarity 0.85 with probability 5e-8, at 0.8 3e-6.
 
 Defined results: documents without words (or null) have no shingle and are linked with
 nothing; with fewer words than a shingle the word sequence is the one shingle; repeated
-rows are each returned; null ids never are a component's id unless it has no other; extra
-columns are not read.
+rows are each returned; null ids never are a component's id unless it has no other; an
+empty table gives an empty result; extra columns are not read, and ``apply`` returns them
+unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,18 +35,16 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import bounded_batches, partitions, raw, read, stored
+from quillgraph.llm.common import bounded_batches, lean, partitions, raw, read, stored, whole
 from quillgraph.llm.components import components
 
 TREES, DEPTH = 24, 4
 VALUES = TREES * DEPTH
 REACH = 16
 SLACK = 0.2
-#: Word hashes a task remembers.
-MEMORY = 400_000
 ROWS = 20_000  # rows a sorted partition has at least, on average
 BLOCK = 4096  # rows of a shingle that a part of its block has, on average
 
@@ -55,25 +54,17 @@ _A = _RNG.integers(0, 1 << 32, VALUES, dtype=np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, VALUES, dtype=np.uint32)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMORY:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _Q
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(text: bytes, size: int, seen: _Hashes) -> np.ndarray:
+def shingles(text: bytes, size: int) -> np.ndarray:
     """Sorted distinct shingle hashes of a text; A-Z are lower-cased (bytes.lower is ASCII only)."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = min(size, len(h))
     s = np.full(len(h) - n + 1, n, np.uint64)
     for k in range(n):
@@ -95,17 +86,16 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 def _signed(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = _Hashes()
         for batch in batches:
             cids, ns, sigs = [], [], []
             for text in batch.column(2):
-                s = shingles(raw(text.as_py()), size, seen)
+                s = shingles(raw(text.as_py()), size)
                 ns.append(len(s))
                 cids.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sigs.append(signature(s).astype(">u2").tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cids, pa.binary()), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "rid", "cid", "n", "sig"])
 
-    return run
+    return lean(run)
 
 
 def _forest(rows: DataFrame) -> DataFrame:
@@ -173,7 +163,7 @@ def _neighbours(reach: int, least: float, mark: bool):
         found = pairs([r[2:] for r in rows], 1) if len({r[0] for r in rows}) == 2 else []
         return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
 
-    return run, stitch
+    return lean(run), stitch
 
 
 def candidates(nodes: DataFrame, reach: int, least: float, mark: bool = False) -> DataFrame:
@@ -192,14 +182,13 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     """Pairs with 100 * intersection >= percent * union of their full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = _Hashes()
         last, mine = None, None
         for b in batches:
             ok = []
             for x, za, zb in zip(b.column(0), b.column(2), b.column(3), strict=True):
                 if x != last:
-                    last, mine = x, shingles(zstandard.decompress(za.as_py()), size, seen)
-                other = shingles(zstandard.decompress(zb.as_py()), size, seen)
+                    last, mine = x, shingles(zstandard.decompress(za.as_py()), size)
+                other = shingles(zstandard.decompress(zb.as_py()), size)
                 both = np.concatenate([mine, other])
                 both.sort(kind="stable")
                 same = int((both[1:] == both[:-1]).sum())
@@ -208,7 +197,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
     a = texts.select(F.col("cid").alias("a"), F.col("z").alias("za"))
     b = texts.select(F.col("cid").alias("b"), F.col("z").alias("zb"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "za", "zb").mapInArrow(run, "a binary, b binary")
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "za", "zb").mapInArrow(lean(run), "a binary, b binary")
 
 
 def crowds(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -222,14 +211,13 @@ def crowds(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = _Hashes()
         for b in batches:
             for cid, comp, z in zip(b.column(0), b.column(1), b.column(2), strict=True):
-                s = shingles(zstandard.decompress(z.as_py()), size, seen).view(np.int64)
+                s = shingles(zstandard.decompress(z.as_py()), size).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.repeat(cid, len(s)), pa.repeat(comp, len(s)), pa.repeat(pa.scalar(len(s), pa.int64()), len(s)), pa.array(s)], ["cid", "comp", "n", "s"])
 
     joined = nodes.select("cid", "comp").join(texts, "cid").select("cid", "comp", "z")
-    sets = stored(joined.mapInArrow(run, "cid binary, comp binary, n long, s long"), "sets")
+    sets = stored(joined.mapInArrow(lean(run), "cid binary, comp binary, n long, s long"), "sets")
     # Shingles within one component link nothing; they come first in the order and are only counted.
     met = sets.groupBy("s").agg(F.count(F.lit(1)).alias("f"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("s", "f")
     line = Window.partitionBy("cid").orderBy("f", "s")
@@ -254,15 +242,21 @@ def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(z, pa.binary())], ["cid", "z"])
 
 
+def row_key() -> Column:
+    """128 bits that tell rows of other ids or texts apart."""
+    number, text = F.col("doc_id").cast("long").cast("string"), F.col("text").cast("string")
+    kind = F.when(text.isNull(), F.lit(" n")).otherwise(F.lit(" t"))
+    return F.unhex(F.md5(F.concat(F.coalesce(number, F.lit("")), kind, F.coalesce(text, F.lit("")))))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, rid (hash of the row), n_shingles, component_id, is_first.
+    """Per row of ``docs`` (doc_id, text): doc_id, rid (of ``row_key``), n_shingles, component_id, is_first.
 
     ``is_first`` marks one row of each component: the least doc_id, then the least rid.
     """
     bounded_batches(docs.sparkSession)
-    rid = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), rid.alias("rid"), F.col("text").cast("string").alias("text"))
-    rows = stored(slim.mapInArrow(_signed(size), "doc_id long, rid long, cid binary, n long, sig binary"), "signatures")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("rid"), F.col("text").cast("string").alias("text"))
+    rows = stored(slim.mapInArrow(_signed(size), "doc_id long, rid binary, cid binary, n long, sig binary"), "signatures")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
     classes = stored(rows.where("cid is not null").groupBy("cid").agg(F.min(first).alias("first"), F.max("sig").alias("sig")), "classes")
     # In play: classes that share a DEPTH-prefix with another one in some tree.
@@ -271,7 +265,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     play = stored(prefixes.join(shared, "p").select("cid").distinct(), "play")
     nodes = stored(classes.join(play, "cid").select("cid", "sig", F.col("first.rid").alias("rid")), "nodes")
     texts = slim.select("rid", "text").join(nodes.select("rid", "cid"), "rid").select("cid", "text")
-    texts = stored(texts.mapInArrow(_zipped, "cid binary, z binary").dropDuplicates(["cid"]), "texts")
+    texts = stored(texts.mapInArrow(lean(_zipped), "cid binary, z binary").dropDuplicates(["cid"]), "texts")
     agree = percent / 100 - SLACK
     links = stored(confirmed(candidates(nodes.select("cid", "sig", F.col("cid").alias("comp")), 1, agree), texts, size, percent), "links")
     comp = components(links)
@@ -298,14 +292,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def apply(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each group of near duplicates, with the columns of ``docs``."""
-    own = docs.columns
-    keep = stored(near_duplicates(docs, size, percent).where("is_first").select(F.col("rid").alias("_rid"), F.lit(True).alias("_keep")).dropDuplicates(["_rid"]), "keep")
-    rows = docs.withColumn("_rid", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    out = rows.join(keep, "_rid")
-    # Rows equal in id and text are copies too.
-    one = Window.partitionBy("_rid").orderBy(F.lit(1))
-    return out.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*own)
+    """One row of each group of near duplicates, with the columns of ``docs`` as they are.
+
+    Rows equal in id and text are copies too; of them one stays, the least by a hash of all
+    columns. A task's are combined before they are shuffled, so many of them are no hot key.
+    """
+    keep = stored(near_duplicates(docs, size, percent).where("is_first").select("rid").distinct(), "keep")
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+    rows = docs.select(row_key().alias("rid"), F.xxhash64(*plain).alias("h"), whole(docs).alias("row"))
+    one = rows.groupBy("rid").agg(F.min_by("row", "h").alias("row"))
+    return one.join(keep, "rid", "left_semi").select("row.*")
 
 
 def op10_near_dedup(spark, sf_dir):
