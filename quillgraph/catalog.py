@@ -6,6 +6,7 @@ from collections import defaultdict
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Property types of graph schemas and their Spark types.
@@ -28,6 +29,12 @@ class Property:
     min_value: float | None = None
     max_value: float | None = None
     allowed_values: tuple = ()
+    #: SQL over earlier properties that gives this one, if it is not drawn.
+    formula: str | None = None
+    #: An earlier date that this one does not lie before.
+    after: str | None = None
+    #: SQL predicate on earlier properties without which this one is null.
+    only_if: str | None = None
 
 
 @dataclass(frozen=True)
@@ -56,14 +63,25 @@ class CyclePattern:
     path: tuple[str, ...]  # node, relationship, node, ..., first node
 
 
+#: Kinds of constraints.
+CONSTRAINT_KINDS = ("business_logic", "temporal_consistency", "state_consistency", "referential_integrity", "numerical_consistency")
+
+
 @dataclass(frozen=True)
 class BusinessConstraint:
-    """A rule on one node type: ``condition`` is a SQL predicate that every node satisfies."""
+    """A rule on one node type: ``condition`` is a SQL predicate that every node satisfies.
+
+    With ``edge`` the rule is on a relationship type instead: a predicate over source.x,
+    target.x and edge.x of every relationship. Of referential integrity, ``edge`` alone says
+    that both ends exist, and with a condition 'source' or 'target' that every node of that
+    end has such a relationship.
+    """
 
     name: str
     kind: str
     node: str
     condition: str
+    edge: str | None = None
 
 
 @dataclass(frozen=True)
@@ -152,6 +170,25 @@ class PropertyGraph:
         return found[0]
 
 
+def register_views(graph: PropertyGraph, prefix: str = "") -> list[str]:
+    """A temporary view for every label and relationship type, for ``spark.sql``; their names.
+
+    Nodes have _id, relationships _eid, _src, _dst; several tables of one type are united by name.
+    """
+    names = []
+    for label, n in graph.nodes.items():
+        n.df.select(F.col(n.key).alias("_id"), *[f"`{c}`" for c in n.properties]).createOrReplaceTempView(f"{prefix}{label}")
+        names.append(f"{prefix}{label}")
+    for type_, tables in graph.edges.items():
+        out = None
+        for e in tables:
+            df = e.df.select(F.col(e.eid).alias("_eid"), F.col(e.source).alias("_src"), F.col(e.target).alias("_dst"), *[f"`{c}`" for c in e.properties])
+            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+        out.createOrReplaceTempView(f"{prefix}{type_}")
+        names.append(f"{prefix}{type_}")
+    return names
+
+
 def validate_catalog(graph: PropertyGraph) -> list[str]:
     """Findings: properties of one name and several types, edges without end labels, doubtful keys."""
     found, seen = [], defaultdict(dict)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from itertools import permutations
+from itertools import permutations, product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Permutations of columns tried at most, after pruning by column fingerprints.
+#: Orders of columns with equal fingerprints tried at most.
 MAX_PERMUTATIONS = 5040
 
 
@@ -47,6 +49,30 @@ def _fingerprints(df: DataFrame) -> list[tuple]:
     return [(row[f"{c}_a"], row[f"{c}_b"]) for c in df.columns]
 
 
+def _row_key(df: DataFrame) -> tuple:
+    """A bag hash of the rows' cells in sorted order: equal for equal bags, whatever the order of columns."""
+    h = F.xxhash64(F.array_sort(F.array(*[F.coalesce(F.col(c), F.lit("\0null")) for c in df.columns])))
+    row = df.agg(F.sum(F.pmod(h, F.lit(1_000_003))).alias("a"), F.bit_xor(h).alias("b")).first()
+    return row["a"], row["b"]
+
+
+def _assignments(fx: list[tuple], fy: list[tuple]) -> Iterator[list[int]]:
+    """Orders of the columns of ``fy`` in which fingerprints meet, built group by group."""
+    groups: dict[tuple, tuple[list[int], list[int]]] = {}
+    for i, f in enumerate(fx):
+        groups.setdefault(f, ([], []))[0].append(i)
+    for j, f in enumerate(fy):
+        groups.setdefault(f, ([], []))[1].append(j)
+    if any(len(a) != len(b) for a, b in groups.values()):
+        return
+    for choice in product(*[permutations(b) for _, b in groups.values()]):
+        out = [0] * len(fx)
+        for (a, _), own in zip(groups.values(), choice, strict=True):
+            for i, j in zip(a, own, strict=True):
+                out[i] = j
+        yield out
+
+
 def _same_bag(a: DataFrame, b: DataFrame) -> bool:
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
@@ -55,7 +81,8 @@ def results_equal(a: DataFrame, b: DataFrame, ordered: bool = False) -> bool:
     """Equal as bags (or lists) of rows under some order of columns.
 
     Bags are compared in Spark; an ordered comparison numbers rows, which is for results
-    that were meant to be read in order.
+    that were meant to be read in order. Two hashes of each side reject most pairs of
+    unequal results first; only columns of equal contents are tried in several orders.
     """
     if len(a.columns) != len(b.columns):
         return a.isEmpty() and b.isEmpty()
@@ -65,28 +92,35 @@ def results_equal(a: DataFrame, b: DataFrame, ordered: bool = False) -> bool:
         return False
     if n == 0:
         return True
-    if ordered:
-        x, y = _numbered(x), _numbered(y)
-    fx, fy = _fingerprints(x.select(*[c for c in x.columns if c != "_row"])), _fingerprints(y.select(*[c for c in y.columns if c != "_row"]))
-    if sorted(fx) != sorted(fy):
+    if _row_key(x) != _row_key(y):
         return False
-    cols = [f"c{i}" for i in range(len(fx))]
-    tried = 0
-    for p in permutations(range(len(fx))):
-        if any(fx[i] != fy[j] for i, j in enumerate(p)):
-            continue
-        tried += 1
-        if tried > MAX_PERMUTATIONS:
+    cols = x.columns
+    fx, fy = _fingerprints(x), _fingerprints(y)
+    extra = []
+    if ordered:
+        x, y, extra = _numbered(x), _numbered(y), ["_row"]
+    for tried, p in enumerate(_assignments(fx, fy)):
+        if tried == MAX_PERMUTATIONS:
             raise ValueError("too many columns with equal contents")
-        extra = ["_row"] if ordered else []
         if _same_bag(x.select(*extra, *cols), y.select(*extra, *[F.col(f"c{j}").alias(f"c{i}") for i, j in enumerate(p)])):
             return True
     return False
 
 
 def _numbered(df: DataFrame) -> DataFrame:
-    at = df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1]))
-    return df.sparkSession.createDataFrame(at, T.StructType([*df.schema.fields, T.StructField("_row", T.LongType())]))
+    """``df`` with ``_row``, the number of each row in its order.
+
+    A row's number is its place in its partition after the rows of all partitions before; only
+    the partitions' sizes are ranked in one task. The rows are kept while they are counted, so
+    both passes see one order.
+    """
+    at = df.withColumn("_at", F.monotonically_increasing_id()).persist()
+    part = F.shiftright("_at", 33)
+    sizes = at.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return at.join(starts, part == F.col("_part")).select(*df.columns, (F.col("_start") + place).alias("_row"))
 
 
 @dataclass(frozen=True)
@@ -138,3 +172,36 @@ def rollup(results: DataFrame, by: list[str]) -> DataFrame:
 def remaining(tasks: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Tasks without a result yet, to resume an evaluation."""
     return tasks.join(done.select(key).distinct(), key, "left_anti")
+
+
+def evaluated(spark: SparkSession, engine, tasks: DataFrame, key: str, done: DataFrame | None = None, threads: int = 4, keep: Callable[[DataFrame], None] | None = None, chunk: int = 64) -> DataFrame:
+    """key, score and message of every task (key, predicted, gold) without a result in ``done``.
+
+    Queries run in threads over one engine, so Spark schedules several at once. Tasks are a
+    list of texts, which the driver walks in order of their keys, ``chunk`` at a time; each
+    chunk's results go to ``keep`` (as an append to a table), from which a later call resumes.
+    """
+    schema = f"{key} {dict(tasks.dtypes)[key]}, score double, message string"
+    out = spark.createDataFrame([], schema)
+    waiting = tasks if done is None else remaining(tasks, done, key)
+    with ThreadPoolExecutor(threads) as pool:
+        rows: list[tuple] = []
+
+        def one(r) -> tuple:
+            o = execution_accuracy(engine, r["predicted"], r["gold"])
+            return r[key], o.score, o.message
+
+        def flush() -> None:
+            nonlocal out, rows
+            found = spark.createDataFrame(list(pool.map(one, rows)), schema)
+            if keep is not None:
+                keep(found)
+            out, rows = out.unionByName(found), []
+
+        for r in waiting.select(key, "predicted", "gold").orderBy(key).toLocalIterator():
+            rows.append(r)
+            if len(rows) == chunk:
+                flush()
+        if rows:
+            flush()
+    return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +13,14 @@ from quillgraph.plans import ir
 
 AGGREGATES = {"count", "sum", "avg", "min", "max", "collect", "group_concat", "stdev", "collect_list"}
 NUMBERS = ("int", "float")
+#: Spark's own functions that queries may call by name, besides FUNCTIONS and registered ones.
+PLAIN = set(
+    "acos asin atan atan2 cos sin tan degrees radians exp ln log log10 log2 ceil ceiling floor sign pi e cbrt pow power mod "
+    "ascii chr concat concat_ws initcap lpad rpad repeat reverse soundex translate levenshtein split split_part md5 sha1 sha2 crc32 "
+    "year month day dayofmonth dayofweek dayofyear quarter hour minute second last_day add_months months_between date_add date_sub to_date "
+    "array array_contains array_distinct array_max array_min array_position array_union array_intersect array_except slice flatten sequence "
+    "element_at size sort_array array_join ifnull nvl nvl2 isnull isnotnull hash xxhash64".split()
+)
 #: User functions by lower-case name: columns in, a column out.
 REGISTRY: dict[str, Callable[..., Column]] = {}
 
@@ -56,10 +65,16 @@ def date_pattern(fmt: str) -> str:
     return re.sub(r"%.|[A-Za-z]+", lambda m: DATE_FORMATS.get(m[0], f"'{m[0]}'"), fmt)
 
 
-def sql_substring(s: Column, start: Column, length: Column | None = None) -> Column:
+def sql_substring(s: Column, start: Column, length: Column | None = None, compat: bool = False) -> Column:
     """Substring with SQLite's rules: 1-based, a negative start counts from the end, a
     negative length takes the characters before the start, start 0 counts a place before
-    the first character."""
+    the first character.
+
+    With ``compat``, as translated queries compute it: a negative length ends with the
+    character at the start, and start 0 with a length gives the empty text.
+    """
+    if compat and length is not None:
+        start, length = F.when((length < 0) & (start > 0), start + 1).otherwise(start), F.when(start == 0, F.lit(0)).otherwise(length)
     n = F.length(s)
     at = F.when(start > 0, start - 1).when(start < 0, n + start).otherwise(F.lit(-1))
     at = F.when((start < 0) & (n + start < 0) & F.lit(length is None), F.lit(0)).otherwise(at)
@@ -108,8 +123,8 @@ class Compiler:
     column and class of a property; ``subquery`` lowers a query to a DataFrame.
     """
 
-    def __init__(self, scope, dialect: str = "cypher", mode: str = "sql") -> None:
-        self.scope, self.dialect, self.mode = scope, dialect, mode
+    def __init__(self, scope, dialect: str = "cypher", mode: str = "sql", compat: bool = False) -> None:
+        self.scope, self.dialect, self.mode, self.compat = scope, dialect, mode, compat
 
     # -- classes of values
     def kind(self, x) -> str | None:
@@ -134,13 +149,19 @@ class Compiler:
         if isinstance(x, ir.Case):
             return next((k for k in (self.kind(v) for _, v in x.whens) if k), None)
         if isinstance(x, ir.Call):
-            if x.name in ("count", "length", "size", "char_length", "len", "apoc.text.indexof", "instr", "datediff", "count_sub"):
+            if x.name in ("count", "length", "size", "char_length", "len", "apoc.text.indexof", "instr", "datediff", "count_sub", "timestampdiff", "div"):
                 return "int"
-            if x.name in ("avg", "sqrt"):
+            if x.name in ("avg", "sqrt", "julianday", "cosine", "numeric_similarity"):
                 return "float"
             if x.name in ("sum", "abs", "min", "max", "round", "coalesce", "greatest", "least"):
                 return self.kind(x.args[0]) if x.args else None
-            if x.name in ("upper", "lower", "toupper", "tolower", "trim", "replace", "substring", "left", "right", "lcase", "ucase"):
+            if x.name in ("upper", "lower", "toupper", "tolower", "trim", "replace", "substring", "left", "right", "lcase", "ucase", "time", "join"):
+                return "string"
+            if x.name in ("collect", "collect_list", "sort", "collect_sub"):
+                return "list"
+            if x.name in ("contains", "starts_with", "ends_with", "like", "regexp_like"):
+                return "bool"
+            if x.name in ("strftime", "apoc.temporal.format"):
                 return "string"
             if x.name.startswith(("localdatetime", "local_datetime")):
                 return "datetime"
@@ -208,8 +229,12 @@ class Compiler:
         if isinstance(x.items, tuple):
             if not x.items:
                 return F.lit(False)
-            fits = [self.pair(x.x, i) for i in x.items]
-            return fits[0][0].isin(*[b for _, b in fits])
+            # Members of one class are compared with one form of the left side.
+            by: dict[str | None, list[tuple[Column, Column]]] = {}
+            for i in x.items:
+                by.setdefault(self.kind(i), []).append(self.pair(x.x, i))
+            tests = [fits[0][0].isin(*[b for _, b in fits]) for fits in by.values()]
+            return reduce(lambda a, b: a | b, tests)
         if isinstance(x.items, (ir.Single, ir.SetOp)):
             return self(x.x).isin(self.scope.subquery(x.items))
         found = self.scope.let_query(x.items)
@@ -239,7 +264,8 @@ class Compiler:
     def _windowed(self, x: ir.Windowed) -> Column:
         from pyspark.sql import Window
 
-        w = Window.partitionBy(*map(self, x.partition)) if x.partition else Window.partitionBy(F.lit(1))
+        # Without PARTITION BY all rows are one window, which Spark warns of.
+        w = Window.partitionBy(*map(self, x.partition))
         if x.order:
             w = w.orderBy(*map(self.sort_key, x.order))
         call = x.call
@@ -297,10 +323,12 @@ class Compiler:
             return F.lit(hops)
         if x.name in ("collect_sub", "count_sub"):
             sub = self.scope.subquery(x.args[0])
-            c = sub.columns[0]
-            return sub.agg((F.collect_list(F.col(f"`{c}`")) if x.name == "collect_sub" else F.count(F.lit(1))).alias("x")).scalar()
+            c = self.scope.columns(sub)[0]
+            return sub.select((F.collect_list(F.col(f"`{c}`")) if x.name == "collect_sub" else F.count(F.lit(1))).alias("x")).scalar()
         if x.name in FUNCTIONS:
             return FUNCTIONS[x.name](self, x.args)
+        if x.name not in PLAIN:
+            raise ValueError(f"no function {x.name}; register() makes one known")
         return F.call_function(x.name, *map(self, x.args))
 
     def aggregate(self, x: ir.Call) -> Column:
@@ -351,6 +379,22 @@ def _date(k: Compiler, a: tuple) -> Column:
     return c.cast("date") if k.dialect == "gql" else F.date_trunc("day", c).cast("timestamp_ntz")
 
 
+#: Short names of time units.
+UNITS = {
+    "y": "YEAR", "yy": "YEAR", "yyyy": "YEAR", "years": "YEAR", "mon": "MONTH", "mons": "MONTH", "mm": "MONTH", "months": "MONTH", "w": "WEEK", "weeks": "WEEK",
+    "d": "DAY", "dd": "DAY", "days": "DAY", "h": "HOUR", "hh": "HOUR", "hours": "HOUR", "m": "MINUTE", "mi": "MINUTE", "minutes": "MINUTE", "s": "SECOND", "ss": "SECOND", "seconds": "SECOND",
+}
+
+
+def _unit(x) -> str:
+    name = str(x.value if isinstance(x, ir.Lit) else x.name)
+    return UNITS.get(name.lower(), name.upper())
+
+
+def _moment(k: Compiler, x) -> Column:
+    return k(x).cast("timestamp_ntz") if k.kind(x) in ("date", "datetime") else _stamp(k(x))
+
+
 def _substring(k: Compiler, a: tuple) -> Column:
     # The text of queries counts from 0 (template form).
     s, start = k(a[0]).cast("string"), k(a[1])
@@ -380,7 +424,7 @@ FUNCTIONS: dict[str, Callable[[Compiler, tuple], Column]] = {
     "trim_leading": lambda k, a: F.ltrim(_text(k, a[0]), k(a[1])),
     "trim_trailing": lambda k, a: F.rtrim(_text(k, a[0]), k(a[1])),
     "substring": _substring,
-    "substr": lambda k, a: sql_substring(_text(k, a[0]), k(a[1]), k(a[2]) if len(a) > 2 else None),
+    "substr": lambda k, a: sql_substring(_text(k, a[0]), k(a[1]), k(a[2]) if len(a) > 2 else None, k.compat),
     "left": lambda k, a: F.substring(_text(k, a[0]), 1, k(a[1]).cast("int")),
     "right": lambda k, a: sql_substring(_text(k, a[0]), -k(a[1])),
     # indexOf counts from 0 and gives -1 where nothing is found.
@@ -407,6 +451,13 @@ FUNCTIONS: dict[str, Callable[[Compiler, tuple], Column]] = {
     "duration.between": lambda k, a: k(a[1]) - k(a[0]),
     "duration_between": lambda k, a: k(a[1]) - k(a[0]),
     "datediff": lambda k, a: F.datediff(k(a[0]), k(a[1])).cast("long"),
+    "timestampdiff": lambda k, a: F.timestamp_diff(_unit(a[0]), _moment(k, a[1]), _moment(k, a[2])),
+    "time": lambda k, a: F.date_format(_datetime(k, a), "HH:mm:ss"),
+    "julianday": lambda k, a: F.unix_micros(_datetime(k, a).cast("timestamp")) / 86400e6 + 2440587.5,
+    "div": lambda k, a: divide(k(a[0]), k(a[1]), True),
+    "sort": lambda k, a: F.sort_array(k(a[0])),
+    "join": lambda k, a: F.array_join(k(a[0]).cast("array<string>"), a[1].value),
+    "numeric_similarity": lambda k, a: numeric_similarity([(k(x), k(y), float(r.value)) for x, y, r in zip(a[::3], a[1::3], a[2::3], strict=True)]),
     "week": lambda k, a: F.weekofyear(k(a[0])),
     "year": lambda k, a: F.year(k(a[0])).cast("long"),
     "cosine": lambda k, a: cosine(k(a[0]), k(a[1])),

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+import uuid
 
-from quillgraph.functions.expressions import cosine
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def top_k(df: DataFrame, partition: list[str], order: list[Column], k: int) -> DataFrame:
@@ -51,18 +53,65 @@ def constraint_violations(df: DataFrame, key: str, name: str, condition: str) ->
     return df.where(~F.coalesce(F.expr(condition), F.lit(True))).select(F.lit(name).alias("constraint"), F.col(key).cast("string").alias("id"))
 
 
-def similarity_top_k(left: DataFrame, right: DataFrame, id_col: str, vector: str, k: int, blocks: int = 16) -> DataFrame:
-    """For each row of ``left`` its ``k`` most similar other rows of ``right`` by cosine.
-
-    ``left`` is a stated query set. Rows of ``right`` are dealt to blocks and each block
-    meets every query by an equi join on the block number; each block keeps its best ``k``
-    before results of blocks are merged.
+def _best_of_blocks(k: int):
+    """Of a block of queries and a block of rows, each query's ``k`` most similar other rows."""
+
+    def run(q: pa.Table, x: pa.Table) -> pa.Table:
+        kinds = (pa.int32(), q["from_id"].type, x["to_id"].type if "to_id" in x.column_names else q["from_id"].type, pa.float64())
+        names = ["_block", "from_id", "to_id", "score"]
+        if not q.num_rows or not x.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in zip(names, kinds, strict=True)})
+        a, b = (np.array(t["_v"].to_pylist(), np.float64) for t in (q, x))
+        na, nb = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
+        ids, others = np.array(q["from_id"].to_pylist(), object), np.array(x["to_id"].to_pylist(), object)
+        order = np.argsort(others, kind="stable")  # ties go to the smaller id
+        b, nb, others = b[order], nb[order], others[order]
+        norm = na[:, None] * nb[None, :]
+        score = np.divide(a @ b.T, norm, out=np.zeros(norm.shape), where=norm > 0)
+        score[ids[:, None] == others[None, :]] = -np.inf
+        best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        found = np.take_along_axis(score, best, 1)
+        row, place = np.nonzero(np.isfinite(found))
+        block = q["_block"][0].as_py()
+        return pa.table(dict(zip(names, (pa.array([block] * len(row), kinds[0]), pa.array(ids[row].tolist(), kinds[1]), pa.array(others[best[row, place]].tolist(), kinds[2]), pa.array(found[row, place])), strict=True)))
+
+    return run
+
+
+def similarity_top_k(left: DataFrame, right: DataFrame, id_col: str, vector: str, k: int, rows: int = 8192) -> DataFrame:
+    """For each row of ``left`` its ``k`` most similar other rows of ``right`` by cosine (0 where a vector is zero).
+
+    ``left`` is a stated query set. Both sides are dealt to blocks of about ``rows`` rows; each
+    pair of blocks is one product of matrices in one task, which keeps its best ``k`` before
+    results are merged. Null ids and vectors take no part.
     """
-    q = left.select(F.col(id_col).alias("from_id"), F.col(vector).alias("_a")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    x = right.select(F.col(id_col).alias("to_id"), F.col(vector).alias("_b")).withColumn("_block", F.pmod(F.xxhash64("to_id"), F.lit(blocks)).cast("int"))
-    scored = q.join(x, "_block").where("from_id <> to_id").select("_block", "from_id", "to_id", cosine(F.col("_a"), F.col("_b")).alias("score"))
-    best = top_k(scored, ["from_id", "_block"], [F.desc("score"), F.asc("to_id")], k).drop("rank", "_block")
-    return top_k(best, ["from_id"], [F.desc("score"), F.asc("to_id")], k)
+    given = lambda df: df.where(F.col(id_col).isNotNull() & F.col(vector).isNotNull())
+    left, right = given(left), given(right)
+    n, m = max(1, left.count() // rows), max(1, right.count() // rows)
+    q = left.select(F.col(id_col).alias("from_id"), F.col(vector).cast("array<double>").alias("_v"), F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias("_q"))
+    x = right.select(F.col(id_col).alias("to_id"), F.col(vector).cast("array<double>").alias("_v"), F.pmod(F.xxhash64(id_col), F.lit(m)).cast("int").alias("_x"))
+    q = q.withColumn("_x", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select("from_id", "_v", (F.col("_q") * m + F.col("_x")).alias("_block"))
+    x = x.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("to_id", "_v", (F.col("_q") * m + F.col("_x")).alias("_block"))
+    a, b = dict(q.dtypes)["from_id"], dict(x.dtypes)["to_id"]
+    best = q.groupBy("_block").cogroup(x.groupBy("_block")).applyInArrow(_best_of_blocks(k), f"_block int, from_id {a}, to_id {b}, score double")
+    return top_k(best.drop("_block"), ["from_id"], [F.desc("score"), F.asc("to_id")], k)
+
+
+def similarity_matrix(left: DataFrame, right: DataFrame, id_col: str, vector: str) -> DataFrame:
+    """from_id, to_id, score of all pairs of other ids; every row of ``left`` is a stated query.
+
+    Rows of ``right`` meet by blocks, as unit vectors, so a pair costs one product.
+    """
+    def unit(c: str) -> Column:
+        v = F.col(c).cast("array<double>")
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+        return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+
+    blocks = 16
+    q = left.select(F.col(id_col).alias("from_id"), unit(vector).alias("_a")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    x = right.select(F.col(id_col).alias("to_id"), unit(vector).alias("_b")).withColumn("_block", F.pmod(F.xxhash64("to_id"), F.lit(blocks)).cast("int"))
+    dot = F.aggregate(F.zip_with("_a", "_b", lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y)
+    return q.join(x, "_block").where("from_id <> to_id").select("from_id", "to_id", dot.alias("score"))
 
 
 def sample_values(df: DataFrame, column: str, n: int, seed: int = 0) -> DataFrame:
@@ -73,3 +122,57 @@ def sample_values(df: DataFrame, column: str, n: int, seed: int = 0) -> DataFram
 def distinct_on(df: DataFrame, on: list[str], order: list[Column]) -> DataFrame:
     """First row of each key by ``order``."""
     return top_k(df, on, order, 1).drop("rank")
+
+
+def label_frequency(edges: DataFrame, column: str = "label") -> DataFrame:
+    """How often each edge label stands in a list of edges, and its rank by that."""
+    counted = edges.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    # One row a label.
+    return counted.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), column)))
+
+
+def sampled(df: DataFrame, fraction: float, columns: list[str], seed: int = 0) -> DataFrame:
+    """About ``fraction`` of the rows, the same ones in every run: those whose hash is low."""
+    return df.where(F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 30)) < int(fraction * (1 << 30)))
+
+
+def pivoted(df: DataFrame, by: list[str], column: str, values: list, agg: Column) -> DataFrame:
+    """One column for each of ``values`` of ``column``; listing them spares a pass that looks for them."""
+    return df.groupBy(*by).pivot(column, values).agg(agg)
+
+
+def unpivoted(df: DataFrame, ids: list[str], values: list[str], name: str, value: str) -> DataFrame:
+    return df.unpivot(ids, values, name, value)
+
+
+def sort_by(df: DataFrame, *keys: Column | str) -> DataFrame:
+    """SORT BY: order within partitions."""
+    return df.sortWithinPartitions(*keys)
+
+
+def distribute_by(df: DataFrame, *keys: Column | str) -> DataFrame:
+    """DISTRIBUTE BY: rows of one key in one partition."""
+    return df.repartition(*keys)
+
+
+def cluster_by(df: DataFrame, *keys: Column | str) -> DataFrame:
+    """CLUSTER BY: both."""
+    return df.repartition(*keys).sortWithinPartitions(*keys)
+
+
+def closure(spark: SparkSession, edges: DataFrame, starts: DataFrame, most: int = 10) -> DataFrame:
+    """node, start, and depth of what can be reached in at most ``most`` steps, by the shortest way.
+
+    ``edges`` has _src and _dst, ``starts`` a column node. A recursive query: each step joins
+    the last one's rows; edges that close a cycle end at ``most``. Spark bounds its rows by
+    ``spark.sql.cteRecursionRowLimit``.
+    """
+    name = f"closure_{uuid.uuid4().hex}"
+    edges.createOrReplaceTempView(f"{name}_edges")
+    starts.createOrReplaceTempView(f"{name}_starts")
+    return spark.sql(
+        f"""WITH RECURSIVE reached(start, node, depth) AS (
+              SELECT node, node, 0 FROM {name}_starts
+              UNION ALL SELECT r.start, e._dst, r.depth + 1 FROM reached r JOIN {name}_edges e ON e._src = r.node WHERE r.depth < {int(most)})
+            SELECT start, node, CAST(min(depth) AS INT) AS depth FROM reached GROUP BY start, node"""
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from copy import copy
 from dataclasses import dataclass, field
 from itertools import count
 
@@ -26,16 +27,25 @@ class Bound:
 @dataclass
 class State:
     """A binding table and its variables; ``outer`` is the state around a subquery, and
-    ``pending`` the conditions that refer to it, which are put last."""
+    ``pending`` the conditions that refer to it, which are put last.
+
+    A table that looks at the query around cannot be analysed on its own; ``shape`` is then a
+    table of the same columns that can.
+    """
 
     df: DataFrame | None = None
     vars: dict[str, Bound] = field(default_factory=dict)
     outer: State | None = None
     lets: dict[str, object] = field(default_factory=dict)
     pending: list = field(default_factory=list)
+    shape: DataFrame | None = None
+
+    @property
+    def plain(self) -> DataFrame | None:
+        return self.df if self.shape is None else self.shape
 
     def kinds(self) -> dict[str, str]:
-        return {} if self.df is None else {c: kind_of(t) for c, t in self.df.dtypes}
+        return {} if self.df is None else {c: kind_of(t) for c, t in self.plain.dtypes}
 
 
 class Scope:
@@ -102,29 +112,38 @@ class Scope:
     def subquery(self, query, exists: bool = False) -> DataFrame:
         return self.engine.subquery(query, self.state, exists)
 
+    def columns(self, df: DataFrame) -> list[str]:
+        return self.engine.shape(df).columns
+
 
 class Engine:
     """Runs Cypher and ISO-GQL text over a property graph.
 
     ``match_mode``: 'trail' (no relationship twice in a MATCH) or 'walk'. ``mode``: 'sql'
-    (sums of nothing are null) or 'cypher' (they are 0).
+    (sums of nothing are null) or 'cypher' (they are 0). ``compat`` cuts substrings as
+    translated queries do instead of by SQL's rules. Threads may share an engine.
     """
 
-    def __init__(self, spark: SparkSession, graph: PropertyGraph, dialect: str = "cypher", match_mode: str = "trail", mode: str = "sql") -> None:
-        self.spark, self.graph, self.dialect, self.mode = spark, graph, dialect, mode
+    def __init__(self, spark: SparkSession, graph: PropertyGraph, dialect: str = "cypher", match_mode: str = "trail", mode: str = "sql", compat: bool = False) -> None:
+        self.spark, self.graph, self.dialect, self.mode, self.compat = spark, graph, dialect, mode, compat
         self.matcher = Matcher(graph, match_mode == "trail")
         self._fresh = count(1)
 
-    def query(self, text: str, dialect: str | None = None) -> DataFrame:
-        keep, self.dialect = self.dialect, dialect or self.dialect
-        try:
-            return self.run(parse(text, self.dialect))
-        finally:
-            self.dialect = keep
+    def query(self, text: str, dialect: str | None = None, params: dict | None = None) -> DataFrame:
+        """The result of a query text; ``params`` are the values of its $names."""
+        one = copy(self)
+        one.dialect = dialect or self.dialect
+        return one.run(parse(text, one.dialect), params)
+
+    def run(self, query, params: dict | None = None) -> DataFrame:
+        # What belongs to one query stands in a copy, so threads may share an engine.
+        one, query = copy(self), ir.bound(query, params)
+        one._looked, one._shapes = self._uses(query), {}
+        return one._lower(query, None)
 
-    def run(self, query) -> DataFrame:
-        self._looked = self._uses(query)
-        return self._lower(query, None)
+    def shape(self, df: DataFrame) -> DataFrame:
+        """``df``, or the table that tells the columns of a correlated result."""
+        return self._shapes.get(id(df), (df, df))[1]
 
     # -- what a query looks into
     @staticmethod
@@ -140,11 +159,18 @@ class Engine:
         return used
 
     def compiler(self, state: State) -> Compiler:
-        return Compiler(Scope(self, state), self.dialect, self.mode)
+        return Compiler(Scope(self, state), self.dialect, self.mode, self.compat)
 
     def _lower(self, query, outer: State | None) -> DataFrame:
         if isinstance(query, ir.SetOp):
             a, b = self._lower(query.left, outer), self._lower(query.right, outer)
+            if query.by_name:
+                if query.op != "union":
+                    raise NotImplementedError(f"{query.op} by name")
+                out = a.unionByName(b, allowMissingColumns=True)
+                return out.distinct() if query.distinct else out
+            if id(a) in self._shapes or id(b) in self._shapes:
+                raise NotImplementedError("a set operation in a correlated subquery")
             b = b.toDF(*a.columns)
             if query.op == "union":
                 return a.union(b).distinct() if query.distinct else a.union(b)
@@ -162,7 +188,8 @@ class Engine:
                     tail.append(clauses.pop(0))
                 result = self._return(c, tail, state)
                 if clauses:  # NEXT: the result is the table that goes on
-                    state = State(result, {n: Bound("value") for n in result.columns}, outer)
+                    plain = self.shape(result)
+                    state = State(result, {n: Bound("value") for n in plain.columns}, outer, shape=None if plain is result else plain)
             else:
                 state = self._clause(c, state)
         return result if result is not None else state.df
@@ -179,10 +206,17 @@ class Engine:
                 return self._lower(query, state)
             if not isinstance(c, ir.OrderBy):
                 inner = self._clause(c, inner)
-        df = inner.df
-        for condition in inner.pending:
+        return self._settled(inner).df
+
+    @staticmethod
+    def _settled(s: State) -> State:
+        """``s`` with the conditions that waited for the query around put to its rows."""
+        if not s.pending:
+            return s
+        df = s.df
+        for condition in s.pending:
             df = df.where(condition)
-        return df
+        return State(df, s.vars, s.outer, s.lets, [], s.plain)
 
     def _where(self, condition, s: State) -> State:
         """``s`` filtered; a condition on the query around waits for the end."""
@@ -190,11 +224,13 @@ class Engine:
         names = {p.var for p in ir.find_all(condition, ir.Prop)} | {v.name for v in ir.find_all(condition, ir.Var)}
         inside = {n.var for q in ir.find_all(condition, ir.Match) for n in ir.find_all(q, (ir.NodePat, ir.RelPat))}
         if names - set(s.vars) - inside - set(s.lets) and s.outer is not None:
-            return State(s.df, s.vars, s.outer, s.lets, [*s.pending, c])
-        return State(s.df.where(c), s.vars, s.outer, s.lets, s.pending)
+            return State(s.df, s.vars, s.outer, s.lets, [*s.pending, c], s.shape)
+        return State(s.df.where(c), s.vars, s.outer, s.lets, s.pending, s.shape)
 
     # -- clauses
     def _clause(self, c, s: State) -> State:
+        if s.shape is not None and isinstance(c, (ir.Match, ir.CallSub, ir.Unwind, ir.Let)):
+            raise NotImplementedError("a pattern, call or list after WITH or LIMIT in a correlated subquery")
         if isinstance(c, ir.Match):
             return self._match(c, s)
         if isinstance(c, ir.With):
@@ -203,19 +239,23 @@ class Engine:
             return self._where(c.where, s)
         if isinstance(c, ir.OrderBy):
             k = self.compiler(s)
-            return State(s.df.orderBy(*[k.sort_key(x) for x in c.keys]), s.vars, s.outer, s.lets)
+            return State(s.df.orderBy(*[k.sort_key(x) for x in c.keys]), s.vars, s.outer, s.lets, s.pending, s.shape)
         if isinstance(c, (ir.Skip, ir.Limit)):
-            return State(s.df.offset(c.n) if isinstance(c, ir.Skip) else s.df.limit(c.n), s.vars, s.outer, s.lets)
+            s = self._settled(s)
+            return State(s.df.offset(c.n) if isinstance(c, ir.Skip) else s.df.limit(c.n), s.vars, s.outer, s.lets, [], s.shape)
         if isinstance(c, ir.Let):
             if isinstance(c.x, ir.Scalar):  # a value list; IN makes it a semi join
-                return State(s.df, s.vars, s.outer, s.lets | {c.name: c.x.query})
+                return State(s.df, s.vars, s.outer, s.lets | {c.name: c.x.query}, s.pending)
             df = self._table(s).withColumn(c.name, self.compiler(s)(c.x))
-            return State(df, s.vars | {c.name: Bound("value")}, s.outer, s.lets)
+            return State(df, s.vars | {c.name: Bound("value")}, s.outer, s.lets, s.pending)
+        if isinstance(c, ir.Unwind):
+            df = self._table(s).select("*", F.explode(self.compiler(s)(c.x)).alias(c.name))
+            return State(df, s.vars | {c.name: Bound("value")}, s.outer, s.lets, s.pending)
         if isinstance(c, ir.CallSub):
             sub = self._lower(c.query, s if s.df is not None else s.outer)
             correlated = s.df is not None and self._correlated(c.query, s)
             df = sub if s.df is None else s.df.lateralJoin(sub) if correlated else s.df.crossJoin(sub)
-            return State(df, s.vars | {n: Bound("value") for n in sub.columns}, s.outer, s.lets)
+            return State(df, s.vars | {n: Bound("value") for n in self.shape(sub).columns}, s.outer, s.lets, s.pending)
         raise NotImplementedError(type(c).__name__)
 
     def _table(self, s: State) -> DataFrame:
@@ -267,15 +307,36 @@ class Engine:
             state = State(out, vars_, s.outer, s.lets, pending)
             return state if c.where is None else self._where(c.where, state)
         base = self._table(s)
+        if c.where is not None and ir.find_all(c.where, (ir.Exists, ir.In, ir.Scalar)):
+            return State(self._optional_with_subquery(c.where, base, other, on, shared, vars_, s), vars_, s.outer, s.lets, pending)
         if c.where is not None:
             both = State(base.join(other, on) if shared else base.crossJoin(other), vars_, s.outer, s.lets)
-            if ir.find_all(c.where, (ir.Exists, ir.In, ir.Scalar)):
-                # Subqueries cannot stand in a join condition: they filter the pattern's own rows.
-                inner = State(other, {v: b for v, b in vars_.items() if v not in shared}, s.outer, s.lets)
-                other = other.where(self.compiler(inner).boolean(c.where))
-            else:
-                on = on & self.compiler(both).boolean(c.where)
-        return State(base.join(other, on, "left").drop(*drop), vars_, s.outer, s.lets)
+            on = on & self.compiler(both).boolean(c.where)
+        return State(base.join(other, on, "left").drop(*drop), vars_, s.outer, s.lets, pending)
+
+    def _optional_with_subquery(self, where, base: DataFrame, other: DataFrame, on: Column, shared: list[str], vars_: dict[str, Bound], s: State) -> DataFrame:
+        """``base`` with the rows of ``other`` for which ``where`` holds, or nulls.
+
+        Subqueries cannot stand in a join condition. Where they only look at the pattern they
+        filter its rows; else what the condition knows of ``base`` is joined, each combination
+        once, filtered, and met by ``base`` again.
+        """
+        drop = [x for x in other.columns if x.startswith("_m_")]
+        names = {p.var for p in ir.find_all(where, ir.Prop)} | {v.name for v in ir.find_all(where, ir.Var)} | {n.var for n in ir.find_all(where, (ir.NodePat, ir.RelPat))}
+        used = names & set(s.vars)
+        if not used:
+            inner = State(other, {v: b for v, b in vars_.items() if v not in s.vars}, s.outer, s.lets)
+            return base.join(other.where(self.compiler(inner).boolean(where)), on, "left").drop(*drop)
+        keys = [x for x in base.columns if x.partition("__")[0] in used | set(shared)]
+        pairs = base.select(*[f"`{x}`" for x in keys]).distinct()
+        pairs = (pairs.join(other, on) if shared else pairs.crossJoin(other)).drop(*drop)
+        inner = State(pairs, {v: b for v, b in vars_.items() if v in used or v in shared or v not in s.vars}, s.outer, s.lets)
+        pairs = pairs.where(self.compiler(inner).boolean(where))
+        met = pairs.select(*[F.col(f"`{x}`").alias(f"_k{i}") for i, x in enumerate(keys)], *[f"`{x}`" for x in pairs.columns if x not in keys])
+        again = F.lit(True)
+        for i, x in enumerate(keys):
+            again = again & F.col(f"`{x}`").eqNullSafe(F.col(f"_k{i}"))
+        return base.join(met, again, "left").drop(*[f"_k{i}" for i in range(len(keys))])
 
     # -- projection
     def _name(self, i: ir.Item, k: int) -> str:
@@ -293,7 +354,7 @@ class Engine:
         if b.kind in ("value", "path"):
             return Scope(self, s).var(name)
         ids = ["id"] if b.kind == "node" else ["eid", "src", "dst"]
-        own = [x for x in s.df.columns if x.startswith(f"{name}__") and not x.startswith(f"{name}___")]
+        own = [x for x in s.plain.columns if x.startswith(f"{name}__") and not x.startswith(f"{name}___")]
         return F.when(
             F.col(f"{name}___{ids[0]}").isNotNull(),
             F.struct(*[F.col(f"{name}___{i}").alias(f"_{i}") for i in ids], *[F.col(x).alias(x[len(name) + 2 :]) for x in own]),
@@ -308,8 +369,9 @@ class Engine:
                 out.append(i)
         return tuple(out)
 
-    def _aggregated(self, items: tuple[ir.Item, ...], by: tuple | None, extra: tuple, s: State) -> tuple[State, dict]:
+    def _aggregated(self, items: tuple[ir.Item, ...], by: tuple | None, extra: tuple, s: State, grouping=None) -> tuple[State, dict]:
         """Groups: the state after it and, for each grouped or aggregated expression, its variable."""
+        s = self._settled(s)
         keys = tuple(by) if by else tuple(i.x for i in items if not has_aggregate(i.x))
         aliases = {i.alias: i.x for i in items if i.alias}
         keys = tuple(aliases.get(x.name, x) if isinstance(x, ir.Var) and x.name not in s.vars else x for x in keys)
@@ -320,7 +382,7 @@ class Engine:
         grouped, named_by, vars_ = [], {}, {}
         for n, x in enumerate(keys):
             if isinstance(x, ir.Var) and s.vars.get(x.name, Bound("value")).kind in ("node", "edge"):
-                grouped += [F.col(f"`{c}`") for c in s.df.columns if c.startswith(f"{x.name}__")]
+                grouped += [F.col(f"`{c}`") for c in s.plain.columns if c.startswith(f"{x.name}__")]
                 vars_[x.name] = s.vars[x.name]
             else:
                 grouped.append(k(x).alias(f"_g{n}"))
@@ -331,8 +393,19 @@ class Engine:
             vars_[f"_a{n}"] = Bound("value")
         # Without an aggregate, grouping is taking distinct keys.
         aggs = [k(x).alias(f"_a{n}") for n, x in enumerate(calls)] or [F.count(F.lit(1)).alias("_a")]
-        df = s.df.groupBy(*grouped).agg(*aggs) if grouped else s.df.agg(*aggs)
-        return State(df, vars_, s.outer, s.lets), named_by
+
+        def groups(df: DataFrame) -> DataFrame:
+            if grouping is None:
+                return df.groupBy(*grouped).agg(*aggs) if grouped else df.select(*aggs)
+            if isinstance(grouping, str):
+                return getattr(df, grouping)(*grouped).agg(*aggs)
+            # Grouping sets name columns, so keys become columns first.
+            own = [f"_g{n}" for n in range(len(keys))]
+            return df.select("*", *grouped).groupingSets([[own[k] for k in x] for x in grouping], *own).agg(*aggs)
+
+        if s.shape is not None and grouped:
+            raise NotImplementedError("groups in a correlated subquery")
+        return State(groups(s.df), vars_, s.outer, s.lets, [], None if s.shape is None else groups(s.shape)), named_by
 
     @staticmethod
     def _replaced(x, names: dict):
@@ -340,13 +413,13 @@ class Engine:
             return names[x]
         return ir.transform(x, lambda y: names.get(y, y))
 
-    def _project(self, items: tuple[ir.Item, ...], distinct: bool, by: tuple | None, keys: list[ir.Key], s: State) -> tuple[DataFrame, list[Column]]:
+    def _project(self, items: tuple[ir.Item, ...], distinct: bool, by: tuple | None, keys: list[ir.Key], s: State, grouping=None) -> tuple[DataFrame, list[Column]]:
         """Projected rows, with hidden columns for sort keys, and the sort order."""
         items = self._columns(items, s)
         names = [self._name(i, k) for k, i in enumerate(items)]
         order_x = [k.x for k in keys]
         if by or any(has_aggregate(i.x) for i in items) or any(map(has_aggregate, order_x)):
-            s, named_by = self._aggregated(items, by, tuple(order_x), s)
+            s, named_by = self._aggregated(items, by, tuple(order_x), s, grouping)
             whole = items
             items = tuple(ir.Item(self._replaced(i.x, named_by), n) for i, n in zip(items, names, strict=True))
             order_x = [x if isinstance(x, ir.Var) and x.name in names else next((ir.Var(n) for i, n in zip(whole, names, strict=True) if i.x == x), self._replaced(x, named_by)) for x in order_x]
@@ -366,15 +439,23 @@ class Engine:
                 x = ir.transform(x, lambda y, given=given: given.get(y.name, y) if isinstance(y, ir.Var) and y.name not in s.vars else y)
                 hidden.append(k(x).alias(f"_s{n}"))
                 order.append(ordered(F.col(f"_s{n}"), key))
-        table = self._table(s)
-        for condition in s.pending:
-            table = table.where(condition)
-        out = table.select(*cols, *hidden)
-        return (out.distinct() if distinct else out), order
+        s = self._settled(s)
+        made = lambda df: df.select(*cols, *hidden).distinct() if distinct else df.select(*cols, *hidden)
+        out = made(self._table(s))
+        if s.shape is not None:
+            self._shapes[id(out)] = (out, made(s.shape))
+        return out, order
 
     def _return(self, c: ir.Return, tail: list, s: State) -> DataFrame:
         keys = [k for t in tail if isinstance(t, ir.OrderBy) for k in t.keys]
-        df, order = self._project(c.items, c.distinct, c.group_by, keys, s)
+        items = c.items
+        if c.qualify is not None:  # returned names stand for what they return
+            given = {i.alias: i.x for i in items if i.alias and i.alias not in s.vars}
+            items = (*items, ir.Item(ir.transform(c.qualify, lambda y: given.get(y.name, y) if isinstance(y, ir.Var) else y), "_qualify"))
+        df, order = self._project(items, c.distinct, c.group_by, keys, s, c.grouping)
+        plain, correlated = self.shape(df), id(df) in self._shapes
+        if c.qualify is not None:
+            df, plain = df.where("_qualify").drop("_qualify"), plain.drop("_qualify")
         if order:
             df = df.orderBy(*order)
         for t in tail:
@@ -382,14 +463,18 @@ class Engine:
                 df = df.offset(t.n)
             elif isinstance(t, ir.Limit):
                 df = df.limit(t.n)
-        hidden = [c for c in df.columns if c.startswith("_s") and c[2:].isdigit()]
-        return df.drop(*hidden) if hidden else df
+        hidden = [c for c in plain.columns if c.startswith("_s") and c[2:].isdigit()]
+        if hidden:
+            df, plain = df.drop(*hidden), plain.drop(*hidden)
+        if correlated:
+            self._shapes[id(df)] = (df, plain)
+        return df
 
     def _with(self, c: ir.With, s: State) -> State:
         items = c.items
         if any(isinstance(i.x, ir.Star) for i in items):
             items = (*[ir.Item(ir.Var(v), v) for v in s.vars], *[i for i in items if not isinstance(i.x, ir.Star)])
-        source = s
+        source = s = self._settled(s)
         if any(has_aggregate(i.x) for i in items):
             source, named_by = self._aggregated(items, None, (), s)
             items = tuple(ir.Item(self._replaced(i.x, named_by), self._name(i, k)) for k, i in enumerate(items))
@@ -400,11 +485,10 @@ class Engine:
                 old = i.x.name
                 vars_[name] = source.vars[old]
                 if source.vars[old].kind != "path":
-                    cols += [F.col(f"`{x}`").alias(name + x[len(old) :]) for x in source.df.columns if x.startswith(f"{old}__")]
+                    cols += [F.col(f"`{x}`").alias(name + x[len(old) :]) for x in source.plain.columns if x.startswith(f"{old}__")]
             else:
                 cols.append(k(i.x).alias(name))
                 vars_[name] = Bound("value")
-        df = self._table(source).select(*cols)
-        df = df.distinct() if c.distinct else df
-        state = State(df, vars_, s.outer, s.lets)
-        return state if c.where is None else State(df.where(self.compiler(state).boolean(c.where)), vars_, s.outer, s.lets)
+        made = lambda df: df.select(*cols).distinct() if c.distinct else df.select(*cols)
+        state = State(made(self._table(source)), vars_, s.outer, s.lets, [], None if source.shape is None else made(source.shape))
+        return state if c.where is None else self._where(c.where, state)

@@ -19,8 +19,8 @@ def graph(spark):
 
 @pytest.fixture(scope="module")
 def run(spark, graph):
-    def rows(text, **kw):
-        df = Engine(spark, graph, **kw).query(text)
+    def rows(text, params=None, **kw):
+        df = Engine(spark, graph, **kw).query(text, params=params)
         return sorted((tuple(r) for r in df.collect()), key=str)
 
     return rows
@@ -63,6 +63,65 @@ def test_exists_with_an_outer_property(run):
     assert run("MATCH (a:Person) WHERE NOT EXISTS { MATCH (b:Person) WHERE b.age < a.age } RETURN a.id AS a") == [(2,), (4,)]
 
 
+def test_correlated_scalar_subqueries(run):
+    assert run("MATCH (a:Person) RETURN a.id AS a, VALUE { MATCH (a)-[:KNOWS]->(b) WHERE b.id <> 4 RETURN count(b) AS n } AS n") == [(1, 1), (2, 1), (3, 1), (4, 0)]
+    assert run("MATCH (a:Person) RETURN a.id AS a, VALUE { MATCH (b:Person) WHERE b.age = a.age RETURN max(b.name) AS n } AS n") == [(1, "Ann"), (2, None), (3, None), (4, "a%b")]
+    assert run("MATCH (a:Person) WHERE VALUE { MATCH (a)-[:KNOWS]->(b) RETURN sum(b.age) AS s } = 7 RETURN a.id AS a") == [(2,)]
+    assert run("MATCH (a:Person) RETURN a.id AS a, COUNT { MATCH (b:Person) WHERE b.id < a.id RETURN b } AS n") == [(1, 0), (2, 1), (3, 2), (4, 3)]
+    assert run("MATCH (a:Person) WHERE a.id = 1 RETURN VALUE { MATCH (a)-[:KNOWS]->(b) WITH b.age AS g, b.id AS i WHERE i > 0 RETURN max(i) AS m } AS m") == [(2,)]
+    with pytest.raises(NotImplementedError):
+        run("MATCH (a:Person) RETURN VALUE { MATCH (a)-[:KNOWS]->(b) WITH b MATCH (b)-[:KNOWS]->(c) RETURN count(c) AS n } AS n")
+
+
+def test_optional_match_with_a_subquery_on_both_sides(run):
+    text = "MATCH (a:Person) OPTIONAL MATCH (a)-[:KNOWS]->(b) WHERE {} RETURN a.id AS a, b.id AS b"
+    assert run(text.format("EXISTS { MATCH (b)-[:KNOWS]->(c) WHERE c.id > a.id }")) == [(1, 2), (2, None), (3, None), (4, None)]
+    assert run(text.format("NOT EXISTS { MATCH (b)-[:KNOWS]->(c) WHERE c.id > a.id }")) == [(1, None), (2, 3), (3, 1), (4, 4)]
+    assert run(text.format("b.age IN COLLECT { MATCH (c:Person) WHERE c.id = 3 RETURN c.age AS g }")) == [(1, None), (2, 3), (3, None), (4, None)]
+
+
+def test_lists_of_several_classes(run):
+    assert run("MATCH (a:Person) WHERE a.name IN ['Ann', 1] RETURN a.id AS a") == [(1,)]
+    assert run("MATCH (a:Person) WHERE a.age IN ['7', 30, 0.0] RETURN a.id AS a") == [(1,), (3,), (4,)]
+    assert run("MATCH (a:Person) WHERE NOT a.name IN ['Ann', 1] RETURN a.id AS a") == []  # whether 'bob' is 1 is unknown
+    assert run("MATCH (a:Person) WHERE a.id IN $ids RETURN a.id AS a", params={"ids": [1, 4]}) == [(1,), (4,)]
+
+
+def test_unwind_windows_and_group_sets(run):
+    assert run("UNWIND [1, 2] AS x MATCH (a:Person) WHERE a.id = x RETURN x, a.name AS n") == [(1, "Ann"), (2, "bob")]
+    named = run("MATCH (a:Person) RETURN a.id AS a, count(*) OVER w AS n, row_number() OVER (ORDER BY a.id) AS r WINDOW w AS () QUALIFY r > 2")
+    assert named == [(3, 4, 3), (4, 4, 4)]
+    assert run("MATCH (a:Person) RETURN a.id > 2 AS k, count(*) AS n GROUP BY ROLLUP (a.id > 2)") == [(False, 2), (None, 4), (True, 2)]
+    assert run("MATCH (a:Person) RETURN a.id AS x UNION ALL BY NAME MATCH (a:Person) WHERE a.id = 1 RETURN a.age AS y, a.id AS x") == [(1, 30), (1, None), (2, None), (3, None), (4, None)]
+    with pytest.raises(ValueError, match="no window"):
+        run("MATCH (a:Person) RETURN count(*) OVER w AS n")
+
+
+def test_functions_of_time_and_unknown_names(run):
+    text = "MATCH (a:Person) WHERE a.id = 1 RETURN {} AS x"
+    assert run(text.format("timestampdiff('hh', localdatetime('2020-01-01'), localdatetime('2020-01-02T03:30:00'))")) == [(27,)]
+    assert run(text.format("timestampdiff(MONTH, '2020-01-31', '2020-03-01')")) == [(1,)]
+    assert run(text.format("time('2020-01-02T03:04:05')")) == [("03:04:05",)]
+    assert run(text.format("julianday('2000-01-01T12:00:00')")) == [(2451545.0,)]
+    assert run(text.format("join(sort([3, 1, 2]), '-')")) == [("1-2-3",)]
+    assert run(text.format("upper('x') || initcap('ab')")) == [("XAb",)]
+    assert run(text.format("substr('abcde', 4, -2)")) == [("bc",)] and run(text.format("substr('abcde', 4, -2)"), compat=True) == [("cd",)]
+    assert run(text.format("substr('abcde', 0, 2)"), compat=True) == [("",)]
+    with pytest.raises(ValueError, match="no function"):
+        run(text.format("reflect('java.lang.System', 'exit')"))
+
+
+def test_threads_share_an_engine(spark, graph):
+    from concurrent.futures import ThreadPoolExecutor
+
+    e = Engine(spark, graph)
+    texts = [(f"MATCH (a:Person)-[r:KNOWS]->(b) WHERE a.id = {k} RETURN a.name AS n, r.w AS w, date('2020-01-01') AS d", d) for k in (1, 2, 3, 4) for d in ("cypher", "gql")]
+    alone = [e.query(t, d).collect() for t, d in texts]
+    with ThreadPoolExecutor(8) as pool:
+        assert list(pool.map(lambda x: e.query(*x).collect(), texts)) == alone
+    assert e.dialect == "cypher"
+
+
 def test_like_and_regex(run):
     assert run("MATCH (a:Person) WHERE like(a.name, 'A%') RETURN a.id AS a") == [(1,), (4,)]
     assert run("MATCH (a:Person) WHERE like(a.name, 'A%') RETURN a.id AS a", dialect="gql") == [(1,)]
