@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from itertools import permutations, product
+from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -65,12 +65,19 @@ def _assignments(fx: list[tuple], fy: list[tuple]) -> Iterator[list[int]]:
         groups.setdefault(f, ([], []))[1].append(j)
     if any(len(a) != len(b) for a, b in groups.values()):
         return
-    for choice in product(*[permutations(b) for _, b in groups.values()]):
-        out = [0] * len(fx)
-        for (a, _), own in zip(groups.values(), choice, strict=True):
+    waiting = list(groups.values())
+
+    def fill(k: int, out: list[int]) -> Iterator[list[int]]:
+        if k == len(waiting):
+            yield list(out)
+            return
+        a, b = waiting[k]
+        for own in permutations(b):
             for i, j in zip(a, own, strict=True):
                 out[i] = j
-        yield out
+            yield from fill(k + 1, out)
+
+    yield from fill(0, [0] * len(fx))
 
 
 def _same_bag(a: DataFrame, b: DataFrame) -> bool:

@@ -409,9 +409,8 @@ class Engine:
 
     @staticmethod
     def _replaced(x, names: dict):
-        if x in names:
-            return names[x]
-        return ir.transform(x, lambda y: names.get(y, y))
+        # Outermost first: an aggregate of a grouping key is an aggregate.
+        return ir.replaced(x, names)
 
     def _project(self, items: tuple[ir.Item, ...], distinct: bool, by: tuple | None, keys: list[ir.Key], s: State, grouping=None) -> tuple[DataFrame, list[Column]]:
         """Projected rows, with hidden columns for sort keys, and the sort order."""

@@ -9,16 +9,19 @@ from pyspark.sql import functions as F
 
 from quillgraph.catalog import ForeignKey
 from quillgraph.evaluation import execution_accuracy, rollup
-from quillgraph.functions.expressions import Compiler
+from quillgraph.functions.expressions import Compiler, attribute_string, cosine, numeric_similarity
 from quillgraph.operators.relational import (
-    cardinality_violations, constraint_violations, degrees, distinct_on, missing_ends, similarity_top_k, top_k, unique_violations,
+    cardinality_violations, closure, cluster_by, constraint_violations, degrees, distinct_on, distribute_by, label_frequency, missing_ends, pivoted, similarity_matrix, similarity_top_k,
+    sort_by, top_k, unique_repaired, unique_violations, unpivoted,
 )
 from quillgraph.plans import ir
+from quillgraph.plans.build import col, func, select, star, table
 from quillgraph.plans.engine import Engine
 from quillgraph.plans.rel2graph import Edge, Join, Table, join_frames, pattern
+from quillgraph.plans.rel2graph import query as join_query
 from quillgraph.sources.fixtures import star_graph
-from quillgraph.sources.ingest import fk_edges, jt_edges
-from quillgraph.streaming.events import sessions, windowed_counts
+from quillgraph.sources.ingest import coerced, declared_type, fk_edges, jt_edges
+from quillgraph.streaming.events import read_events, sessions, streamed, windowed_counts
 
 #: name -> (graph text, dialect, match mode, SQL)
 TEXTS: dict[str, tuple[str, str, str, str]] = {}
@@ -59,7 +62,7 @@ _add("gql_match", "MATCH (c@`Customer`)-[p@`PLACED`]->(o@`Orders`) WHERE o.o_tot
 _add("several_labels", "MATCH (x:Customer:Supplier) RETURN x.c_custkey AS c, x.s_name AS s", "SELECT c_custkey AS c, s_name AS s FROM customer JOIN supplier ON c_custkey=s_suppkey")
 
 # Predicates
-_add("like_ci", "MATCH (p:Part) WHERE like(p.p_name, '%PART_1%') RETURN p.p_partkey AS p", "SELECT p_partkey AS p FROM part WHERE p_name ILIKE '%PART_1%'")
+_add("like_ci", "MATCH (p:Part) WHERE like(p.p_name, '%WIDGET%') RETURN p.p_partkey AS p", "SELECT p_partkey AS p FROM part WHERE p_name ILIKE '%WIDGET%'")
 _add("like_cs", "MATCH (p:Part) WHERE like(p.p_type, '%A%') RETURN p.p_partkey AS p", "SELECT p_partkey AS p FROM part WHERE p_type LIKE '%A%'", dialect="gql")
 _add("regex_full", "MATCH (c:Customer) WHERE c.c_name =~ '.*[02468]$' RETURN c.c_custkey AS c", "SELECT c_custkey AS c FROM customer WHERE regexp_full_match(c_name, '.*[02468]')")
 _add("text_tests", "MATCH (c:Customer) RETURN c.c_custkey AS c, c.c_name CONTAINS '12' AS a, c.c_name STARTS WITH 'Cust' AS b, c.c_name ENDS WITH '7' AS d", "SELECT c_custkey AS c, contains(c_name,'12') AS a, starts_with(c_name,'Cust') AS b, ends_with(c_name,'7') AS d FROM customer")
@@ -80,6 +83,15 @@ _add("scalar_sub_select", "MATCH (r:Region) RETURN r.r_name AS r, VALUE { MATCH
 _add("derived_table", "CALL (*) { MATCH (n:Nation) RETURN n.n_name AS nm, n.n_nationkey AS nk } MATCH (c:Customer) WHERE c.c_nationkey = nk RETURN nm, count(c) AS k", "SELECT n_name AS nm, count(*) AS k FROM (SELECT n_name, n_nationkey FROM nation) JOIN customer ON c_nationkey=n_nationkey GROUP BY 1")
 _add("cte", "CALL (*) { MATCH (o:Orders) WITH o.o_custkey AS ck, sum(o.o_totalprice) AS total RETURN ck, round(total, 2) AS total } CALL (*) { MATCH (c:Customer) WHERE c.c_acctbal > 5000 RETURN c.c_custkey AS k } WITH * WHERE ck = k RETURN ck, total", "WITH t AS (SELECT o_custkey AS ck, round(sum(o_totalprice),2) AS total FROM orders GROUP BY 1), u AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal>5000) SELECT ck, total FROM t JOIN u ON ck=k")
 
+_add("correlated_scalar", "MATCH (c:Customer) RETURN c.c_custkey AS c, VALUE { MATCH (c)-[:PLACED]->(o:Orders) WHERE o.o_totalprice > 400000 RETURN count(o) AS n } AS n", "SELECT c_custkey AS c, (SELECT count(*) FROM orders WHERE o_custkey=c_custkey AND o_totalprice>400000) AS n FROM customer")
+_add("correlated_scalar_where", "MATCH (c:Customer) WHERE c.c_acctbal > VALUE { MATCH (x:Customer) WHERE x.c_nationkey = c.c_nationkey RETURN avg(x.c_acctbal) AS a } RETURN c.c_custkey AS c", "SELECT c_custkey AS c FROM customer c WHERE c_acctbal > (SELECT avg(x.c_acctbal) FROM customer x WHERE x.c_nationkey=c.c_nationkey)")
+_add("optional_exists", "MATCH (n:Nation) OPTIONAL MATCH (n)<-[:SUPPLIER_IN]-(s:Supplier) WHERE EXISTS { MATCH (c:Customer) WHERE c.c_nationkey = n.n_nationkey AND c.c_custkey = s.s_suppkey } RETURN n.n_name AS n, s.s_suppkey AS s", "SELECT n_name AS n, s_suppkey AS s FROM nation LEFT JOIN supplier ON s_nationkey=n_nationkey AND EXISTS (SELECT 1 FROM customer WHERE c_nationkey=n_nationkey AND c_custkey=s_suppkey)")
+_add("in_mixed", "MATCH (n:Nation) WHERE n.n_nationkey IN ['3', 5, 7.0, 'none'] RETURN n.n_nationkey AS n", "SELECT n_nationkey AS n FROM nation WHERE n_nationkey IN (3, 5, 7)")
+_add("xor", "MATCH (n:Nation) WHERE n.n_regionkey = 1 XOR n.n_nationkey < 5 RETURN n.n_name AS n", "SELECT n_name AS n FROM nation WHERE (n_regionkey=1) <> (n_nationkey<5)")
+_add("return_star", "MATCH (r:Region) WITH r.r_regionkey AS k, r.r_name AS n RETURN *", "SELECT r_regionkey AS k, r_name AS n FROM region")
+_add("nested_subqueries", "MATCH (c:Customer) WHERE c.c_nationkey IN COLLECT { MATCH (n:Nation) WHERE n.n_regionkey IN COLLECT { MATCH (r:Region) WHERE r.r_name STARTS WITH 'A' RETURN r.r_regionkey AS k } RETURN n.n_nationkey AS k } RETURN c.c_custkey AS c", "SELECT c_custkey AS c FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%'))")
+_add("unwind", "UNWIND [1, 3, 99] AS k MATCH (r:Region) WHERE r.r_regionkey = k RETURN k, r.r_name AS n", "SELECT r_regionkey AS k, r_name AS n FROM region WHERE r_regionkey IN (1,3)")
+
 # Conditions
 _add("case_searched", "MATCH (c:Customer) RETURN c.c_custkey AS c, CASE WHEN c.c_acctbal < 0 THEN 'debt' WHEN c.c_acctbal < 5000 THEN 'some' ELSE 'much' END AS w", "SELECT c_custkey AS c, CASE WHEN c_acctbal<0 THEN 'debt' WHEN c_acctbal<5000 THEN 'some' ELSE 'much' END AS w FROM customer")
 _add("case_simple", "MATCH (o:Orders) RETURN o.o_orderkey AS o, CASE o.o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 END AS s", "SELECT o_orderkey AS o, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 END AS s FROM orders")
@@ -100,7 +112,14 @@ _add("agg_expression", "MATCH (o:Orders) RETURN o.o_orderpriority AS p, round(ma
 _add("agg_in_order", "MATCH (c:Customer) RETURN c.c_nationkey AS n ORDER BY count(c) DESC, c.c_nationkey LIMIT 4", "SELECT c_nationkey AS n FROM customer GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 4")
 _add("group_node", "MATCH (n:Nation)<-[:CUSTOMER_IN]-(c) WITH n, count(c) AS k MATCH (n)-[:IN_REGION]->(r:Region) RETURN r.r_name AS r, n.n_name AS n, k", "SELECT r_name AS r, n_name AS n, k FROM (SELECT c_nationkey, count(*) AS k FROM customer GROUP BY 1) JOIN nation ON n_nationkey=c_nationkey JOIN region ON r_regionkey=n_regionkey")
 
+_add("collect_sorted", "MATCH (n:Nation) RETURN n.n_regionkey AS r, join(sort(collect(n.n_nationkey)), ',') AS ks, size(collect(DISTINCT n.n_regionkey)) AS one", "SELECT n_regionkey AS r, string_agg(n_nationkey, ',' ORDER BY n_nationkey) AS ks, CAST(1 AS BIGINT) AS one FROM nation GROUP BY 1")
+_add("rollup_text", "MATCH (o:Orders) RETURN o.o_orderstatus AS s, o.o_orderpriority AS p, count(*) AS k, max(o.o_totalprice) AS m GROUP BY ROLLUP (o.o_orderstatus, o.o_orderpriority)", "SELECT o_orderstatus AS s, o_orderpriority AS p, count(*) AS k, max(o_totalprice) AS m FROM orders GROUP BY ROLLUP(1,2)")
+_add("cube_text", "MATCH (c:Customer) RETURN c.c_nationkey AS n, c.c_mktsegment AS s, count(*) AS k GROUP BY CUBE (c.c_nationkey, c.c_mktsegment)", "SELECT c_nationkey AS n, c_mktsegment AS s, count(*) AS k FROM customer GROUP BY CUBE(1,2)")
+_add("grouping_sets_text", "MATCH (c:Customer) RETURN c.c_nationkey AS n, c.c_mktsegment AS s, count(*) AS k GROUP BY GROUPING SETS ((c.c_nationkey), (c.c_mktsegment), ())", "SELECT c_nationkey AS n, c_mktsegment AS s, count(*) AS k FROM customer GROUP BY GROUPING SETS ((1),(2),())")
+
 # Windows
+_add("named_window", "MATCH (c:Customer) RETURN c.c_custkey AS c, max(c.c_acctbal) OVER w AS m, count(*) OVER w AS k WINDOW w AS (PARTITION BY c.c_nationkey)", "SELECT c_custkey AS c, max(c_acctbal) OVER w AS m, count(*) OVER w AS k FROM customer WINDOW w AS (PARTITION BY c_nationkey)")
+_add("qualify_clause", "MATCH (o:Orders) RETURN o.o_custkey AS c, o.o_orderkey AS o QUALIFY row_number() OVER (PARTITION BY o.o_custkey ORDER BY o.o_totalprice, o.o_orderkey) = 1", "SELECT o_custkey AS c, o_orderkey AS o FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) = 1")
 _add("rank", "MATCH (c:Customer) RETURN c.c_custkey AS c, rank() OVER (PARTITION BY c.c_nationkey ORDER BY c.c_acctbal DESC) AS r", "SELECT c_custkey AS c, CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) AS INTEGER) AS r FROM customer")
 _add("row_number", "MATCH (o:Orders) RETURN o.o_orderkey AS o, row_number() OVER (PARTITION BY o.o_custkey ORDER BY o.o_totalprice DESC, o.o_orderkey) AS r", "SELECT o_orderkey AS o, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS r FROM orders")
 _add("window_sum", "MATCH (c:Customer) RETURN c.c_custkey AS c, count(*) OVER (PARTITION BY c.c_nationkey) AS k, max(c.c_acctbal) OVER (PARTITION BY c.c_mktsegment) AS m", "SELECT c_custkey AS c, count(*) OVER (PARTITION BY c_nationkey) AS k, max(c_acctbal) OVER (PARTITION BY c_mktsegment) AS m FROM customer")
@@ -121,7 +140,11 @@ for _op in ("UNION ALL", "UNION", "INTERSECT", "EXCEPT", "INTERSECT ALL", "EXCEP
     _add("set_" + _op.lower().replace(" ", "_"), f"{_NAMES[0]} {_op} {_NAMES[1]}", f"{_SQLS[0]} {_op} {_SQLS[1]}")
 _add("gql_set_braces", "{MATCH (n@Nation) RETURN n.n_name AS k} UNION DISTINCT {MATCH (r@Region) RETURN r.r_name AS k} ORDER BY k LIMIT 9", "SELECT n_name AS k FROM nation UNION SELECT r_name FROM region ORDER BY k LIMIT 9", dialect="gql")
 
+_add("union_by_name", "MATCH (n:Nation) RETURN n.n_name AS a, n.n_regionkey AS b UNION ALL BY NAME MATCH (r:Region) RETURN r.r_regionkey AS b, r.r_name AS a", "SELECT n_name AS a, n_regionkey AS b FROM nation UNION ALL BY NAME SELECT r_regionkey AS b, r_name AS a FROM region")
+
 # Scalar functions
+_add("time_functions", "MATCH (o:Orders) RETURN o.o_orderkey AS o, timestampdiff('mon', localdatetime('1990-01-15'), o.o_orderdate) AS m, timestampdiff(DAY, localdatetime('1996-01-01'), o.o_orderdate) AS d, time(o.o_orderdate) AS t, localdatetime('now') > o.o_orderdate AS past", "SELECT o_orderkey AS o, datesub('month', TIMESTAMP '1990-01-15', CAST(o_orderdate AS TIMESTAMP)) AS m, datesub('day', TIMESTAMP '1996-01-01', CAST(o_orderdate AS TIMESTAMP)) AS d, strftime(o_orderdate, '%H:%M:%S') AS t, true AS past FROM orders")
+_add("integer_division", "MATCH (n:Nation) RETURN n.n_nationkey AS n, div(n.n_nationkey, n.n_regionkey) AS d, n.n_nationkey ^ 2 AS p", "SELECT n_nationkey AS n, CASE WHEN n_regionkey=0 THEN NULL ELSE CAST(n_nationkey//n_regionkey AS BIGINT) END AS d, pow(n_nationkey,2) AS p FROM nation")
 _add("substr_branches", "MATCH (c:Customer) RETURN c.c_custkey AS c, substr(c.c_name, 3) AS a, substr(c.c_name, 2, 4) AS b, substr(c.c_name, -3) AS d, substr(c.c_name, -5, 2) AS e, substr(c.c_name, 4, -2) AS f, substr(c.c_name, 0, 2) AS g, substring(c.c_name, 1, 3) AS h", "SELECT c_custkey AS c, c_name[3:] AS a, c_name[2:5] AS b, c_name[-3:] AS d, c_name[length(c_name)-4:length(c_name)-3] AS e, c_name[2:3] AS f, c_name[1:1] AS g, c_name[2:4] AS h FROM customer")
 _add("text_functions", "MATCH (c:Customer) RETURN c.c_custkey AS c, apoc.text.indexOf(c.c_name, 'm') + 1 AS i, replace(c.c_name, 'Customer', 'X') AS r, trim(BOTH 'C' FROM c.c_name) AS t, c.c_name || '-' || c.c_mktsegment AS j, toUpper(c.c_name) AS u, toLower(c.c_name) AS l, SIZE(c.c_name) AS s, char_length(c.c_custkey) AS n", "SELECT c_custkey AS c, CAST(instr(c_name,'m') AS BIGINT) AS i, replace(c_name,'Customer','X') AS r, trim(c_name,'C') AS t, c_name||'-'||c_mktsegment AS j, upper(c_name) AS u, lower(c_name) AS l, CAST(length(c_name) AS BIGINT) AS s, CAST(length(CAST(c_custkey AS VARCHAR)) AS BIGINT) AS n FROM customer")
 _add("gql_text_functions", "MATCH (c@Customer) RETURN c.c_custkey AS c, position('m', c.c_name) + 1 AS i, contains(c.c_name, '9') AS k, cast(c.c_acctbal as int) AS n, regexp_like(c.c_name, '.*1.*') AS r", "SELECT c_custkey AS c, CAST(instr(c_name,'m') AS BIGINT) AS i, contains(c_name,'9') AS k, CAST(trunc(c_acctbal) AS BIGINT) AS n, regexp_full_match(c_name,'.*1.*') AS r FROM customer", dialect="gql")
@@ -212,6 +235,36 @@ def _pattern_of_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(spark, star_graph(spark, sf_dir)).run(ir.Single((*clauses, back)))
 
 
+_MANY = [Edge("CONTAINS", "Orders", "Part", ("o_orderkey",), ("p_partkey",), "lineitem", ("l_orderkey",), ("l_partkey",))]
+_KEYS = [Edge("PLACED", "Customer", "Orders", ("c_custkey",), ("o_custkey",)), Edge("SUPPLIER_IN", "Supplier", "Nation", ("s_nationkey",), ("n_nationkey",))]
+
+
+def _query_of_joins(first: Table, joins: list[Join], items: dict[str, str], where=None):
+    """Joins as a graph query."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        back = tuple(ir.Item(_p(x), name) for name, x in items.items())
+        return Engine(spark, star_graph(spark, sf_dir)).run(join_query(first, joins, _MANY + _KEYS, back, where=where))
+
+    return run
+
+
+_BIG = ir.Bin("and", _eq("c.c_custkey", "o.o_custkey"), ir.Bin(">", _p("o.o_totalprice"), ir.Lit(400000)))
+_RICH = ir.Bin("and", _eq("s.s_nationkey", "n.n_nationkey"), ir.Bin(">", _p("s.s_acctbal"), ir.Lit(8000)))
+_frame("pattern_semi", _query_of_joins(Table("Customer", "c"), [Join(Table("Orders", "o"), _BIG, "semi")], {"c": "c.c_custkey"}), "SELECT c_custkey AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey=c_custkey AND o_totalprice>400000)")
+_frame("pattern_anti", _query_of_joins(Table("Customer", "c"), [Join(Table("Orders", "o"), _BIG, "anti")], {"c": "c.c_custkey"}), "SELECT c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey=c_custkey AND o_totalprice>400000)")
+_frame("pattern_full", _query_of_joins(Table("Supplier", "s"), [Join(Table("Nation", "n"), _RICH, "full")], {"s": "s.s_suppkey", "n": "n.n_name"}), "SELECT s_suppkey AS s, n_name AS n FROM supplier FULL JOIN nation ON s_nationkey=n_nationkey AND s_acctbal>8000")
+_frame("pattern_from_only", _query_of_joins(Table("Region", "r"), [], {"r": "r.r_name"}), "SELECT r_name AS r FROM region")
+_frame("join_via_table", _query_of_joins(Table("Orders", "o"), [Join(Table("lineitem", "l"), _eq("o.o_orderkey", "l.l_orderkey")), Join(Table("Part", "p"), _eq("p.p_partkey", "l.l_partkey"))], {"o": "o.o_orderkey", "p": "p.p_partkey", "q": "l.l_quantity"}, ir.Bin(">", _p("p.p_size"), ir.Lit(45))), "SELECT o_orderkey AS o, p_partkey AS p, l_quantity AS q FROM orders JOIN lineitem ON l_orderkey=o_orderkey JOIN part ON p_partkey=l_partkey WHERE p_size>45")
+
+
+def _using(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tables(spark, sf_dir)
+    a, b = t("documents").select("doc_id", "lang"), t("labels").select("doc_id", "quality")
+    return join_frames(a, b, None, "left", using=("doc_id",), hint="merge")
+
+
+_frame("join_using", _using, "SELECT doc_id, lang, quality FROM documents LEFT JOIN labels USING (doc_id)")
+_frame("join_or_left", _joined("left", ir.Bin("or", ir.Bin("or", _eq("a.s_nationkey", "b.c_custkey"), _eq("a.s_suppkey", "b.c_custkey")), _eq("a.s_suppkey", "b.c_nationkey")), _S, _C, "s_suppkey AS s", "c_custkey AS c"), "SELECT s_suppkey AS s, c_custkey AS c FROM supplier LEFT JOIN customer ON s_nationkey=c_custkey OR s_suppkey=c_custkey OR s_suppkey=c_nationkey")
 _frame("join_to_pattern", _pattern_of_joins, "SELECT o_orderkey AS o, n_name AS n FROM customer JOIN orders ON o_custkey=c_custkey LEFT JOIN nation ON n_nationkey=c_nationkey AND n_regionkey=1")
 
 
@@ -262,6 +315,84 @@ _frame("event_windows", lambda spark, d: windowed_counts(_tables(spark, d)("even
 _frame("event_sessions", lambda spark, d: sessions(_tables(spark, d)("events")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n"), "WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events), s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM a) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, g")
 
 
+def _built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query built by calls."""
+    c, n = table("Customer", "c"), table("Nation", "n")
+    q = select(col("n.n_name").as_("nation"), func("count", star()).as_("k")).from_(c).join(n, col("c.c_nationkey") == col("n.n_nationkey")).where(col("c.c_acctbal") > 0)
+    q = q.group_by(col("n.n_name")).having(func("max", col("c.c_acctbal")) > 9000).order_by(col("k").desc(), col("nation")).limit(10)
+    return q.frame(Engine(spark, star_graph(spark, sf_dir)), [Edge("CUSTOMER_IN", "Customer", "Nation", ("c_nationkey",), ("n_nationkey",))])
+
+
+_frame("built_query", _built, "SELECT n_name AS nation, count(*) AS k FROM customer JOIN nation ON n_nationkey=c_nationkey WHERE c_acctbal>0 GROUP BY 1 HAVING max(c_acctbal)>9000 ORDER BY 2 DESC, 1 LIMIT 10")
+
+
+def _built_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = select(col("n.n_regionkey").as_("k")).from_(table("Nation", "n"))
+    q = names.where(col("n.n_regionkey") < 3).union(names.where(col("n.n_regionkey") > 1)).except_(names.where(col("n.n_regionkey") == 4)).order_by("k")
+    return q.frame(Engine(spark, star_graph(spark, sf_dir)))
+
+
+_frame("built_union", _built_union, "SELECT DISTINCT n_regionkey AS k FROM nation WHERE n_regionkey<>4")
+_frame("label_frequency", lambda spark, d: label_frequency(_tables(spark, d)("lineitem"), "l_returnflag"), "SELECT l_returnflag, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, l_returnflag) AS INTEGER) AS rank FROM lineitem GROUP BY 1")
+_frame("unique_repair", lambda spark, d: unique_repaired(_tables(spark, d)("part").select("p_partkey", "p_name"), "p_name", ["p_partkey"], "again_"), "SELECT p_partkey, CASE WHEN row_number() OVER w = 1 THEN p_name ELSE 'again_' || p_name || '_' || row_number() OVER w END AS p_name FROM part WINDOW w AS (PARTITION BY p_name ORDER BY p_partkey)")
+_frame("sort_by", lambda spark, d: sort_by(_tables(spark, d)("nation").select("n_name", "n_regionkey"), "n_regionkey"), "SELECT n_name, n_regionkey FROM nation")
+_frame("distribute_by", lambda spark, d: distribute_by(_tables(spark, d)("nation").select("n_name", "n_regionkey"), "n_regionkey"), "SELECT n_name, n_regionkey FROM nation")
+_frame("cluster_by", lambda spark, d: cluster_by(_tables(spark, d)("orders"), "o_custkey").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("k")), "SELECT o_custkey, count(*) AS k FROM orders GROUP BY 1")
+_frame("pivot", lambda spark, d: pivoted(_tables(spark, d)("orders"), ["o_orderpriority"], "o_orderstatus", ["F", "O", "P"], F.count(F.lit(1))), "SELECT o_orderpriority, nullif(count(*) FILTER (o_orderstatus='F'),0) AS F, nullif(count(*) FILTER (o_orderstatus='O'),0) AS O, nullif(count(*) FILTER (o_orderstatus='P'),0) AS P FROM orders GROUP BY 1")
+_frame("unpivot", lambda spark, d: unpivoted(_tables(spark, d)("nation").select("n_name", "n_nationkey", "n_regionkey"), ["n_name"], ["n_nationkey", "n_regionkey"], "what", "key"), "SELECT n_name, 'n_nationkey' AS what, n_nationkey AS key FROM nation UNION ALL SELECT n_name, 'n_regionkey', n_regionkey FROM nation")
+
+
+def _reached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts reached from the first ones by doubling keys."""
+    t = _tables(spark, sf_dir)("part")
+    edges = t.select(F.col("p_partkey").alias("_src"), (F.col("p_partkey") * 2 + 1).alias("_dst"))
+    return closure(spark, edges, t.where("p_partkey IN (1, 2)").select(F.col("p_partkey").alias("node")), 6)
+
+
+_frame("recursive", _reached, "WITH RECURSIVE r(start, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey IN (1,2) UNION ALL SELECT start, p_partkey*2+1, depth+1 FROM r JOIN part ON p_partkey=node WHERE depth<6) SELECT start, node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY 1, 2")
+
+
+def _cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _tables(spark, sf_dir)("embeddings").where("vec_id < 12")
+    return similarity_matrix(e, e, "vec_id", "embedding").select("from_id", "to_id", F.round("score", 6).alias("score"))
+
+
+_frame("cosine_matrix", _cosines, "SELECT a.vec_id AS from_id, b.vec_id AS to_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id<>b.vec_id WHERE a.vec_id<12 AND b.vec_id<12")
+
+
+def _likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numeric similarity and attribute text of nations' pairs in a region, and a cosine of columns."""
+    n = _tables(spark, sf_dir)("nation")
+    a, b = n.select([F.col(c).alias(f"a_{c}") for c in n.columns]), n.select([F.col(c).alias(f"b_{c}") for c in n.columns])
+    both = a.join(b, (F.col("a_n_regionkey") == F.col("b_n_regionkey")) & (F.col("a_n_nationkey") < F.col("b_n_nationkey")))
+    score = numeric_similarity([(F.col("a_n_nationkey"), F.col("b_n_nationkey"), 24.0), (F.col("a_n_regionkey"), F.col("b_n_regionkey"), 4.0)])
+    angle = cosine(F.array("a_n_nationkey", F.lit(1)), F.array("b_n_nationkey", F.lit(2)))
+    return both.select(attribute_string(["a_n_name", "a_n_regionkey"]).alias("a"), F.col("b_n_name").alias("b"), F.round(score, 6).alias("score"), F.round(angle, 6).alias("angle"))
+
+
+_frame("likeness", _likeness, "SELECT '{a_n_name:' || a.n_name || ',a_n_regionkey:' || a.n_regionkey || '}' AS a, b.n_name AS b, round(1 - (abs(a.n_nationkey-b.n_nationkey)/24.0)/2, 6) AS score, round(list_cosine_similarity([a.n_nationkey::DOUBLE, 1], [b.n_nationkey::DOUBLE, 2]), 6) AS angle FROM nation a JOIN nation b ON a.n_regionkey=b.n_regionkey AND a.n_nationkey<b.n_nationkey")
+
+
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text columns read by their declared types; '' and 'NULL' are null."""
+    o = _tables(spark, sf_dir)("orders").select("o_orderkey", *[F.col(c).cast("string").alias(c) for c in ("o_orderdate", "o_totalprice", "o_custkey")])
+    text = F.when(F.col("o_orderkey") % 7 == 0, F.lit("NULL")).when(F.col("o_orderkey") % 11 == 0, F.lit("")).otherwise(F.col("o_custkey"))
+    return o.select("o_orderkey", coerced(F.col("o_orderdate"), declared_type("DATETIME")).alias("at"), coerced(F.col("o_totalprice"), declared_type("REAL")).alias("price"), coerced(text, declared_type("INTEGER")).alias("customer"))
+
+
+_frame("typed_columns", _typed, "SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS at, o_totalprice AS price, CASE WHEN o_orderkey%7=0 OR o_orderkey%11=0 THEN NULL ELSE o_custkey END AS customer FROM orders")
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of the event stream, all that is there taken by a streaming query."""
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/quillgraph-scratch").rstrip("/")
+    out = streamed(read_events(spark, sf_dir), windowed_counts, f"{folder}/streams")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+
+
+_frame("event_stream", _event_stream, "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value),4) AS total FROM events GROUP BY 1,2")
+
+
 def _verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of query texts and whether their results are the same."""
     e = Engine(spark, star_graph(spark, sf_dir))

@@ -53,25 +53,30 @@ def coerced(c: Column, kind: str) -> Column:
     return clean.try_cast("double")
 
 
-#: Encodings that a file is tried in, one after another.
+#: Encodings that texts of a database are tried in, one after another.
 ENCODINGS = ("utf-8", "cp1252", "iso-8859-1")
 
 
 def read_csv_table(spark: SparkSession, path: str, declared: dict[str, str], encoding: str = "auto") -> DataFrame:
     """A CSV export with the declared column types.
 
-    Without an encoding the first of ENCODINGS is taken in which no character is broken; each
-    try is one pass that ends at the first broken row.
+    Without an encoding it is UTF-8, unless that leaves a broken character (one pass, which
+    ends at the first), and else cp1252: Spark reads that as ISO-8859-1, which differs from it
+    in the places of control characters only.
     """
-    for name in ENCODINGS if encoding == "auto" else (encoding,):
-        raw = spark.read.option("header", True).option("encoding", name).csv(path)
-        last = name == ENCODINGS[-1] or encoding != "auto"
+    def read(name: str) -> DataFrame:
+        return spark.read.option("header", True).option("encoding", "iso-8859-1" if name == "cp1252" else name).csv(path)
+
+    raw, name = read("utf-8" if encoding == "auto" else encoding), encoding
+    if encoding == "auto":
         broken = F.lit(any("\ufffd" in c for c in raw.columns))
         for c in raw.columns:
             broken = broken | F.coalesce(F.col(f"`{c}`").contains("\ufffd"), F.lit(False))
-        if last or raw.where(broken).isEmpty():
-            break
-    return raw.select(*[coerced(F.col(f"`{c}`"), declared_type(declared.get(c))).alias(c.lower()) for c in raw.columns])
+        if not raw.where(broken).isEmpty():
+            raw, name = read("cp1252"), "cp1252"
+    places = {chr(b): bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0)}
+    text = lambda c: F.translate(c, "".join(places), "".join(places.values())) if name == "cp1252" else c
+    return raw.select(*[coerced(text(F.col(f"`{c}`")), declared_type(declared.get(c))).alias(c.lower()) for c in raw.columns])
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,12 @@ def deduplicated(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     return _timed(events, late).dropDuplicatesWithinWatermark(["event_id"])
 
 
+def streamed(events: DataFrame, build, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """``build`` of an event stream, run over all that is there; the result as a table."""
+    name = f"streamed_{uuid.uuid4().hex}"
+    return run_once(build(events), name, f"{checkpoint.rstrip('/')}/{name}", mode)
+
+
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
     """Process all that is there into an in-memory table and return it."""
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -13,6 +13,16 @@ TYPES = ("match", "match_where", "match_where_return", "complete_query", "comple
 # Row limits of templates.
 LIMITS = (1, 5, 10, 20, 50, 100)
 MAX_HOPS = 5
+_TEXT, _NUMBER, _TIME = ("string",), ("int", "float"), ("date", "datetime")
+#: Shapes of conditions, and for which property and path each fits.
+SHAPES = {
+    "compare": lambda q, p: True, "null": lambda q, p: True, "in": lambda q, p: q.type not in _TIME, "and_or": lambda q, p: True, "nested": lambda q, p: True, "xor": lambda q, p: True,
+    "not": lambda q, p: True, "part": lambda q, p: q.type in _TEXT, "regex": lambda q, p: q.type in _TEXT, "size": lambda q, p: q.type in _TEXT,
+    "case_of_letters": lambda q, p: q.type in _TEXT, "cut": lambda q, p: q.type in _TEXT, "trimmed": lambda q, p: q.type in _TEXT, "swapped": lambda q, p: q.type in _TEXT,
+    "between": lambda q, p: q.type in _NUMBER, "case": lambda q, p: q.type in _NUMBER, "math": lambda q, p: q.type in _NUMBER, "absolute": lambda q, p: q.type in _NUMBER,
+    "cast": lambda q, p: q.type in _NUMBER, "given": lambda q, p: q.type in _TEXT + _NUMBER, "truncated": lambda q, p: q.type in _TIME,
+    "exists": lambda q, p: bool(p.rels), "in_query": lambda q, p: q.type in _TEXT + _NUMBER,
+}
 
 
 @dataclass(frozen=True)
@@ -84,46 +94,108 @@ class Templates:
         return ir.Lit(f"{q.name}_{self.random.randint(0, 99999)}" if not q.unique else f"{label.upper()}_{self.random.randint(0, 60):06d}")
 
     def condition(self, p: ir.Path):
-        """One condition: comparisons, text tests, lists, null tests, CASE, EXISTS, and combinations."""
+        """One condition, of a shape in SHAPES that fits a property drawn at random."""
         x, q, label = self._property(p)
-        kind = self.random.randrange(10)
-        v = self._value(q, label)
-        if kind == 0:
-            return ir.IsNull(x, self.random.random() < 0.7)
-        if kind == 1 and q.type == "string" and isinstance(v, ir.Lit):
-            op = self.random.choice(("contains", "starts with", "ends with"))
-            s = str(v.value)
-            return ir.Bin(op, x, ir.Lit(s[:3] if op != "ends with" else s[-2:]))
-        if kind == 2 and q.type == "string" and isinstance(v, ir.Lit):
-            return ir.Bin("=~", x, ir.Lit(".*" + str(v.value)[:2] + ".*"))
-        if kind == 3 and isinstance(v, ir.Lit):
-            more = self._value(q, label)
-            return ir.In(x, (v, more))
-        if kind == 4:
-            a, b = self.condition_simple(p), self.condition_simple(p)
-            return ir.Bin(self.random.choice(("and", "or")), a, b)
-        if kind == 5:
-            return ir.Un("not", self.condition_simple(p))
-        if kind == 6 and q.type in ("int", "float"):
-            return ir.Bin(">", ir.Case(None, ((ir.Bin(">", x, v), ir.Lit(1)),), ir.Lit(0)), ir.Lit(0))
-        if kind == 7 and p.rels:
-            inner = ir.Path(None, (ir.NodePat(p.nodes[0].var, p.nodes[0].labels), ir.NodePat("m1", p.nodes[1].labels)), (ir.RelPat("q0", p.rels[0].types, p.rels[0].direction),))
-            return ir.Exists(ir.Single((ir.Match((inner,)), ir.Return((ir.Item(ir.Lit(1), "one"),)))))
-        if kind == 8 and q.type == "string":
-            return ir.Bin(">", ir.Call("size", (x,)), ir.Lit(self.random.randint(1, 8)))
-        return self.condition_simple(p)
+        fitting = [s for s in SHAPES if SHAPES[s](q, p)]
+        return getattr(self, "_" + self.random.choice(fitting))(p, x, q, label)
 
     def condition_simple(self, p: ir.Path):
-        x, q, label = self._property(p)
+        return self._compare(p, *self._property(p))
+
+    def _word(self, q: Property, label: str) -> str:
+        return str(self._value(q, label).value)
+
+    def _compare(self, p, x, q, label):
         ops = ("=", "<>") if q.type in ("string", "boolean") else ("=", "<>", "<", "<=", ">", ">=")
         return ir.Bin(self.random.choice(ops), x, self._value(q, label))
 
+    def _null(self, p, x, q, label):
+        return ir.IsNull(x, self.random.random() < 0.7)
+
+    def _part(self, p, x, q, label):
+        op, s = self.random.choice(("contains", "starts with", "ends with")), self._word(q, label)
+        return ir.Bin(op, x, ir.Lit(s[:3] if op != "ends with" else s[-2:]))
+
+    def _regex(self, p, x, q, label):
+        return ir.Bin("=~", x, ir.Lit(".*" + self._word(q, label)[:2] + ".*"))
+
+    def _in(self, p, x, q, label):
+        test = ir.In(x, (self._value(q, label), self._value(q, label)))
+        return ir.Un("not", test) if self.random.random() < 0.3 else test
+
+    def _between(self, p, x, q, label):
+        a, b = sorted((self._value(q, label).value, self._value(q, label).value))
+        return ir.Between(x, ir.Lit(a), ir.Lit(b))
+
+    def _and_or(self, p, x, q, label):
+        return ir.Bin(self.random.choice(("and", "or")), self.condition_simple(p), self.condition_simple(p))
+
+    def _nested(self, p, x, q, label):
+        return ir.Bin("and", ir.Bin("or", self.condition_simple(p), self.condition_simple(p)), self.condition_simple(p))
+
+    def _xor(self, p, x, q, label):
+        return ir.Bin("xor", self.condition_simple(p), self.condition_simple(p))
+
+    def _not(self, p, x, q, label):
+        return ir.Un("not", self.condition_simple(p))
+
+    def _case(self, p, x, q, label):
+        return ir.Bin(">", ir.Case(None, ((ir.Bin(">", x, self._value(q, label)), ir.Lit(1)),), ir.Lit(0)), ir.Lit(0))
+
+    def _math(self, p, x, q, label):
+        tree = ir.Bin(self.random.choice(("+", "-")), ir.Bin("*", x, ir.Lit(self.random.randint(2, 9))), ir.Lit(self.random.randint(1, 9)))
+        return ir.Bin(self.random.choice(("<", ">")), tree, self._value(q, label))
+
+    def _absolute(self, p, x, q, label):
+        return ir.Bin("<", ir.Call("abs", (ir.Bin("-", x, self._value(q, label)),)), ir.Lit(self.random.randint(1, 200)))
+
+    def _size(self, p, x, q, label):
+        return ir.Bin(">", ir.Call("size", (x,)), ir.Lit(self.random.randint(1, 8)))
+
+    def _case_of_letters(self, p, x, q, label):
+        f = self.random.choice(("toupper", "tolower"))
+        s = self._word(q, label)
+        return ir.Bin("=", ir.Call(f, (x,)), ir.Lit(s.upper() if f == "toupper" else s.lower()))
+
+    def _cut(self, p, x, q, label):
+        n = self.random.randint(1, 4)
+        return ir.Bin("=", ir.Call("substring", (x, ir.Lit(0), ir.Lit(n))), ir.Lit(self._word(q, label)[:n]))
+
+    def _trimmed(self, p, x, q, label):
+        return ir.Bin("<>", ir.Call("trim", (x,)), ir.Lit(self._word(q, label)))
+
+    def _swapped(self, p, x, q, label):
+        s = self._word(q, label)
+        return ir.Bin("=", ir.Call("replace", (x, ir.Lit(s[:1]), ir.Lit("_"))), ir.Lit(s.replace(s[:1], "_") if s else "_"))
+
+    def _given(self, p, x, q, label):
+        v = self._value(q, label)
+        return ir.Bin("=", ir.Call("coalesce", (x, v)), v)
+
+    def _truncated(self, p, x, q, label):
+        return ir.Bin(">=", ir.Call("localdatetime.truncate", (ir.Lit(self.random.choice(("year", "month"))), x)), self._value(q, label))
+
+    def _cast(self, p, x, q, label):
+        return ir.Bin("<>", ir.Cast(x, "string"), ir.Lit(str(self._value(q, label).value)))
+
+    def _linked(self, p) -> ir.Single:
+        inner = ir.Path(None, (ir.NodePat(p.nodes[0].var, p.nodes[0].labels), ir.NodePat("m1", p.nodes[1].labels)), (ir.RelPat("q0", p.rels[0].types, p.rels[0].direction),))
+        return ir.Single((ir.Match((inner,)), ir.Return((ir.Item(ir.Lit(1), "one"),))))
+
+    def _exists(self, p, x, q, label):
+        test = ir.Exists(self._linked(p))
+        return ir.Un("not", test) if self.random.random() < 0.3 else test
+
+    def _in_query(self, p, x, q, label):
+        other = ir.NodePat("m2", (label,))
+        return ir.In(x, ir.Single((ir.Match((ir.Path(None, (other,), ()),)), ir.Return((ir.Item(ir.Prop("m2", q.name), "v"),)))))
+
     def returned(self, p: ir.Path) -> tuple[ir.Item, ...]:
-        """Properties, functions of them, CASE and arithmetic."""
+        """Properties, functions of them, CASE, arithmetic, and names of labels and types."""
         out = []
         for k in range(self.random.randint(1, 3)):
             x, q, label = self._property(p)
-            kind = self.random.randrange(5)
+            kind = self.random.randrange(9)
             if kind == 1 and q.type == "string":
                 x = ir.Call(self.random.choice(("toupper", "tolower", "trim", "size")), (x,))
             elif kind == 2 and q.type in ("int", "float"):
@@ -132,9 +204,31 @@ class Templates:
                 x = ir.Case(None, ((ir.Bin("=", x, self._value(q, label)), ir.Lit("yes")),), ir.Lit("no"))
             elif kind == 4 and q.type == "string":
                 x = ir.Call("substring", (x, ir.Lit(0), ir.Lit(3)))
+            elif kind == 5:
+                x = ir.Lit(label)  # the label as a value
+            elif kind == 6 and p.rels:
+                x = ir.Call("type", (ir.Var(self.random.choice(p.rels).var),))
+            elif kind == 7 and q.type in ("int", "float"):
+                x = ir.Call(self.random.choice(("abs", "round")), (x,))
+            elif kind == 8 and q.type in ("string", "int"):
+                x = ir.Call("coalesce", (x, ir.Lit("none" if q.type == "string" else 0)))
             out.append(ir.Item(x, f"c{k}"))
         return tuple(out)
 
+    def ordered(self, p: ir.Path) -> tuple[ir.Key, ...]:
+        """One or two sort keys, in any combination of directions and places of nulls."""
+        keys = []
+        for _ in range(self.random.choice((1, 2))):
+            x, _, _ = self._property(p)
+            keys.append(ir.Key(x, self.random.random() < 0.5, self.random.choice((None, None, True, False))))
+        return tuple(dict.fromkeys(keys))
+
+    def aggregate(self, p: ir.Path) -> ir.Call:
+        y, q, _ = self._property(p)
+        if q.type in ("int", "float"):
+            return ir.Call(self.random.choice(("min", "max", "count", "sum", "avg")), (y,))
+        return ir.Call(self.random.choice(("min", "max", "count")), (y,)) if q.type != "boolean" else ir.Call("count", (y,), self.random.random() < 0.5)
+
     def one(self, kind: str, p: ir.Path) -> Template:
         match, limit = ir.Match((p,)), ir.Limit(self.random.choice(LIMITS))
         if kind == "path_length":
@@ -148,8 +242,7 @@ class Templates:
             return Template(kind, ir.Single((where, ir.Return((ir.Item(ir.Var("n0"), "n0"),)))), len(p.rels))
         if kind == "aggregation":
             x, q, _ = self._property(p)
-            y, q2, _ = self._property(p)
-            agg = ir.Call(self.random.choice(("min", "max", "count")), (y,)) if q2.type != "boolean" else ir.Call("count", (y,))
+            agg = self.aggregate(p)
             tail = (ir.Return((ir.Item(x, "k"), ir.Item(agg, "v"), ir.Item(ir.Call("count", (ir.Star(),)), "n"))), ir.OrderBy((ir.Key(ir.Var("n"), False), ir.Key(ir.Var("k")))), limit)
             return Template(kind, ir.Single((match, *tail)), len(p.rels))
         back = ir.Return(self.returned(p), self.random.random() < 0.2)
@@ -157,9 +250,7 @@ class Templates:
             return Template(kind, ir.Single((where, back)), len(p.rels))
         if kind == "complete_query":
             return Template(kind, ir.Single((where, back, limit)), len(p.rels))
-        x, _, _ = self._property(p)
-        y, _, _ = self._property(p)
-        keys = (ir.Key(x, self.random.random() < 0.5), ir.Key(y, self.random.random() < 0.5))
+        keys = self.ordered(p)
         # The order stands before RETURN in this type.
         return Template(kind, ir.Single((where, ir.OrderBy(keys), ir.Return(back.items), limit)), len(p.rels))
 

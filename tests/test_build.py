@@ -48,7 +48,7 @@ CASES = {
         "SELECT n_name AS n, c_custkey AS c, o_orderkey AS o FROM customer LEFT JOIN orders ON c_custkey=o_custkey AND o_totalprice>400000 RIGHT JOIN nation ON c_nationkey=n_nationkey AND c_acctbal>5000",
     ),
     "semi": (select("c.c_custkey").from_(C).join(O, and_(OF, col("o.o_totalprice") > 300000), "semi"), "SELECT c_custkey FROM customer SEMI JOIN orders ON c_custkey=o_custkey AND o_totalprice>300000"),
-    "anti": (select("c.c_custkey").from_(C).join(O, and_(OF, col("o.o_totalprice") > col("c.c_acctbal") * 30), "anti"), "SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey=o_custkey AND o_totalprice>c_acctbal*30"),
+    "anti": (select("c.c_custkey").from_(C).join(O, and_(OF, col("o.o_totalprice") > col("c.c_acctbal") + 400000), "anti"), "SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey=o_custkey AND o_totalprice>c_acctbal+400000"),
     "full": (
         select(col("s.s_suppkey").as_("s"), col("n.n_name").as_("n")).from_(S).join(N, and_(col("s.s_nationkey") == col("n.n_nationkey"), col("s.s_acctbal") > 5000), "full"),
         "SELECT s_suppkey AS s, n_name AS n FROM supplier FULL JOIN nation ON s_nationkey=n_nationkey AND s_acctbal>5000",

@@ -18,6 +18,10 @@ def duck(sf):
     return con
 
 
+#: Queries that the smallest tables have no rows for.
+MAY_BE_EMPTY = {"having"}
+
+
 def plain(v):
     if isinstance(v, float):
         return round(v, 6)
@@ -30,6 +34,7 @@ def test_same_as_sql(name, spark, sf, duck):
     got = sorted((tuple(plain(r[c]) for c in sorted(df.columns)) for r in df.collect()), key=str)
     r = duck.sql(ORACLES[name])
     rows = [dict(zip(r.columns, x)) for x in r.fetchall()]
+    assert rows or name in MAY_BE_EMPTY, "nothing to compare"
     assert sorted(df.columns) == sorted(r.columns)
     assert got == sorted((tuple(plain(x[c]) for c in sorted(x)) for x in rows), key=str)
 

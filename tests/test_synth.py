@@ -1,16 +1,21 @@
+from dataclasses import replace
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.catalog import Property, RelationshipType
+from quillgraph.catalog import CONSTRAINT_KINDS, NodeTable, Property, PropertyGraph, RelationshipType
 from quillgraph.evaluation import validate
+from quillgraph.functions.models import TrigramEmbedder
+from quillgraph.plans import ir
 from quillgraph.plans.engine import Engine
+from quillgraph.plans.parser import parse
+from quillgraph.plans.render import render
 from quillgraph.streaming.events import deduplicated, read_events, run_once, windowed_counts
 from quillgraph.synth import data
 from quillgraph.synth.data import cycle_text, generate, path_problems, violations
-from quillgraph.synth.schemas import SCHEMAS
-from quillgraph.synth.templates import Templates
+from quillgraph.synth.schemas import DOMAINS, SCHEMAS
+from quillgraph.synth.templates import SHAPES, Templates
 
 
 @pytest.mark.parametrize("name", ["banking", "logistics"])
@@ -44,7 +49,74 @@ def test_templates_run(spark):
     assert sum(v.result_count > 0 for v in results) >= 5
 
 
+def test_rules_of_every_kind_hold_and_are_checked(spark):
+    """Generated data keeps each rule; data that breaks it is found."""
+    broken = {
+        "lending": [("Loan", "closed", "granted"), ("Loan", "interest", "interest + 1")], "shipping": [("Container", "gross", "gross + 1")], "library": [("Reader", "left_on", "date_sub(joined, 1)")],
+    }
+    kinds = set()
+    for name in ("lending", "shipping", "library", "postal"):
+        schema = SCHEMAS[name]
+        graph = data.generate(spark, schema, 45, 30, seed=2)
+        bad = data.violations(graph, schema).collect()
+        assert bad == [], (name, bad[:3])
+        kinds |= {c.kind for c in schema.constraints}
+        for label, column, wrong in broken.get(name, ()):
+            spoiled = PropertyGraph(dict(graph.nodes), dict(graph.edges))
+            spoiled.add(NodeTable(label, graph.nodes[label].df.withColumn(column, F.expr(wrong)), "_id"))
+            assert data.violations(spoiled, schema).count() > 0, (name, column)
+    assert kinds == set(CONSTRAINT_KINDS)
+    graph, schema = data.generate(spark, SCHEMAS["library"], 45, 30, seed=2), SCHEMAS["library"]
+    e = graph.edges["STANDS_ON"][0]
+    cut = PropertyGraph(dict(graph.nodes), {k: list(v) for k, v in graph.edges.items()})
+    cut.edges["STANDS_ON"] = [replace(e, df=e.df.where("_src <> 'Book_1'"))]
+    assert [r.id for r in data.violations(cut, schema).where("constraint = 'shelved'").collect()] == ["Book_1"]
+    gone = PropertyGraph(dict(graph.nodes), dict(graph.edges))
+    schema = SCHEMAS["shipping"]
+    graph = data.generate(spark, schema, 45, 30, seed=2)
+    gone = PropertyGraph({**graph.nodes, "Vessel": NodeTable("Vessel", graph.nodes["Vessel"].df.limit(2), "_id")}, dict(graph.edges))
+    assert data.violations(gone, schema).where("constraint = 'stowed'").count() > 0
+
+
+def test_edges_by_attributes_as_text(spark):
+    schema = SCHEMAS["retail"]
+    r = next(x for x in schema.relationships if x.name == "GOES_WITH")
+    products = data.nodes(spark, schema, "Product", 25, 1)
+    e = TrigramEmbedder()
+    near = data.embedded_neighbours(products, products, r, schema, e).collect()
+    matrix = {(m.from_id, m.to_id): m.score for m in data.embedded_matrix(products, products, r, schema, e).collect()}
+    assert len(matrix) == 25 * 24
+    for row in near:
+        assert abs(matrix[row._src, row._dst] - row.score) < 1e-9
+        assert sum(s > row.score + 1e-9 for (a, _), s in matrix.items() if a == row._src) < row.rank
+    assert data.similar_edges(products, products, r, schema, 1, e).count() > 5
+
+
+def test_payload_elements_once(spark):
+    step = "struct<kind:string,id:string,from_node:string,to_node:string>"
+    rows = [(k, [("node", "a", None, None), ("relationship", f"r{k}", "a", "a"), ("node", "a", None, None)]) for k in (1, 2)]
+    nodes, rels = data.extracted(spark.createDataFrame(rows, f"cycle long, path array<{step}>"))
+    assert [r.id for r in nodes.collect()] == ["a"] and sorted(r.id for r in rels.collect()) == ["r1", "r2"]
+
+
+def test_every_shape_of_condition_is_made_and_runs(spark):
+    e = Engine(spark, generate(spark, SCHEMAS["postal"], 30, 30, seed=1))
+    maker = Templates(SCHEMAS["postal"], 3)
+    p = maker.path(1)
+    for shape, fits in SHAPES.items():
+        for node in p.nodes:
+            for q in SCHEMAS["postal"].node(node.labels[0]).properties:
+                if fits(q, p):
+                    test = getattr(maker, "_" + shape)(p, ir.Prop(node.var, q.name), q, node.labels[0])
+                    text = render(ir.Single((ir.Match((p,), test), ir.Return((ir.Item(ir.Prop("n0", "letter_id"), "x"),)))))
+                    assert parse(text).clauses[0].where == test, text
+        assert validate(e, text).valid, (shape, validate(e, text))
+    returned = {type(i.x).__name__ for _ in range(60) for i in maker.returned(p)}
+    assert {"Prop", "Lit", "Call", "Case"} <= returned
+
+
 def test_every_schema_is_whole():
+    assert len(SCHEMAS) == 30 and sorted(x for d in DOMAINS.values() for x in d) == sorted(SCHEMAS) and all(len(d) == 3 for d in DOMAINS.values())
     for s in SCHEMAS.values():
         labels = {n.name for n in s.nodes}
         assert len(labels) == 3 and all(r.source in labels and r.target in labels for r in s.relationships)
