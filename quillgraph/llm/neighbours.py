@@ -248,7 +248,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     kind = "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" and dict(queries.dtypes)["embedding"] == "array<float>" else "<f8"
     t = fitted(index, index.count(), k, kind)
     rows = stored(index.mapInArrow(_placed(False, t), "key long, id long, vec binary"), "index")
-    asked = usable(queries).mapInArrow(_placed(True, t), "key long, id long, vec binary")
+    # Ranking buckets is work by the query, not by the byte: deal queries to all tasks.
+    asked = usable(queries).repartition(partitions(spark), "vec_id").mapInArrow(_placed(True, t), "key long, id long, vec binary")
     large = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "large")
     parts = F.coalesce("parts", F.lit(1))
     rows = rows.join(large, "key", "left").select("key", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.lit(0).alias("kind"), "id", "vec")

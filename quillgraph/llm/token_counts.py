@@ -8,8 +8,8 @@ it (a sum) and where the document that reaches into it began (a maximum), which
 documents across any number of blocks. Ids after a file's last separator are a document
 that has no end; it is counted with ``ended`` false.
 
-A file is read whole by one task (Spark's binary reader allows 2 GB); writers bound their
-files, and ``write`` gives one file for each partition of its input.
+A file is read whole by one task (Spark's binary reader allows 2 GB), so writers bound their
+files: ``write`` begins a new one after FILE_DOCS documents of a partition.
 
 Counts go back to documents by the partition and place that their rows had when they were
 written. ``write`` sums up what stood where, and ``placed`` stops unless a second scan sums
@@ -37,6 +37,8 @@ from quillgraph.llm.common import bounded_batches, lean, read, scratch
 BLOCK = 1 << 20
 WIDTH = 2
 EOD = 50_256
+#: Documents in a file at most.
+FILE_DOCS = 16_384
 
 _open: dict[str, object] = {}
 
@@ -68,7 +70,7 @@ def order_of(docs: DataFrame) -> int | None:
 
 
 def write(docs: DataFrame, to: str, path: str, eod: int = EOD) -> int | None:
-    """Flat token files of the texts of ``docs``, one for each partition, rows in order; the order's key.
+    """Flat token files of the texts of ``docs``, numbered in each partition, rows in order; the order's key.
 
     Spark's text writer puts the id bytes of a row and then the separator, so commits,
     retries and stores are Spark's.
@@ -84,7 +86,7 @@ def write(docs: DataFrame, to: str, path: str, eod: int = EOD) -> int | None:
     seen = Observation()
     tokens = F.pandas_udf(lean(ids), "binary")(F.col("text").cast("string")).cast("string").alias("value")
     flat = docs.select(tokens, "doc_id", F.monotonically_increasing_id().alias("at")).observe(seen, order_key()).select("value")
-    flat.write.option("encoding", "ISO-8859-1").option("lineSep", _separator(eod)).text(to)
+    flat.write.option("maxRecordsPerFile", FILE_DOCS).option("encoding", "ISO-8859-1").option("lineSep", _separator(eod)).text(to)
     return seen.get["key"]
 
 
@@ -149,5 +151,6 @@ def op5_token_counts(spark, sf_dir):
         key = write(docs, to, public_tokenizers.path("byte_bpe_50k.tiktoken"))
         if key == order_of(docs):
             break
-    counts = scan(spark, to).where("ended").withColumn("part", F.regexp_extract("file", r"part-(\d+)-", 1).cast("long"))
+    part, number = (F.regexp_extract("file", r"part-(\d+)-.*-c(\d+)\.", k).cast("long") for k in (1, 2))
+    counts = scan(spark, to).where("ended").select(part.alias("part"), (number * FILE_DOCS + F.col("ordinal")).alias("ordinal"), "n_tokens")
     return placed(docs, counts, key)

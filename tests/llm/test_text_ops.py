@@ -266,9 +266,11 @@ def test_other_orders_are_noticed(spark, tmp_path):
         token_counts.placed(docs, counts.where("ordinal < 4"), key).collect()
 
 
-def test_written_tokens_are_counted(spark, sf):
+def test_written_tokens_are_counted(spark, sf, monkeypatch):
     import public_tokenizers
 
+    monkeypatch.setattr(token_counts, "FILE_DOCS", 17)  # several files a partition
+
     e = token_counts.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     want = {r.doc_id: len(e.encode_ordinary(r.text or "")) for r in read(spark, sf, "documents").collect()}
     assert {r.doc_id: r.n_tokens for r in token_counts.op5_token_counts(spark, sf).collect()} == want
