@@ -47,6 +47,8 @@ PROBES = 256
 #: Rows that rho is estimated on, and queries among them.
 SAMPLE, ASKED = 20_000, 256
 BLOCK, HELD = 4096, 50_000
+#: Candidates that a task gathers before it keeps the best of each query.
+PAIRS = 500_000
 #: A table of at most so many rows is one bucket.
 ONE = 4096
 #: Values run from -RANGE to RANGE; those beyond count as the last.
@@ -149,7 +151,9 @@ def _placed(query: bool, t: Tables):
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                ids, lists = part.column(0).to_pylist(), [np.array(v, np.float64) for v in part.column(1).to_pylist()]
+                ids, lengths = part.column(0).to_pylist(), part.column(1).value_lengths().to_numpy()
+                flat, ends = part.column(1).flatten().to_numpy(zero_copy_only=False), np.cumsum(lengths)
+                lists = [flat[b - n : b] for b, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 by: dict[int, list[int]] = {}
                 for k, v in enumerate(lists):
                     by.setdefault(len(v), []).append(k)
@@ -167,24 +171,51 @@ def _placed(query: bool, t: Tables):
     return lean(run)
 
 
+def _leading(q: np.ndarray, ids: np.ndarray, score: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``keep`` best ids of each query, an id by its best score, ties to smaller ids."""
+    order = np.lexsort((-score, ids, q))
+    q, ids, score = q[order], ids[order], score[order]
+    first = np.append(True, (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])) if len(q) else np.zeros(0, bool)
+    q, ids, score = q[first], ids[first], score[first]
+    order = np.lexsort((ids, -score, q))
+    q, ids, score = q[order], ids[order], score[order]
+    starts = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, np.int64)
+    rank = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
+    return q[rank < keep], ids[rank < keep], score[rank < keep]
+
+
 def _met(k: int, t: Tables):
     """mapInArrow over rows sorted by key, block, kind (0: indexed, 1: query): best of each query."""
     keep = k + 3
 
-    def listed(best: dict) -> Iterator[pa.RecordBatch]:
-        rows = [(i, v, j, s) for (i, v), mine in best.items() for j, s in sorted(mine.items(), key=lambda y: (-y[1], y[0]))[:keep]]
-        for at in range(0, len(rows), 10_000):
-            some = rows[at : at + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in some], kind) for c, kind in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.float64()))], ["query_id", "vec", "vec_id", "score"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[tuple[int, bytes], dict[int, float]] = {}
+        number: dict[tuple[int, bytes], int] = {}  # of the queries met
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        pairs = 0
         now, ids, vecs, asked = None, [], [], []  # asked too stays within BLOCK
 
         def plain(some: list[bytes]) -> np.ndarray:
             return np.frombuffer(b"".join(some), t.kind).astype(np.float64).reshape(len(some), -1)
 
+        def merged() -> None:
+            nonlocal pairs
+            if found:
+                found[:] = [_leading(*(np.concatenate(c) for c in zip(*found, strict=True)), keep)]
+            pairs = 0
+
+        def listed() -> Iterator[pa.RecordBatch]:
+            merged()
+            names = list(number)
+            for q, own, score in found:
+                for at in range(0, len(q), 10_000):
+                    some = [names[x] for x in q[at : at + 10_000].tolist()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([i for i, _ in some], pa.int64()), pa.array([v for _, v in some], pa.binary()), pa.array(own[at : at + 10_000]), pa.array(score[at : at + 10_000])],
+                        ["query_id", "vec", "vec_id", "score"],
+                    )
+
         def meet() -> None:
+            nonlocal pairs
             if not ids or not asked:
                 return
             x = plain(vecs)
@@ -198,24 +229,24 @@ def _met(k: int, t: Tables):
                 near = (q @ x.T) / norm
                 near[np.array([i for i, _ in part])[:, None] == own[None, :]] = -np.inf
                 some = np.argpartition(-near, n - 1, axis=1)[:, :n]
-                for r, (i, v) in enumerate(part):
-                    c = some[r][np.isfinite(near[r, some[r]])]
-                    qr = np.broadcast_to(q[r], (len(c), q.shape[1]))
-                    exact = np.einsum("ij,ij->i", qr, x[c]) / (np.sqrt(np.einsum("ij,ij->i", qr, qr)) * norm[c])
-                    mine = best.setdefault((i, v), {})
-                    for j, s in zip(own[c].tolist(), exact.tolist(), strict=True):
-                        mine[j] = max(s, mine.get(j, -2.0))
-                    if len(mine) > 4 * keep:
-                        best[(i, v)] = dict(sorted(mine.items(), key=lambda y: (-y[1], y[0]))[:keep])
+                r, c = np.nonzero(np.isfinite(np.take_along_axis(near, some, 1)))
+                rows = some[r, c]
+                exact = np.einsum("ij,ij->i", q[r], x[rows]) / (np.sqrt(np.einsum("ij,ij->i", q, q))[r] * norm[rows])
+                at_query = np.array([number.setdefault(p, len(number)) for p in part])
+                found.append((at_query[r], own[rows], exact))
+                pairs += len(r)
+            if pairs > PAIRS:
+                merged()
 
         for batch in batches:
             for key, part, kind, i, v in zip(*[batch.column(c).to_pylist() for c in ("key", "part", "kind", "id", "vec")], strict=True):
                 if (key, part) != now:
                     meet()
                     now, ids, vecs, asked = (key, part), [], [], []
-                    if len(best) > HELD:
-                        yield from listed(best)
-                        best = {}
+                    if len(number) > HELD:
+                        yield from listed()
+                        number.clear()
+                        found.clear()
                 if kind == 0:
                     ids.append(i)
                     vecs.append(v)
@@ -225,7 +256,7 @@ def _met(k: int, t: Tables):
                         meet()
                         asked = []
         meet()
-        yield from listed(best)
+        yield from listed()
 
     return lean(run)
 

@@ -281,6 +281,7 @@ def test_neighbours_of_odd_rows(spark, monkeypatch):
     for block in (4096, 2):  # buckets of any number of blocks
         monkeypatch.setattr(neighbours, "BLOCK", block)
         monkeypatch.setattr(neighbours, "HELD", 0 if block == 2 else 50_000)
+        monkeypatch.setattr(neighbours, "PAIRS", 3 if block == 2 else 500_000)
         got = [tuple(r) for r in neighbours.nearest(df, df.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()]
         assert got == [(0, 1, 1, 1.0), (0, 2, 50, 1.0), (0, 3, 6, 0.0), (50, 1, 0, 1.0), (50, 2, 1, 1.0), (50, 3, 6, 0.0)]
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
