@@ -21,7 +21,7 @@ from quillgraph.plans.rel2graph import Edge, Join, Table, join_frames, pattern
 from quillgraph.plans.rel2graph import query as join_query
 from quillgraph.sources.fixtures import star_graph
 from quillgraph.sources.ingest import coerced, declared_type, fk_edges, jt_edges
-from quillgraph.streaming.events import read_events, sessions, streamed, windowed_counts
+from quillgraph.streaming.events import checkpoint_folder, read_events, sessions, streamed, windowed_counts
 
 #: name -> (graph text, dialect, match mode, SQL)
 TEXTS: dict[str, tuple[str, str, str, str]] = {}
@@ -385,8 +385,7 @@ _frame("typed_columns", _typed, "SELECT o_orderkey, CAST(o_orderdate AS TIMESTAM
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of the event stream, all that is there taken by a streaming query."""
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/quillgraph-scratch").rstrip("/")
-    out = streamed(read_events(spark, sf_dir), windowed_counts, f"{folder}/streams")
+    out = streamed(read_events(spark, sf_dir), windowed_counts, f"{checkpoint_folder(spark)}/streams")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,17 @@ def deduplicated(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     return _timed(events, late).dropDuplicatesWithinWatermark(["event_id"])
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """A folder for checkpoints that all executors share: ``spark.checkpoint.dir``, or on one machine a temporary one."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = f"file://{tempfile.gettempdir()}/quillgraph-streams"
+    return top.rstrip("/")
+
+
 def streamed(events: DataFrame, build, checkpoint: str, mode: str = "complete") -> DataFrame:
     """``build`` of an event stream, run over all that is there; the result as a table."""
     name = f"streamed_{uuid.uuid4().hex}"
@@ -45,7 +57,7 @@ def streamed(events: DataFrame, build, checkpoint: str, mode: str = "complete")
 
 
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Process all that is there into an in-memory table and return it."""
+    """Process all that is there into an in-memory table and return it; for results that fit the driver."""
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
