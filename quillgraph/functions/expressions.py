@@ -141,10 +141,12 @@ class Compiler:
             return "bool" if x.op == "not" else self.kind(x.x)
         if isinstance(x, (ir.IsNull, ir.In, ir.Between, ir.Exists)):
             return "bool"
+        if isinstance(x, ir.ListOf):
+            return "list"
         if isinstance(x, ir.Bin):
             if x.op in ("+", "-", "*", "/", "%"):
                 kinds = {self.kind(x.left), self.kind(x.right)}
-                return "float" if "float" in kinds else "int" if kinds <= {"int", None} else "string" if "string" in kinds and x.op == "+" else "float"
+                return "list" if "list" in kinds and x.op == "+" else "float" if "float" in kinds else "int" if kinds <= {"int", None} else "string" if "string" in kinds and x.op == "+" else "float"
             return "float" if x.op == "^" else "string" if x.op == "||" else "bool"
         if isinstance(x, ir.Case):
             return next((k for k in (self.kind(v) for _, v in x.whens) if k), None)
@@ -298,6 +300,8 @@ class Compiler:
         if op == "||":
             return F.concat(self(x.left).cast("string"), self(x.right).cast("string"))
         ka, kb = self.kind(x.left), self.kind(x.right)
+        if op == "+" and "list" in (ka, kb):  # lists are joined, an element is appended
+            return F.concat(*[self(y) if k == "list" else F.array(self(y)) for y, k in ((x.left, ka), (x.right, kb))])
         if op == "+" and "string" in (ka, kb) and not {ka, kb} & {"date", "datetime"}:
             return F.concat(self(x.left).cast("string"), self(x.right).cast("string")) if {ka, kb} == {"string"} or None in (ka, kb) else self(x.left).try_cast("double") + self(x.right).try_cast("double")
         if op in ("+", "-", "*", "/", "%", "^"):

@@ -254,12 +254,14 @@ class Templates:
         # The order stands before RETURN in this type.
         return Template(kind, ir.Single((where, ir.OrderBy(keys), ir.Return(back.items), limit)), len(p.rels))
 
-    def generate(self, n: int) -> list[Template]:
-        """``n`` templates over all types and 0 to MAX_HOPS hops, cycles among them."""
+    def generate(self, n: int, types: tuple[str, ...] = TYPES, hops: tuple[int, ...] = (0, 1, 1, 2, 2, 3, 4, MAX_HOPS), cycles: float = 0.15) -> list[Template]:
+        """``n`` templates: ``types`` in turn, over paths of as many ``hops`` as drawn, and a share of ``cycles``."""
         out = []
-        while len(out) < n:
-            p = self.cycle() if self.random.random() < 0.15 else None
-            p = p or self.path(self.random.choice((0, 1, 1, 2, 2, 3, 4, MAX_HOPS)))
+        for _ in range(100 * n):  # a schema may have no path so long
+            p = self.cycle() if self.random.random() < cycles else None
+            p = p or self.path(self.random.choice(hops))
             if p is not None:
-                out.append(self.one(TYPES[len(out) % len(TYPES)], p))
+                out.append(self.one(types[len(out) % len(types)], p))
+            if len(out) == n:
+                break
         return out

@@ -105,6 +105,7 @@ def test_functions_of_time_and_unknown_names(run):
     assert run(text.format("julianday('2000-01-01T12:00:00')")) == [(2451545.0,)]
     assert run(text.format("join(sort([3, 1, 2]), '-')")) == [("1-2-3",)]
     assert run(text.format("upper('x') || initcap('ab')")) == [("XAb",)]
+    assert run(text.format("join([1, 2] + [3] + 4, ',') || size([1] + [2])")) == [("1,2,3,42",)]
     assert run(text.format("substr('abcde', 4, -2)")) == [("bc",)] and run(text.format("substr('abcde', 4, -2)"), compat=True) == [("cd",)]
     assert run(text.format("substr('abcde', 0, 2)"), compat=True) == [("",)]
     with pytest.raises(ValueError, match="no function"):

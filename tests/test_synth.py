@@ -92,6 +92,12 @@ def test_edges_by_attributes_as_text(spark):
     assert data.similar_edges(products, products, r, schema, 1, e).count() > 5
 
 
+def test_mixes_of_templates():
+    made = Templates(SCHEMAS["gaming"], 2).generate(12, ("aggregation", "path_length"), (2,), 0.0)
+    assert {(t.type, t.hops) for t in made} == {("aggregation", 2), ("path_length", 2)} and len(made) == 12
+    assert Templates(SCHEMAS["gaming"], 2).generate(3, cycles=1.0)[0].hops == 3
+
+
 def test_payload_elements_once(spark):
     step = "struct<kind:string,id:string,from_node:string,to_node:string>"
     rows = [(k, [("node", "a", None, None), ("relationship", f"r{k}", "a", "a"), ("node", "a", None, None)]) for k in (1, 2)]
