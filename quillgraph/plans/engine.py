@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillgraph.catalog import PropertyGraph
 from quillgraph.functions.expressions import Compiler, has_aggregate, is_aggregate, kind_of, ordered
 from quillgraph.operators.match import Matcher, named
+from quillgraph.operators.ordered import BY_ROW, BY_TIE, RUNNING, Over, over_all
 from quillgraph.plans import ir
 from quillgraph.plans.parser import parse
 
@@ -407,6 +408,32 @@ class Engine:
             raise NotImplementedError("groups in a correlated subquery")
         return State(groups(s.df), vars_, s.outer, s.lets, [], None if s.shape is None else groups(s.shape)), named_by
 
+    def _windows_of_all(self, xs: tuple, s: State) -> tuple[State, dict]:
+        """Windows without PARTITION BY, computed beforehand: their columns in the state, and
+        for each such expression its variable.
+
+        Rows that a correlated subquery looks up are no table of their own yet; there the
+        window stays what Spark makes of it.
+        """
+        found = list(dict.fromkeys(w for x in xs for w in ir.find_all(x, ir.Windowed) if not w.partition and w.call.name in (*BY_ROW, *BY_TIE, *RUNNING) and not w.call.distinct))
+        s = self._settled(s)
+        if not found or s.shape is not None or s.df is None or s.outer is not None:
+            return s, {}
+        k, names, df, vars_ = self.compiler(s), {}, s.df, dict(s.vars)
+        for order in dict.fromkeys(w.order for w in found):
+            calls = {}
+            for w in (w for w in found if w.order == order):
+                name = f"_w{next(self._fresh)}"
+                names[w], vars_[name] = ir.Var(name), Bound("value")
+                star = not w.call.args or isinstance(w.call.args[0], ir.Star)
+                value = None if star else k(w.call.args[0])
+                if w.call.name == "sum" and not star and k.kind(w.call.args[0]) == "bool":
+                    value = value.cast("long")
+                step = w.call.args[1].value if w.call.name in ("lag", "lead") and len(w.call.args) > 1 else 1
+                calls[name] = Over(w.call.name, value, step)
+            df = over_all(df, [k.sort_key(x) for x in order], calls)
+        return State(df, vars_, s.outer, s.lets), names
+
     @staticmethod
     def _replaced(x, names: dict):
         # Outermost first: an aggregate of a grouping key is an aggregate.
@@ -424,6 +451,10 @@ class Engine:
             order_x = [x if isinstance(x, ir.Var) and x.name in names else next((ir.Var(n) for i, n in zip(whole, names, strict=True) if i.x == x), self._replaced(x, named_by)) for x in order_x]
         else:
             order_x = [next((ir.Var(n) for i, n in zip(items, names, strict=True) if i.x == x and n not in s.vars), x) for x in order_x]
+        s, windows = self._windows_of_all((*[i.x for i in items], *order_x), s)
+        if windows:
+            items = tuple(ir.Item(self._replaced(i.x, windows), i.alias) for i in items)
+            order_x = [self._replaced(x, windows) for x in order_x]
         k = self.compiler(s)
         cols = [(self.element(i.x.name, s) if isinstance(i.x, ir.Var) and i.x.name in s.vars else k(i.x)).alias(n) for i, n in zip(items, names, strict=True)]
         hidden, order = [], []
@@ -477,6 +508,9 @@ class Engine:
         if any(has_aggregate(i.x) for i in items):
             source, named_by = self._aggregated(items, None, (), s)
             items = tuple(ir.Item(self._replaced(i.x, named_by), self._name(i, k)) for k, i in enumerate(items))
+        source, windows = self._windows_of_all(tuple(i.x for i in items), source)
+        if windows:
+            items = tuple(ir.Item(self._replaced(i.x, windows), self._name(i, k)) for k, i in enumerate(items))
         k, cols, vars_ = self.compiler(source), [], {}
         for n, i in enumerate(items):
             name = self._name(i, n)

@@ -122,6 +122,9 @@ _add("named_window", "MATCH (c:Customer) RETURN c.c_custkey AS c, max(c.c_acctba
 _add("qualify_clause", "MATCH (o:Orders) RETURN o.o_custkey AS c, o.o_orderkey AS o QUALIFY row_number() OVER (PARTITION BY o.o_custkey ORDER BY o.o_totalprice, o.o_orderkey) = 1", "SELECT o_custkey AS c, o_orderkey AS o FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) = 1")
 _add("rank", "MATCH (c:Customer) RETURN c.c_custkey AS c, rank() OVER (PARTITION BY c.c_nationkey ORDER BY c.c_acctbal DESC) AS r", "SELECT c_custkey AS c, CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) AS INTEGER) AS r FROM customer")
 _add("row_number", "MATCH (o:Orders) RETURN o.o_orderkey AS o, row_number() OVER (PARTITION BY o.o_custkey ORDER BY o.o_totalprice DESC, o.o_orderkey) AS r", "SELECT o_orderkey AS o, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS r FROM orders")
+_add("rank_global", "MATCH (o:Orders) RETURN o.o_orderkey AS o, rank() OVER (ORDER BY o.o_orderdate) AS r, dense_rank() OVER (ORDER BY o.o_orderdate) AS d, row_number() OVER (ORDER BY o.o_totalprice DESC, o.o_orderkey) AS n", "SELECT o_orderkey AS o, rank() OVER (ORDER BY o_orderdate) AS r, dense_rank() OVER (ORDER BY o_orderdate) AS d, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders")
+_add("running_sum_global", "MATCH (c:Customer) RETURN c.c_custkey AS c, sum(c.c_nationkey) OVER (ORDER BY c.c_acctbal) AS s, count(*) OVER (ORDER BY c.c_mktsegment) AS k, max(c.c_acctbal) OVER (ORDER BY c.c_mktsegment) AS m, round(avg(c.c_nationkey) OVER (ORDER BY c.c_acctbal), 6) AS a", "SELECT c_custkey AS c, CAST(sum(c_nationkey) OVER (ORDER BY c_acctbal) AS BIGINT) AS s, count(*) OVER (ORDER BY c_mktsegment) AS k, max(c_acctbal) OVER (ORDER BY c_mktsegment) AS m, round(avg(c_nationkey) OVER (ORDER BY c_acctbal), 6) AS a FROM customer")
+_add("lag_global", "MATCH (o:Orders) RETURN o.o_orderkey AS o, lag(o.o_totalprice) OVER (ORDER BY o.o_orderdate, o.o_orderkey) AS b, lead(o.o_orderkey, 3) OVER (ORDER BY o.o_orderdate, o.o_orderkey) AS f", "SELECT o_orderkey AS o, lag(o_totalprice) OVER w AS b, lead(o_orderkey, 3) OVER w AS f FROM orders WINDOW w AS (ORDER BY o_orderdate, o_orderkey)")
 _add("window_sum", "MATCH (c:Customer) RETURN c.c_custkey AS c, count(*) OVER (PARTITION BY c.c_nationkey) AS k, max(c.c_acctbal) OVER (PARTITION BY c.c_mktsegment) AS m", "SELECT c_custkey AS c, count(*) OVER (PARTITION BY c_nationkey) AS k, max(c_acctbal) OVER (PARTITION BY c_mktsegment) AS m FROM customer")
 _add("qualify", "MATCH (o:Orders) WITH o.o_custkey AS c, o.o_orderkey AS o, row_number() OVER (PARTITION BY o.o_custkey ORDER BY o.o_totalprice DESC, o.o_orderkey) AS r WHERE r <= 3 RETURN c, o, r", "SELECT o_custkey AS c, o_orderkey AS o, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS r FROM orders QUALIFY r<=3")
 
