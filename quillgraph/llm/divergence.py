@@ -114,116 +114,118 @@ _TILE = "lang binary, a int, b int, block int, at int, total long, size long, te
 _PART = "lang binary, kind int, x int, y int, term binary, value long"
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tiles(strip: int):
     """Partial pair matrices and heaps of a task, whose rows come sorted by language, strips and block.
 
     Of every block its sources come first (rows without a term), then the counts.
     """
-    sums: np.ndarray | None = None
-    heaps: dict[int, list] = {}
-    now = None  # language and strips
-    block, rows = None, []
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal sums
-        if sums is None:
-            return
-        lang, a, b = now
-        x, y = np.nonzero(sums >= 0)
-        first, second = a * STRIP + x, b * STRIP + y
-        keep = first < second
-        if keep.any():
-            k = int(keep.sum())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * k, pa.binary()), pa.array(np.zeros(k, np.int32)), pa.array(first[keep].astype(np.int32)), pa.array(second[keep].astype(np.int32)), pa.nulls(k, pa.binary()), pa.array(sums[x[keep], y[keep]])],
-                ["lang", "kind", "x", "y", "term", "value"],
-            )
-        best = [(at, term.x, value) for at, heap in heaps.items() for value, term in heap]
-        if best:
-            k = len(best)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * k, pa.binary()), pa.array(np.ones(k, np.int32)), pa.array([r[0] for r in best], pa.int32()), pa.nulls(k, pa.int32()), pa.array([r[1] for r in best], pa.binary()), pa.array([r[2] for r in best], pa.int64())],
-                ["lang", "kind", "x", "y", "term", "value"],
-            )
-        sums = None
-        heaps.clear()
-
-    def tile() -> None:
-        """One block: add its pairs up, offer its terms to the heaps."""
-        nonlocal sums
-        t = pa.Table.from_batches(rows)
-        lang, a, b = now
-        heads = t.filter(pc.is_null(t["term"]))
-        cells = t.filter(pc.is_valid(t["term"]))
-        code = cells["term"].combine_chunks().dictionary_encode()
-        names, col = code.dictionary.to_pylist(), code.indices.to_numpy()
-        at, size = heads["at"].to_numpy(), int(heads["size"][0].as_py())
-        strips = [a] if a == b else [a, b]
-        place = {s: i for i, s in enumerate(strips)}
-        row = lambda x: np.array([place[s] for s in (x // STRIP).tolist()], np.int64) * STRIP + x % STRIP
-        total = np.ones(STRIP * len(strips), np.int64)
-        known = np.zeros(STRIP * len(strips), bool)
-        total[row(at)] = heads["total"].to_numpy() + PSEUDO * size
-        known[row(at)] = True
-        count = np.zeros((STRIP * len(strips), len(names)), np.int64)
-        count[row(cells["at"].to_numpy()), col] = cells["n"].to_numpy()
-        used = int(np.flatnonzero(known).max()) + 1  # sources fill strips from the front
-        p = shares(count[:used] + PSEUDO, total[:used, None])
-        left, right = p[:STRIP], p if a == b else p[STRIP:]
-        if sums is None:
-            sums = np.full((STRIP, STRIP), -1, np.int64)
-            sums[np.ix_(known[:STRIP], known[-STRIP:])] = 0
-        # As many rows against all others as keep the broadcast cube near 16 MB.
-        step = max(1, (1 << 21) // max(1, right.size))
-        for i in range(0, len(left), step):
-            some = np.abs(left[i : i + step, None, :] - right[None, :, :]).sum(2)
-            sums[i : i + len(some), : some.shape[1]] += some
-        if a != b:
-            return
-        lang_n, lang_total = np.zeros(len(names), np.int64), int(cells["lang_total"][0].as_py()) if cells.num_rows else 0
-        lang_n[col] = cells["lang_n"].to_numpy()
-        q = shares(lang_n + PSEUDO, np.int64(lang_total + PSEUDO * size)) if len(names) else lang_n
-        for i in np.flatnonzero(known[:used]).tolist():
-            over = np.flatnonzero((count[i] > 0) & (p[i] > q))
-            if not len(over):
-                continue
-            value = p[i, over] - q[over]
-            if len(over) > TOP:  # ties with the last one stay for the heap to settle
-                least = np.partition(value, -TOP)[-TOP]
-                over, value = over[value >= least], value[value >= least]
-            heap = heaps.setdefault(a * STRIP + i, [])
-            for k, v in zip(over.tolist(), value.tolist(), strict=True):
-                entry = (v, _Reversed(names[k]))
-                if len(heap) < TOP:
-                    heapq.heappush(heap, entry)
-                elif heap[0] < entry:
-                    heapq.heapreplace(heap, entry)
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = list(zip(*[batch[c].to_pylist() for c in ("lang", "a", "b", "block")], strict=True))
-        start = 0
-        while start < len(key):
-            end = start + 1
-            while end < len(key) and key[end] == key[start]:
-                end += 1
-            if key[start] != block:
-                if rows:
-                    tile()
-                    rows = []
-                block = key[start]
-                if block[:3] != now:
-                    yield from flush()
-                    now = block[:3]
-            rows.append(batch.slice(start, end - start))
-            start = end
-    if rows:
-        tile()
-    yield from flush()
-
-
-def audit(docs: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: np.ndarray | None = None
+        heaps: dict[int, list] = {}
+        now = None  # language and strips
+        block, rows = None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal sums
+            if sums is None:
+                return
+            lang, a, b = now
+            x, y = np.nonzero(sums >= 0)
+            first, second = a * strip + x, b * strip + y
+            keep = first < second
+            if keep.any():
+                k = int(keep.sum())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * k, pa.binary()), pa.array(np.zeros(k, np.int32)), pa.array(first[keep].astype(np.int32)), pa.array(second[keep].astype(np.int32)), pa.nulls(k, pa.binary()), pa.array(sums[x[keep], y[keep]])],
+                    ["lang", "kind", "x", "y", "term", "value"],
+                )
+            best = [(at, term.x, value) for at, heap in heaps.items() for value, term in heap]
+            if best:
+                k = len(best)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * k, pa.binary()), pa.array(np.ones(k, np.int32)), pa.array([r[0] for r in best], pa.int32()), pa.nulls(k, pa.int32()), pa.array([r[1] for r in best], pa.binary()), pa.array([r[2] for r in best], pa.int64())],
+                    ["lang", "kind", "x", "y", "term", "value"],
+                )
+            sums = None
+            heaps.clear()
+
+        def tile() -> None:
+            """One block: add its pairs up, offer its terms to the heaps."""
+            nonlocal sums
+            t = pa.Table.from_batches(rows)
+            lang, a, b = now
+            heads = t.filter(pc.is_null(t["term"]))
+            cells = t.filter(pc.is_valid(t["term"]))
+            code = cells["term"].combine_chunks().dictionary_encode()
+            names, col = code.dictionary.to_pylist(), code.indices.to_numpy()
+            at, size = heads["at"].to_numpy(), int(heads["size"][0].as_py())
+            height = strip if a == b else 2 * strip
+            row = lambda x: np.where(x // strip == a, 0, strip) + x % strip
+            total, known = np.ones(height, np.int64), np.zeros(height, bool)
+            total[row(at)] = heads["total"].to_numpy() + PSEUDO * size
+            known[row(at)] = True
+            count = np.zeros((height, len(names)), np.int64)
+            count[row(cells["at"].to_numpy()), col] = cells["n"].to_numpy()
+            used = int(np.flatnonzero(known).max()) + 1  # sources fill strips from the front
+            p = shares(count[:used] + PSEUDO, total[:used, None])
+            left, right = p[:strip], p if a == b else p[strip:]
+            if sums is None:
+                sums = np.full((strip, strip), -1, np.int64)
+                sums[np.ix_(known[:strip], known[-strip:])] = 0
+            # As many rows against all others as keep the broadcast cube near 16 MB.
+            step = max(1, (1 << 21) // max(1, right.size))
+            for i in range(0, len(left), step):
+                some = np.abs(left[i : i + step, None, :] - right[None, :, :]).sum(2)
+                sums[i : i + len(some), : some.shape[1]] += some
+            if a != b:
+                return
+            lang_n, lang_total = np.zeros(len(names), np.int64), int(cells["lang_total"][0].as_py()) if cells.num_rows else 0
+            lang_n[col] = cells["lang_n"].to_numpy()
+            q = shares(lang_n + PSEUDO, np.int64(lang_total + PSEUDO * size)) if len(names) else lang_n
+            for i in np.flatnonzero(known[:used]).tolist():
+                over = np.flatnonzero((count[i] > 0) & (p[i] > q))
+                if not len(over):
+                    continue
+                value = p[i, over] - q[over]
+                if len(over) > TOP:  # ties with the last one stay for the heap to settle
+                    least = np.partition(value, -TOP)[-TOP]
+                    over, value = over[value >= least], value[value >= least]
+                heap = heaps.setdefault(a * strip + i, [])
+                for k, v in zip(over.tolist(), value.tolist(), strict=True):
+                    entry = (v, _Reversed(names[k]))
+                    if len(heap) < TOP:
+                        heapq.heappush(heap, entry)
+                    elif heap[0] < entry:
+                        heapq.heapreplace(heap, entry)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = list(zip(*[batch[c].to_pylist() for c in ("lang", "a", "b", "block")], strict=True))
+            start = 0
+            while start < len(key):
+                end = start + 1
+                while end < len(key) and key[end] == key[start]:
+                    end += 1
+                if key[start] != block:
+                    if rows:
+                        tile()
+                        rows = []
+                    block = key[start]
+                    if block[:3] != now:
+                        yield from flush()
+                        now = block[:3]
+                rows.append(batch.slice(start, end - start))
+                start = end
+        if rows:
+            tile()
+        yield from flush()
+
+    return run
+
+
+def audit(docs: DataFrame, block: int = BLOCK, strip: int = STRIP) -> DataFrame:
     """lang, source, part, item, value, rank of every source against the others and its language."""
     spark = docs.sparkSession
     counts = stored(term_counts(docs), "term-counts")
@@ -237,14 +239,14 @@ def audit(docs: DataFrame) -> DataFrame:
     totals = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = groups.join(langs, "lang", "left").join(totals, ["lang", "source"], "left")
     groups = stored(groups.na.fill(0, ["size", "total", "lang_total"]).withColumn("sources", F.count(F.lit(1)).over(Window.partitionBy("lang"))), "groups")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
-    strips = F.ceil(F.col("sources") / STRIP).cast("int")
-    strip = F.floor(F.col("at") / STRIP).cast("int")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / block)).cast("int")
+    strips = F.ceil(F.col("sources") / strip).cast("int")
+    own = F.floor(F.col("at") / strip).cast("int")
 
     def paired(df: DataFrame) -> DataFrame:
         """A row for each pair of strips that its source's strip is in."""
         df = df.withColumn("_o", F.explode(F.sequence(F.lit(0), strips - 1)))
-        return df.withColumn("a", F.least(strip, "_o")).withColumn("b", F.greatest(strip, "_o"))
+        return df.withColumn("a", F.least(own, "_o")).withColumn("b", F.greatest(own, "_o"))
 
     columns = [c.split()[0] for c in _TILE.split(", ")]
     heads = paired(groups.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))))
@@ -253,7 +255,7 @@ def audit(docs: DataFrame) -> DataFrame:
     cut = lambda df: df.select(*[F.col(c).cast(t).alias(c) for c, t in (x.split() for x in _TILE.split(", "))])
     both = cut(heads).unionByName(cut(paired(rows)))
     tiles = both.repartition(partitions(spark), "lang", "a", "b", "block").sortWithinPartitions("lang", "a", "b", "block", F.col("term").asc_nulls_first())
-    parts = stored(tiles.select(*columns).mapInArrow(lean(_tiles), _PART), "tile-sums")
+    parts = stored(tiles.select(*columns).mapInArrow(lean(_tiles(strip)), _PART), "tile-sums")
     near = parts.where("kind = 0").groupBy("lang", "x", "y").agg(F.sum("value").alias("value"))
     near = near.unionByName(near.select("lang", F.col("y").alias("x"), F.col("x").alias("y"), "value"))
     names = groups.select("lang", "source", "at")

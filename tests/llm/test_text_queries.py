@@ -23,6 +23,7 @@ VECTORS = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (50, None), (1, [0.0, 0.0]), (2, [3
 TABLES = {
     "documents": (DOCUMENTS, "doc_id long, text string, lang string, source string, n_chars long"),
     "labels": (LABELS, "doc_id long, quality int, toxic int"),
+    "benchmark": ([(1, PROSE), (2, None), (3, "")], "item_id long, text string"),
     "pages": (PAGES, "page_id long, url string, html string"),
     "embeddings": (VECTORS, "vec_id long, embedding array<float>"),
 }
@@ -42,7 +43,11 @@ def folders(spark, tmp_path_factory):
 def test_odd_and_empty_tables(name, spark, folders):
     for kind in ("odd", "unlabelled") if name.startswith(("op2", "op9")) else ("odd",):
         rows = QUERIES[name](spark, f"{folders}/{kind}").collect()
-        if name.startswith("op7"):
+        if name.startswith("op11"):  # no term is in 30 documents: pairs only, all equal
+            sources = {(d[2] or "", d[3] or "") for d in DOCUMENTS}
+            pairs = {(x, a, "pair", b, 0) for x, a in sources for y, b in sources if x == y and a != b}
+            assert {tuple(r)[:5] for r in rows} == pairs and len(rows) == len(pairs)
+        elif name.startswith("op7"):
             assert [tuple(r)[:3] for r in rows] == [(0, 1, 2)] and abs(rows[0].score - 0.6) < 1e-7
         else:
             table, key = ("pages", "page_id") if name.startswith("op1_") else ("documents", "doc_id")
