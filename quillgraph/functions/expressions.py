@@ -327,8 +327,9 @@ class Compiler:
             return F.lit(hops)
         if x.name in ("collect_sub", "count_sub"):
             sub = self.scope.subquery(x.args[0])
-            c = self.scope.columns(sub)[0]
-            return sub.select((F.collect_list(F.col(f"`{c}`")) if x.name == "collect_sub" else F.count(F.lit(1))).alias("x")).scalar()
+            if x.name == "count_sub":
+                return sub.select(F.count(F.lit(1)).alias("x")).scalar()
+            return sub.select(F.collect_list(F.col(f"`{self.scope.columns(sub)[0]}`")).alias("x")).scalar()
         if x.name in FUNCTIONS:
             return FUNCTIONS[x.name](self, x.args)
         if x.name not in PLAIN:

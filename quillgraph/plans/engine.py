@@ -6,7 +6,7 @@ from copy import copy
 from dataclasses import dataclass, field
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.catalog import PropertyGraph
@@ -17,6 +17,37 @@ from quillgraph.plans import ir
 from quillgraph.plans.parser import parse
 
 
+def _subqueries(x) -> list:
+    """The uppermost scalar, counting and collecting subqueries of an expression."""
+    if isinstance(x, ir.Scalar) or isinstance(x, ir.Call) and x.name in ("count_sub", "collect_sub"):
+        return [x]
+    if isinstance(x, (ir.Exists, ir.Single, ir.SetOp)):
+        return []
+    parts = x if isinstance(x, tuple) else [getattr(x, f) for f in getattr(x, "__dataclass_fields__", {})]
+    return [y for part in parts for y in _subqueries(part)]
+
+
+def _plainly_correlated(x, query, around: set[str]) -> bool:
+    """Whether a subquery is patterns and conditions with one plain aggregate, or a count of such rows."""
+    if not isinstance(query, ir.Single):
+        return False
+    *clauses, last = query.clauses
+    if not isinstance(last, ir.Return):
+        clauses, last = query.clauses, None
+    if not all(isinstance(c, ir.Filter) or isinstance(c, ir.Match) and not c.optional for c in clauses) or not clauses:
+        return False
+    if any(_subqueries(c.where) for c in clauses) or isinstance(x, ir.Call) and x.name == "collect_sub":
+        return False
+    if last is None:
+        return isinstance(x, ir.Call)
+    if last.distinct or last.group_by or last.qualify is not None or len(last.items) != 1:
+        return False
+    item = last.items[0].x
+    if ({p.var for p in ir.find_all(item, ir.Prop)} | {v.name for v in ir.find_all(item, ir.Var)}) & around:
+        return False
+    return is_aggregate(item) if isinstance(x, ir.Scalar) else not has_aggregate(item)
+
+
 @dataclass
 class Bound:
     kind: str  # node, edge, value, path
@@ -31,7 +62,9 @@ class State:
     ``pending`` the conditions that refer to it, which are put last.
 
     A table that looks at the query around cannot be analysed on its own; ``shape`` is then a
-    table of the same columns that can.
+    table of the same columns that can. Where a subquery is answered for all rows around it at
+    once, ``around`` gives for each column of theirs that it knows the variable that stands for
+    it, and ``domain`` is the table of these variables.
     """
 
     df: DataFrame | None = None
@@ -40,6 +73,17 @@ class State:
     lets: dict[str, object] = field(default_factory=dict)
     pending: list = field(default_factory=list)
     shape: DataFrame | None = None
+    around: dict[str, str] = field(default_factory=dict)
+    domain: DataFrame | None = None
+
+    @property
+    def keys(self) -> tuple[str, ...]:
+        return tuple(self.around.values())
+
+    @property
+    def held(self) -> tuple[str, ...]:
+        """Elements of the rows around, which stay known throughout."""
+        return tuple(c[: -len(t)] for c in self.around for t in ("___id", "___eid") if c.endswith(t))
 
     @property
     def plain(self) -> DataFrame | None:
@@ -162,9 +206,9 @@ class Engine:
     def compiler(self, state: State) -> Compiler:
         return Compiler(Scope(self, state), self.dialect, self.mode, self.compat)
 
-    def _lower(self, query, outer: State | None) -> DataFrame:
+    def _lower(self, query, outer: State | None, start: State | None = None) -> DataFrame:
         if isinstance(query, ir.SetOp):
-            a, b = self._lower(query.left, outer), self._lower(query.right, outer)
+            a, b = self._lower(query.left, outer, start), self._lower(query.right, outer, start)
             if query.by_name:
                 if query.op != "union":
                     raise NotImplementedError(f"{query.op} by name")
@@ -178,7 +222,7 @@ class Engine:
             if query.op == "intersect":
                 return a.intersect(b) if query.distinct else a.intersectAll(b)
             return a.subtract(b) if query.distinct else a.exceptAll(b)
-        state = State(outer=outer)
+        state = start or State(outer=outer)
         clauses = list(query.clauses)
         result = None
         while clauses:
@@ -190,10 +234,18 @@ class Engine:
                 result = self._return(c, tail, state)
                 if clauses:  # NEXT: the result is the table that goes on
                     plain = self.shape(result)
-                    state = State(result, {n: Bound("value") for n in plain.columns}, outer, shape=None if plain is result else plain)
+                    state = State(result, {n: Bound("value") for n in plain.columns}, outer, {}, [], None if plain is result else plain, state.around, state.domain)
             else:
-                state = self._clause(c, state)
-        return result if result is not None else state.df
+                after = self._clause(c, state)
+                after.around, after.domain = state.around, state.domain
+                state = after
+        if result is not None:
+            return result
+        # Without RETURN the rows are the result, once conditions on the query around are put to them.
+        state = self._settled(state)
+        if state.shape is not None:
+            self._shapes[id(state.df)] = (state.df, state.shape)
+        return state.df
 
     def subquery(self, query, state: State, exists: bool = False) -> DataFrame:
         if not exists or isinstance(query, ir.SetOp):
@@ -219,8 +271,97 @@ class Engine:
             df = df.where(condition)
         return State(df, s.vars, s.outer, s.lets, [], s.plain)
 
+    # -- subqueries that look at the rows around them
+    def _lifted(self, xs: tuple, s: State) -> tuple[State, dict]:
+        """Correlated subqueries of expressions, answered beforehand: their values in the state,
+        and for each subquery its variable.
+
+        A subquery of patterns and conditions with one plain aggregate is left to Spark's own
+        decorrelation. Any other is run once for all distinct values of what it knows of the
+        rows around: those are its first binding table, they group its aggregates and part its
+        limits, and its results join the rows again. What an aggregate of no rows gives is put
+        where a value of the rows around has none.
+        """
+        if s.df is None or s.shape is not None:
+            return s, {}
+        names: dict = {}
+        for x in dict.fromkeys(y for x in xs for y in _subqueries(x)):
+            query = x.query if isinstance(x, ir.Scalar) else x.args[0]
+            inside = {n.var for n in ir.find_all(query, (ir.NodePat, ir.RelPat)) if n.var} - set(s.vars)
+            known = {q.var for q in ir.find_all(query, ir.Prop)} | {v.name for v in ir.find_all(query, ir.Var)} | {n.var for n in ir.find_all(query, (ir.NodePat, ir.RelPat))}
+            around, o = set(), s.outer
+            while o is not None:
+                around |= set(o.vars)
+                o = o.outer
+            used = sorted(v for v in known & set(s.vars) if s.vars[v].kind != "path")
+            if not used or (known - inside - set(s.vars)) & around or _plainly_correlated(x, query, set(s.vars)):
+                continue
+            s = self._answered(x, query, used, s, names)
+        return s, names
+
+    def _answered(self, x, query, used: list[str], s: State, names: dict) -> State:
+        """``s`` with the value of the subquery ``x`` for each row, under a new variable in ``names``."""
+        n = next(self._fresh)
+        props = {(p.var, p.name.lower()) for p in ir.find_all(query, ir.Prop)}
+
+        def seen(c: str) -> bool:
+            v = next((v for v in used if c == v or c.startswith(f"{v}__")), None)
+            return v is not None and (c == v or c.startswith(f"{v}___") or (v, c[len(v) + 2 :].lower()) in props)
+
+        own = [c for c in s.df.columns if seen(c)]
+        around = {c: f"_d{n}_{i}" for i, c in enumerate(own)}
+        keys = tuple(around.values())
+        domain = s.df.select(*[F.col(f"`{c}`").alias(k) for c, k in around.items()]).distinct()
+        start = domain.select(*keys, *[F.col(k).alias(c) for c, k in around.items()])
+        vars_ = {v: s.vars[v] for v in used} | {v: b for v, b in s.vars.items() if b.kind == "path"} | {k: Bound("value") for k in keys}
+        query = ir.replaced(query, self._standing_for(query, used, around, s))
+        found = self._lower(query, None, State(start, vars_, None, s.lets, around=around, domain=domain))
+        value = next(c for c in found.columns if c not in keys)
+        kind = "scalar" if isinstance(x, ir.Scalar) else x.name
+        v = F.col(f"`{value}`")
+        many = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("a subquery gives more than one row"))).otherwise(F.first(v))
+        result = {"scalar": many, "count_sub": F.count(F.lit(1)), "collect_sub": F.collect_list(v)}[kind]
+        name = f"_q{n}"
+        found = found.groupBy(*keys).agg(result.alias(name))
+        on = F.lit(True)
+        for c, k in zip(own, keys, strict=True):
+            on = on & F.col(f"`{c}`").eqNullSafe(F.col(k))
+        df = s.df.join(found, on, "left").drop(*keys)
+        if kind == "count_sub":
+            df = df.withColumn(name, F.coalesce(name, F.lit(0)))
+        elif kind == "collect_sub":
+            df = df.withColumn(name, F.coalesce(name, F.array().cast(df.schema[name].dataType)))
+        names[x] = ir.Var(name)
+        return State(df, s.vars | {name: Bound("value")}, s.outer, s.lets, s.pending, s.shape, s.around, s.domain)
+
+    @staticmethod
+    def _standing_for(query, used: list[str], around: dict[str, str], s: State) -> dict:
+        """For what a subquery says of the rows around, the variables that stand for it."""
+        low = {c.lower(): k for c, k in around.items()}
+        names: dict = {}
+        for v in used:
+            kind = s.vars[v].kind
+            for p in ir.find_all(query, ir.Prop):
+                if p.var == v:
+                    key = low.get(f"{v}__{p.name}".lower())
+                    names[p] = ir.Prop(around[v], p.name) if kind == "value" else ir.Lit(None) if key is None else ir.Var(key)
+            names[ir.Var(v)] = ir.Var(around[v if kind == "value" else f"{v}___id" if kind == "node" else f"{v}___eid"])
+            if kind == "value":
+                continue
+            # Labels and types, and elements that WITH passes on, are those of the element itself.
+            for c in ir.find_all(query, ir.Call):
+                if c.name in ("type", "labels") and c.args == (ir.Var(v),):
+                    names[c] = c
+            for w in ir.find_all(query, ir.With):
+                names |= {i: i for i in w.items if i.x == ir.Var(v)}
+            if any(i.x == ir.Var(v) for r in ir.find_all(query, ir.Return) for i in r.items):
+                raise NotImplementedError("an element of the rows around returned by a correlated subquery")
+        return names
+
     def _where(self, condition, s: State) -> State:
         """``s`` filtered; a condition on the query around waits for the end."""
+        s, lifted = self._lifted((condition,), s)
+        condition = self._replaced(condition, lifted)
         c = self.compiler(s).boolean(condition)
         names = {p.var for p in ir.find_all(condition, ir.Prop)} | {v.name for v in ir.find_all(condition, ir.Var)}
         inside = {n.var for q in ir.find_all(condition, ir.Match) for n in ir.find_all(q, (ir.NodePat, ir.RelPat))}
@@ -242,6 +383,8 @@ class Engine:
             k = self.compiler(s)
             return State(s.df.orderBy(*[k.sort_key(x) for x in c.keys]), s.vars, s.outer, s.lets, s.pending, s.shape)
         if isinstance(c, (ir.Skip, ir.Limit)):
+            if s.keys:
+                raise NotImplementedError("SKIP or LIMIT before RETURN in a correlated subquery of this kind")
             s = self._settled(s)
             return State(s.df.offset(c.n) if isinstance(c, ir.Skip) else s.df.limit(c.n), s.vars, s.outer, s.lets, [], s.shape)
         if isinstance(c, ir.Let):
@@ -373,7 +516,11 @@ class Engine:
     def _aggregated(self, items: tuple[ir.Item, ...], by: tuple | None, extra: tuple, s: State, grouping=None) -> tuple[State, dict]:
         """Groups: the state after it and, for each grouped or aggregated expression, its variable."""
         s = self._settled(s)
-        keys = tuple(by) if by else tuple(i.x for i in items if not has_aggregate(i.x))
+        rows = tuple(ir.Var(d) for d in (*s.keys, *[v for v in s.held if v in s.vars]))
+        keys = tuple(by) if by else tuple(i.x for i in items if not has_aggregate(i.x) and i.x not in rows)
+        alone, keys = bool(rows) and not keys, (*keys, *rows)
+        if rows and grouping is not None:
+            raise NotImplementedError("grouping sets in a correlated subquery")
         aliases = {i.alias: i.x for i in items if i.alias}
         keys = tuple(aliases.get(x.name, x) if isinstance(x, ir.Var) and x.name not in s.vars else x for x in keys)
         calls: list = []
@@ -406,7 +553,26 @@ class Engine:
 
         if s.shape is not None and grouped:
             raise NotImplementedError("groups in a correlated subquery")
-        return State(groups(s.df), vars_, s.outer, s.lets, [], None if s.shape is None else groups(s.shape)), named_by
+        out = groups(s.df)
+        if alone:  # an aggregate of no rows has a value too
+            at = {d: f"_g{n}" for n, d in enumerate(s.keys)}
+            on = F.lit(True)
+            for d, g in at.items():
+                on = on & F.col(d).eqNullSafe(F.col(g))
+            out = s.domain.join(out, on, "left").withColumns({g: F.col(d) for d, g in at.items()} | {c: F.col(d) for c, d in s.around.items() if c in out.columns}).drop(*s.keys)
+            none = {"count": F.lit(0), "collect": F.array(), "collect_list": F.array()} | ({"sum": F.lit(0)} if self.mode == "cypher" else {})
+            out = out.withColumns({f"_a{n}": F.coalesce(f"_a{n}", none[x.name].cast(out.schema[f"_a{n}"].dataType)) for n, x in enumerate(calls) if x.name in none})
+        return State(out, vars_, s.outer, s.lets, [], None if s.shape is None else groups(s.shape), s.around, s.domain), named_by
+
+    @staticmethod
+    def _with_rows_around(items: tuple[ir.Item, ...], s: State, elements: bool = False) -> tuple[ir.Item, ...]:
+        """``items`` and the keys of the rows around, which part windows as well, and ``elements`` of them."""
+        if not s.keys:
+            return items
+        rows = tuple(ir.Var(d) for d in (*s.keys, *[v for v in s.held if elements and v in s.vars]))
+        keys = tuple(ir.Var(d) for d in s.keys)
+        parted = lambda y: ir.Windowed(y.call, (*keys, *y.partition), y.order) if isinstance(y, ir.Windowed) else y
+        return (*ir.transform(items, parted), *[ir.Item(r, r.name) for r in rows if all(i.x != r for i in items)])
 
     def _windows_of_all(self, xs: tuple, s: State) -> tuple[State, dict]:
         """Windows without PARTITION BY, computed beforehand: their columns in the state, and
@@ -441,9 +607,11 @@ class Engine:
 
     def _project(self, items: tuple[ir.Item, ...], distinct: bool, by: tuple | None, keys: list[ir.Key], s: State, grouping=None) -> tuple[DataFrame, list[Column]]:
         """Projected rows, with hidden columns for sort keys, and the sort order."""
-        items = self._columns(items, s)
+        items = self._with_rows_around(self._columns(items, s), s)
         names = [self._name(i, k) for k, i in enumerate(items)]
-        order_x = [k.x for k in keys]
+        s, lifted = self._lifted((*[i.x for i in items], *[k.x for k in keys]), s)
+        items = tuple(ir.Item(self._replaced(i.x, lifted), n) for i, n in zip(items, names, strict=True))
+        order_x = [self._replaced(k.x, lifted) for k in keys]
         if by or any(has_aggregate(i.x) for i in items) or any(map(has_aggregate, order_x)):
             s, named_by = self._aggregated(items, by, tuple(order_x), s, grouping)
             whole = items
@@ -486,6 +654,13 @@ class Engine:
         plain, correlated = self.shape(df), id(df) in self._shapes
         if c.qualify is not None:
             df, plain = df.where("_qualify").drop("_qualify"), plain.drop("_qualify")
+        if s.keys and any(isinstance(t, (ir.Skip, ir.Limit)) for t in tail):
+            # A limit counts the rows of each row around.
+            after = sum(t.n for t in tail if isinstance(t, ir.Skip))
+            most = min((t.n for t in tail if isinstance(t, ir.Limit)), default=None)
+            df = df.withColumn("_s0_place", F.row_number().over(Window.partitionBy(*s.keys).orderBy(*(order or [F.lit(1)]))))
+            df = df.where((F.col("_s0_place") > after) & (F.lit(True) if most is None else F.col("_s0_place") <= after + most)).drop("_s0_place")
+            order, tail = [], []
         if order:
             df = df.orderBy(*order)
         for t in tail:
@@ -504,7 +679,10 @@ class Engine:
         items = c.items
         if any(isinstance(i.x, ir.Star) for i in items):
             items = (*[ir.Item(ir.Var(v), v) for v in s.vars], *[i for i in items if not isinstance(i.x, ir.Star)])
-        source = s = self._settled(s)
+        names = [self._name(i, k) for k, i in enumerate(items)]
+        s, lifted = self._lifted(tuple(i.x for i in items), self._settled(s))
+        items = self._with_rows_around(tuple(ir.Item(self._replaced(i.x, lifted), n) for i, n in zip(items, names, strict=True)), s, elements=True)
+        source = s
         if any(has_aggregate(i.x) for i in items):
             source, named_by = self._aggregated(items, None, (), s)
             items = tuple(ir.Item(self._replaced(i.x, named_by), self._name(i, k)) for k, i in enumerate(items))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.catalog import ForeignKey
@@ -122,6 +122,11 @@ _add("named_window", "MATCH (c:Customer) RETURN c.c_custkey AS c, max(c.c_acctba
 _add("qualify_clause", "MATCH (o:Orders) RETURN o.o_custkey AS c, o.o_orderkey AS o QUALIFY row_number() OVER (PARTITION BY o.o_custkey ORDER BY o.o_totalprice, o.o_orderkey) = 1", "SELECT o_custkey AS c, o_orderkey AS o FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) = 1")
 _add("rank", "MATCH (c:Customer) RETURN c.c_custkey AS c, rank() OVER (PARTITION BY c.c_nationkey ORDER BY c.c_acctbal DESC) AS r", "SELECT c_custkey AS c, CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) AS INTEGER) AS r FROM customer")
 _add("row_number", "MATCH (o:Orders) RETURN o.o_orderkey AS o, row_number() OVER (PARTITION BY o.o_custkey ORDER BY o.o_totalprice DESC, o.o_orderkey) AS r", "SELECT o_orderkey AS o, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS r FROM orders")
+_add("count_block", "MATCH (c:Customer) RETURN c.c_custkey AS c, COUNT { MATCH (c)-[:PLACED]->(o:Orders) WHERE o.o_totalprice > 200000 } AS n", "SELECT c_custkey AS c, (SELECT count(*) FROM orders WHERE o_custkey=c_custkey AND o_totalprice>200000) AS n FROM customer")
+_add("count_block_filter", "MATCH (n:Nation) WHERE COUNT { MATCH (n)<-[:CUSTOMER_IN]-(c) } > COUNT { MATCH (n)<-[:SUPPLIER_IN]-(s) RETURN DISTINCT s.s_nationkey AS k } + 1 RETURN n.n_name AS n", "SELECT n_name AS n FROM nation WHERE (SELECT count(*) FROM customer WHERE c_nationkey=n_nationkey) > (SELECT count(DISTINCT s_nationkey) FROM supplier WHERE s_nationkey=n_nationkey) + 1")
+_add("correlated_group", "MATCH (n:Nation) RETURN n.n_name AS n, VALUE { MATCH (n)<-[:CUSTOMER_IN]-(c:Customer) WITH c.c_mktsegment AS s, count(*) AS k RETURN max(k) AS m } AS m", "SELECT n_name AS n, (SELECT max(k) FROM (SELECT count(*) AS k FROM customer WHERE c_nationkey=n_nationkey GROUP BY c_mktsegment)) AS m FROM nation")
+_add("correlated_expression", "MATCH (c:Customer) RETURN c.c_custkey AS c, VALUE { MATCH (c)-[:PLACED]->(o) WHERE o.o_totalprice > 200000 RETURN round(max(o.o_totalprice) - c.c_acctbal, 2) AS x } AS x, VALUE { MATCH (c)-[:PLACED]->(o) WHERE o.o_totalprice > 200000 RETURN count(o) + 100 * c.c_nationkey AS y } AS y", "SELECT c_custkey AS c, round((SELECT max(o_totalprice) FROM orders WHERE o_custkey=c_custkey AND o_totalprice>200000) - c_acctbal, 2) AS x, (SELECT count(*) FROM orders WHERE o_custkey=c_custkey AND o_totalprice>200000) + 100 * c_nationkey AS y FROM customer")
+_add("correlated_first", "MATCH (c:Customer) RETURN c.c_custkey AS c, VALUE { MATCH (c)-[:PLACED]->(o) RETURN o.o_orderkey AS k ORDER BY o.o_totalprice DESC, o.o_orderkey LIMIT 1 } AS o", "SELECT c_custkey AS c, (SELECT o_orderkey FROM orders WHERE o_custkey=c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) AS o FROM customer")
 _add("rank_global", "MATCH (o:Orders) RETURN o.o_orderkey AS o, rank() OVER (ORDER BY o.o_orderdate) AS r, dense_rank() OVER (ORDER BY o.o_orderdate) AS d, row_number() OVER (ORDER BY o.o_totalprice DESC, o.o_orderkey) AS n", "SELECT o_orderkey AS o, rank() OVER (ORDER BY o_orderdate) AS r, dense_rank() OVER (ORDER BY o_orderdate) AS d, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders")
 _add("running_sum_global", "MATCH (c:Customer) RETURN c.c_custkey AS c, sum(c.c_nationkey) OVER (ORDER BY c.c_acctbal) AS s, count(*) OVER (ORDER BY c.c_mktsegment) AS k, max(c.c_acctbal) OVER (ORDER BY c.c_mktsegment) AS m, round(avg(c.c_nationkey) OVER (ORDER BY c.c_acctbal), 6) AS a", "SELECT c_custkey AS c, CAST(sum(c_nationkey) OVER (ORDER BY c_acctbal) AS BIGINT) AS s, count(*) OVER (ORDER BY c_mktsegment) AS k, max(c_acctbal) OVER (ORDER BY c_mktsegment) AS m, round(avg(c_nationkey) OVER (ORDER BY c_acctbal), 6) AS a FROM customer")
 _add("lag_global", "MATCH (o:Orders) RETURN o.o_orderkey AS o, lag(o.o_totalprice) OVER (ORDER BY o.o_orderdate, o.o_orderkey) AS b, lead(o.o_orderkey, 3) OVER (ORDER BY o.o_orderdate, o.o_orderkey) AS f", "SELECT o_orderkey AS o, lag(o_totalprice) OVER w AS b, lead(o_orderkey, 3) OVER w AS f FROM orders WINDOW w AS (ORDER BY o_orderdate, o_orderkey)")
@@ -338,9 +343,18 @@ def _built_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 _frame("built_union", _built_union, "SELECT DISTINCT n_regionkey AS k FROM nation WHERE n_regionkey<>4")
 _frame("label_frequency", lambda spark, d: label_frequency(_tables(spark, d)("lineitem"), "l_returnflag"), "SELECT l_returnflag, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, l_returnflag) AS INTEGER) AS rank FROM lineitem GROUP BY 1")
 _frame("unique_repair", lambda spark, d: unique_repaired(_tables(spark, d)("part").select("p_partkey", "p_name"), "p_name", ["p_partkey"], "again_"), "SELECT p_partkey, CASE WHEN row_number() OVER w = 1 THEN p_name ELSE 'again_' || p_name || '_' || row_number() OVER w END AS p_name FROM part WINDOW w AS (PARTITION BY p_name ORDER BY p_partkey)")
-_frame("sort_by", lambda spark, d: sort_by(_tables(spark, d)("nation").select("n_name", "n_regionkey"), "n_regionkey"), "SELECT n_name, n_regionkey FROM nation")
-_frame("distribute_by", lambda spark, d: distribute_by(_tables(spark, d)("nation").select("n_name", "n_regionkey"), "n_regionkey"), "SELECT n_name, n_regionkey FROM nation")
-_frame("cluster_by", lambda spark, d: cluster_by(_tables(spark, d)("orders"), "o_custkey").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("k")), "SELECT o_custkey, count(*) AS k FROM orders GROUP BY 1")
+def _placement(df: DataFrame, key: str) -> DataFrame:
+    """How many rows of ``df`` stand below an earlier one of their partition, and how many keys lie in several."""
+    placed = df.select(F.col(key).alias("k"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    before = F.lag("k").over(Window.partitionBy("part").orderBy("at"))
+    rows = placed.withColumn("below", (before > F.col("k")).cast("long"))
+    per = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("below", F.lit(0))).alias("below"), F.count_distinct("part").alias("parts"))
+    return per.agg(F.sum("n").alias("n"), F.sum("below").alias("below"), F.sum((F.col("parts") > 1).cast("long")).alias("parted"))
+
+
+_frame("sort_by", lambda spark, d: _placement(sort_by(_tables(spark, d)("orders").repartition(3), "o_totalprice"), "o_totalprice").select("n", "below"), "SELECT count(*) AS n, 0::BIGINT AS below FROM orders")
+_frame("distribute_by", lambda spark, d: _placement(distribute_by(_tables(spark, d)("orders"), "o_custkey"), "o_custkey").select("n", "parted"), "SELECT count(*) AS n, 0::BIGINT AS parted FROM orders")
+_frame("cluster_by", lambda spark, d: _placement(cluster_by(_tables(spark, d)("orders"), "o_custkey"), "o_custkey"), "SELECT count(*) AS n, 0::BIGINT AS below, 0::BIGINT AS parted FROM orders")
 _frame("pivot", lambda spark, d: pivoted(_tables(spark, d)("orders"), ["o_orderpriority"], "o_orderstatus", ["F", "O", "P"], F.count(F.lit(1))), "SELECT o_orderpriority, nullif(count(*) FILTER (o_orderstatus='F'),0) AS F, nullif(count(*) FILTER (o_orderstatus='O'),0) AS O, nullif(count(*) FILTER (o_orderstatus='P'),0) AS P FROM orders GROUP BY 1")
 _frame("unpivot", lambda spark, d: unpivoted(_tables(spark, d)("nation").select("n_name", "n_nationkey", "n_regionkey"), ["n_name"], ["n_nationkey", "n_regionkey"], "what", "key"), "SELECT n_name, 'n_nationkey' AS what, n_nationkey AS key FROM nation UNION ALL SELECT n_name, 'n_regionkey', n_regionkey FROM nation")
 
@@ -373,7 +387,7 @@ def _likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(attribute_string(["a_n_name", "a_n_regionkey"]).alias("a"), F.col("b_n_name").alias("b"), F.round(score, 6).alias("score"), F.round(angle, 6).alias("angle"))
 
 
-_frame("likeness", _likeness, "SELECT '{a_n_name:' || a.n_name || ',a_n_regionkey:' || a.n_regionkey || '}' AS a, b.n_name AS b, round(1 - (abs(a.n_nationkey-b.n_nationkey)/24.0)/2, 6) AS score, round(list_cosine_similarity([a.n_nationkey::DOUBLE, 1], [b.n_nationkey::DOUBLE, 2]), 6) AS angle FROM nation a JOIN nation b ON a.n_regionkey=b.n_regionkey AND a.n_nationkey<b.n_nationkey")
+_frame("likeness", _likeness, "SELECT '{a_n_name:' || a.n_name || ',a_n_regionkey:' || a.n_regionkey || '}' AS a, b.n_name AS b, round(1 - (abs(a.n_nationkey-b.n_nationkey)/24.0)/2, 6) AS score, round((a.n_nationkey * b.n_nationkey + 2) / (sqrt(a.n_nationkey * a.n_nationkey + 1.0) * sqrt(b.n_nationkey * b.n_nationkey + 4.0)), 6) AS angle FROM nation a JOIN nation b ON a.n_regionkey=b.n_regionkey AND a.n_nationkey<b.n_nationkey")
 
 
 def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,8 +69,32 @@ def test_correlated_scalar_subqueries(run):
     assert run("MATCH (a:Person) WHERE VALUE { MATCH (a)-[:KNOWS]->(b) RETURN sum(b.age) AS s } = 7 RETURN a.id AS a") == [(2,)]
     assert run("MATCH (a:Person) RETURN a.id AS a, COUNT { MATCH (b:Person) WHERE b.id < a.id RETURN b } AS n") == [(1, 0), (2, 1), (3, 2), (4, 3)]
     assert run("MATCH (a:Person) WHERE a.id = 1 RETURN VALUE { MATCH (a)-[:KNOWS]->(b) WITH b.age AS g, b.id AS i WHERE i > 0 RETURN max(i) AS m } AS m") == [(2,)]
-    with pytest.raises(NotImplementedError):
-        run("MATCH (a:Person) RETURN VALUE { MATCH (a)-[:KNOWS]->(b) WITH b MATCH (b)-[:KNOWS]->(c) RETURN count(c) AS n } AS n")
+
+
+def test_count_blocks_look_at_the_row_around(run):
+    assert run("MATCH (a:Person) RETURN a.id AS i, COUNT { MATCH (a)-[:KNOWS]->(b) } AS n") == [(1, 1), (2, 1), (3, 1), (4, 1)]
+    assert run("MATCH (a:Person) RETURN a.id AS i, COUNT { MATCH (a)-[:KNOWS]->(b) WHERE b.age > 5 } AS n") == [(1, 0), (2, 1), (3, 1), (4, 0)]
+    assert run("MATCH (a:Person) WHERE COUNT { MATCH (b:Person) WHERE b.id < a.id } = 2 RETURN a.id AS i") == [(3,)]
+    assert run("MATCH (a:Person) RETURN sum(COUNT { MATCH (b:Person) WHERE b.id < a.id RETURN DISTINCT b.age > 8 AS o }) AS n") == [(6,)]
+    assert run("MATCH (a:Person) WITH a, COUNT { MATCH (a)-[:KNOWS]->(b) WHERE b.id > a.id } AS n WHERE n = 1 RETURN a.id AS i ORDER BY COUNT { MATCH (a)<-[:KNOWS]-(c) } LIMIT 5") == [(1,), (2,)]
+
+
+def test_subqueries_run_once_for_all_rows_around(run):
+    value = lambda text: run(f"MATCH (a:Person) RETURN a.id AS a, VALUE {{ {text} }} AS v")
+    assert value("MATCH (a)-[:KNOWS]->(b) RETURN max(b.id) + a.id AS n") == [(1, 3), (2, 5), (3, 4), (4, 8)]
+    assert value("MATCH (b:Person) WHERE b.id < a.id RETURN count(b) + a.id AS n") == [(1, 1), (2, 3), (3, 5), (4, 7)]
+    assert value("MATCH (b:Person) WHERE b.id < a.id RETURN max(b.id) + count(*) AS n") == [(1, None), (2, 2), (3, 4), (4, 6)]
+    assert value("MATCH (a)-[:KNOWS]->(b) WITH b MATCH (b)-[:KNOWS]->(c) RETURN count(c) AS n") == [(1, 1), (2, 1), (3, 1), (4, 1)]
+    assert value("MATCH (a)-[:KNOWS]->(b) WHERE b.id > a.id WITH count(b) AS k RETURN k * 10 AS n") == [(1, 10), (2, 10), (3, 0), (4, 0)]
+    assert value("MATCH (b:Person) WHERE b.id <> a.id RETURN b.name AS n ORDER BY b.id DESC LIMIT 1") == [(1, "a%b"), (2, "a%b"), (3, "a%b"), (4, None)]
+    assert value("MATCH (b:Person) WHERE b.id >= a.id WITH b.age > 8 AS o, count(*) AS k RETURN max(k) AS n") == [(1, 2), (2, 2), (3, 2), (4, 1)]
+    assert value("MATCH (a)-[:KNOWS]->(b) RETURN b.id AS n") == [(1, 2), (2, 3), (3, 1), (4, 4)]
+    assert value("OPTIONAL MATCH (a)-[:KNOWS]->(b) WHERE b.id > a.id RETURN b.id AS n") == [(1, 2), (2, 3), (3, None), (4, None)]
+    assert value("MATCH (a)-[:KNOWS]->(b) RETURN b.id + VALUE { MATCH (c:Person) WHERE c.id < b.id AND c.id <> a.id RETURN count(c) + b.id AS m } AS n") == [(1, 4), (2, 7), (3, 2), (4, 11)]
+    assert run("MATCH (a:Person) RETURN a.id AS a, COLLECT { MATCH (b:Person) WHERE b.id > a.id RETURN b.id ORDER BY b.id LIMIT 1 } AS v") == [(1, [2]), (2, [3]), (3, [4]), (4, [])]
+    assert run("MATCH (a:Person) OPTIONAL MATCH (a)-[:KNOWS]->(b) WHERE b.id > a.id RETURN a.id AS a, COUNT { MATCH (b)-[:KNOWS]->(c) RETURN DISTINCT c.id AS c } AS n") == [(1, 1), (2, 1), (3, 0), (4, 0)]
+    with pytest.raises(Exception, match="more than one row"):
+        value("MATCH (b:Person) WHERE b.id > a.id RETURN b.id AS n")
 
 
 def test_optional_match_with_a_subquery_on_both_sides(run):
