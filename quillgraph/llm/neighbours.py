@@ -7,18 +7,22 @@ that a vector of cosine rho to the query falls into the bucket, which is highest
 query's own bucket and falls as values are perturbed towards farther borders. It goes on
 until the visited buckets of all tables together would hold such a vector with probability
 SUCCESS. Candidates of all tables are merged and ranked by the exact cosine of the
-original vectors.
+original vectors. PROBES buckets are ranked at first, and four times as many until they
+are enough; a query that MOST_PROBES buckets of a table do not serve, or whose buckets hold
+fewer than K others, is compared with every row instead, block by block, and marked
+``exhausted`` in the results.
 
-How finely tables cut (``hashes``) grows with the logarithm of the rows, so that buckets
-keep their size and a query meets an ever smaller share of a growing table; rho, the
-cosine of a K-th neighbour, is estimated on a sample of at most SAMPLE rows (``fitted``),
-so close neighbours need few buckets.
+How finely tables cut (``hashes``) grows with the logarithm of the rows, from one value
+for a table of a few, so that buckets keep their size and a query meets an ever smaller share
+of a growing table; rho, the cosine of a K-th neighbour, is estimated on a sample of at most
+SAMPLE rows and VALUES components (``fitted``), so close neighbours need few buckets.
 
 Buckets are met block by block: at most BLOCK rows of a bucket stand in a block and every
 query that probes the bucket visits all of its blocks, so a bucket of any size is searched
 whole and no pair becomes a row. A task keeps the best few of at most HELD queries. Equal
 vectors stand for each other: of each, the K + 1 smallest ids are indexed, and no more can
-be among the K nearest of a query. An id of several vectors takes one place.
+be among the K nearest of a query. An id of several vectors takes one place, with its largest
+cosine; asked for, it is one query, as near to a row as the nearest of its vectors.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take
 no part, nor do null ids; only vectors of equal length meet; rows of the query's own id
@@ -42,15 +46,13 @@ from quillgraph.llm.common import bounded_batches, lean, partitions, read, store
 
 K = 5
 TABLES, WIDTH, SUCCESS = 8, 3.0, 0.9
-#: Buckets that are ranked for a query and table at most.
-PROBES = 256
-#: Rows that rho is estimated on, and queries among them.
-SAMPLE, ASKED = 20_000, 256
+#: Buckets that are ranked for a query and table at first, and before it is compared with all rows.
+PROBES, MOST_PROBES = 256, 4096
+#: Rows and components that rho is estimated on, and queries among them.
+SAMPLE, VALUES, ASKED = 20_000, 4_000_000, 256
 BLOCK, HELD = 4096, 50_000
 #: Candidates that a task gathers before it keeps the best of each query.
 PAIRS = 500_000
-#: A table of at most so many rows is one bucket.
-ONE = 4096
 #: Values run from -RANGE to RANGE; those beyond count as the last.
 RANGE = 2
 SEED = 77
@@ -68,14 +70,9 @@ class Tables:
     kind: str = "<f8"
 
 
-    @property
-    def tables(self) -> int:
-        return TABLES if self.hashes else 1
-
-
 def hashes(n: int) -> int:
     """Values of a table for ``n`` rows."""
-    return min(24, round(math.log2(n)) - 4) if n > ONE else 0
+    return min(24, max(1, round(math.log2(max(1, n))) - 4))
 
 
 @lru_cache(maxsize=256)
@@ -101,8 +98,22 @@ def hashed(x: np.ndarray, table: int, t: Tables) -> np.ndarray:
     return _bucket(np.floor((_unit(x) @ a + b) / WIDTH).astype(np.int64), x.shape[1], table)
 
 
-def probes(x: np.ndarray, table: int, t: Tables) -> list[np.ndarray]:
-    """Buckets of each query in order of estimated success, as many as its share of SUCCESS takes."""
+def _ranked(chance: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` likeliest combinations of values of each query, likeliest first: probabilities, and values."""
+    n, m, side = chance.shape
+    score, path = np.ones((n, 1)), np.zeros((n, 1, 0), np.int64)
+    for j in range(m):  # the best of all combinations begin with one of the best
+        total = (score[:, :, None] * chance[:, j][:, None, :]).reshape(n, -1)
+        best = np.argpartition(-total, most - 1, axis=1)[:, :most] if total.shape[1] > most else np.broadcast_to(np.arange(total.shape[1]), total.shape)
+        score = np.take_along_axis(total, best, 1)
+        path = np.concatenate([np.take_along_axis(path, (best // side)[:, :, None], 1), (best % side - RANGE)[:, :, None]], axis=2)
+    order = np.argsort(-score, axis=1, kind="stable")
+    return np.take_along_axis(score, order, 1), np.take_along_axis(path, order[:, :, None], 1)
+
+
+def probes(x: np.ndarray, table: int, t: Tables) -> list[np.ndarray | None]:
+    """Buckets of each query in order of estimated success, as many as its share of SUCCESS
+    takes; None where MOST_PROBES are not enough."""
     a, b = projections(x.shape[1], table, t.hashes)
     at = t.rho * (_unit(x) @ a) + b  # where a neighbour's projection is expected
     sd = math.sqrt(1 - t.rho * t.rho)
@@ -110,25 +121,29 @@ def probes(x: np.ndarray, table: int, t: Tables) -> list[np.ndarray]:
     below = 0.5 * (1 + _erf((edges - at[:, :, None]) / (sd * math.sqrt(2))))
     below[:, :, 0], below[:, :, -1] = 0.0, 1.0
     chance = np.diff(below, axis=2)
-    score, path = np.ones((len(x), 1)), np.zeros((len(x), 1, 0), np.int64)
-    side = chance.shape[2]
-    for j in range(t.hashes):  # the best of all combinations begin with one of the best
-        total = (score[:, :, None] * chance[:, j][:, None, :]).reshape(len(x), -1)
-        best = np.argpartition(-total, PROBES - 1, axis=1)[:, :PROBES] if total.shape[1] > PROBES else np.broadcast_to(np.arange(total.shape[1]), total.shape)
-        score = np.take_along_axis(total, best, 1)
-        path = np.concatenate([np.take_along_axis(path, (best // side)[:, :, None], 1), (best % side - RANGE)[:, :, None]], axis=2)
-    order = np.argsort(-score, axis=1, kind="stable")
-    score, path = np.take_along_axis(score, order, 1), np.take_along_axis(path, order[:, :, None], 1)
-    need = 1 - (1 - SUCCESS) ** (1 / t.tables)
-    n = 1 + (np.cumsum(score, axis=1) < need).sum(1)
-    keys = _bucket(path, x.shape[1], table)
-    return [np.unique(k[:m]) for k, m in zip(keys, n.tolist(), strict=True)]
+    need = 1 - (1 - SUCCESS) ** (1 / TABLES)
+    out: list[np.ndarray | None] = [None] * len(x)
+    left, most = np.arange(len(x)), PROBES
+    while len(left) and most <= MOST_PROBES:
+        step = max(1, (1 << 22) // (most * chance.shape[2] * t.hashes))  # some dozen MB at a time
+        for i in range(0, len(left), step):
+            own = left[i : i + step]
+            score, path = _ranked(chance[own], most)
+            total = np.cumsum(score, axis=1)
+            n = 1 + (total < need).sum(1)
+            keys = _bucket(path, x.shape[1], table)
+            for k, row, m in zip(own.tolist(), keys, n.tolist(), strict=True):
+                out[k] = np.unique(row[:m]) if m <= len(row) else None
+        left = np.array([k for k in left.tolist() if out[k] is None], np.int64)
+        most *= 4
+    return out
 
 
 def fitted(vectors: DataFrame, n: int, k: int, kind: str = "<f8") -> Tables:
     """The tables for the ``n`` rows of ``vectors``: rho is the median cosine of
     sampled queries to their ``k``-th neighbour, or to the nearest one in a thinner sample."""
-    share = F.lit(int(min(1.0, SAMPLE / max(1, n)) * (1 << 30)))
+    longest = vectors.agg(F.max(F.size("embedding"))).first()[0] or 1
+    share = F.lit(int(min(1.0, min(SAMPLE, VALUES // longest) / max(1, n)) * (1 << 30)))
     pdf = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < share).select("vec_id", "embedding").toPandas()
     by: dict[int, list] = {}
     for i, v in sorted(zip(pdf["vec_id"], pdf["embedding"], strict=True), key=lambda r: r[0]):
@@ -145,7 +160,8 @@ def fitted(vectors: DataFrame, n: int, k: int, kind: str = "<f8") -> Tables:
 
 
 def _placed(query: bool, t: Tables):
-    """mapInArrow: a row of (key, id, vector) for each table, or each table and probe."""
+    """mapInArrow: a row of (key, id, vector) for each table, or each table and probe; queries
+    that probes do not serve have a single row without a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,17 +176,35 @@ def _placed(query: bool, t: Tables):
                 packed = [v.astype(t.kind).tobytes() for v in lists]
                 for own in by.values():
                     x = np.stack([lists[k] for k in own])
-                    for table in range(t.tables):
-                        found = probes(x, table, t) if query else hashed(x, table, t)[:, None]
-                        at = np.repeat(np.array(own), [len(f) for f in found]).tolist()
+                    per = [probes(x, table, t) if query else hashed(x, table, t)[:, None] for table in range(TABLES)]
+                    beyond = [k for k in range(len(own)) if any(found[k] is None for found in per)]
+                    if beyond:
+                        yield pa.RecordBatch.from_arrays([pa.nulls(len(beyond), pa.int64()), pa.array([ids[own[k]] for k in beyond], pa.int64()), pa.array([packed[own[k]] for k in beyond], pa.binary())], ["key", "id", "vec"])
+                    served = sorted(set(range(len(own))) - set(beyond))
+                    for found in per:
+                        keys = [found[k] for k in served]
+                        if not keys:
+                            continue
+                        at = np.repeat(np.array([own[k] for k in served]), [len(f) for f in keys]).tolist()
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.concatenate(list(found)), pa.int64()), pa.array([ids[k] for k in at], pa.int64()), pa.array([packed[k] for k in at], pa.binary())],
+                            [pa.array(np.concatenate(keys), pa.int64()), pa.array([ids[k] for k in at], pa.int64()), pa.array([packed[k] for k in at], pa.binary())],
                             ["key", "id", "vec"],
                         )
 
     return lean(run)
 
 
+def _packed(t: Tables):
+    """mapInArrow: every row's id and vector, once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [np.array(v, np.float64).astype(t.kind).tobytes() for v in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "vec"])
+
+    return lean(run)
+
+
 def _leading(q: np.ndarray, ids: np.ndarray, score: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ``keep`` best ids of each query, an id by its best score, ties to smaller ids."""
     order = np.lexsort((-score, ids, q))
@@ -269,7 +303,8 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """For each of ``queries`` its ``k`` nearest of ``vectors`` found: query_id, rank, vec_id, score."""
+    """For each of ``queries`` its ``k`` nearest of ``vectors`` found: query_id, rank, vec_id, score,
+    and whether its probes were exhausted and it met all rows."""
     spark = vectors.sparkSession
     bounded_batches(spark)
     same = Window.partitionBy("embedding").orderBy("vec_id")
@@ -277,19 +312,37 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     index = stored(index, "vectors")
     # Vectors of single precision are carried as such; all arithmetic is double.
     kind = "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" and dict(queries.dtypes)["embedding"] == "array<float>" else "<f8"
-    t = fitted(index, index.count(), k, kind)
+    n = index.count()
+    t = fitted(index, n, k, kind)
     rows = stored(index.mapInArrow(_placed(False, t), "key long, id long, vec binary"), "index")
     # Ranking buckets is work by the query, not by the byte: deal queries to all tasks.
-    asked = usable(queries).repartition(partitions(spark), "vec_id").mapInArrow(_placed(True, t), "key long, id long, vec binary")
+    asked = stored(usable(queries).repartition(partitions(spark), "vec_id").mapInArrow(_placed(True, t), "key long, id long, vec binary"), "probes")
     large = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "large")
     parts = F.coalesce("parts", F.lit(1))
+    served = asked.where("key IS NOT NULL").join(large, "key", "left").select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(1).alias("kind"), "id", "vec")
     rows = rows.join(large, "key", "left").select("key", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.lit(0).alias("kind"), "id", "vec")
-    asked = asked.join(large, "key", "left").select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(1).alias("kind"), "id", "vec")
-    line = rows.unionByName(asked).repartition(partitions(spark), "key", "part").sortWithinPartitions("key", "part", "kind", "id")
-    found = line.mapInArrow(_met(k, t), "query_id long, vec binary, vec_id long, score double")
-    best = found.groupBy("query_id", "vec", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id", "vec").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def met(line: DataFrame) -> DataFrame:
+        line = line.repartition(partitions(spark), "key", "part").sortWithinPartitions("key", "part", "kind", "id")
+        found = line.mapInArrow(_met(k, t), "query_id long, vec binary, vec_id long, score double")
+        return stored(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "found")
+
+    best = met(rows.unionByName(served))
+    full = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    # A query of several vectors is asked anew with all of them.
+    again = asked.groupBy("id").agg(F.max(F.col("key").isNull()).alias("out")).join(full, F.col("id") == F.col("query_id"), "left").where(F.col("out") | F.col("query_id").isNull())
+    again = stored(again.select(F.col("id").alias("again")), "again")
+    best = best.withColumn("exhausted", F.lit(False))
+    if not again.isEmpty():
+        blocks = max(1, math.ceil(n / BLOCK))  # of each length of vectors
+        block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+        every = index.mapInArrow(_packed(t), "id long, vec binary").select(F.length("vec").cast("long").alias("key"), block.alias("part"), F.lit(0).alias("kind"), "id", "vec")
+        hard = asked.select("id", "vec").distinct().join(again, F.col("id") == F.col("again"), "left_semi")
+        hard = hard.select(F.length("vec").cast("long").alias("key"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"), F.lit(1).alias("kind"), "id", "vec")
+        best = best.join(again, F.col("query_id") == F.col("again"), "left_anti").unionByName(met(every.unionByName(hard)).withColumn("exhausted", F.lit(True)))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.select("query_id", "rank", "vec_id", "score", "exhausted")
 
 
 def op7_neighbours(spark, sf_dir):
