@@ -13,6 +13,7 @@ from quillgraph.catalog import PropertyGraph
 from quillgraph.functions.expressions import Compiler, has_aggregate, is_aggregate, kind_of, ordered
 from quillgraph.operators.match import Matcher, named
 from quillgraph.operators.ordered import BY_ROW, BY_TIE, RUNNING, Over, over_all
+from quillgraph.operators.recursion import fixpoint
 from quillgraph.plans import ir
 from quillgraph.plans.parser import parse
 
@@ -50,7 +51,7 @@ def _plainly_correlated(x, query, around: set[str]) -> bool:
 
 @dataclass
 class Bound:
-    kind: str  # node, edge, value, path
+    kind: str  # node, edge, value, path, row
     label: str | None = None
     hops: int | None = None
     types: tuple[str, ...] = ()
@@ -183,7 +184,7 @@ class Engine:
     def run(self, query, params: dict | None = None) -> DataFrame:
         # What belongs to one query stands in a copy, so threads may share an engine.
         one, query = copy(self), ir.bound(query, params)
-        one._looked, one._shapes = self._uses(query), {}
+        one._looked, one._shapes, one._tables = self._uses(query), {}, {}
         return one._lower(query, None)
 
     def shape(self, df: DataFrame) -> DataFrame:
@@ -371,7 +372,7 @@ class Engine:
 
     # -- clauses
     def _clause(self, c, s: State) -> State:
-        if s.shape is not None and isinstance(c, (ir.Match, ir.CallSub, ir.Unwind, ir.Let)):
+        if s.shape is not None and isinstance(c, (ir.Match, ir.CallSub, ir.Unwind, ir.Let, ir.From)):
             raise NotImplementedError("a pattern, call or list after WITH or LIMIT in a correlated subquery")
         if isinstance(c, ir.Match):
             return self._match(c, s)
@@ -395,6 +396,15 @@ class Engine:
         if isinstance(c, ir.Unwind):
             df = self._table(s).select("*", F.explode(self.compiler(s)(c.x)).alias(c.name))
             return State(df, s.vars | {c.name: Bound("value")}, s.outer, s.lets, s.pending)
+        if isinstance(c, ir.Recursive):
+            self._recursive(c)
+            return s
+        if isinstance(c, ir.From):
+            if c.name not in self._tables:
+                raise KeyError(f"no table {c.name}")
+            t = self._tables[c.name]
+            rows = t.select(*[F.col(f"`{x}`").alias(f"{c.var}__{x}") for x in t.columns])
+            return State(rows if s.df is None else s.df.crossJoin(rows), s.vars | {c.var: Bound("row")}, s.outer, s.lets, s.pending)
         if isinstance(c, ir.CallSub):
             sub = self._lower(c.query, s if s.df is not None else s.outer)
             correlated = s.df is not None and self._correlated(c.query, s)
@@ -402,6 +412,14 @@ class Engine:
             return State(df, s.vars | {n: Bound("value") for n in self.shape(sub).columns}, s.outer, s.lets, s.pending)
         raise NotImplementedError(type(c).__name__)
 
+    def _recursive(self, c: ir.Recursive) -> None:
+        """Run a recursive table; its step looks at the rows of the round before only."""
+        def step(frontier: DataFrame) -> DataFrame:
+            self._tables[c.name] = frontier
+            return self._lower(c.step, None)
+
+        self._tables[c.name] = fixpoint(self._lower(c.base, None), step, distinct=c.distinct)
+
     def _table(self, s: State) -> DataFrame:
         return self.spark.range(1).select() if s.df is None else s.df
 

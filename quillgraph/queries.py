@@ -11,9 +11,10 @@ from quillgraph.catalog import ForeignKey
 from quillgraph.evaluation import execution_accuracy, rollup
 from quillgraph.functions.expressions import Compiler, attribute_string, cosine, numeric_similarity
 from quillgraph.operators.relational import (
-    cardinality_violations, closure, cluster_by, constraint_violations, degrees, distinct_on, distribute_by, label_frequency, missing_ends, pivoted, similarity_matrix, similarity_top_k,
+    cardinality_violations, cluster_by, constraint_violations, degrees, distinct_on, distribute_by, label_frequency, missing_ends, pivoted, similarity_matrix, similarity_top_k,
     sort_by, top_k, unique_repaired, unique_violations, unpivoted,
 )
+from quillgraph.operators.recursion import closure
 from quillgraph.plans import ir
 from quillgraph.plans.build import col, func, select, star, table
 from quillgraph.plans.engine import Engine
@@ -122,6 +123,9 @@ _add("named_window", "MATCH (c:Customer) RETURN c.c_custkey AS c, max(c.c_acctba
 _add("qualify_clause", "MATCH (o:Orders) RETURN o.o_custkey AS c, o.o_orderkey AS o QUALIFY row_number() OVER (PARTITION BY o.o_custkey ORDER BY o.o_totalprice, o.o_orderkey) = 1", "SELECT o_custkey AS c, o_orderkey AS o FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) = 1")
 _add("rank", "MATCH (c:Customer) RETURN c.c_custkey AS c, rank() OVER (PARTITION BY c.c_nationkey ORDER BY c.c_acctbal DESC) AS r", "SELECT c_custkey AS c, CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) AS INTEGER) AS r FROM customer")
 _add("row_number", "MATCH (o:Orders) RETURN o.o_orderkey AS o, row_number() OVER (PARTITION BY o.o_custkey ORDER BY o.o_totalprice DESC, o.o_orderkey) AS r", "SELECT o_orderkey AS o, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS r FROM orders")
+_SHARED = "MATCH (a:Part)<-[x:CONTAINS]-(o:Orders)-[y:CONTAINS]->(b:Part) WHERE a.p_partkey = r.node AND o.o_totalprice > 400000"
+_add("recursive_text", "WITH RECURSIVE reached AS { MATCH (p:Part) WHERE p.p_partkey % 50 = 1 RETURN p.p_partkey AS start, p.p_partkey AS node UNION FROM reached AS r " + _SHARED + " RETURN r.start AS start, b.p_partkey AS node } FROM reached AS z RETURN z.start AS start, z.node AS node", "WITH RECURSIVE big AS (SELECT l_orderkey AS o, l_partkey AS p FROM lineitem JOIN orders ON o_orderkey=l_orderkey WHERE o_totalprice > 400000), hop AS (SELECT DISTINCT x.p AS a, y.p AS b FROM big x JOIN big y ON x.o=y.o), reached(start, node) AS (SELECT p_partkey, p_partkey FROM part WHERE p_partkey % 50 = 1 UNION SELECT start, b FROM reached JOIN hop ON a=node) SELECT start, node FROM reached")
+_add("recursive_counts", "WITH RECURSIVE steps AS { MATCH (r:Region) RETURN r.r_regionkey AS k, 0 AS n UNION ALL FROM steps AS s MATCH (m:Nation) WHERE m.n_regionkey = s.k AND s.n < 2 RETURN m.n_nationkey % 5 AS k, s.n + 1 AS n } FROM steps AS z RETURN z.n AS n, z.k AS k, count(*) AS c", "WITH RECURSIVE steps(k, n) AS (SELECT r_regionkey, 0 FROM region UNION ALL SELECT n_nationkey % 5, n + 1 FROM steps JOIN nation ON n_regionkey=k WHERE n < 2) SELECT n, k, count(*) AS c FROM steps GROUP BY 1, 2")
 _add("count_block", "MATCH (c:Customer) RETURN c.c_custkey AS c, COUNT { MATCH (c)-[:PLACED]->(o:Orders) WHERE o.o_totalprice > 200000 } AS n", "SELECT c_custkey AS c, (SELECT count(*) FROM orders WHERE o_custkey=c_custkey AND o_totalprice>200000) AS n FROM customer")
 _add("count_block_filter", "MATCH (n:Nation) WHERE COUNT { MATCH (n)<-[:CUSTOMER_IN]-(c) } > COUNT { MATCH (n)<-[:SUPPLIER_IN]-(s) RETURN DISTINCT s.s_nationkey AS k } + 1 RETURN n.n_name AS n", "SELECT n_name AS n FROM nation WHERE (SELECT count(*) FROM customer WHERE c_nationkey=n_nationkey) > (SELECT count(DISTINCT s_nationkey) FROM supplier WHERE s_nationkey=n_nationkey) + 1")
 _add("correlated_group", "MATCH (n:Nation) RETURN n.n_name AS n, VALUE { MATCH (n)<-[:CUSTOMER_IN]-(c:Customer) WITH c.c_mktsegment AS s, count(*) AS k RETURN max(k) AS m } AS m", "SELECT n_name AS n, (SELECT max(k) FROM (SELECT count(*) AS k FROM customer WHERE c_nationkey=n_nationkey GROUP BY c_mktsegment)) AS m FROM nation")
@@ -374,7 +378,7 @@ def _reached(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts reached from the first ones by doubling keys."""
     t = _tables(spark, sf_dir)("part")
     edges = t.select(F.col("p_partkey").alias("_src"), (F.col("p_partkey") * 2 + 1).alias("_dst"))
-    return closure(spark, edges, t.where("p_partkey IN (1, 2)").select(F.col("p_partkey").alias("node")), 6)
+    return closure(edges, t.where("p_partkey IN (1, 2)").select(F.col("p_partkey").alias("node")), 6)
 
 
 _frame("recursive", _reached, "WITH RECURSIVE r(start, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey IN (1,2) UNION ALL SELECT start, p_partkey*2+1, depth+1 FROM r JOIN part ON p_partkey=node WHERE depth<6) SELECT start, node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY 1, 2")
