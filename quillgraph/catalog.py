@@ -143,6 +143,8 @@ class EdgeTable:
 class PropertyGraph:
     nodes: dict[str, NodeTable] = field(default_factory=dict)
     edges: dict[str, list[EdgeTable]] = field(default_factory=lambda: defaultdict(list))
+    #: Counts and degrees that order joins, once ``Engine.analyze`` has taken them.
+    statistics: object | None = None
 
     def add(self, *tables: NodeTable | EdgeTable) -> PropertyGraph:
         for t in tables:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.catalog import EdgeTable, PropertyGraph
+from quillgraph.operators.planner import planned, turned
 from quillgraph.plans import ir
 
 
@@ -173,6 +174,61 @@ class Matcher:
         t = self.graph.nodes[labels[var]]
         return out.join(t.df.select(F.col(t.key).alias("_end")), F.col(at) == F.col("_end"), "left_semi")
 
+    @staticmethod
+    def _is_triangle(path: tuple[Step, ...]) -> bool:
+        return len(path) == 3 and path[2].right == path[0].left and len({x.left for x in path}) == 3
+
+    @staticmethod
+    def _ids(s: Step) -> tuple[str, str]:
+        """The columns of a step's left and right end."""
+        a, b = f"{s.rel.var}___src", f"{s.rel.var}___dst"
+        return (a, b) if s.forward else (b, a)
+
+    def wedges(self, path: tuple[Step, ...]) -> list[tuple[DataFrame, DataFrame]]:
+        """For each corner of a triangle the pairs of edges that meet there, where it has the
+        fewest edges of the three corners (of equal ones the first), and the edge that closes them.
+
+        A corner's degree counts its edges of both sides of the pattern. Every triangle has one
+        such corner, so it comes once, and a hub is never where two edges are paired unless its
+        neighbours are hubs as well.
+        """
+        edges = [self.edge(s.rel.var, s.edge) for s in path]
+        degrees = []
+        for k, s in enumerate(path):
+            before = path[k - 1]
+            ends = edges[k].select(F.col(self._ids(s)[0]).alias("k")).unionAll(edges[k - 1].select(F.col(self._ids(before)[1]).alias("k")))
+            degrees.append(ends.where("k IS NOT NULL").groupBy("k").agg(F.count(F.lit(1)).alias("d")))
+
+        def graded(k: int) -> DataFrame:
+            """An edge with the degrees of its left and right corner."""
+            df = edges[k]
+            for at, corner in zip(self._ids(path[k]), (k, (k + 1) % 3), strict=True):
+                df = df.join(degrees[corner].select(F.col("k").alias("_k"), F.col("d").alias(f"_d{corner}")), F.col(at) == F.col("_k")).drop("_k")
+            return df
+
+        out = []
+        for i in range(3):
+            into, onto = (i + 2) % 3, (i + 1) % 3
+            def above(other: int, i: int = i):
+                return F.col(f"_d{other}") > F.col(f"_d{i}") if other < i else F.col(f"_d{other}") >= F.col(f"_d{i}")
+
+            a = graded(into).where(above(into)).drop(f"_d{into}", f"_d{i}")
+            b = graded(i).where(above(onto)).drop(f"_d{onto}", f"_d{i}")
+            out.append((a.join(b, F.col(self._ids(path[into])[1]) == F.col(self._ids(path[i])[0])), edges[onto]))
+        return out
+
+    def _triangle(self, path: tuple[Step, ...], labels: dict[str, str], looked: set[str]) -> DataFrame:
+        """Three edges that close, paired at the corner of the lowest degree."""
+        out = None
+        for i, (pairs, third) in enumerate(self.wedges(path)):
+            into, onto = path[(i + 2) % 3], path[(i + 1) % 3]
+            start, end = self._ids(onto)
+            closed = pairs.join(third, (F.col(self._ids(path[i])[1]) == F.col(start)) & (F.col(self._ids(into)[0]) == F.col(end)))
+            out = closed if out is None else out.unionByName(closed)
+        for s in path:
+            out = self._end(out, s.left, self._ids(s)[0], labels, looked, s.edge)
+        return out
+
     def branch(self, b: Branch, looked: set[str]) -> DataFrame:
         labels, df, bound = dict(b.labels), None, set()
         waiting = list(b.paths)
@@ -188,8 +244,14 @@ class Matcher:
             if path and first not in bound and any(x.right in bound for x in path):
                 # Begin at the bound variable and walk both ways from it.
                 at = next(i for i, x in enumerate(path) if x.right in bound)
-                back = tuple(Step(x.rel, x.edge, not x.forward, x.right, x.left, x.both) for x in reversed(path[: at + 1]))
-                path = back + path[at + 1 :]
+                path = (*map(turned, reversed(path[: at + 1])), *path[at + 1 :])
+            elif df is None and self.graph.statistics is not None and path and not any(x.both for x in path):
+                if self._is_triangle(path):
+                    df = self._triangle(path, labels, looked)
+                    bound.update(x.left for x in path)
+                    steps += path
+                    continue
+                path = planned(path, labels, self.graph.statistics)
             for s in path:
                 df = self._step(df, s, bound, looked, labels)
                 if s.both and not s.forward and s.edge.source_label == s.edge.target_label:

@@ -13,6 +13,7 @@ from quillgraph.catalog import PropertyGraph
 from quillgraph.functions.expressions import Compiler, has_aggregate, is_aggregate, kind_of, ordered
 from quillgraph.operators.match import Matcher, named
 from quillgraph.operators.ordered import BY_ROW, BY_TIE, RUNNING, Over, over_all
+from quillgraph.operators.planner import analyzed
 from quillgraph.operators.recursion import fixpoint
 from quillgraph.plans import ir
 from quillgraph.plans.parser import parse
@@ -175,6 +176,11 @@ class Engine:
         self.matcher = Matcher(graph, match_mode == "trail")
         self._fresh = count(1)
 
+    def analyze(self) -> Engine:
+        """Take counts and degrees of the graph, by which joins are ordered from now on."""
+        self.graph.statistics = analyzed(self.graph)
+        return self
+
     def query(self, text: str, dialect: str | None = None, params: dict | None = None) -> DataFrame:
         """The result of a query text; ``params`` are the values of its $names."""
         one = copy(self)

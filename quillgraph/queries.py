@@ -381,6 +381,13 @@ def _reached(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closure(edges, t.where("p_partkey IN (1, 2)").select(F.col("p_partkey").alias("node")), 6)
 
 
+def _analyzed(text: str):
+    """A query of a graph whose counts and degrees order the joins."""
+    return lambda spark, sf_dir: Engine(spark, star_graph(spark, sf_dir)).analyze().query(text)
+
+
+_frame("triangle_hub", _analyzed("MATCH (o:Orders)-[:CONTAINS]->(p:Part)<-[:SUPPLIES]-(s:Supplier)<-[:FULFILLED_BY]-(o) RETURN s.s_name AS s, p.p_brand AS b, count(*) AS n"), "SELECT s_name AS s, p_brand AS b, count(*) AS n FROM lineitem x JOIN lineitem y ON x.l_partkey=y.l_partkey JOIN lineitem z ON z.l_orderkey=x.l_orderkey AND z.l_suppkey=y.l_suppkey JOIN supplier ON s_suppkey=y.l_suppkey JOIN part ON p_partkey=x.l_partkey GROUP BY 1, 2")
+_frame("planned_path", _analyzed("MATCH (p:Part)<-[x:CONTAINS]-(o:Orders)<-[:PLACED]-(c:Customer)-[:CUSTOMER_IN]->(n:Nation)-[:IN_REGION]->(r:Region) WHERE x.l_quantity > 45 RETURN r.r_name AS r, p.p_brand AS b, count(*) AS k"), "SELECT r_name AS r, p_brand AS b, count(*) AS k FROM lineitem JOIN part ON p_partkey=l_partkey JOIN orders ON o_orderkey=l_orderkey JOIN customer ON c_custkey=o_custkey JOIN nation ON n_nationkey=c_nationkey JOIN region ON r_regionkey=n_regionkey WHERE l_quantity > 45 GROUP BY 1, 2")
 _frame("recursive", _reached, "WITH RECURSIVE r(start, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey IN (1,2) UNION ALL SELECT start, p_partkey*2+1, depth+1 FROM r JOIN part ON p_partkey=node WHERE depth<6) SELECT start, node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY 1, 2")
 
 
