@@ -97,7 +97,8 @@ def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text (not null) and ``_key``, which tells rows apart by id and text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
-    return rows.withColumn("_key", F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.sha2(F.col("text").cast("binary"), 256)))
+    own = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"))
+    return rows.withColumn("_key", F.concat(own.cast("binary"), F.unhex(F.sha2(F.col("text").cast("binary"), 256))))
 
 
 def ordered_keys(rows: DataFrame) -> DataFrame:
@@ -116,26 +117,22 @@ def ordered_keys(rows: DataFrame) -> DataFrame:
 
 
 def edited(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """_key and the text whose last half (rounded down) the beginning of the next one replaces."""
+    """The columns of ``keys``, the fingerprint ``f`` of each text and ``g`` of the next one, and
+    the text whose last half (rounded down) the beginning of the next one replaces."""
     # Rows that repeat a key are dropped before they travel: a key's first row is as good as any.
-    once = rows.select("_key", "text").dropDuplicates(["_key"])
+    once = sketched(rows, "text", "f").select("_key", "text", "f").dropDuplicates(["_key"])
     both = once.join(keys, "_key")
-    half = F.floor(F.col("n_chars") / 2).cast("int")
-    own = both.select("_key", F.expr("substring(text, 1, CAST(n_chars - floor(n_chars / 2) AS INT))").alias("own"))
+    own = both.select("_key", "doc_id", "n_chars", "copies", "f", F.expr("substring(text, 1, CAST(n_chars - floor(n_chars / 2) AS INT))").alias("own"))
     need = F.floor(F.col("before.n_chars") / 2).cast("int")
-    piece = both.select(F.col("before._key").alias("_key"), F.substring("text", F.lit(1), need).alias("piece"))
-    return own.join(piece, "_key").select("_key", F.concat("own", "piece").alias("edited"))
+    piece = both.select(F.col("before._key").alias("_key"), F.substring("text", F.lit(1), need).alias("piece"), F.col("f").alias("g"))
+    return own.join(piece, "_key").withColumn("edited", F.concat("own", "piece")).drop("own", "piece")
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
     """Every row's fingerprint, that of its edited text, and how like its text these and the next one are."""
     rows = keyed(docs)
-    prints = stored(sketched(rows, "text", "f").select("_key", "f").dropDuplicates(["_key"]), "fingerprints")
     keys = stored(ordered_keys(rows), "id-ring")
-    texts = edited(rows, keys).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    texts = sketched(texts, "edited", "e").select("_key", "edited_sha256", "e")
-    follows = keys.select("_key", F.col("after").alias("_next")).join(prints.select(F.col("_key").alias("_next"), F.col("f").alias("g")), "_next").drop("_next")
-    out = keys.join(texts, "_key").join(prints, "_key").join(follows, "_key")
+    out = sketched(edited(rows, keys).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)), "edited", "e")
     f, e, g = F.col("f"), F.col("e"), F.col("g")
     out = out.select(
         "doc_id", "n_chars", "edited_sha256", as_text(f).alias("fingerprint"), as_text(e).alias("edited_fingerprint"), containment(f, e).alias("near_edited"),
