@@ -9,9 +9,10 @@ Training uses at most about ``TRAIN_ROWS`` labelled rows, chosen by a hash of th
 of them if there are fewer). Without labels of both kinds the score is the share of label
 1, or 0.5 without any.
 
-Defined results: null and empty texts are scored from zero statistics; repeated rows each
-get the same score; null labels are not learned from; a null id is held in or out as the
-empty text is.
+Defined results: null and empty texts are scored from zero statistics; texts of any length
+are measured whole; equal texts and repeated rows get equal scores; null labels are not learned
+from, and of an id with several labels each counts; a null id is held in or out as the empty text
+is; an empty table gives an empty result; other columns of the table are not read.
 """
 
 from __future__ import annotations

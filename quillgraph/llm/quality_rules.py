@@ -11,8 +11,8 @@ takes the fences of its language, a language as small those of the corpus. A tex
 statistic is beyond its group's fences.
 
 Defined results: null and empty texts have zero counts and fail the base rules; null
-languages and sources form groups of their own; repeated rows are each judged; an empty
-table gives an empty result; ``apply`` returns all columns of its input unchanged,
+languages and sources form groups of their own; texts of any length are measured whole;
+repeated rows are each judged, and a value on a fence passes; an empty table gives an empty result; ``apply`` returns all columns of its input unchanged,
 whatever their names.
 """
 

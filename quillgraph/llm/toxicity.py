@@ -9,9 +9,10 @@ penalty on these scaled features is trained on the driver, and every whole text
 The sample is at most about ``TRAIN_ROWS`` labelled rows, chosen by a hash of the id; with
 no labels of both kinds all scores are the share of label 1 (0 without labels).
 
-Defined results: null and empty texts get the score of no feature; repeated rows get equal
-scores; null labels are not learned from; an empty table gives an empty result; ``scored``
-returns the columns of its input, a ``score`` among them replaced.
+Defined results: null and empty texts get the score of no feature; texts of any length are
+read whole; equal texts and repeated rows get equal scores, and n-grams that are equally clear
+are kept by their number; null labels are not learned from; an empty table gives an empty
+result; ``scored`` returns the columns of its input, a ``score`` among them replaced.
 """
 
 from __future__ import annotations

@@ -45,11 +45,94 @@ def test_quality_rules(spark, sf, odd):
         assert tuple(r[c] for c in COUNTS) == n
         assert r.base_failed == (n[0] < 50 or 100 * n[4] > 50 * n[0])
         assert not (r.base_failed and r.kept)
-    kept = quality_rules.apply(odd.withColumn("_s", odd["doc_id"]))
-    assert kept.columns == ["doc_id", "text", "lang", "source", "_s"]
     assert quality_rules.apply(odd.limit(0)).count() == 0
 
 
+def test_columns_of_any_name_keep_their_values(spark):
+    names = ["s", "row", "lows", "highs", "_lang", "_source", "copy", "kept", "n_words", "score"]
+    rng = random.Random(4)
+    prose = lambda: " ".join(rng.choice("some words of usual length and kind here. it is so".split()) + str(rng.randint(0, 40)) for _ in range(120))
+    rows = [(i, prose() if i % 7 else "x" * i, "en", "a", *[i * 100 + k for k in range(len(names))]) for i in range(70)]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long, text string, lang string, source string", *[f"{n} long" for n in names]]))
+    out = quality_rules.apply(df)
+    got = {tuple(r) for r in out.collect()}
+    assert out.columns == df.columns and got <= set(rows) and {r[0] for r in got} == {r[0] for r in rows if r[0] % 7}
+    scored = toxicity.scored(df, np.zeros(toxicity.BUCKETS), 0.0)
+    assert scored.columns == df.columns and {tuple(r)[:-1] for r in scored.collect()} == {r[:-1] for r in rows}
+
+
+def plain_statistics(t):
+    """What the quality model looks at, counted one by one."""
+    t = t or ""
+    w, n = WORD.findall(t), brute_counts(t)
+    if not w:
+        return [0.0] * len(quality_model.FEATURES)
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    some = lambda chars: sum(c in chars for c in t)
+    upper, lower = sum("A" <= c <= "Z" for c in t), sum("a" <= c <= "z" for c in t)
+    wide = sum(len(c.encode()) for c in t if ord(c) > 127)
+    marks = sum(33 <= ord(c) < 127 and not re.match("[A-Za-z0-9]", c) for c in t)
+    return [
+        n[0], n[2] / n[0], some("|") / n[0], some("!") / n[0], n[1] / n[0], upper / max(1, upper + lower), some("0123456789") / n[1], wide / len(t.encode()),
+        n[3] / len(lines), n[4] / n[0], len(set(w)) / n[0], n[0] / len(lines), some(".!?") / n[0], max(len(x.encode()) for x in w), max(Counter(w).values()) / n[0], marks / n[0],
+    ]
+
+
+def test_quality_query_against_plain_rules(spark, sf):
+    docs = {r.doc_id: r.text for r in read(spark, sf, "documents").collect()}
+    facts = {i: plain_statistics(t) for i, t in docs.items()}
+    for t in TEXTS:
+        s = one(t)
+        assert np.allclose([s[0], *s[len(COUNTS) :]], plain_statistics(t)), t
+    train = [(*facts[r.doc_id], r.quality) for r in read(spark, sf, "labels").collect() if r.quality in (0, 1) and crc_mod_py(r.doc_id, 5)]
+    train = np.array(sorted(train), float)
+    intercept, rules = quality_model.fit(train[:, :-1], train[:, -1])
+    assert rules
+    for r in quality_model.op2_quality_model(spark, sf).collect():
+        total = intercept
+        for rule, weight in rules:
+            if all((facts[r.doc_id][j] > cut) == above for j, above, cut in rule):
+                total += weight
+        assert abs(r.score - 1 / (1 + np.exp(-total))) < 1e-9 and r.predicted == (r.score >= 0.3) and r.held_out == (crc_mod_py(r.doc_id, 5) == 0)
+
+
+def plain_grams(t):
+    """Buckets of 5- and 7-grams of characters, one by one."""
+    text = " " + " ".join(x.decode("utf-8", "surrogatepass") for x in (t or "").lower().encode("utf-8", "surrogatepass").split()) + " "
+    out = []
+    for n in toxicity.NGRAMS:
+        for i in range(len(text) - n + 1):
+            h = n
+            for c in text[i : i + n]:
+                h = (h * 0xD6E8FEB86659FD93 + ord(c)) % (1 << 64)
+            out.append((h * 0x9E3779B97F4A7C15 % (1 << 64)) >> 44)
+    return out
+
+
+def test_toxicity_query_against_plain_grams(spark, sf):
+    d = sf.replace("0.001", "0.01")
+    docs = {r.doc_id: r.text for r in read(spark, d, "documents").collect()}
+    labels = {r.doc_id: r.toxic for r in read(spark, d, "labels").collect() if r.toxic in (0, 1) and crc_mod_py(r.doc_id, 4) != 2}
+    for t in TEXTS:
+        assert sorted(toxicity.grams(t).tolist()) == sorted(plain_grams(t)), t
+    n, rows = {0: Counter(), 1: Counter()}, Counter(labels.values())
+    grams = {i: set(plain_grams(t)) for i, t in docs.items()}
+    for i, y in labels.items():
+        n[y].update(grams[i])
+    sample = spark.createDataFrame([(docs[i], y) for i, y in labels.items()], "text string, label int")
+    weights, intercept = toxicity.train(sample)
+
+    def clear(g):
+        p = (n[0][g] + n[1][g] + 1) / (sum(rows.values()) + 2)
+        return abs(n[1][g] / rows[1] - n[0][g] / rows[0]) / np.sqrt(p * (1 - p) * (1 / rows[0] + 1 / rows[1]))
+
+    best = sorted((g for g in set(n[0]) | set(n[1]) if clear(g) > 3), key=lambda g: (-clear(g), g))[: toxicity.KEPT]
+    assert set(np.flatnonzero(weights).tolist()) <= set(best) and len(best) > 20
+    for r in toxicity.op9_toxicity(spark, d).collect():
+        total = intercept + sum(weights[g] for g in grams[r.doc_id])
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(total, -500, 500)))) < 1e-9 and r.predicted == (r.score >= 0.3)
+
+
 def test_rules_tell_junk_from_prose(spark, sf):
     d = sf.replace("0.001", "0.01")
     got = {r.doc_id: r for r in quality_rules.op6_quality_rules(spark, d).collect()}
