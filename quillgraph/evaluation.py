@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+from collections import deque
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from itertools import permutations
 
+from pyspark import InheritableThread
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillgraph.storage import shared_path
+
 #: Orders of columns with equal fingerprints tried at most.
 MAX_PERMUTATIONS = 5040
 
@@ -103,25 +108,31 @@ def results_equal(a: DataFrame, b: DataFrame, ordered: bool = False) -> bool:
         return False
     cols = x.columns
     fx, fy = _fingerprints(x), _fingerprints(y)
-    extra = []
-    if ordered:
-        x, y, extra = _numbered(x), _numbered(y), ["_row"]
-    for tried, p in enumerate(_assignments(fx, fy)):
-        if tried == MAX_PERMUTATIONS:
-            raise ValueError("too many columns with equal contents")
-        if _same_bag(x.select(*extra, *cols), y.select(*extra, *[F.col(f"c{j}").alias(f"c{i}") for i, j in enumerate(p)])):
-            return True
-    return False
+    extra: list[str] = []
+    held: list[DataFrame] = []
+    try:
+        if ordered:
+            x, y, extra = _numbered(x, held), _numbered(y, held), ["_row"]
+        for tried, p in enumerate(_assignments(fx, fy)):
+            if tried == MAX_PERMUTATIONS:
+                raise ValueError("too many columns with equal contents")
+            if _same_bag(x.select(*extra, *cols), y.select(*extra, *[F.col(f"c{j}").alias(f"c{i}") for i, j in enumerate(p)])):
+                return True
+        return False
+    finally:
+        for at in held:
+            at.unpersist()
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """``df`` with ``_row``, the number of each row in its order.
+def _numbered(df: DataFrame, held: list[DataFrame]) -> DataFrame:
+    """``df`` with ``_row``, the number of each row in its order; what it keeps goes to ``held``.
 
     A row's number is its place in its partition after the rows of all partitions before; only
     the partitions' sizes are ranked in one task. The rows are kept while they are counted, so
     both passes see one order.
     """
     at = df.withColumn("_at", F.monotonically_increasing_id()).persist()
+    held.append(at)
     part = F.shiftright("_at", 33)
     sizes = at.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -181,34 +192,108 @@ def remaining(tasks: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return tasks.join(done.select(key).distinct(), key, "left_anti")
 
 
-def evaluated(spark: SparkSession, engine, tasks: DataFrame, key: str, done: DataFrame | None = None, threads: int = 4, keep: Callable[[DataFrame], None] | None = None, chunk: int = 64) -> DataFrame:
-    """key, score and message of every task (key, predicted, gold) without a result in ``done``.
+class ResultLog:
+    """An append-only log of results in the shared folder, which a later run resumes from.
 
-    Queries run in threads over one engine, so Spark schedules several at once. Tasks are a
-    list of texts, which the driver walks in order of their keys, ``chunk`` at a time; each
-    chunk's results go to ``keep`` (as an append to a table), from which a later call resumes.
+    Appends add small files to the newest generation, a folder; ``compact`` writes all of them
+    as a new generation, which counts from when Spark has marked it complete, and removes the old
+    ones. One run at a time writes a log; a key that was logged twice counts once.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        self.key = schema.split()[0]
+        self._fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, *names: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *names)))
+
+    def _generations(self) -> list[int]:
+        if not self._fs.exists(self._at()):
+            return []
+        names = [x.getPath().getName() for x in self._fs.listStatus(self._at())]
+        found = sorted(int(n[4:]) for n in names if n.startswith("gen-") and n[4:].isdigit())
+        # A generation of a compaction that broke off has no mark.
+        return [g for g in found if g == 0 or self._fs.exists(self._at(f"gen-{g}", "all", "_SUCCESS"))]
+
+    def read(self) -> DataFrame:
+        newest = (self._generations() or [0])[-1]
+        top = self._at(f"gen-{newest}")
+        if not self._fs.exists(top):
+            return self.spark.createDataFrame([], self.schema)
+        rows = self.spark.read.schema(self.schema).option("recursiveFileLookup", True).parquet(top.toString())
+        return rows.dropDuplicates([self.key])
+
+    def append(self, rows: list[tuple]) -> None:
+        newest = (self._generations() or [0])[-1]
+        part = self._at(f"gen-{newest}", f"part-{uuid.uuid4().hex}").toString()
+        self.spark.createDataFrame(rows, self.schema).coalesce(1).write.parquet(part)
+
+    def compact(self) -> None:
+        old = self._generations()
+        if not old:
+            return
+        self.read().write.mode("overwrite").parquet(self._at(f"gen-{old[-1] + 1}", "all").toString())
+        for g in old:
+            self._fs.delete(self._at(f"gen-{g}"), True)
+
+
+class _Timed:
+    """Runs a call in a thread of its own whose Spark jobs are cancelled when its time is up."""
+
+    def __init__(self, spark: SparkSession, call: Callable[[], Outcome], timeout: float | None) -> None:
+        self.spark, self.group, self.timeout = spark, f"evaluation-{uuid.uuid4().hex}", timeout
+        self.outcome: Outcome | None = None
+        self.thread = InheritableThread(target=self._run, args=(call,), daemon=True)
+        self.thread.start()
+        self.began = time.monotonic()
+
+    def _run(self, call: Callable[[], Outcome]) -> None:
+        self.spark.sparkContext.setJobGroup(self.group, "a query under evaluation", interruptOnCancel=True)
+        try:
+            self.outcome = call()
+        except Exception as e:
+            self.outcome = Outcome(0.0, str(e))
+
+    def result(self) -> Outcome:
+        """The outcome, or that there was none in time; a thread that hangs is left to itself."""
+        self.thread.join(None if self.timeout is None else max(0.0, self.began + self.timeout - time.monotonic()))
+        if not self.thread.is_alive():
+            return self.outcome
+        self.spark.sparkContext.cancelJobGroup(self.group)
+        self.thread.join(5.0)
+        return Outcome(0.0, f"timeout after {self.timeout} s")
+
+
+def evaluated(spark: SparkSession, engine, tasks: DataFrame, key: str, log: ResultLog | str | None = None, threads: int = 4, timeout: float | None = None, chunk: int = 64) -> DataFrame:
+    """key, score and message of every task (key, predicted, gold), also of those logged before.
+
+    Tasks without a result in ``log`` (a ResultLog, or the folder of one) run in ``threads`` threads over one
+    engine, each under a job group of its own; one that takes longer than ``timeout`` seconds is
+    cancelled and scores 0. Tasks are walked in order of their keys; every ``chunk`` results are
+    appended to the log, which is compacted at the end.
     """
     schema = f"{key} {dict(tasks.dtypes)[key]}, score double, message string"
-    out = spark.createDataFrame([], schema)
-    waiting = tasks if done is None else remaining(tasks, done, key)
-    with ThreadPoolExecutor(threads) as pool:
-        rows: list[tuple] = []
-
-        def one(r) -> tuple:
-            o = execution_accuracy(engine, r["predicted"], r["gold"])
-            return r[key], o.score, o.message
-
-        def flush() -> None:
-            nonlocal out, rows
-            found = spark.createDataFrame(list(pool.map(one, rows)), schema)
-            if keep is not None:
-                keep(found)
-            out, rows = out.unionByName(found), []
-
-        for r in waiting.select(key, "predicted", "gold").orderBy(key).toLocalIterator():
-            rows.append(r)
-            if len(rows) == chunk:
-                flush()
-        if rows:
-            flush()
-    return out
+    if not isinstance(log, ResultLog):
+        log = ResultLog(spark, log or shared_path(spark, "results"), schema)
+    running: deque[tuple] = deque()
+    rows: list[tuple] = []
+
+    def finish() -> None:
+        k, run = running.popleft()
+        o = run.result()
+        rows.append((k, o.score, o.message))
+        if len(rows) >= chunk:
+            log.append(rows)
+            rows.clear()
+
+    for r in remaining(tasks, log.read(), key).select(key, "predicted", "gold").orderBy(key).toLocalIterator():
+        if len(running) == threads:
+            finish()
+        running.append((r[key], _Timed(spark, lambda r=r: execution_accuracy(engine, r["predicted"], r["gold"]), timeout)))
+    while running:
+        finish()
+    if rows:
+        log.append(rows)
+    log.compact()
+    return log.read().join(tasks.select(key).distinct(), key, "left_semi")

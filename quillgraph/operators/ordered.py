@@ -73,6 +73,28 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return rows.withColumn(name, F.coalesce("_n_before", F.lit(0)) + F.col("_at") + 1).drop("_part", "_at", "_n_before")
 
 
+def collected(df: DataFrame, by: list[str], order: list[Column], value: Column, size: int = 10_000) -> DataFrame:
+    """COLLECT of groups of any size: ``by``, chunk (from 0), n and values, in order.
+
+    A chunk holds ``size`` values of its group, the last one what is left. Rows are arranged by
+    group and order; a group's rows of one range are numbered there, and its ranges, one row each,
+    give the numbers they begin at. So no task and no row ever holds more than a range or a chunk.
+    """
+    keys = [F.col(f"`{k}`") for k in by]
+    rows = arranged(df.withColumn("_value", value), [*keys, *order], part_ties=True).select(*keys, "_value", "_part", "_at")
+    rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy("_part", *keys).orderBy("_at")) - 1)
+    ranges = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ranges.select(*[k.alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_start"))
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & k.eqNullSafe(F.col(f"_k{i}"))
+    rows = rows.join(starts, same).withColumn("_place", F.col("_place") + F.col("_start"))
+    chunk = F.floor(F.col("_place") / size).cast("long")
+    lists = rows.groupBy(*keys, chunk.alias("chunk")).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("_place", "_value"))).alias("_l"))
+    return lists.select(*keys, "chunk", "n", F.col("_l._value").alias("values"))
+
+
 def _shifted(rows: DataFrame, calls: dict[str, Over]) -> DataFrame:
     """lag and lead: within partitions by a window, across their edges by a small join.
 

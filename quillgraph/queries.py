@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from quillgraph.catalog import ForeignKey
 from quillgraph.evaluation import execution_accuracy, rollup
 from quillgraph.functions.expressions import Compiler, attribute_string, cosine, numeric_similarity
+from quillgraph.operators.ordered import collected
+from quillgraph.operators.recursion import closure
 from quillgraph.operators.relational import (
     cardinality_violations, cluster_by, constraint_violations, degrees, distinct_on, distribute_by, label_frequency, missing_ends, pivoted, similarity_matrix, similarity_top_k,
     sort_by, top_k, unique_repaired, unique_violations, unpivoted,
 )
-from quillgraph.operators.recursion import closure
 from quillgraph.plans import ir
 from quillgraph.plans.build import col, func, select, star, table
 from quillgraph.plans.engine import Engine
@@ -388,6 +389,7 @@ def _analyzed(text: str):
 
 _frame("triangle_hub", _analyzed("MATCH (o:Orders)-[:CONTAINS]->(p:Part)<-[:SUPPLIES]-(s:Supplier)<-[:FULFILLED_BY]-(o) RETURN s.s_name AS s, p.p_brand AS b, count(*) AS n"), "SELECT s_name AS s, p_brand AS b, count(*) AS n FROM lineitem x JOIN lineitem y ON x.l_partkey=y.l_partkey JOIN lineitem z ON z.l_orderkey=x.l_orderkey AND z.l_suppkey=y.l_suppkey JOIN supplier ON s_suppkey=y.l_suppkey JOIN part ON p_partkey=x.l_partkey GROUP BY 1, 2")
 _frame("planned_path", _analyzed("MATCH (p:Part)<-[x:CONTAINS]-(o:Orders)<-[:PLACED]-(c:Customer)-[:CUSTOMER_IN]->(n:Nation)-[:IN_REGION]->(r:Region) WHERE x.l_quantity > 45 RETURN r.r_name AS r, p.p_brand AS b, count(*) AS k"), "SELECT r_name AS r, p_brand AS b, count(*) AS k FROM lineitem JOIN part ON p_partkey=l_partkey JOIN orders ON o_orderkey=l_orderkey JOIN customer ON c_custkey=o_custkey JOIN nation ON n_nationkey=c_nationkey JOIN region ON r_regionkey=n_regionkey WHERE l_quantity > 45 GROUP BY 1, 2")
+_frame("collect_chunked", lambda spark, d: collected(_tables(spark, d)("lineitem"), ["l_returnflag"], [F.asc("l_orderkey"), F.desc("l_extendedprice")], F.col("l_orderkey"), 1000).select("l_returnflag", "chunk", "n", F.array_join(F.col("values").cast("array<string>"), ",").alias("orders")), "WITH p AS (SELECT l_returnflag, l_orderkey, (row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_extendedprice DESC) - 1) AS i FROM lineitem) SELECT l_returnflag, i // 1000 AS chunk, count(*) AS n, string_agg(CAST(l_orderkey AS VARCHAR), ',' ORDER BY i) AS orders FROM p GROUP BY 1, 2")
 _frame("recursive", _reached, "WITH RECURSIVE r(start, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey IN (1,2) UNION ALL SELECT start, p_partkey*2+1, depth+1 FROM r JOIN part ON p_partkey=node WHERE depth<6) SELECT start, node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY 1, 2")
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.operators.ordered import Over, numbered, over_all
+from quillgraph.operators.ordered import Over, collected, numbered, over_all
 from quillgraph.queries import QUERIES
 
 
@@ -63,3 +63,17 @@ def test_one_key_of_all_rows_is_numbered_in_many_tasks(spark):
 def test_no_task_takes_all_rows(name, spark, sf):
     text = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in text
+
+
+def test_groups_are_collected_in_chunks(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "a", "a", "a", "b", None]), rng.randrange(300), i) for i in range(3000)] + [("c", 1, 9000)]
+    df = spark.createDataFrame(rows, "g string, o int, v int").repartition(6)
+    got = {}
+    for r in collected(df, ["g"], [F.desc("o"), F.asc("v")], F.col("v"), 70).collect():
+        assert r.n == len(r["values"])
+        got.setdefault(r.g, {})[r.chunk] = r["values"]
+    for g in ("a", "b", "c", None):
+        want = [v for _, v in sorted((-o, v) for x, o, v in rows if x == g)]
+        assert [got[g][k] for k in range(len(got[g]))] == [want[i : i + 70] for i in range(0, len(want), 70)]
+    assert collected(df.limit(0), ["g"], [F.asc("o")], F.col("v")).count() == 0

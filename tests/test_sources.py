@@ -1,12 +1,15 @@
 """Databases, files, graphs in files, model stubs, and resumed evaluation."""
 
 import sqlite3
+import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.catalog import EdgeTable, NodeTable, PropertyGraph, register_views
-from quillgraph.evaluation import evaluated, results_equal
+from quillgraph.evaluation import ResultLog, evaluated, results_equal
+from quillgraph.functions.expressions import register
 from quillgraph.functions.models import Embedder, Labeler, PlainLabeler, TrigramEmbedder, questions
 from quillgraph.operators.relational import sample_values, sampled
 from quillgraph.plans.engine import Engine
@@ -147,12 +150,45 @@ def test_order_is_compared_over_partitions(spark):
     assert results_equal(up, up.limit(1000), ordered=True) and not results_equal(up, down, ordered=True) and results_equal(up, down)
 
 
-def test_evaluation_resumes(spark, graph):
+def test_evaluation_resumes(spark, graph, tmp_path):
     gold = "MATCH (a:Person) RETURN a.id AS x"
     tasks = spark.createDataFrame([(k, gold if k % 3 else "MATCH (a:Person) WHERE a.id > 1 RETURN a.id AS x", gold) for k in range(7)] + [(9, "nonsense", gold)], "task long, predicted string, gold string")
-    kept = []
-    e = Engine(spark, graph)
-    done = evaluated(spark, e, tasks.where("task < 3"), "task", keep=kept.append, chunk=2)
-    assert [(r.task, r.score) for r in done.orderBy("task").collect()] == [(0, 0.0), (1, 1.0), (2, 1.0)] and len(kept) == 2
-    more = evaluated(spark, e, tasks, "task", done)
-    assert [(r.task, r.score) for r in more.orderBy("task").collect()] == [(3, 0.0), (4, 1.0), (5, 1.0), (6, 0.0), (9, 0.0)]
+    e, ran = Engine(spark, graph), []
+    inner = e.query
+    e.query = lambda text, *a, **k: ran.append(text) or inner(text, *a, **k)
+    log = ResultLog(spark, f"file://{tmp_path}/log", "task long, score double, message string")
+    done = evaluated(spark, e, tasks.where("task < 3"), "task", log, chunk=2)
+    want = [(0, 0.0), (1, 1.0), (2, 1.0), (3, 0.0), (4, 1.0), (5, 1.0), (6, 0.0), (9, 0.0)]
+    assert [(r.task, r.score) for r in done.orderBy("task").collect()] == want[:3]
+    first = len(ran)
+    # A compaction that broke off, and results that were appended after the last one.
+    (tmp_path / "log" / "gen-7").mkdir()
+    log.append([(3, 0.0, "")])
+    more = evaluated(spark, e, tasks, "task", log)
+    assert [(r.task, r.score) for r in more.orderBy("task").collect()] == want
+    assert len(ran) - first <= 2 * 3 and [p.name for p in (tmp_path / "log").glob("gen-*") if p.name != "gen-7"] == ["gen-2"]
+    assert evaluated(spark, e, tasks, "task", log).count() == len(want) and len(ran) - first <= 2 * 3  # nothing is left to run
+
+
+def test_a_slow_query_is_cancelled_and_the_rest_resumed(spark, graph, tmp_path):
+    @F.pandas_udf("long")
+    def dawdling(x: pd.Series) -> pd.Series:
+        time.sleep(60)
+        return x
+
+    register("dawdling", dawdling)
+    gold = "MATCH (a:Person) RETURN a.id AS x"
+    slow = "MATCH (a:Person) RETURN dawdling(a.id) AS x"
+    tasks = spark.createDataFrame([(1, gold.replace("AS x", "AS y"), gold), (2, slow, gold), (3, gold.replace("AS x", "AS z"), gold)], "task long, predicted string, gold string")
+    log = f"file://{tmp_path}/log"
+    began = time.monotonic()
+    out = {r.task: r for r in evaluated(spark, Engine(spark, graph), tasks, "task", log, threads=2, timeout=15).collect()}
+    assert time.monotonic() - began < 50
+    assert (out[1].score, out[2].score, out[3].score) == (1.0, 0.0, 1.0) and out[2].message.startswith("timeout")
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds()
+    # The verdict stands in the log; only a new task runs.
+    more = spark.createDataFrame([(4, gold.replace("AS x", "AS w"), gold)], tasks.schema)
+    began = time.monotonic()
+    got = {r.task: r.score for r in evaluated(spark, Engine(spark, graph), tasks.unionAll(more), "task", log, timeout=30).collect()}
+    assert got == {1: 1.0, 2: 0.0, 3: 1.0, 4: 1.0}
+    assert time.monotonic() - began < 30
