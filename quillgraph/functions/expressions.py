@@ -116,6 +116,13 @@ def attribute_string(columns: list[str]) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
+#: Arithmetic of lists; + joins them. Nothing is divided by 0.
+ELEMENTWISE: dict[str, Callable[[Column, Column], Column]] = {
+    "-": lambda a, b: a - b, "*": lambda a, b: a * b, "^": F.pow,
+    "/": lambda a, b: F.try_divide(a.cast("double"), b.cast("double")), "%": lambda a, b: F.when(b != 0, a % F.when(b != 0, b)),
+}
+
+
 class Compiler:
     """Columns for expressions over a scope.
 
@@ -146,8 +153,8 @@ class Compiler:
         if isinstance(x, ir.Bin):
             if x.op in ("+", "-", "*", "/", "%"):
                 kinds = {self.kind(x.left), self.kind(x.right)}
-                return "list" if "list" in kinds and x.op == "+" else "float" if "float" in kinds else "int" if kinds <= {"int", None} else "string" if "string" in kinds and x.op == "+" else "float"
-            return "float" if x.op == "^" else "string" if x.op == "||" else "bool"
+                return "list" if "list" in kinds else "float" if "float" in kinds else "int" if kinds <= {"int", None} else "string" if "string" in kinds and x.op == "+" else "float"
+            return "list" if x.op == "^" and "list" in (self.kind(x.left), self.kind(x.right)) else "float" if x.op == "^" else "string" if x.op == "||" else "bool"
         if isinstance(x, ir.Case):
             return next((k for k in (self.kind(v) for _, v in x.whens) if k), None)
         if isinstance(x, ir.Call):
@@ -302,6 +309,8 @@ class Compiler:
         ka, kb = self.kind(x.left), self.kind(x.right)
         if op == "+" and "list" in (ka, kb):  # lists are joined, an element is appended
             return F.concat(*[self(y) if k == "list" else F.array(self(y)) for y, k in ((x.left, ka), (x.right, kb))])
+        if op in ELEMENTWISE and "list" in (ka, kb):
+            return self._each(op, x, ka, kb)
         if op == "+" and "string" in (ka, kb) and not {ka, kb} & {"date", "datetime"}:
             return F.concat(self(x.left).cast("string"), self(x.right).cast("string")) if {ka, kb} == {"string"} or None in (ka, kb) else self(x.left).try_cast("double") + self(x.right).try_cast("double")
         if op in ("+", "-", "*", "/", "%", "^"):
@@ -318,6 +327,14 @@ class Compiler:
         a, b = self.pair(x.left, x.right)
         return {"=": a == b, "<>": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
 
+    def _each(self, op: str, x: ir.Bin, ka: str | None, kb: str | None) -> Column:
+        """Arithmetic of a list and a number, element by element, or of two lists place by place."""
+        do = ELEMENTWISE[op]
+        a, b = self(x.left), self(x.right)
+        if ka == kb:
+            return F.zip_with(a, b, do)
+        return F.transform(a, lambda y: do(y, b)) if ka == "list" else F.transform(b, lambda y: do(a, y))
+
     def _call(self, x: ir.Call) -> Column:
         if is_aggregate(x):
             return self.aggregate(x)

@@ -51,23 +51,35 @@ def constraint_violations(df: DataFrame, key: str, name: str, condition: str) ->
     return df.where(~F.coalesce(F.expr(condition), F.lit(True))).select(F.lit(name).alias("constraint"), F.col(key).cast("string").alias("id"))
 
 
-def _best_of_blocks(k: int):
-    """Of a block of queries and a block of rows, each query's ``k`` most similar other rows."""
+def _vectors(t: pa.Table) -> np.ndarray:
+    """The column _v as a matrix, from Arrow's own flat values."""
+    v = t["_v"].combine_chunks()
+    return v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
+
+
+def _cosines(q: pa.Table, x: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of both blocks, those of the second in order, and the cosines of all their pairs; -inf for a row and itself."""
+    a, b = _vectors(q), _vectors(x)
+    na, nb = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
+    ids, others = np.array(q["from_id"].to_pylist(), object), np.array(x["to_id"].to_pylist(), object)
+    order = np.argsort(others, kind="stable")  # ties go to the smaller id
+    b, nb, others = b[order], nb[order], others[order]
+    norm = na[:, None] * nb[None, :]
+    score = np.divide(a @ b.T, norm, out=np.zeros(norm.shape), where=norm > 0)
+    score[ids[:, None] == others[None, :]] = -np.inf
+    return ids, others, score
+
+
+def _of_blocks(k: int | None):
+    """Of a block of queries and a block of rows, each query's ``k`` most similar other rows, or all."""
 
     def run(q: pa.Table, x: pa.Table) -> pa.Table:
         kinds = (pa.int32(), q["from_id"].type, x["to_id"].type if "to_id" in x.column_names else q["from_id"].type, pa.float64())
         names = ["_block", "from_id", "to_id", "score"]
         if not q.num_rows or not x.num_rows:
             return pa.table({n: pa.array([], t) for n, t in zip(names, kinds, strict=True)})
-        a, b = (np.array(t["_v"].to_pylist(), np.float64) for t in (q, x))
-        na, nb = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
-        ids, others = np.array(q["from_id"].to_pylist(), object), np.array(x["to_id"].to_pylist(), object)
-        order = np.argsort(others, kind="stable")  # ties go to the smaller id
-        b, nb, others = b[order], nb[order], others[order]
-        norm = na[:, None] * nb[None, :]
-        score = np.divide(a @ b.T, norm, out=np.zeros(norm.shape), where=norm > 0)
-        score[ids[:, None] == others[None, :]] = -np.inf
-        best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        ids, others, score = _cosines(q, x)
+        best = np.broadcast_to(np.arange(score.shape[1]), score.shape) if k is None else np.argsort(-score, axis=1, kind="stable")[:, :k]
         found = np.take_along_axis(score, best, 1)
         row, place = np.nonzero(np.isfinite(found))
         block = q["_block"][0].as_py()
@@ -76,13 +88,8 @@ def _best_of_blocks(k: int):
     return run
 
 
-def similarity_top_k(left: DataFrame, right: DataFrame, id_col: str, vector: str, k: int, rows: int = 8192) -> DataFrame:
-    """For each row of ``left`` its ``k`` most similar other rows of ``right`` by cosine (0 where a vector is zero).
-
-    ``left`` is a stated query set. Both sides are dealt to blocks of about ``rows`` rows; each
-    pair of blocks is one product of matrices in one task, which keeps its best ``k`` before
-    results are merged. Null ids and vectors take no part.
-    """
+def _met_in_blocks(left: DataFrame, right: DataFrame, id_col: str, vector: str, rows: int, k: int | None) -> DataFrame:
+    """Both sides dealt to blocks of about ``rows`` rows; each pair of blocks is one product of matrices in one task."""
     given = lambda df: df.where(F.col(id_col).isNotNull() & F.col(vector).isNotNull())
     left, right = given(left), given(right)
     n, m = max(1, left.count() // rows), max(1, right.count() // rows)
@@ -91,25 +98,24 @@ def similarity_top_k(left: DataFrame, right: DataFrame, id_col: str, vector: str
     q = q.withColumn("_x", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select("from_id", "_v", (F.col("_q") * m + F.col("_x")).alias("_block"))
     x = x.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("to_id", "_v", (F.col("_q") * m + F.col("_x")).alias("_block"))
     a, b = dict(q.dtypes)["from_id"], dict(x.dtypes)["to_id"]
-    best = q.groupBy("_block").cogroup(x.groupBy("_block")).applyInArrow(_best_of_blocks(k), f"_block int, from_id {a}, to_id {b}, score double")
-    return top_k(best.drop("_block"), ["from_id"], [F.desc("score"), F.asc("to_id")], k)
+    return q.groupBy("_block").cogroup(x.groupBy("_block")).applyInArrow(_of_blocks(k), f"_block int, from_id {a}, to_id {b}, score double").drop("_block")
+
+
+def similarity_top_k(left: DataFrame, right: DataFrame, id_col: str, vector: str, k: int, rows: int = 8192) -> DataFrame:
+    """For each row of ``left`` its ``k`` most similar other rows of ``right`` by cosine (0 where a vector is zero).
+
+    ``left`` is a stated query set. A task keeps the best ``k`` of its pair of blocks before
+    results are merged. Null ids and vectors take no part.
+    """
+    return top_k(_met_in_blocks(left, right, id_col, vector, rows, k), ["from_id"], [F.desc("score"), F.asc("to_id")], k)
 
 
-def similarity_matrix(left: DataFrame, right: DataFrame, id_col: str, vector: str) -> DataFrame:
+def similarity_matrix(left: DataFrame, right: DataFrame, id_col: str, vector: str, rows: int = 1024) -> DataFrame:
     """from_id, to_id, score of all pairs of other ids; every row of ``left`` is a stated query.
 
-    Rows of ``right`` meet by blocks, as unit vectors, so a pair costs one product.
+    A pair of blocks gives at most about ``rows`` times ``rows`` pairs at once. Null ids and vectors take no part.
     """
-    def unit(c: str) -> Column:
-        v = F.col(c).cast("array<double>")
-        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-        return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
-
-    blocks = 16
-    q = left.select(F.col(id_col).alias("from_id"), unit(vector).alias("_a")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    x = right.select(F.col(id_col).alias("to_id"), unit(vector).alias("_b")).withColumn("_block", F.pmod(F.xxhash64("to_id"), F.lit(blocks)).cast("int"))
-    dot = F.aggregate(F.zip_with("_a", "_b", lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y)
-    return q.join(x, "_block").where("from_id <> to_id").select("from_id", "to_id", dot.alias("score"))
+    return _met_in_blocks(left, right, id_col, vector, rows, None)
 
 
 def sample_values(df: DataFrame, column: str, n: int, seed: int = 0) -> DataFrame:

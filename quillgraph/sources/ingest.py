@@ -207,11 +207,12 @@ def discovered_keys(tables: dict[str, DataFrame]) -> dict[str, list[str]]:
 def discovered_foreign(tables: dict[str, DataFrame], keys: dict[str, list[str]]) -> list[ForeignKey]:
     """Foreign keys by inclusion: columns all of whose values (and some) are of another table's key.
 
-    Only columns whose names end alike, as o_custkey and c_custkey, are compared, each pair by
-    one anti join.
+    Only columns whose names end alike, as o_custkey and c_custkey, are compared. All columns in
+    question become one table of distinct values, read once a table; a value meets the columns
+    that have it, and inclusions are counted for all pairs at once.
     """
     tail = lambda c: c.lower().rsplit("_", 1)[-1]
-    found = []
+    pairs = []
     for t, df in tables.items():
         for target, own in keys.items():
             for key in own:
@@ -220,10 +221,23 @@ def discovered_foreign(tables: dict[str, DataFrame], keys: dict[str, list[str]])
                         continue
                     if t == target or c in keys.get(t, ()) and key not in keys[target][:1]:
                         continue
-                    values = df.select(F.col(f"`{c}`").alias("v")).where("v is not null").distinct()
-                    if not values.isEmpty() and values.join(tables[target].select(F.col(f"`{key}`").alias("v")), "v", "left_anti").isEmpty():
-                        found.append(ForeignKey(t, target, (c,), (key,)))
-    return found
+                    pairs.append(((t, c), (target, key)))
+    if not pairs:
+        return []
+    number = {x: i for i, x in enumerate(dict.fromkeys(x for pair in pairs for x in pair))}
+    values = None
+    for t, df in tables.items():
+        cells = [F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("v")) for (x, c), i in number.items() if x == t]
+        if cells:
+            some = df.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+            values = some if values is None else values.unionAll(some)
+    # A value has at most one entry a column.
+    held = values.where("v IS NOT NULL").distinct().groupBy("v").agg(F.collect_set("i").alias("has"))
+    has = lambda i: F.array_contains("has", i)
+    sums = [F.sum(has(number[a]).cast("long")).alias(f"n{k}") for k, (a, _) in enumerate(pairs)]
+    sums += [F.sum((has(number[a]) & has(number[b])).cast("long")).alias(f"m{k}") for k, (a, b) in enumerate(pairs)]
+    r = held.agg(*sums).first()
+    return [ForeignKey(t, target, (c,), (key,)) for k, ((t, c), (target, key)) in enumerate(pairs) if r[f"n{k}"] and r[f"n{k}"] == r[f"m{k}"]]
 
 
 def read_jdbc_table(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:

@@ -130,6 +130,8 @@ def test_functions_of_time_and_unknown_names(run):
     assert run(text.format("join(sort([3, 1, 2]), '-')")) == [("1-2-3",)]
     assert run(text.format("upper('x') || initcap('ab')")) == [("XAb",)]
     assert run(text.format("join([1, 2] + [3] + 4, ',') || size([1] + [2])")) == [("1,2,3,42",)]
+    assert run(text.format("join([1, 2, 3] * 2 - [0, 1, 2], ',')")) == [("2,3,4",)] and run(text.format("join([4, 9] / 2, ',')")) == [("2.0,4.5",)]
+    assert run(text.format("join(2 ^ [1, 3], ',') || join([7, 8] % 5, ',')")) == [("2.0,8.02,3",)] and run(text.format("size([1, 2] - 1) + size([1] + [2])")) == [(4,)]
     assert run(text.format("substr('abcde', 4, -2)")) == [("bc",)] and run(text.format("substr('abcde', 4, -2)"), compat=True) == [("cd",)]
     assert run(text.format("substr('abcde', 0, 2)"), compat=True) == [("",)]
     with pytest.raises(ValueError, match="no function"):

@@ -45,6 +45,17 @@ def test_bad_texts(text):
         parse(text)
 
 
+def test_paths_merge_by_any_ends():
+    paths = parse("MATCH (b:B)<-[x:R]-(a:A), (b)-[y:S]->(c:C), (d)-[z:T]-(c), p = (d)-[:U]->(e) RETURN a").clauses[0].paths
+    plain, any_way = ir.merge_paths(paths), ir.merge_paths(paths, any_way=True)
+    assert sorted(len(p.rels) for p in plain) == [1, 1, 1, 1] and sorted(len(p.rels) for p in any_way) == [1, 3]
+    long = next(p for p in any_way if len(p.rels) == 3)
+    if long.nodes[0].var != "a":
+        long = ir.reversed_path(long)
+    assert [n.var for n in long.nodes] == ["a", "b", "c", "d"] and [(r.var, r.direction) for r in long.rels] == [("x", "out"), ("y", "out"), ("z", "both")]
+    assert ir.reversed_path(ir.reversed_path(long)) == long and long.nodes[1].labels == ("B",)
+
+
 def test_paths_merge():
     q = parse("MATCH (a:A)-[:R]->(b), (b)-[:S]->(c:C), (c), (d:D) RETURN a")
     merged = ir.merge_paths(q.clauses[0].paths)
