@@ -158,6 +158,7 @@ def gains(corpus: np.ndarray, target: np.ndarray) -> np.ndarray:
 def weighed(docs: DataFrame, gain: np.ndarray) -> DataFrame:
     """doc_id, n_words, n_features and weight of every row; ``gain`` has BUCKETS numbers."""
     bounded_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(gain)  # BUCKETS numbers
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -169,7 +170,7 @@ def weighed(docs: DataFrame, gain: np.ndarray) -> DataFrame:
                 n[own] = words
                 features[own] = np.bincount(owner, minlength=len(texts))
                 # Sums of whole numbers far below 2 ** 53 are exact.
-                weight[own] = np.bincount(owner, weights=gain[bucket], minlength=len(texts)).astype(np.int64)
+                weight[own] = np.bincount(owner, weights=sent.value[bucket], minlength=len(texts)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (n, features, weight))], ["doc_id", "n_words", "n_features", "weight"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

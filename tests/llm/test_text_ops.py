@@ -152,6 +152,16 @@ def test_spread_sets_the_fences(spark, sf):
         assert max(high) > 1.1 * min(high), rule
 
 
+def test_texts_of_few_words_are_below_the_lower_fence(spark):
+    rng = random.Random(6)
+    text = lambda kinds: " ".join(f"{rng.choice(['word', 'thing', 'house', 'Street.'])}{rng.randint(0, kinds)}" for _ in range(120))
+    rows = [(i, text(60), "en", "a") for i in range(80)] + [(100, text(2), "en", "a")]
+    stats_of = {i: dict(zip([*COUNTS, *RATIOS], one(t), strict=True)) for i, t, *_ in rows}
+    assert stats_of[100]["n_repeat_words"] * 2 < 120 and stats_of[100]["distinct_share"] < 0.3
+    got = {r.doc_id for r in quality_rules.apply(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got == set(range(80))
+
+
 def test_copies_do_not_reject_what_differs_from_them(spark):
     rng = random.Random(5)
     text = lambda k: " ".join(rng.choice(["some", "words", "of", "usual", "length", "and", "kind", "Here."]) + str(rng.randint(0, k)) for _ in range(120))
