@@ -295,13 +295,20 @@ def apply(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row of each group of near duplicates, with the columns of ``docs`` as they are.
 
     Rows equal in id and text are copies too; of them one stays, the least by a hash of all
-    columns. A task's are combined before they are shuffled, so many of them are no hot key.
+    columns, which is found without texts. Texts travel once, to meet the keys and hashes of the
+    rows that stay; rows that are equal in all columns go to one task then.
     """
-    keep = stored(near_duplicates(docs, size, percent).where("is_first").select("rid").distinct(), "keep")
+    keep = near_duplicates(docs, size, percent).where("is_first").select("rid").distinct()
     plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
     rows = docs.select(row_key().alias("rid"), F.xxhash64(*plain).alias("h"), whole(docs).alias("row"))
-    one = rows.groupBy("rid").agg(F.min_by("row", "h").alias("row"))
-    return one.join(keep, "rid", "left_semi").select("row.*")
+    least = stored(rows.groupBy("rid").agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("copies")).join(keep, "rid", "left_semi"), "keep")
+    # Where a row is one of several, a task's are combined before they are shuffled.
+    some = least.where("copies > 1").drop("copies")
+    alone = rows.join(least.where("copies = 1").drop("copies"), ["rid", "h"], "left_semi")
+    if some.isEmpty():
+        return alone.select("row.*")
+    twins = rows.join(some, ["rid", "h"], "left_semi").groupBy("rid").agg(F.first("row").alias("row"))
+    return alone.unionByName(twins.select("rid", F.lit(0).cast("long").alias("h"), "row")).select("row.*")
 
 
 def op10_near_dedup(spark, sf_dir):

@@ -1,13 +1,14 @@
 """Every registered query on odd and on empty tables, and those that nothing else calls."""
 
 import hashlib
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 
 from quillgraph.llm import bpe, pii, toxicity
-from quillgraph.llm.common import crc_mod_py, read
+from quillgraph.llm.common import crc_mod_py, read, stored
 from quillgraph.llm.queries import QUERIES
 from test_text_ops import brute_spans
 
@@ -64,6 +65,93 @@ def test_pipeline_on_odd_and_empty_tables(spark, folders):
     assert corpus_pipeline.run(spark, f"{folders}/empty").count() == 0
 
 
+def test_stages_against_brute_force(spark, sf):
+    import corpus_pipeline
+
+    docs = read(spark, sf, "documents")
+    names, stages = docs.columns, dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality", "near_dedup", "pii", "mixing", "bpe"]
+    step = lambda name, df: stored(stages[name](spark, df, sf), f"test-{name}")
+    given = {r.doc_id: tuple(r) for r in docs.collect()}
+    # Quality: the rows that the query keeps, as they were.
+    good = step("quality", docs)
+    kept = {r.doc_id for r in QUERIES["op6_quality_rules"](spark, sf).collect() if r.kept}
+    assert good.columns == names and {tuple(r) for r in good.collect()} == {given[i] for i in kept} and len(kept) > 100
+    # Near-dedup: one row, of the least id, of each component of all pairs at 0.8 or more on five-word shingles.
+    one = step("near_dedup", good)
+    sets = {i: plain_shingles(given[i][names.index("text")], 5) for i in kept}
+    root = {i: i for i in kept}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(kept)
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    firsts = {i for i in kept if not sets[i] or find(i) == i}
+    assert one.columns == names and {tuple(r) for r in one.collect()} == {given[i] for i in firsts} and len(firsts) < len(kept)
+    # Personal data: what stands outside the query's spans stays, and nothing that the base patterns know.
+    masked = {r.doc_id: r for r in step("pii", one).collect()}
+    spans = {r.doc_id: r.spans for r in QUERIES["op4_pii"](spark, sf).collect()}
+    touched = 0
+    for i in firsts:
+        text, r = given[i][names.index("text")], masked[i]
+        listed = sorted((int(a), int(b), k) for k, a, b in (x.split(":") for x in spans[i].split(",") if x))
+        outside, at = [], 0
+        for a, b, _ in listed:
+            outside.append(text[at : max(at, a)])
+            at = max(at, b)
+        outside.append(text[at:])
+        pattern = r"(?:\[[A-Za-z_]+\])*".join(re.escape(x) for x in outside)
+        assert re.fullmatch(pattern, r.text, re.S) and r.n_chars == len(r.text) and not brute_spans(r.text)
+        assert tuple(r[c] for c in names if c not in ("text", "n_chars")) == tuple(v for c, v in zip(names, given[i], strict=True) if c not in ("text", "n_chars"))
+        touched += bool(listed)
+    assert set(masked) == firsts and touched > 5
+    # Mixing: only whole rows, none more than three times, words near the targets of their sources.
+    mixed = step("mixing", spark.createDataFrame(list(masked.values()), docs.schema))
+    rows = [tuple(r) for r in mixed.collect()]
+    n = Counter(r[0] for r in rows)
+    assert mixed.columns == names and {r for r in rows} <= {tuple(r) for r in masked.values()} and max(n.values()) <= 3
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for i, r in masked.items()}
+    own = {s: sum(size[i] for i, r in masked.items() if r.source == s) for s in {r.source for r in masked.values()}}
+    goal, open_ = {}, dict.fromkeys(own)
+    for k, s in enumerate(sorted(own)):
+        open_[s] = k % 3 + 1
+    left = sum(own.values())
+    while open_:
+        total = sum(open_.values())
+        over = [s for s, w in open_.items() if left * w / total > 3 * own[s]]
+        if not over:
+            goal |= {s: left * w / total for s, w in open_.items()}
+            break
+        for s in over:
+            goal[s] = 3 * own[s]
+            del open_[s]
+        left = sum(own.values()) - sum(goal.values())
+    for s in own:
+        taken = sum(n[i] * size[i] for i, r in masked.items() if r.source == s)
+        assert abs(taken - goal[s]) <= max(size[i] for i, r in masked.items() if r.source == s)
+    # BPE: every copy's ids and text as the library has them.
+    t = bpe.tokenizer(bpe.tokenizer_path())
+    want = Counter()
+    for i, k in n.items():
+        found = t.encode(masked[i].text, add_special_tokens=False).ids
+        decoded = t.decode(found, skip_special_tokens=False)
+        want[i, len(found), hashlib.sha256(np.array(found, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()] += k
+    assert Counter(tuple(r) for r in step("bpe", mixed).collect()) == want
+
+
+def plain_shingles(text, size):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
+
+
 def test_personal_data_query(spark, sf):
     got = {r.doc_id: r for r in QUERIES["op4_pii"](spark, sf.replace("0.001", "0.01")).collect()}
     docs = read(spark, sf.replace("0.001", "0.01"), "documents").collect()
