@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import bounded_batches, lean, partitions, raw, read
 
 #: Word occurrences in a block.
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 500_000
 #: Words of one bucket whose ids a task keeps; beyond it the table starts anew.
 TABLE_WORDS = 500_000
 #: Bound on the vocabulary that decoding sends to every task.
@@ -43,7 +43,7 @@ MAX_VOCAB = 1_000_000
 #: Words encoded in one call.
 BATCH = 4_000
 #: Ids and texts in a batch that goes out, about.
-OUT_BYTES = 4 << 20
+OUT_BYTES = 2 << 20
 
 _open: dict[str, object] = {}
 
