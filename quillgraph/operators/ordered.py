@@ -125,7 +125,7 @@ def _ranked(rows: DataFrame, order: list[Column], calls: dict[str, Over]) -> Dat
     for c, o in calls.items():
         v = F.col(f"_v_{c}") if o.value is not None else F.lit(1)
         if o.name in BY_TIE:
-            made[f"_l_{c}"] = {"dense_rank": F.dense_rank, "cume_dist": lambda: F.count(F.lit(1))}.get(o.name, F.rank)().over(local)
+            made[f"_l_{c}"] = {"dense_rank": F.dense_rank, "cume_dist": lambda: F.count(F.lit(1))}.get(o.name, F.rank)().over(local).cast("long")
             if o.name == "dense_rank":
                 summed[f"_{c}"], how[f"_{c}"] = F.max(f"_l_{c}"), _added
             continue

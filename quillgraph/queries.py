@@ -242,7 +242,7 @@ for _kind, _words in (("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "
     _frame(f"join_or_{_kind}_side", _joined(_kind, ir.Bin("or", _eq("a.s_nationkey", "b.c_custkey"), _eq("a.s_suppkey", "b.c_nationkey")), _S, _C, "s_suppkey AS s", "c_custkey AS c"), f"SELECT s_suppkey AS s, c_custkey AS c FROM supplier {_words} customer ON s_nationkey=c_custkey OR s_suppkey=c_nationkey")
 for _kind, _words in (("semi", "EXISTS"), ("anti", "NOT EXISTS")):
     _frame(f"join_near_{_kind}", _joined(_kind, ir.transform(_NEAR, lambda x: ir.Prop({"a": "b", "b": "a"}[x.var], x.name) if isinstance(x, ir.Prop) else x), _S, _C, "s_suppkey AS s"), f"SELECT s_suppkey AS s FROM supplier WHERE {_words} (SELECT 1 FROM customer WHERE c_acctbal > s_acctbal AND c_acctbal < s_acctbal + 10 * s_nationkey)")
-    _frame(f"join_or_{_kind}", _joined(_kind, ir.Bin("or", _eq("a.c_custkey", "b.s_nationkey"), _eq("a.c_nationkey", "b.s_suppkey")), _C, _S, "c_custkey AS c"), f"SELECT c_custkey AS c FROM customer WHERE {_words} (SELECT 1 FROM supplier WHERE c_custkey=s_nationkey OR c_nationkey=s_suppkey)")
+    _frame(f"join_or_{_kind}", _joined(_kind, ir.Bin("or", _eq("a.c_custkey", "b.s_nationkey"), _eq("a.c_custkey", "b.s_suppkey")), _C, _S, "c_custkey AS c"), f"SELECT c_custkey AS c FROM customer WHERE {_words} (SELECT 1 FROM supplier WHERE c_custkey=s_nationkey OR c_custkey=s_suppkey)")
 _frame("join_or", _joined("inner", ir.Bin("or", _eq("a.c_nationkey", "b.s_nationkey"), _eq("a.c_custkey", "b.s_suppkey")), _C, _S, "c_custkey AS c", "s_suppkey AS s"), "SELECT c_custkey AS c, s_suppkey AS s FROM customer JOIN supplier ON c_nationkey=s_nationkey OR c_custkey=s_suppkey")
 _frame("join_composite", _joined("inner", ir.Bin("and", _eq("a.l_partkey", "b.p_partkey"), _eq("a.l_linenumber", "b.p_size")), "lineitem", "part", "l_orderkey AS o", "p_partkey AS p"), "SELECT l_orderkey AS o, p_partkey AS p FROM lineitem JOIN part ON l_partkey=p_partkey AND l_linenumber=p_size")
 _frame("join_bare_column", _joined("inner", _p("b.r_regionkey"), _N, "region", "n_name AS n", "r_name AS r"), "SELECT n_name AS n, r_name AS r FROM nation JOIN region ON r_regionkey<>0")
