@@ -3,7 +3,9 @@
 import pytest
 
 from quillgraph.catalog import EdgeTable, NodeTable, PropertyGraph
+from quillgraph.operators import dealt, recursion
 from quillgraph.operators.recursion import MERGED, closure, fixpoint
+from quillgraph.plans import engine
 from quillgraph.plans.engine import Engine
 
 
@@ -51,3 +53,20 @@ def test_recursion_in_texts(spark):
     assert run(bounded + "FROM w z RETURN z.d AS d, count(*) AS n") == [(0, 1), (1, 1), (2, 2), (3, 2)]
     with pytest.raises(KeyError, match="no table"):
         run("FROM nowhere z RETURN z.a AS a")
+
+
+@pytest.mark.parametrize("both", [True, False])
+def test_walks_are_not_stepped_from_every_start(spark, both, monkeypatch):
+    # Rounds of a recursion over pairs that lead both ways: none. Cells of two rows deal the one large component to many tasks.
+    monkeypatch.setattr(dealt, "CELL", 2)
+    monkeypatch.setattr(engine, "fixpoint", None)
+    if both:
+        monkeypatch.setattr(recursion, "fixpoint", None)
+    links = [(i, i + 1) for i in range(30) if i % 10 < 8] + [(40, 40)]
+    links += [(b, a) for a, b in links] if both else []
+    knows = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(links)], "s long, t long, e long")
+    e = Engine(spark, PropertyGraph().add(NodeTable("P", spark.range(60), "id"), EdgeTable("K", "P", "P", knows, "s", "t", "e")))
+    text = "WITH RECURSIVE w AS { MATCH (p:P) WHERE p.id % 5 = 0 RETURN p.id AS a, p.id AS b, p.id % 2 AS c UNION FROM w r MATCH (x:P)-[:K]->(y:P) WHERE r.b = x.id" + (" AND y.id <> 1" if not both else "") + " RETURN r.a, y.id, r.c } FROM w z RETURN z.a AS a, z.b AS b, z.c AS c"
+    kept = [x for x in links if both or x[1] != 1]
+    want = sorted((a, b, a % 2) for a, b in reached(kept, range(0, 60, 5)))
+    assert sorted(map(tuple, e.query(text).collect())) == want
