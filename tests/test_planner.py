@@ -86,3 +86,11 @@ def test_results_do_not_depend_on_the_order(spark, sf, text):
     rows = lambda e: Counter(map(tuple, e.query(text).collect()))
     want = rows(Engine(spark, star_graph(spark, sf)))
     assert rows(Engine(spark, star_graph(spark, sf)).analyze()) == want and want
+
+
+def test_triangles_broadcast_no_edges(spark):
+    # The graph is far below Spark's threshold, and still no table that grows with the edges may go to the driver.
+    graph, _ = hub_graph(spark)
+    path = branches(graph, named(parse(TRIANGLE).clauses[0].paths, iter(range(9))), {})[0].paths[0][1]
+    plan = Matcher(graph)._triangle(path, {"a": "P", "b": "P", "c": "P"}, set())._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
