@@ -369,7 +369,13 @@ def _placement(df: DataFrame, key: str) -> DataFrame:
 
 
 _frame("sort_by", lambda spark, d: _placement(sort_by(_tables(spark, d)("orders").repartition(3), "o_totalprice"), "o_totalprice").select("n", "below"), "SELECT count(*) AS n, 0::BIGINT AS below FROM orders")
-_frame("distribute_by", lambda spark, d: _placement(distribute_by(_tables(spark, d)("orders"), "o_custkey"), "o_custkey").select("n", "parted"), "SELECT count(*) AS n, 0::BIGINT AS parted FROM orders")
+def _dealt_rows(df: DataFrame, key: str) -> DataFrame:
+    """Every row of ``df``, and whether rows of its key stand in another partition as well."""
+    of_key = Window.partitionBy(key)
+    return df.withColumn("_part", F.spark_partition_id()).withColumn("parted", F.min("_part").over(of_key) != F.max("_part").over(of_key)).drop("_part")
+
+
+_frame("distribute_by", lambda spark, d: _dealt_rows(distribute_by(_tables(spark, d)("orders"), "o_custkey"), "o_custkey"), "SELECT *, false AS parted FROM orders")
 _frame("cluster_by", lambda spark, d: _placement(cluster_by(_tables(spark, d)("orders"), "o_custkey"), "o_custkey"), "SELECT count(*) AS n, 0::BIGINT AS below, 0::BIGINT AS parted FROM orders")
 _frame("pivot", lambda spark, d: pivoted(_tables(spark, d)("orders"), ["o_orderpriority"], "o_orderstatus", ["F", "O", "P"], F.count(F.lit(1))), "SELECT o_orderpriority, nullif(count(*) FILTER (o_orderstatus='F'),0) AS F, nullif(count(*) FILTER (o_orderstatus='O'),0) AS O, nullif(count(*) FILTER (o_orderstatus='P'),0) AS P FROM orders GROUP BY 1")
 _frame("unpivot", lambda spark, d: unpivoted(_tables(spark, d)("nation").select("n_name", "n_nationkey", "n_regionkey"), ["n_name"], ["n_nationkey", "n_regionkey"], "what", "key"), "SELECT n_name, 'n_nationkey' AS what, n_nationkey AS key FROM nation UNION ALL SELECT n_name, 'n_regionkey', n_regionkey FROM nation")

@@ -5,7 +5,7 @@ import datetime
 import duckdb
 import pytest
 
-from quillgraph.queries import ORACLES, QUERIES
+from quillgraph.queries import ORACLES, QUERIES, _dealt_rows
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -44,3 +44,10 @@ def test_flagship_plan_prunes_and_pushes(spark, sf):
     assert "GreaterThan(o_totalprice,100000.0)" in text
     assert "o_orderpriority" not in text and "c_mktsegment" not in text
     assert text.count("orders.parquet") == 1  # the foreign key's own table is met once
+
+
+def test_distribute_by_gives_every_row(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    got = QUERIES["distribute_by"](spark, sf)
+    assert got.count() == orders.count() and got.columns == [*orders.columns, "parted"] and not got.where("parted").count()
+    assert _dealt_rows(orders.repartition(3), "o_custkey").where("parted").count()
