@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.functions.expressions import Compiler
+from quillgraph.operators import dealt
 from quillgraph.operators.ranges import Interval, bins, interval_join
 from quillgraph.plans import ir
 from quillgraph.plans.rel2graph import join_frames
@@ -112,3 +113,48 @@ NAMES = ["join_between", "join_less_than_pairs", "join_theta", *[f"join_near_{s}
 def test_no_nested_loops(name, spark, sf):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("side", SIDES)
+def test_cells_of_three_rows(spark, side, monkeypatch):
+    # Every row five times over, and a residual condition: no cell loses or repeats a pair.
+    monkeypatch.setattr(dealt, "CELL", 3)
+    on, test = CASES["turned"]
+    left, right = rows(4, 20, 12, 6)
+    left, right = left * 5, right * 3
+    out = join_frames(spark.createDataFrame(left, A).alias("a"), spark.createDataFrame(right, B).alias("b"), on, side, Compiler(Columns({"s": "string", "t": "string"})))
+    got = Counter(tuple(r[i] for i in ((0,) if side in ("semi", "anti") else (0, 3))) for r in out.collect())
+    met = lambda a, b: test(a, b)
+    pairs = Counter((a[0], b[0]) for a in left for b in right if met(a, b))
+    lone = [a[0] for a in left if not any(met(a, b) for b in right)]
+    far = [b[0] for b in right if not any(met(a, b) for a in left)]
+    want = {"semi": Counter((a[0],) for a in left if any(met(a, b) for b in right)), "anti": Counter((x,) for x in lone)}.get(side, pairs)
+    want = want + Counter((x, None) for x in lone if side in ("left", "full")) + Counter((None, x) for x in far if side in ("right", "full"))
+    assert got == want
+
+
+def most_pairs_of_a_task(df):
+    n = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    return max(n), sum(n)
+
+
+LESS = ir.Bin("<", P("a", "lo"), P("b", "hi"))
+EITHER = ir.Bin("or", ir.Bin("=", P("a", "lo"), P("b", "lo")), ir.Bin("=", P("a", "hi"), P("b", "lo")))
+
+
+@pytest.mark.parametrize("on", [BETWEEN, LESS, EITHER], ids=["between", "less", "either"])
+def test_pairs_are_dealt_to_many_tasks(spark, on, monkeypatch):
+    # A few KB make 90,000 pairs of one value, which bytes would put into one task.
+    monkeypatch.setattr(dealt, "CELL", 20)
+    df = spark.createDataFrame([(i, 5, 5, 6) for i in range(300)], "id long, x long, lo long, hi long")
+    most, total = most_pairs_of_a_task(join_frames(df.alias("a"), df.alias("b"), on, "inner", Compiler(Columns({}))).select("a.id", "b.x"))
+    assert total == 90_000 and most < total / 10
+
+
+@pytest.mark.parametrize("side", ["semi", "anti"])
+def test_existence_makes_no_pairs(spark, side):
+    df = spark.range(300).selectExpr("id", "5L AS x", "5L AS lo", "6L AS hi")
+    turned = ir.Between(P("b", "x"), P("a", "lo"), P("a", "hi"))
+    out = join_frames(df.alias("a"), df.alias("b"), turned, side, Compiler(Columns({})))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi" in plan and "Join Inner" not in plan and out.count() == (300 if side == "semi" else 0)
