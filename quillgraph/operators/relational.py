@@ -57,33 +57,64 @@ def _vectors(t: pa.Table) -> np.ndarray:
     return v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
 
 
-def _cosines(q: pa.Table, x: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of both blocks, those of the second in order, and the cosines of all their pairs; -inf for a row and itself."""
-    a, b = _vectors(q), _vectors(x)
-    na, nb = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
-    ids, others = np.array(q["from_id"].to_pylist(), object), np.array(x["to_id"].to_pylist(), object)
-    order = np.argsort(others, kind="stable")  # ties go to the smaller id
-    b, nb, others = b[order], nb[order], others[order]
-    norm = na[:, None] * nb[None, :]
-    score = np.divide(a @ b.T, norm, out=np.zeros(norm.shape), where=norm > 0)
-    score[ids[:, None] == others[None, :]] = -np.inf
-    return ids, others, score
+#: Bytes of a strip of cosines, and how far a product of matrices may be off a sum taken in order.
+STRIP, OFF = 16 << 20, 1e-9
+
+
+def _ids(values: pa.ChunkedArray) -> np.ndarray:
+    whole = pa.types.is_integer(values.type)
+    return values.to_numpy() if whole else np.array(values.to_pylist(), object)
+
+
+def _exact(a: np.ndarray, b: np.ndarray, row: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Cosines of rows of ``a`` and ``b``, summed component by component, so that equal vectors have equal ones."""
+    dot, na, nb = np.zeros(len(row)), np.zeros(len(a)), np.zeros(len(b))
+    for x, y in zip(a.T, b.T, strict=True):
+        dot, na, nb = dot + x[row] * y[place], na + x * x, nb + y * y
+    norm = np.sqrt(na[row] * nb[place])
+    return np.clip(np.divide(dot, norm, out=np.zeros(len(row)), where=norm > 0), -1, 1)
 
 
 def _of_blocks(k: int | None):
-    """Of a block of queries and a block of rows, each query's ``k`` most similar other rows, or all."""
+    """Of a block of queries and a block of rows, each query's ``k`` most similar other rows, or all.
+
+    Cosines are made in strips of queries of ``STRIP`` bytes. What comes within ``OFF`` of the k-th
+    is summed exactly; ties go to the smaller id.
+    """
 
     def run(q: pa.Table, x: pa.Table) -> pa.Table:
         kinds = (pa.int32(), q["from_id"].type, x["to_id"].type if "to_id" in x.column_names else q["from_id"].type, pa.float64())
         names = ["_block", "from_id", "to_id", "score"]
         if not q.num_rows or not x.num_rows:
             return pa.table({n: pa.array([], t) for n, t in zip(names, kinds, strict=True)})
-        ids, others, score = _cosines(q, x)
-        best = np.broadcast_to(np.arange(score.shape[1]), score.shape) if k is None else np.argsort(-score, axis=1, kind="stable")[:, :k]
-        found = np.take_along_axis(score, best, 1)
-        row, place = np.nonzero(np.isfinite(found))
-        block = q["_block"][0].as_py()
-        return pa.table(dict(zip(names, (pa.array([block] * len(row), kinds[0]), pa.array(ids[row].tolist(), kinds[1]), pa.array(others[best[row, place]].tolist(), kinds[2]), pa.array(found[row, place])), strict=True)))
+        a, b, ids, others = _vectors(q), _vectors(x), _ids(q["from_id"]), _ids(x["to_id"])
+        order = np.argsort(others, kind="stable")
+        b, others = b[order], others[order]
+        lengths = lambda v: np.sqrt((v * v).sum(1))
+        unit = lambda v: np.divide(v, lengths(v)[:, None], out=np.zeros(v.shape), where=lengths(v)[:, None] > 0)
+        ua, ub = unit(a), unit(b).T
+        low, high = np.searchsorted(others, ids, "left"), np.searchsorted(others, ids, "right")  # a row and itself
+        step = max(1, STRIP // (8 * len(b)))
+        rows, places, scores = [], [], []
+        for at in range(0, len(a), step):
+            near = ua[at : at + step] @ ub
+            for i, (lo, hi) in enumerate(zip(low[at : at + step], high[at : at + step], strict=True)):
+                near[i, lo:hi] = -np.inf
+            near[~np.isfinite(near)] = -np.inf
+            if k is not None and k < len(b):
+                near[near < np.partition(near, len(b) - k, axis=1)[:, len(b) - k, None] - OFF] = -np.inf
+            row, place = np.nonzero(near != -np.inf)
+            score = _exact(a[at : at + step], b, row, place)
+            best = np.lexsort((place, -score, row))
+            best = best[np.isfinite(score[best])]
+            if k is not None:
+                of = row[best]
+                best = best[np.arange(len(of)) - np.searchsorted(of, of) < k]
+            rows.append(row[best] + at)
+            places.append(place[best])
+            scores.append(score[best])
+        row, place, score = map(np.concatenate, (rows, places, scores))
+        return pa.table(dict(zip(names, (pa.array(np.full(len(row), q["_block"][0].as_py()), kinds[0]), pa.array(ids[row], kinds[1]), pa.array(others[place], kinds[2]), pa.array(score)), strict=True)))
 
     return run
 
@@ -92,7 +123,7 @@ def _met_in_blocks(left: DataFrame, right: DataFrame, id_col: str, vector: str,
     """Both sides dealt to blocks of about ``rows`` rows; each pair of blocks is one product of matrices in one task."""
     given = lambda df: df.where(F.col(id_col).isNotNull() & F.col(vector).isNotNull())
     left, right = given(left), given(right)
-    n, m = max(1, left.count() // rows), max(1, right.count() // rows)
+    n, m = max(1, -(-left.count() // rows)), max(1, -(-right.count() // rows))
     q = left.select(F.col(id_col).alias("from_id"), F.col(vector).cast("array<double>").alias("_v"), F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias("_q"))
     x = right.select(F.col(id_col).alias("to_id"), F.col(vector).cast("array<double>").alias("_v"), F.pmod(F.xxhash64(id_col), F.lit(m)).cast("int").alias("_x"))
     q = q.withColumn("_x", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select("from_id", "_v", (F.col("_q") * m + F.col("_x")).alias("_block"))
