@@ -2,10 +2,11 @@
 
 A document's set is its distinct word shingles as 64-bit hashes; equal sets are one class
 and everything else is on classes. A signature has TREES * DEPTH minhashes (16 bits each).
-A tree sorts the signatures rotated by its number; in sorted order, neighbours are those
-of the longest common prefix, so a crowded region is told apart by as many more values as
+A tree sorts the signatures rotated by its number, behind the first DEPTH values by their low
+bytes; in sorted order, neighbours are those of the longest common prefix, so a crowded region is told apart by as many more values as
 it takes, and a sparse one by DEPTH only. Candidates are neighbours of LCP >= DEPTH whose
-signatures agree enough (SLACK below the threshold); every one is confirmed on full sets.
+signatures agree enough (SLACK below the threshold) and whose sizes allow a link; every one
+is confirmed on full sets. A row stands in the trees where others share its DEPTH-prefix only.
 
 Round one takes each row's next neighbour. Components of the confirmed links then stand
 for their members, and round two takes, at distances up to REACH, the neighbours in other
@@ -47,6 +48,7 @@ REACH = 16
 SLACK = 0.2
 ROWS = 20_000  # rows a sorted partition has at least, on average
 BLOCK = 4096  # rows of a shingle that a part of its block has, on average
+WORDS = 1 << 20  # 64-bit words that a filter has at most
 
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _RNG = np.random.default_rng(20_11)
@@ -73,7 +75,7 @@ def shingles(text: bytes, size: int) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """VALUES minhashes, cut to 16 bits."""
+    """VALUES minhashes, cut to 16 bits: the high bytes of all, then the low ones."""
     x = (s >> np.uint64(20)).astype(np.uint32)
     out = np.full(VALUES, 0xFFFFFFFF, np.uint32)
     for k in range(0, len(x), 512):
@@ -81,7 +83,7 @@ def signature(s: np.ndarray) -> np.ndarray:
         y ^= y >> np.uint32(15)
         y *= np.uint32(0x2C1B3C6D)
         out = np.minimum(out, y.min(0))
-    return (out >> np.uint32(8)).astype(np.uint16)
+    return np.concatenate([out >> np.uint32(16), out >> np.uint32(8)]).astype(np.uint8)
 
 
 def _signed(size: int):
@@ -92,22 +94,55 @@ def _signed(size: int):
                 s = shingles(raw(text.as_py()), size)
                 ns.append(len(s))
                 cids.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                sigs.append(signature(s).astype(">u2").tobytes() if len(s) else None)
+                sigs.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cids, pa.binary()), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "rid", "cid", "n", "sig"])
 
     return lean(run)
 
 
+def _prefix(more: int) -> str:
+    """SQL: ``tree``'s DEPTH values of ``sig``, high bytes, then low ones and those of the ``more`` values after them."""
+    return f"concat(substring(sig, 1 + tree * {DEPTH}, {DEPTH}), substring(sig, {VALUES + 1} + tree * {DEPTH}, {DEPTH + more}))"
+
+
 def _forest(rows: DataFrame) -> DataFrame:
-    """tree, rotated signature, and the other columns of ``rows``, for every tree."""
-    tree = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
-    turned = F.expr(f"concat(substring(sig, 1 + tree * {2 * DEPTH}), substring(sig, 1, tree * {2 * DEPTH}))")
-    return tree.withColumn("key", turned).drop("sig")
+    """tree, rotated signature (DEPTH + VALUES bytes), and the other columns of ``rows``, for every tree in the bits of ``trees``."""
+    tree = rows.withColumn("tree", F.explode(F.expr(f"filter(sequence(0, {TREES - 1}), x -> (shiftright(trees, x) & 1) = 1)")))
+    turned = F.expr(f"concat({_prefix(VALUES)}, substring(sig, {VALUES + 1}, tree * {DEPTH}))")
+    return tree.withColumn("key", turned).drop("sig", "trees")
+
+
+def among(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows whose ``column`` is in ``keys``, and a few others: a Bloom filter ahead of a join.
+
+    A join with a small part of ``rows`` would shuffle them all. A key sets four bits of one
+    word; words are united by ``bit_or`` and broadcast. There are never more than WORDS, so
+    with very many keys more of the other rows pass, which the join drops.
+    """
+    words = max(1, min(WORDS, keys.count() * 12 // 64))
+    bits = " | ".join(f"shiftleft(1L, int(shiftright(_h, {k}) & 63))" for k in (40, 46, 52, 58))
 
+    def hashed(df: DataFrame) -> DataFrame:
+        return df.withColumn("_h", F.xxhash64(column)).withColumns({"_word": F.expr(f"pmod(_h, {words}L)"), "_bits": F.expr(bits)})
 
-def _neighbours(reach: int, least: float, mark: bool):
+    table = hashed(keys.select(column)).groupBy(F.col("_word").alias("_w")).agg(F.bit_or("_bits").alias("_set"))
+    met = (F.col("_word") == F.col("_w")) & (F.col("_bits").bitwiseAND(F.col("_set")) == F.col("_bits"))
+    return hashed(rows).join(F.broadcast(table), met).select(*rows.columns)
+
+
+def in_play(classes: DataFrame) -> DataFrame:
+    """cid, trees: classes (cid, sig) that share a DEPTH-prefix with another one, and in which trees, as bits."""
+    tree = classes.select("cid", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    # The tree stands in the lowest bits; where hashes meet by chance, a row has a tree too many.
+    prefixes = tree.select("cid", F.expr(f"xxhash64({_prefix(0)}) & ~31L | tree").alias("p"))
+    shared = stored(prefixes.groupBy("p").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("p"), "shared")
+    met = among(prefixes, shared, "p").join(shared, "p")
+    return met.groupBy("cid").agg(F.expr("bit_or(shiftleft(1, int(p & 31)))").alias("trees"))
+
+
+def _neighbours(reach: int, least: float, percent: int, mark: bool):
     """mapInArrow over sorted rows: pairs within ``reach`` of LCP >= DEPTH in different
-    components, with ``mark`` crowded rows as pairs with themselves (both ends of an LCP >=
+    components, of sizes that allow ``percent``, with ``mark`` crowded rows as pairs with themselves (both ends of an LCP >=
     DEPTH beyond ``reach``), and the first and last rows of the partition for the bounds
     (kind 1, 2)."""
     far = reach + mark
@@ -116,29 +151,32 @@ def _neighbours(reach: int, least: float, mark: bool):
         """Pairs whose later row is at ``lo`` or after."""
         if len(rows) < 2:
             return []
-        key = np.frombuffer(b"".join(r[1] for r in rows), np.uint16).reshape(len(rows), VALUES)
+        key = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), DEPTH + VALUES)
         tree = np.array([r[0] for r in rows])
         names: dict[bytes, int] = {}
         comp = np.array([names.setdefault(r[3], len(names)) for r in rows])
+        n = np.array([r[4] for r in rows])
         out = []
         for w in range(1, min(far, len(rows) - 1) + 1):
             j = np.arange(max(w, lo), len(rows))
             i = j - w
             ok = tree[i] == tree[j] if w > reach else (tree[i] == tree[j]) & (comp[i] != comp[j])
             i, j = i[ok], j[ok]
-            ok = (key[i, :DEPTH] == key[j, :DEPTH]).all(1)
+            ok = (key[i, : 2 * DEPTH] == key[j, : 2 * DEPTH]).all(1)
             i, j = i[ok], j[ok]
             if w > reach:
                 out += [(x, x) for x in {rows[k][2] for k in np.union1d(i, j).tolist()}]
                 continue
-            ok = (key[i] == key[j]).mean(1) >= least
+            ok = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+            i, j = i[ok], j[ok]
+            ok = (key[i, DEPTH:] == key[j, DEPTH:]).mean(1) >= least
             for a, b in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
                 x, y = rows[a][2], rows[b][2]
                 out.append((min(x, y), max(x, y)))
         return out
 
-    cols = ["kind", "at", "tree", "key", "cid", "comp"]
-    types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    cols = ["kind", "at", "tree", "key", "cid", "comp", "n"]
+    types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], cols)
@@ -148,12 +186,12 @@ def _neighbours(reach: int, least: float, mark: bool):
         head: list[tuple] = []
         tail: list[tuple] = []
         for b in batches:
-            new = list(zip(*[b.column(c).to_pylist() for c in ("tree", "key", "cid", "comp")], strict=True))
+            new = list(zip(*[b.column(c).to_pylist() for c in cols[2:]], strict=True))
             head += new[: far - len(head)] if len(head) < far else []
             rows = tail + new
             found = pairs(rows, len(tail))
             if found:
-                yield batch([(0, None, None, None, x, y) for x, y in set(found)])
+                yield batch([(0, None, None, None, x, y, None) for x, y in set(found)])
             tail = rows[-far:]
         # Rows of the next partition meet the last rows of this one.
         yield batch([(1, at, *r) for r in head] + [(2, at + 1, *r) for r in tail])
@@ -166,13 +204,14 @@ def _neighbours(reach: int, least: float, mark: bool):
     return lean(run), stitch
 
 
-def candidates(nodes: DataFrame, reach: int, least: float, mark: bool = False) -> DataFrame:
-    """Distinct candidate pairs a, b of ``nodes`` (cid, sig, comp); with ``mark``, a = b is a crowded row."""
-    run, stitch = _neighbours(reach, least, mark)
+def candidates(nodes: DataFrame, reach: int, percent: int, mark: bool = False) -> DataFrame:
+    """Distinct candidate pairs a, b of ``nodes`` (cid, sig, n, trees, comp); with ``mark``, a = b is a crowded row."""
+    run, stitch = _neighbours(reach, percent / 100 - SLACK, percent, mark)
     rows = _forest(nodes)
-    parts = int(min(4 * partitions(nodes.sparkSession), max(1, nodes.count() * TREES // ROWS)))
+    total = nodes.agg(F.sum(F.bit_count("trees")).alias("n")).first().n or 0
+    parts = int(min(4 * partitions(nodes.sparkSession), max(1, total // ROWS)))
     line = rows.repartitionByRange(parts, "tree", "key", "cid").sortWithinPartitions("tree", "key", "cid")
-    found = stored(line.mapInArrow(run, "kind int, at long, tree int, key binary, cid binary, comp binary"), "neighbours")
+    found = stored(line.mapInArrow(run, "kind int, at long, tree int, key binary, cid binary, comp binary, n long"), "neighbours")
     inner = found.where("kind = 0").select(F.col("cid").alias("a"), F.col("comp").alias("b"))
     bounds = found.where("kind > 0").groupBy("at").applyInArrow(stitch, "a binary, b binary")
     return inner.unionByName(bounds).distinct()
@@ -236,10 +275,10 @@ def crowds(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
 
 
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: cid and packed text."""
+    """mapInArrow: rid and packed text."""
     for b in batches:
         z = [zstandard.compress(raw(t.as_py()).lower(), 3) for t in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(z, pa.binary())], ["cid", "z"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(z, pa.binary())], ["rid", "z"])
 
 
 def row_key() -> Column:
@@ -258,24 +297,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("rid"), F.col("text").cast("string").alias("text"))
     rows = stored(slim.mapInArrow(_signed(size), "doc_id long, rid binary, cid binary, n long, sig binary"), "signatures")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
-    classes = stored(rows.where("cid is not null").groupBy("cid").agg(F.min(first).alias("first"), F.max("sig").alias("sig")), "classes")
-    # In play: classes that share a DEPTH-prefix with another one in some tree.
-    prefixes = _forest(classes.select("cid", "sig")).select("cid", F.xxhash64("tree", F.substring("key", 1, 2 * DEPTH)).alias("p"))
-    shared = prefixes.groupBy("p").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).where("x <> y").select("p")
-    play = stored(prefixes.join(shared, "p").select("cid").distinct(), "play")
-    nodes = stored(classes.join(play, "cid").select("cid", "sig", F.col("first.rid").alias("rid")), "nodes")
-    texts = slim.select("rid", "text").join(nodes.select("rid", "cid"), "rid").select("cid", "text")
-    texts = stored(texts.mapInArrow(lean(_zipped), "cid binary, z binary").dropDuplicates(["cid"]), "texts")
-    agree = percent / 100 - SLACK
-    links = stored(confirmed(candidates(nodes.select("cid", "sig", F.col("cid").alias("comp")), 1, agree), texts, size, percent), "links")
+    classes = stored(rows.where("cid is not null").groupBy("cid").agg(F.min(first).alias("first"), F.max("sig").alias("sig"), F.max("n").alias("n")), "classes")
+    play = stored(in_play(classes.select("cid", "sig")), "play")
+    nodes = stored(among(classes, play, "cid").join(play, "cid").select("cid", "sig", "n", "trees", F.col("first.rid").alias("rid")), "nodes")
+    # Only texts of classes in play are shuffled, packed; rows of one rid have one text.
+    packed = among(slim.select("rid", "text"), nodes, "rid").mapInArrow(lean(_zipped), "rid binary, z binary")
+    texts = stored(packed.dropDuplicates(["rid"]).join(nodes.select("rid", "cid"), "rid").select("cid", "z"), "texts")
+    tried = stored(candidates(nodes.select("cid", "sig", "n", "trees", F.col("cid").alias("comp")), 1, percent), "candidates")
+    links = stored(confirmed(tried, texts, size, percent), "links")
     comp = components(links)
-    named = nodes.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "sig", F.coalesce("root", "cid").alias("comp"))
-    found = stored(candidates(stored(named, "named"), REACH, agree, True), "candidates")
-    links = links.unionByName(stored(confirmed(found.where("a <> b"), texts, size, percent), "links"))
+    named = nodes.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "sig", "n", "trees", F.coalesce("root", "cid").alias("comp"))
+    found = stored(candidates(stored(named, "named"), REACH, percent, True), "candidates")
+    links = links.unionByName(stored(confirmed(found.where("a <> b").join(tried, ["a", "b"], "left_anti"), texts, size, percent), "links"))
     comp = components(links)
     crowded = stored(found.where("a = b").select(F.col("a").alias("cid")).join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("root", "cid").alias("comp")), "crowded")
     if not crowded.isEmpty():
-        more = stored(confirmed(crowds(crowded, texts, size, percent), texts, size, percent), "links")
+        pairs = stored(crowds(crowded, texts, size, percent), "pairs")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("cid"))
+        more = stored(confirmed(pairs, among(texts, ends, "cid"), size, percent), "links")
         if not more.isEmpty():
             comp = components(links.unionByName(more))
     # Every class's component, and the first row of each.

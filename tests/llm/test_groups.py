@@ -111,6 +111,40 @@ def test_query_of_near_duplicates(spark, sf):
     assert sorted(map(tuple, got)) == sorted((i, len(sets[i]), want[i], want[i] == i) for i in sets)
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    stages = sc.statusStore().stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(k) for k in range(stages.size()))}
+
+
+def test_texts_without_a_near_one_stay_where_they_are(spark):
+    rng = random.Random(8)
+    docs = [(k, " ".join(f"{rng.getrandbits(64):x}" for _ in range(400))) for k in range(300)]
+    docs += [(1000 + k, docs[k][1] + " more") for k in range(3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4).localCheckpoint()
+    before = shuffled(spark)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(key, "-1")  # as for tables too large to be broadcast
+    try:
+        got = near_dedup.near_duplicates(df, 3, 85).collect()
+    finally:
+        spark.conf.unset(key)
+    assert {r.doc_id: r.component_id for r in got} == {k: k % 1000 for k, _ in docs}
+    moved = sum(v for k, v in shuffled(spark).items() if k not in before)
+    assert moved < 0.3 * sum(len(t) for _, t in docs), moved
+
+
+def test_filter_ahead_of_a_join(spark, monkeypatch):
+    rows, keys = spark.range(20_000).withColumn("v", F.lit("x")), spark.range(0, 20_000, 20)
+    for words, most in ((1 << 20, 2000), (8, 20_000)):  # too few words: more rows, none lost
+        monkeypatch.setattr(near_dedup, "WORDS", words)
+        got = [r.id for r in near_dedup.among(rows, keys, "id").collect()]
+        assert set(range(0, 20_000, 20)) <= set(got) and len(got) == len(set(got)) <= most
+    assert near_dedup.among(rows, keys.limit(0), "id").count() == 0
+
+
 def test_hypergeometric_is_exact(spark):
     n, total, good, drawn = 4000, 30, 12, 9
     k = mixing.hypergeometric(F.lit(total).cast("long"), F.lit(good).cast("long"), F.lit(drawn).cast("long"), (F.col("id") + 0.5) / n)
