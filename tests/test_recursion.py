@@ -70,3 +70,31 @@ def test_walks_are_not_stepped_from_every_start(spark, both, monkeypatch):
     kept = [x for x in links if both or x[1] != 1]
     want = sorted((a, b, a % 2) for a, b in reached(kept, range(0, 60, 5)))
     assert sorted(map(tuple, e.query(text).collect())) == want
+
+
+#: Steps over what meets in a middle, which pairs of lines they follow, and whether they are the same from both ends.
+MIDDLES = [
+    ("(a:P)<-[x:HAS]-(o:O)-[y:HAS]->(b:P) WHERE a.p = r.b AND o.h > 1", lambda h, q, s: h > 1, True),
+    ("(b:P)<-[y:HAS]-(o:O)-[x:HAS]->(a:P) WHERE x.q < 9 AND o.h > 1 AND y.q < 9 AND r.b = a.p", lambda h, q, s: h > 1 and q < 9 and s < 9, True),
+    ("(a:P)<-[x:HAS]-(o:O)-[y:HAS]->(b:P) WHERE a.p = r.b AND y.q < 9", lambda h, q, s: s < 9, False),
+    ("(a:P)<-[x:HAS]-(o:O)-[y:HAS]->(b:P) WHERE a.p = r.b AND x.q < y.q", lambda h, q, s: q < s, False),
+]
+
+
+@pytest.mark.parametrize("path, follows, even, null", [(*m, None) for m in MIDDLES] + [(*MIDDLES[0], 7)])
+def test_pairs_of_a_middle_are_not_made(spark, path, follows, even, null, monkeypatch):
+    # A hub of 20 lines, small middles, nodes of one line alone, of the same value, and of none.
+    value = {i: None if i == null else i % 50 for i in range(60)}
+    heft = {o: o % 4 for o in range(40)} | {0: 5}
+    lines = [(0, i, i % 10) for i in range(20)] + [(o, (o * 3 + j) % 60, (o + j) % 10) for o in range(1, 30) for j in range(1 + o % 3)]
+    nodes = spark.createDataFrame(list(value.items()), "id long, p long")
+    has = spark.createDataFrame([(*line, k) for k, line in enumerate(lines)], "o long, i long, q long, k long")
+    graph = PropertyGraph().add(NodeTable("P", nodes, "id")).add(NodeTable("O", spark.createDataFrame(list(heft.items()), "id long, h long"), "id"))
+    e = Engine(spark, graph.add(EdgeTable("HAS", "O", "P", has, "o", "i", "k", ("q",))))
+    made, stored = [], recursion.durable
+    monkeypatch.setattr(recursion, "durable", lambda df, tag: made.append(tag) or stored(df, tag))
+    got = e.query("WITH RECURSIVE w AS { MATCH (p:P) WHERE p.id % 7 = 0 RETURN p.p AS a, p.p AS b UNION FROM w r MATCH " + path + " RETURN r.a, b.p } FROM w z RETURN z.a AS a, z.b AS b").collect()
+    hops = {(value[i], value[j]) for x, (o, i, q) in enumerate(lines) for y, (m, j, s) in enumerate(lines) if o == m and x != y and follows(heft[o], q, s)}
+    want = reached([(a, b) for a, b in hops if a is not None], [value[i] for i in range(0, 60, 7)])
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert ("halves" in made, "hops" in made) == (even, not even or null is not None)
