@@ -322,10 +322,10 @@ _frame("topk_per_key", lambda spark, d: top_k(_tables(spark, d)("orders"), ["o_c
 
 def _similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _tables(spark, sf_dir)("embeddings")
-    return similarity_top_k(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 10).select("from_id", "to_id", "rank", F.round("score", 6).alias("score"))
+    return similarity_top_k(e, e, "vec_id", "embedding", 10).select("from_id", "to_id", "rank", F.round("score", 6).alias("score"))
 
 
-_frame("cosine_topk", _similar, "WITH q AS (SELECT * FROM embeddings WHERE vec_id%50=0), s AS (SELECT q.vec_id AS from_id, e.vec_id AS to_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS x FROM q JOIN embeddings e ON e.vec_id<>q.vec_id) SELECT from_id, to_id, CAST(row_number() OVER (PARTITION BY from_id ORDER BY x DESC, to_id) AS INTEGER) AS rank, round(x,6) AS score FROM s QUALIFY rank<=10")
+_frame("cosine_topk", _similar, "WITH s AS (SELECT q.vec_id AS from_id, e.vec_id AS to_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS x FROM embeddings q JOIN embeddings e ON e.vec_id<>q.vec_id) SELECT from_id, to_id, CAST(row_number() OVER (PARTITION BY from_id ORDER BY x DESC, to_id) AS INTEGER) AS rank, round(x,6) AS score FROM s QUALIFY rank<=10")
 _frame("degrees", lambda spark, d: degrees(_tables(spark, d)("orders"), "o_custkey", "o_orderkey")[0].select(F.col("o_custkey").alias("c"), "degree"), "SELECT o_custkey AS c, count(*) AS degree FROM orders GROUP BY 1")
 _frame("degree_cap_violations", lambda spark, d: cardinality_violations(_tables(spark, d)("orders"), "o_custkey", "o_orderkey", 15, 1), "SELECT 'source' AS side, CAST(o_custkey AS VARCHAR) AS id, count(*) AS degree FROM orders GROUP BY o_custkey HAVING count(*)>15")
 _frame("unique_violations", lambda spark, d: unique_violations(_tables(spark, d)("part"), "p_name"), "SELECT p_name, count(*) AS n FROM part GROUP BY 1 HAVING count(*)>1")

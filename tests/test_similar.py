@@ -4,8 +4,10 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from quillgraph.operators.relational import _of_blocks
+from quillgraph.operators.relational import _of_blocks, similarity_top_k
+from quillgraph.queries import ORACLES, QUERIES
 
 
 def block(name, ids, vectors):
@@ -40,3 +42,33 @@ def test_zero_and_broken_vectors():
     x = np.array([[0.0, 0], [1, 0], [0, 2], [np.nan, 1], [0, 0]])
     out = _of_blocks(2)(block("from_id", [0, 1], x[:2]), block("to_id", range(5), x)).to_pydict()
     assert list(zip(out["from_id"], out["to_id"], out["score"], strict=True)) == [(0, 1, 0.0), (0, 2, 0.0), (1, 0, 0.0), (1, 2, 0.0)]
+
+
+def test_every_row_is_a_query(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    got = QUERIES["cosine_topk"](spark, sf)
+    assert got.select("from_id").distinct().count() == rows and got.count() == 10 * rows
+    assert "%" not in ORACLES["cosine_topk"]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_all_rows_in_blocks(spark, kind):
+    # Many equal vectors, an id that stands twice, opposite, zero and missing vectors, blocks of 7.
+    rng = np.random.default_rng(8)
+    own = np.vstack([rng.integers(-2, 3, size=(40, 4)), [[9, 9, 9, 9]] * 12, [[0, 0, 0, 0]] * 2, [[1, 1, 1, 1], [2, 2, 2, 2], [-1, -1, -1, -1]]]).astype(float)
+    name = (lambda i: i) if kind == "long" else str
+    rows = [(name(i), v.tolist()) for i, v in enumerate(own)] + [(name(3), own[45].tolist()), (name(91), None), (None, [1.0, 2.0, 3.0, 4.0])]
+    df = spark.createDataFrame(rows, f"id {kind}, v array<float>").repartition(3)
+    got = {}
+    for r in similarity_top_k(df, df, "id", "v", 5, rows=7).collect():
+        got.setdefault(r.from_id, {})[r["rank"]] = (r.to_id, r.score)
+    fine = [(i, np.array(v)) for i, v in rows if i is not None and v is not None]
+
+    def cosine(a, b):
+        norm = np.sqrt((a @ a) * (b @ b))
+        return min(1.0, max(-1.0, a @ b / norm)) if norm else 0.0
+
+    for i in {i for i, _ in fine}:
+        want = sorted(((-cosine(a, b), j) for x, a in fine if x == i for j, b in fine if j != i))[:5]
+        assert [got[i][n + 1] for n in range(5)] == [(j, -s) for s, j in want]
+    assert set(got) == {i for i, _ in fine}
